@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode, encode
+from .oracles import ORACLES
+from .quality_rules import quality_rules
 from .simhash import near_duplicates
 from .substring import deduplicate_words
 from .suffix_array import deduplicate_bytes
+from .token_store import read_tokens, write_tokens
+from .vector_search import top_k
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,12 +27,26 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = write_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_tokens(spark, store).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = deduplicate_words(_documents(spark, sf_dir), length=20)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op4_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_k(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = deduplicate_bytes(_documents(spark, sf_dir), length=100)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -39,9 +59,25 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    found = decode(encode(_documents(spark, sf_dir), path, pattern).drop("text"), path, pattern)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_token_store": op2_token_store,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_vector_search": op4_vector_search,
+    "op5_quality_rules": op5_quality_rules,
     "op8_suffix_array": op8_suffix_array,
+    "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -152,7 +152,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, to: str | None = None, en
 
     A null text is empty; ``end_id`` (None: none) is appended to each document. Shards cover ascending ranges of ids; within
     one, documents stand in id order, null ids first, equal ids by a hash of their text; repeated rows are all written. The
-    dictionary is trained on at most ``sample`` documents, chosen by a hash of their id. An empty table makes an empty store.
+    dictionary is trained on about ``sample`` documents (at most twice as many), chosen by a hash of their id. An empty table makes an empty store.
     """
     spark = docs.sparkSession
     to = _uri(to or fresh_path(spark, "tokens"))
@@ -161,7 +161,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, to: str | None = None, en
     cuts = held.agg(F.percentile_approx("doc_id", F.array(*(F.lit(i / n) for i in range(1, n))) if n > 1 else F.array(F.lit(0.5)), 10000)).first()[0] or []
     bounds = np.unique(np.array(cuts, np.int64))
     end = [] if end_id is None else [end_id]
-    picked = held.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+    share = min(1.0, sample / max(1, held.count()))
+    picked = held.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * sample).collect()
     encode = encoder(tokenizer_path)
     dictionary = train_dictionary([encode.encode(r["text"]) for r in picked], dictionary_kb << 10)
     dict_hash = hashlib.sha256(dictionary).digest()
