@@ -36,7 +36,7 @@ def _table() -> np.ndarray:
 
 
 CLASSES = _table()
-OWN = 12
+OWN = 13
 
 
 def line_features(lines: list[str]) -> np.ndarray:
@@ -51,6 +51,7 @@ def line_features(lines: list[str]) -> np.ndarray:
     words = [x.split() for x in lines]
     n_words = np.fromiter(map(len, words), np.float64, len(lines))
     distinct = np.fromiter((len(set(w)) for w in words), np.float64, len(lines))
+    twins = np.fromiter((sum(map(str.__eq__, w, w[1:])) for w in words), np.float64, len(lines))
     seen: set[str] = set()
     again = np.zeros(len(lines))
     for i, line in enumerate(lines):
@@ -73,6 +74,7 @@ def line_features(lines: list[str]) -> np.ndarray:
             np.minimum(chars / some / 20, 1),
             ends,
             n_words < 3,
+            twins / some,
         ],
         axis=1,
     ).astype(np.float64)

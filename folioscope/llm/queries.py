@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pii, quality_crf
 from .bpe import decode, encode
 from .oracles import ORACLES
+from .packing import best_fit
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
 from .substring import deduplicate_words
@@ -47,6 +49,26 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = quality_crf.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = quality_crf.classify(docs, model, threshold=0.3)
+    return found.select("doc_id", quality_crf.held_out().alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
+
+
+def _digest(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = pii.detect(docs, pii.fit(docs)).select("doc_id", "pii_spans")
+    base = F.filter("pii_spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("pii_spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(_digest(base), 256).alias("base_sha256"), _digest(F.col("pii_spans")).alias("spans"))
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = deduplicate_bytes(_documents(spark, sf_dir), length=100)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -59,6 +81,11 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    return best_fit(docs, capacity=2048, per_source=4)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     found = decode(encode(_documents(spark, sf_dir), path, pattern).drop("text"), path, pattern)
@@ -76,7 +103,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_vector_search": op4_vector_search,
     "op5_quality_rules": op5_quality_rules,
+    "op6_quality_crf": op6_quality_crf,
+    "op7_pii": op7_pii,
     "op8_suffix_array": op8_suffix_array,
+    "op9_packing": op9_packing,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
