@@ -1 +1 @@
-
+"""Column functions: scores, similarities and text rules, all built-in expressions."""
