@@ -15,6 +15,8 @@ from ..session import ship
 SPACE_CLASS = r"\x20\x09-\x0D"
 #: Stands for a null document id where ids are ordered: null ids come first.
 NULL_ID = -(2**63)
+#: From this estimate on the planner knows nothing.
+UNKNOWN_SIZE = 1 << 50
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,9 +41,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def part_count(df: DataFrame, mb_each: int) -> int:
-    """Partitions of about ``mb_each`` MB of the planner's size estimate, and at least the session's shuffle partitions."""
+    """Partitions of about ``mb_each`` MB of the planner's size estimate, and at least the session's shuffle partitions.
+
+    Where the planner has no estimate (it then says a petabyte or far more), the session's setting alone counts.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (mb_each << 20)), 1_000_000)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (mb_each << 20) if size < UNKNOWN_SIZE else 0)
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
