@@ -36,11 +36,11 @@ class Rule:
 #: Lengths in words, ratios over words or over lines that have a word.
 RULES = (
     Rule("length", "n_words", 20, 1_000_000),
-    Rule("mean_word_length", "word_chars / n_words", 2, 20),
-    Rule("symbols", "n_symbols / n_words", None, 0.5),
-    Rule("stop_words", "n_stop_words / n_words", 0.02, None),
-    Rule("duplicate_lines", "n_dup_lines / n_lines", None, 0.5),
-    Rule("repeated_words", "n_repeat_words / n_words", None, 0.3),
+    Rule("mean_word_length", "word_chars / nullif(n_words, 0)", 2, 20),
+    Rule("symbols", "n_symbols / nullif(n_words, 0)", None, 0.5),
+    Rule("stop_words", "n_stop_words / nullif(n_words, 0)", 0.02, None),
+    Rule("duplicate_lines", "n_dup_lines / nullif(n_lines, 0)", None, 0.5),
+    Rule("repeated_words", "n_repeat_words / nullif(n_words, 0)", None, 0.3),
 )
 
 
