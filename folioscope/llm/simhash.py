@@ -160,7 +160,7 @@ class GrayTree:
 
 
 def link_buckets(block: np.ndarray, value: np.ndarray, prints: np.ndarray, shift: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as pairs of fingerprints, of the links inside each bucket (block, value).
+    """A spanning forest, as pairs of positions in ``prints``, of the links inside each bucket (block, value).
 
     ``shift`` says by how many bits a fingerprint is rotated so that the bits of its block lead: members of a bucket then
     stand together in Gray order.
@@ -169,15 +169,15 @@ def link_buckets(block: np.ndarray, value: np.ndarray, prints: np.ndarray, shift
     turned = (prints << s) | (prints >> ((np.uint64(64) - s) & np.uint64(63)))
     turned = np.where(s == 0, prints, turned)
     order = np.lexsort((gray_rank(turned), value, block))
-    turned, prints, bucket = turned[order], prints[order], (block[order].astype(np.int64) << 32) | value[order]
+    bucket = (block[order].astype(np.int64) << 32) | value[order]
     size = np.unique(bucket, return_counts=True)[1]
     several = np.repeat(size > 1, size)
-    turned, prints, bucket = turned[several], prints[several], bucket[several]
-    if not len(prints):
-        return prints, prints
-    labels = GrayTree(turned, bucket).classes(limit)
+    order, bucket = order[several], bucket[several]
+    if not len(order):
+        return order, order
+    labels = GrayTree(turned[order], bucket).classes(limit)
     linked = labels != np.arange(len(labels))
-    return prints[linked], prints[labels[linked]]
+    return order[linked], order[labels[linked]]
 
 
 def _blocks(max_bits: int) -> list[tuple[int, int]]:
@@ -191,7 +191,8 @@ def _blocks(max_bits: int) -> list[tuple[int, int]]:
 
 
 def link_fingerprints(distinct: DataFrame, max_bits: int = 4, bucket_rows: int = 200_000) -> DataFrame:
-    """``(a, b)``: links among distinct fingerprints (column ``fp``) that join the same ones as all pairs within ``max_bits``.
+    """``(a, b)``: links among documents ``rep`` of distinct fingerprints ``fp``, which join the same ones as all pairs within
+    ``max_bits`` would.
 
     A bucket with over ``bucket_rows`` members is cut into chunks by hash, and each pair of chunks meets in a task of its own,
     so that no task holds more than two chunks; nothing is dropped.
@@ -205,7 +206,7 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = 4, bucket_rows: int =
             )
         )
     )
-    rows = distinct.select("fp", keyed.alias("k")).select("fp", "k.block", "k.shift", "k.value")
+    rows = distinct.select("fp", "rep", keyed.alias("k")).select("fp", "rep", "k.block", "k.shift", "k.value")
     largest = rows.groupBy("block", "value").count().agg(F.max("count")).first()[0] or 0
     if largest > bucket_rows:
         counts = rows.groupBy("block", "value").agg(F.ceil(F.count(F.lit(1)) / bucket_rows).cast("int").alias("chunks"))
@@ -214,7 +215,7 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = 4, bucket_rows: int =
         rows = rows.select("*", other.alias("other")).withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
     else:
         rows = rows.select("*", F.lit(0).alias("low"), F.lit(0).alias("high"))
-    rows = rows.select("fp", "block", "shift", "value", "low", "high").repartition(part_count(distinct, 16), "block", "value", "low", "high")
+    rows = rows.select("fp", "rep", "block", "shift", "value", "low", "high").repartition(part_count(distinct, 16), "block", "value", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -225,7 +226,8 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = 4, bucket_rows: int =
         task = np.unique(np.stack([col("low"), col("high")]), axis=1, return_inverse=True)[1].ravel()
         value = col("value") + (task.astype(np.int64) << 16)
         a, b = link_buckets(col("block"), value, col("fp").astype(np.int64).view(np.uint64), col("shift"), max_bits)
-        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        rep = col("rep")
+        yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -235,13 +237,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest document id that links of at most ``max_bits`` differing bits reach. Equal fingerprints are
     joined before any comparison, so copies cost one row. A null text is empty; texts without words have fingerprint 0 and are
-    linked like any other. Rows with a null id are linked too, but never name a component: it is null if all its ids are.
-    Repeated rows are returned as often as given; an empty table gives no rows; other columns are not read.
+    linked like any other. Rows with a null id take no part in links and have no component. Repeated rows are returned as often
+    as given; an empty table gives no rows; other columns are not read.
     """
     prints = cut(fingerprints(docs, id_col, text_col, shingle_words))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = components(link_fingerprints(distinct, max_bits))
-    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = placed.join(named, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    distinct = cut(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    roots = components(link_fingerprints(distinct, max_bits))  # by first document: a root is its component's smallest id
+    classes = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    found = prints.join(classes, "fp", "left")
+    return found.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
