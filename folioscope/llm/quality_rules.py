@@ -37,7 +37,7 @@ class Rule:
 RULES = (
     Rule("length", "n_words", 20, 1_000_000),
     Rule("mean_word_length", "word_chars / nullif(n_words, 0)", 2, 20),
-    Rule("symbols", "n_symbols / nullif(n_words, 0)", None, 0.5),
+    Rule("symbols", "n_symbols / nullif(n_words, 0)", None, 0.1),
     Rule("stop_words", "n_stop_words / nullif(n_words, 0)", 0.02, None),
     Rule("duplicate_lines", "n_dup_lines / nullif(n_lines, 0)", None, 0.5),
     Rule("repeated_words", "n_repeat_words / nullif(n_words, 0)", None, 0.3),
