@@ -1,6 +1,6 @@
 """Byte-level BPE, encoding and decoding, by a rank queue on a hierarchical bitmap.
 
-The pending merges of a pre-token lie in one bucket per merge rank; a bucket holds positions of the linked list of parts.
+The pending merges lie in one bucket per merge rank; a bucket holds positions of the linked list of parts.
 Three levels of 64-bit words say which buckets hold anything, so the next rank is found by three find-first-set steps, however
 long the pre-token is. A merge only changes its neighbours' pairs; entries that no longer describe the pair at their position
 are skipped when they come up.
@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .token_store import CACHED_PIECES, PIECES, RARE_SPACE
+from .pieces import PieceCache
 
 
 class RankQueue:
-    """Positions by rank; the lowest rank comes first and, within it, the lowest position."""
+    """Buckets of positions by rank; the lowest rank that has any comes first."""
 
     __slots__ = ("buckets", "leaf", "middle", "top")
 
@@ -35,106 +33,223 @@ class RankQueue:
         self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
+    def open(self, rank: int, positions: list[int]) -> None:
+        """A bucket for a rank that has none."""
+        self.buckets[rank] = positions
         self.leaf[rank >> 6] |= 1 << (rank & 63)
         self.middle[rank >> 12] |= 1 << (rank >> 6 & 63)
         self.top |= 1 << (rank >> 12)
 
-    def pop(self) -> tuple[int, int]:
+    def pop(self) -> tuple[int, list[int]]:
+        """Take the bucket of the lowest rank: a find-first-set on each level, and the bits of what is now empty cleared."""
         a = (self.top & -self.top).bit_length() - 1
         word = self.middle[a]
         b = a << 6 | (word & -word).bit_length() - 1
         word = self.leaf[b]
         rank = b << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.leaf[b] = word = word & (word - 1)
+        self.leaf[b] = word = word & (word - 1)
+        if not word:
+            self.middle[a] = word = self.middle[a] & (self.middle[a] - 1)
             if not word:
-                self.middle[a] = word = self.middle[a] & (self.middle[a] - 1)
-                if not word:
-                    self.top &= self.top - 1
-        return rank, position
+                self.top &= self.top - 1
+        return rank, self.buckets.pop(rank)
 
 
-class BytePairs:
-    """A vocabulary of byte strings by rank, and the pattern that splits a text into pre-tokens."""
+#: Bytes of pre-tokens that share one queue.
+QUEUE_BYTES = 1 << 19
+#: Positions of one rank from which they are merged as arrays.
+MANY = 24
+
+
+class BytePairs(PieceCache):
+    """A vocabulary of byte strings by rank, and the pattern that splits a text into pre-tokens.
+
+    The pre-tokens of a batch stand end to end in one linked list and share one queue: merges in different pre-tokens do not
+    touch, so taking all positions of the lowest rank together changes nothing but the number of steps.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__()
         self.ranks = ranks
-        self.names = {i: b for b, i in ranks.items()}
+        self.names: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
+        for name, i in ranks.items():
+            self.names[i] = name
         self.pattern = regex.compile(pattern)
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.queue = RankQueue(len(self.names))
+        one = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.single = np.array(one, np.int64)
+        two = np.full(1 << 16, -1, np.int64)
+        for name, i in ranks.items():
+            if len(name) == 2:
+                two[name[0] << 8 | name[1]] = i
+        self.double = two
+        self.merged: dict[int, int] = {}  # pair of ids -> id of both together, or -1
+        self.known: tuple[np.ndarray, np.ndarray] | None = None  # all such pairs, sorted, and their ids
 
     @classmethod
     def load(cls, path: str, pattern: str) -> BytePairs:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        get = self.ranks.get
-        if (whole := get(piece)) is not None:
-            return [whole]
-        n, queue = len(piece), self.queue
-        after, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-        push, pop = queue.push, queue.pop
-        for i in range(n - 1):
-            if (rank := get(piece[i : i + 2])) is not None:
-                pair[i] = rank
-                push(rank, i)
+    def _pair(self, key: int) -> int:
+        found = self.merged[key] = self.ranks.get(self.names[key >> 32] + self.names[key & 0xFFFFFFFF], -1)
+        return found
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ids of each two ids together, or -1."""
+        if self.known is None:
+            both = {}
+            for name, i in self.ranks.items():
+                for cut in range(1, len(name)):
+                    a, b = self.ranks.get(name[:cut]), self.ranks.get(name[cut:])
+                    if a is not None and b is not None:
+                        both[a << 32 | b] = i
+            keys = np.array(sorted(both), np.int64)
+            self.known = keys, np.array([both[k] for k in keys.tolist()], np.int64)
+        keys, values = self.known
+        want = left << 32 | right
+        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        return np.where(keys[at] == want, values[at], -1)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids (little-endian i4) of each pre-token; one that is in the vocabulary as a whole is its own id."""
+        text = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        n = len(text)
+        if not n:
+            return [b""] * len(pieces)
+        # a part starts at i and the next one at after[i]; pair[i] is the id of both together, -1: none, -2: no part starts here
+        pairs_ = np.full(n + 1, -1, np.int64)
+        pairs_[: n - 1] = self.double[text[:-1] << 8 | text[1:]]
+        pairs_[ends[ends > 0] - 1] = -1
+        tokens_, afters, befores = np.r_[self.single[text], 0], np.arange(1, n + 2), np.arange(-1, n)
+        first_, last_ = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+        first_[0] = True
+        first_[ends] = True
+        last_[ends[ends > 0] - 1] = True
+        token, after, before, pair, first, last = (memoryview(x) for x in (tokens_, afters, befores, pairs_, first_, last_))
+        queue, merged, learn = self.queue, self.merged, self._pair
+        buckets, open_, pop = queue.buckets, queue.open, queue.pop
+
+        def push(where: np.ndarray, ranks: np.ndarray) -> None:
+            keep = ranks >= 0
+            where, ranks = where[keep], ranks[keep]
+            by = np.argsort(ranks, kind="stable")
+            where, ranks = where[by], ranks[by]
+            cuts = np.flatnonzero(np.r_[True, ranks[1:] != ranks[:-1]]).tolist() if len(ranks) else []
+            places, names = where.tolist(), ranks.tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(places)]):
+                if names[a] in buckets:
+                    buckets[names[a]] += places[a:b]
+                else:
+                    open_(names[a], places[a:b])
+
+        push(np.arange(n), pairs_[:n])
         while queue.top:
-            rank, i = pop()
-            if pair[i] != rank:
-                continue
-            gone = after[i]
-            end = after[i] = after[gone]
-            pair[gone] = -1
-            if end < n:
-                before[end] = i
-                rank = get(piece[i : after[end]])
-            else:
-                rank = None
-            if rank is None:
-                pair[i] = -1
+            low, positions = pop()
+            if len(positions) >= MANY:
+                at = np.array(positions, np.int64)
+                at.sort()
+                at = at[np.r_[True, at[1:] != at[:-1]] & (pairs_[at] == low)]
+                gone = afters[at]
+                if not (gone[:-1] == at[1:]).any():  # none overlaps the next: all merge at once
+                    end = afters[gone]
+                    afters[at], tokens_[at], pairs_[gone] = end, low, -2
+                    ends_here = last_[gone]
+                    last_[at] = ends_here
+                    befores[end[~ends_here]] = at[~ends_here]
+                    inner, begins = at[~ends_here], first_[at]
+                    left = befores[at[~begins]]
+                    right_rank = self._pairs(tokens_[inner], tokens_[end[~ends_here]])
+                    pairs_[at] = -1
+                    pairs_[inner] = right_rank
+                    left_rank = self._pairs(tokens_[left], tokens_[at[~begins]])
+                    pairs_[left] = left_rank
+                    push(np.r_[inner, left], np.r_[right_rank, left_rank])
+                    continue
+                positions = at.tolist()
             else:
-                pair[i] = rank
-                push(rank, i)
-            left = before[i]
-            if left >= 0:
-                rank = get(piece[left:end])
-                if rank is None:
-                    pair[left] = -1
-                elif rank != pair[left]:
-                    pair[left] = rank
-                    push(rank, left)
-        out, i = [], 0
-        while i < n:
-            out.append(self.ranks[piece[i : after[i]]])
-            i = after[i]
+                positions.sort()
+            for i in positions:
+                if pair[i] != low:
+                    continue
+                gone = after[i]
+                end = after[i] = after[gone]
+                token[i] = low
+                pair[gone] = -2
+                if last[gone]:
+                    last[i] = True
+                    pair[i] = -1
+                else:
+                    before[end] = i
+                    key = low << 32 | token[end]
+                    new = merged.get(key)
+                    if new is None:
+                        new = learn(key)
+                    pair[i] = new
+                    if new >= 0:
+                        if new in buckets:
+                            buckets[new].append(i)
+                        else:
+                            open_(new, [i])
+                if not first[i]:
+                    left = before[i]
+                    key = token[left] << 32 | low
+                    new = merged.get(key)
+                    if new is None:
+                        new = learn(key)
+                    if new != pair[left]:
+                        pair[left] = new
+                        if new >= 0:
+                            if new in buckets:
+                                buckets[new].append(left)
+                            else:
+                                open_(new, [left])
+        alive = pairs_[:n] > -2
+        count = np.r_[0, np.cumsum(alive)]
+        raw = tokens_[:n][alive].astype("<i4").tobytes()
+        at = (4 * count[np.r_[0, ends]]).tolist()
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
+    def _encode(self, pieces: list[bytes]) -> list[bytes]:
+        out: list = [None] * len(pieces)
+        todo, size = [], 0
+
+        def flush() -> None:
+            nonlocal size
+            for i, ids in zip(todo, self.merge([pieces[i] for i in todo])):
+                out[i] = ids
+            todo.clear()
+            size = 0
+
+        for i, p in enumerate(pieces):
+            whole = self.ranks.get(p)
+            if whole is not None:
+                out[i] = whole.to_bytes(4, "little")
+                continue
+            todo.append(i)
+            size += len(p)
+            if size >= QUEUE_BYTES:
+                flush()
+        if todo:
+            flush()
         return out
 
-    def _split(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(self.merge(p.encode("utf-8", "surrogatepass")) for p in self.pattern.findall(text)))
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text. Pieces between spaces repeat, so their ids are kept in a bounded cache; texts with rarer white space
-        are split by the pattern as a whole."""
-        if RARE_SPACE.search(text):
-            return list(self._split(text))
-        cache, pieces = self.cache, PIECES.findall(text)
-        if len(cache) > CACHED_PIECES:
-            cache.clear()
-        for p in set(pieces).difference(cache):
-            cache[p] = self._split(p)
-        return list(chain.from_iterable(map(cache.__getitem__, pieces)))
+    def whole(self, texts: list[str]) -> list[bytes]:
+        cut = [[p.encode("utf-8", "surrogatepass") for p in self.pattern.findall(t)] for t in texts]
+        done = iter(self._encode([p for c in cut for p in c]))
+        return [b"".join(next(done) for _ in c) for c in cut]
+
+    def solid(self, texts: list[str]) -> list[bytes]:
+        out: list = [b""] * len(texts)
+        letters = [i for i, t in enumerate(texts) if t.lstrip(" ").isalpha()]
+        for i, ids in zip(letters, self._encode([texts[i].encode("utf-8", "surrogatepass") for i in letters])):
+            out[i] = ids
+        done = set(letters)
+        rest = [i for i in range(len(texts)) if i not in done]
+        for i, ids in zip(rest, self.whole([texts[i] for i in rest])):
+            out[i] = ids
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.names.__getitem__, ids))
@@ -159,7 +274,7 @@ def _with(docs: DataFrame, added: T.StructField, run) -> DataFrame:
 
 
 #: Rows that are encoded before a batch is passed on.
-ROWS = 500
+ROWS = 1000
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", to: str = "ids") -> DataFrame:
@@ -177,10 +292,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", to:
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
-                ids = [made.encode(t.as_py() or "") for t in part.column(part.schema.get_field_index(text_col))]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*part.schema.names, to])
+                ids, ends = made.encode_column(part.column(part.schema.get_field_index(text_col)).fill_null(""), np.dtype("<i4"))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], [*part.schema.names, to])
 
     return _with(held, T.StructField(to, T.ArrayType(T.IntegerType())), run)
 
@@ -193,7 +306,8 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", to
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
-                blobs = [made.decode(x.values.to_pylist()) if x.is_valid else b"" for x in part.column(part.schema.get_field_index(ids_col))]
+                column = part.column(part.schema.get_field_index(ids_col))
+                blobs = [made.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else b"" for x in column]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(blobs, pa.binary())], [*part.schema.names, to])
 
     return _with(encoded, T.StructField(to, T.BinaryType()), run)
