@@ -14,6 +14,7 @@ so that one short document is read by its index entry and one small frame, witho
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import struct
@@ -27,53 +28,78 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, fresh_path, id_and_text, part_count, schema
+from .pieces import PieceCache
 
 MAGIC = b"FTOKEN01"
+#: Documents that are encoded together.
+ROWS = 1000
 HEAD, FOOT = struct.Struct("<8s32sI"), struct.Struct("<QQ8s")
-#: Texts with these are encoded whole: rarer white space, on which regular-expression libraries differ.
-RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
-#: Every boundary of these is a boundary of the byte-level pre-tokenizer too.
-PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-CACHED_PIECES = 400_000
+def byte_letters() -> str:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves, the rest follow 255."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = iter(range(256, 512))
+    return "".join(chr(b) if b in plain else chr(next(rest)) for b in range(256))
 
 
-class Encoder:
-    """The tokenizers library with a bounded cache of pieces; gives the ids of ``Tokenizer.encode(text, add_special_tokens=False)``.
+class Encoder(PieceCache):
+    """The tokenizers library with a bounded cache; gives the ids of ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    A tokenizer whose pre-tokenizer is not the byte-level one with its own splitting pattern encodes every text whole.
+    Under the byte-level pre-tokenizer with its own splitting pattern, new parts that are one pre-token each go through the
+    library together, already split; the rest, and all texts under other tokenizers, are encoded as they are.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        import json
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         split = made.get("pre_tokenizer") or {}
-        self.by_piece = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not made.get("normalizer")
-        self.special = [t["content"] for t in made.get("added_tokens", [])]
+        self.special = tuple(t["content"] for t in made.get("added_tokens", []))
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian integers."""
-        if not self.by_piece or RARE_SPACE.search(text) or any(s in text for s in self.special):
-            return self._whole([text])[0]
-        pieces = PIECES.findall(text)
-        cache = self.cache
-        new = list(set(pieces).difference(cache))
-        if new:
-            if len(cache) + len(new) > CACHED_PIECES:
-                cache.clear()
-                new = list(set(pieces))
-            cache.update(zip(new, self._whole(new)))
-        return b"".join(map(cache.__getitem__, pieces))
+        self.letters = byte_letters()
+        self.line = self.tokenizer.token_to_id(self.letters[10])
+        self.by_piece = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not made.get("normalizer") and self.line is not None
+        self.split = Tokenizer.from_file(path)
+        self.split.pre_tokenizer = pre_tokenizers.Split(self.letters[10], "isolated")
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _joined(self, tokenizer, text: str) -> list[bytes]:
+        """Ids of each line of a text in which no line break is within or beside other white space."""
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        width = self.dtype.itemsize
+        cuts = (np.flatnonzero(ids == self.line) * width).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(c + width for c in cuts)], [*cuts, len(raw)])]
+
+    def solid(self, texts: list[str]) -> list[bytes]:
+        letters = [i for i, t in enumerate(texts) if t.lstrip(" ").isalpha()]
+        out: list = [b""] * len(texts)
+        if letters:
+            joined = "\n".join([texts[i] for i in letters]).encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+            for i, ids in zip(letters, self._joined(self.split, joined)):
+                out[i] = ids
+        if len(letters) < len(texts):
+            done = set(letters)
+            rest = [i for i in range(len(texts)) if i not in done]
+            for i, ids in zip(rest, self._joined(self.tokenizer, "\n".join([texts[i] for i in rest]))):
+                out[i] = ids
+        return out
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        return super().encode_batch(texts) if self.by_piece else self.whole(texts)
+
+    def encode_each(self, texts: pa.StringArray) -> list[bytes]:
+        """The ids of each text of an Arrow column."""
+        if not self.by_piece:
+            return self.whole(texts.to_pylist())
+        ids, ends = self.encode_column(texts, self.dtype)
+        raw, at = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
+        return [raw[a:b] for a, b in zip(at, at[1:])]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -172,14 +198,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, to: str | None = None, en
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(tokenizer_path)
         last = np.array(end, made.dtype).tobytes()
-        press = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary))
+        press = zstandard.ZstdCompressor(level=1, dict_data=_dictionary(dictionary))
         for batch in batches:
             ids = batch.column("doc_id").fill_null(NULL_ID)
             shard = np.searchsorted(bounds, ids.to_numpy(), side="right").astype(np.int32)
-            for at in range(0, len(ids), 1000):
-                raw = [made.encode(t.as_py()) + last for t in batch.column("text")[at : at + 1000]]
+            for at in range(0, len(ids), ROWS):
+                raw = [r + last for r in made.encode_each(batch.column("text")[at : at + ROWS])]
                 counts = [len(r) // width for r in raw]
-                yield pa.RecordBatch.from_arrays([pa.array(shard[at : at + 1000]), ids[at : at + 1000], batch.column("tie")[at : at + 1000], pa.array(counts, pa.int64()), pa.array([press.compress(r) for r in raw], pa.binary())], ["shard", "doc_id", "tie", "n", "frame"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[at : at + ROWS]), ids[at : at + ROWS], batch.column("tie")[at : at + ROWS], pa.array(counts, pa.int64()), pa.array([press.compress(r) for r in raw], pa.binary())], ["shard", "doc_id", "tie", "n", "frame"])
 
     frames = held.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(compress, schema(shard="int", doc_id="long", tie="long", n="long", frame="binary"))
 
