@@ -34,13 +34,22 @@ def gap_matrix(mentions: DataFrame, method: str = "method", dataset: str = "data
 
 
 def link_across_papers(mentions: DataFrame, key: list[str], paper: str = "paper_id") -> DataFrame:
-    """For each paper and entity key: the other papers that have it, and in how many papers it appears."""
+    """For each paper and entity key: the other papers that have it, and in how many papers it appears.
+
+    The list of an entity is as long as the entity is common; for common ones take ``spread_across_papers``, whose rows stay small.
+    """
     pairs = mentions.select(paper, *key).distinct()
     everywhere = pairs.groupBy(*key).agg(F.collect_set(paper).alias("papers"))
     others = F.array_sort(F.array_except("papers", F.array(paper)))
     return pairs.join(everywhere, key).select(paper, *key, others.alias("also_in_papers"), F.size("papers").alias("appears_in_n_papers"))
 
 
+def spread_across_papers(mentions: DataFrame, key: list[str], paper: str = "paper_id") -> DataFrame:
+    """For each paper and entity key: in how many papers it appears. Rows stay small however common an entity is."""
+    pairs = mentions.select(paper, *key).distinct()
+    return pairs.join(pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("appears_in_n_papers")), key).select(paper, *key, "appears_in_n_papers")
+
+
 def overlap_pairs(members: DataFrame, owner: str, member: str) -> DataFrame:
     """Pairs of owners (a < b) with a shared member, their shared count and Jaccard similarity, by an inverted-index join."""
     m = members.select(owner, member).distinct()

@@ -41,15 +41,20 @@ def gap_matrix_cells(t: Tables) -> DataFrame:
 
 @query(
     "entity_linking",
-    """WITH {MENTIONS}, p AS (SELECT DISTINCT paper_id, lower(raw_text) AS entity, method FROM mentions),
-    g AS (SELECT entity, method, list_sort(list(paper_id)) AS papers FROM p GROUP BY entity, method)
-    SELECT paper_id, entity, method, array_to_string(list_filter(papers, lambda x: x <> paper_id), ',') AS also_in_papers,
-           CAST(len(papers) AS INTEGER) AS appears_in_n_papers
-    FROM p JOIN g USING (entity, method) WHERE paper_id % 10 = 0""".replace(" WHERE paper_id % 10 = 0", ""),
+    """WITH {MENTIONS}, p AS (SELECT DISTINCT paper_id, part_id FROM mentions), g AS (SELECT part_id, list_sort(list(paper_id)) AS papers FROM p GROUP BY part_id)
+    SELECT paper_id, part_id, array_to_string(list_filter(papers, lambda x: x <> paper_id), ',') AS also_in_papers, CAST(len(papers) AS INTEGER) AS appears_in_n_papers FROM p JOIN g USING (part_id)""",
 )
 def entity_linking(t: Tables) -> DataFrame:
-    linked = op.link_across_papers(t.mentions.select("paper_id", F.lower("raw_text").alias("entity"), "method"), ["entity", "method"])
-    return linked.withColumn("also_in_papers", F.array_join("also_in_papers", ","))
+    return op.link_across_papers(t.mentions, ["part_id"]).withColumn("also_in_papers", F.array_join("also_in_papers", ","))
+
+
+@query(
+    "entity_spread",
+    """WITH {MENTIONS}, p AS (SELECT DISTINCT paper_id, lower(raw_text) AS entity, method FROM mentions), g AS (SELECT entity, method, count(*) AS n FROM p GROUP BY entity, method)
+    SELECT paper_id, entity, method, n AS appears_in_n_papers FROM p JOIN g USING (entity, method)""",
+)
+def entity_spread(t: Tables) -> DataFrame:
+    return op.spread_across_papers(t.mentions.select("paper_id", F.lower("raw_text").alias("entity"), "method"), ["entity", "method"])
 
 
 @query(
