@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -83,31 +84,35 @@ class BytePairs(PieceCache):
             if len(name) == 2:
                 two[name[0] << 8 | name[1]] = i
         self.double = two
-        self.merged: dict[int, int] = {}  # pair of ids -> id of both together, or -1
-        self.known: tuple[np.ndarray, np.ndarray] | None = None  # all such pairs, sorted, and their ids
+
+    @cached_property
+    def both(self) -> dict[int, int]:
+        """Every pair of ids whose bytes together are in the vocabulary, and the id of both."""
+        found = {}
+        for name, i in self.ranks.items():
+            for at in range(1, len(name)):
+                a, b = self.ranks.get(name[:at]), self.ranks.get(name[at:])
+                if a is not None and b is not None:
+                    found[a << 32 | b] = i
+        return found
+
+    @cached_property
+    def sorted_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The same as arrays, for many pairs at once."""
+        keys = np.array(sorted(self.both), np.int64)
+        return keys, np.array([self.both[k] for k in keys.tolist()], np.int64)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> BytePairs:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
-    def _pair(self, key: int) -> int:
-        found = self.merged[key] = self.ranks.get(self.names[key >> 32] + self.names[key & 0xFFFFFFFF], -1)
-        return found
-
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ids of each two ids together, or -1."""
-        if self.known is None:
-            both = {}
-            for name, i in self.ranks.items():
-                for cut in range(1, len(name)):
-                    a, b = self.ranks.get(name[:cut]), self.ranks.get(name[cut:])
-                    if a is not None and b is not None:
-                        both[a << 32 | b] = i
-            keys = np.array(sorted(both), np.int64)
-            self.known = keys, np.array([both[k] for k in keys.tolist()], np.int64)
-        keys, values = self.known
+        keys, values = self.sorted_pairs
         want = left << 32 | right
+        if not len(keys):
+            return np.full(len(want), -1)
         at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
         return np.where(keys[at] == want, values[at], -1)
 
@@ -128,7 +133,7 @@ class BytePairs(PieceCache):
         first_[ends] = True
         last_[ends[ends > 0] - 1] = True
         token, after, before, pair, first, last = (memoryview(x) for x in (tokens_, afters, befores, pairs_, first_, last_))
-        queue, merged, learn = self.queue, self.merged, self._pair
+        queue, merged = self.queue, self.both.get
         buckets, open_, pop = queue.buckets, queue.open, queue.pop
 
         def push(where: np.ndarray, ranks: np.ndarray) -> None:
@@ -183,9 +188,7 @@ class BytePairs(PieceCache):
                 else:
                     before[end] = i
                     key = low << 32 | token[end]
-                    new = merged.get(key)
-                    if new is None:
-                        new = learn(key)
+                    new = merged(key, -1)
                     pair[i] = new
                     if new >= 0:
                         if new in buckets:
@@ -195,9 +198,7 @@ class BytePairs(PieceCache):
                 if not first[i]:
                     left = before[i]
                     key = token[left] << 32 | low
-                    new = merged.get(key)
-                    if new is None:
-                        new = learn(key)
+                    new = merged(key, -1)
                     if new != pair[left]:
                         pair[left] = new
                         if new >= 0:
