@@ -24,17 +24,22 @@ FANOUT = 8
 FRONTIER = 1 << 19
 
 
-def simhash(text: str, shingle_words: int = 4) -> int:
-    """64-bit fingerprint: bit i is set if it is set in over half of the XXH64 values (seed 42) of the word shingles."""
+def shingle_hashes(text: str, shingle_words: int = 4) -> np.ndarray:
+    """XXH64 values (seed 42) of the word shingles, repeated ones too; a text of fewer words is one shingle."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only ASCII space splits
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     k = min(shingle_words, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n, digest = len(words) - k + 1, xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist())), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist())), np.uint64, n)
+
+
+def simhash_of(hashes: np.ndarray) -> int:
+    """64-bit fingerprint: bit i is set if it is set in over half of the values; 0 if there are none."""
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for i in range(0, n, 1 << 15):
         block = hashes[i : i + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -42,6 +47,11 @@ def simhash(text: str, shingle_words: int = 4) -> int:
     return sum(1 << i for i in np.nonzero(2 * ones > n)[0].tolist())
 
 
+def simhash(text: str, shingle_words: int = 4) -> int:
+    """64-bit fingerprint of the word shingles."""
+    return simhash_of(shingle_hashes(text, shingle_words))
+
+
 def _fingerprint_batches(shingle_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
