@@ -90,9 +90,9 @@ def linucb_sufficient_stats(t: Tables) -> DataFrame:
 
 @query("linucb_rank")
 def linucb_rank(t: Tables) -> DataFrame:
-    rows = t.embeddings.select("vec_id", "label", F.slice("embedding", 1, 8).alias("x"), ((F.col("vec_id") % 7) / 7.0).alias("r"))
+    rows = t.embeddings.select("vec_id", "label", F.col("embedding").alias("x"), ((F.col("vec_id") % 7) / 7.0).alias("r"))
     models = ranking.linucb_models(rows, "label", "x", "r")
-    return ranking.linucb_scores(rows.where("vec_id < 20").select("vec_id", "x"), models, "x", 0.5).select("vec_id", "label", fixed(F.col("score"), 6).alias("score"))
+    return ranking.linucb_scores(rows.select("vec_id", "x"), models, "x", 0.5).select("vec_id", "label", fixed(F.col("score"), 6).alias("score"))
 
 
 @query("mmr_select")
