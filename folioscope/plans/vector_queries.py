@@ -128,7 +128,7 @@ def post_session_update(t: Tables) -> DataFrame:
 
 @query("hash_embedding")
 def hash_embedding(t: Tables) -> DataFrame:
-    return t.benchmark.select("item_id", F.transform(op.hash_embedding(F.col("text"), 16), lambda x: fixed(x, 6)).alias("embedding"))
+    return t.documents.select("doc_id", F.transform(op.hash_embedding(F.col("text"), 16), lambda x: fixed(x, 6)).alias("embedding"))
 
 
 @query(

@@ -20,3 +20,11 @@ def test_linucb_rank_scores_every_row_on_the_whole_vector(spark):
     found = {(f.vec_id, f.label): f.score for f in plans.QUERIES["linucb_rank"](spark, SF).collect()}
     assert found.keys() == want.keys()
     assert all(abs(found[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_hash_embedding_covers_all_documents(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    found = {r.doc_id: r.embedding for r in plans.QUERIES["hash_embedding"](spark, SF).collect()}
+    assert found.keys() == texts.keys()
+    norms = [np.linalg.norm(found[k]) for k in texts if texts[k] and len(found[k]) == 16]
+    assert len(norms) > 100 and all(abs(n - 1) < 1e-3 or n == 0 for n in norms)
