@@ -56,6 +56,12 @@ class RankQueue:
         return rank, self.buckets.pop(rank)
 
 
+#: Patterns under which a single space between two words starts a pre-token, so that texts may be cut there.
+CUT_AT_SPACES = (
+    r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s",
+    r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+)
 #: Bytes of pre-tokens that share one queue.
 QUEUE_BYTES = 1 << 19
 #: Positions of one rank from which they are merged as arrays.
@@ -76,6 +82,7 @@ class BytePairs(PieceCache):
         for name, i in ranks.items():
             self.names[i] = name
         self.pattern = regex.compile(pattern)
+        self.by_piece = pattern in CUT_AT_SPACES
         self.queue = RankQueue(len(self.names))
         one = [ranks.get(bytes([b]), -1) for b in range(256)]
         self.single = np.array(one, np.int64)
@@ -207,6 +214,8 @@ class BytePairs(PieceCache):
                             else:
                                 open_(new, [left])
         alive = pairs_[:n] > -2
+        if len(pieces) and (tokens_[:n][alive] < 0).any():
+            raise KeyError("the vocabulary lacks a byte that the text holds")
         count = np.r_[0, np.cumsum(alive)]
         raw = tokens_[:n][alive].astype("<i4").tobytes()
         at = (4 * count[np.r_[0, ends]]).tolist()
@@ -252,7 +261,19 @@ class BytePairs(PieceCache):
             out[i] = ids
         return out
 
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        return super().encode_batch(texts) if self.by_piece else self.whole(texts)
+
+    def encode_column(self, texts: pa.StringArray, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+        """As in PieceCache; under any other pattern than CUT_AT_SPACES every text is split as a whole."""
+        if self.by_piece:
+            return super().encode_column(texts, dtype)
+        found = [np.frombuffer(x, dtype) for x in self.whole(texts.to_pylist())]
+        return np.concatenate([np.zeros(0, dtype), *found]), np.cumsum([0, *map(len, found)])
+
     def decode(self, ids: list[int]) -> bytes:
+        if ids and min(ids) < 0:
+            raise IndexError(f"id {min(ids)} is not in the vocabulary")
         return b"".join(map(self.names.__getitem__, ids))
 
 

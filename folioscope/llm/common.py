@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,12 @@ UNKNOWN_SIZE = 1 << 50
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, one of our own if everything runs in
+    this process (tests); on a cluster that is an error, for a folder of one machine would be seen by no other."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='folioscope-')}"
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -49,6 +53,30 @@ def part_count(df: DataFrame, mb_each: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (mb_each << 20) if size < UNKNOWN_SIZE else 0)
 
 
+HASH_SPAN = 2**63 - 1
+
+
+def in_share(share: float, *key: str) -> Column:
+    """Whether a row is in a share of all rows, by 63 bits of a hash of ``key``: a share of one row in 10**15 still has rows."""
+    return F.xxhash64(*key).bitwiseAND(F.lit(HASH_SPAN)) <= F.lit(min(HASH_SPAN, int(share * HASH_SPAN)))
+
+
+def sample_rows(df: DataFrame, rows: int, key: Sequence[str], total: int | None = None) -> list:
+    """About ``rows`` rows (at most twice as many) of ``df``, chosen by a hash of ``key``, on the driver in order of ``key``.
+
+    Where few distinct rows are repeated very often the hash may choose none: then those with the lowest hashes are taken. A
+    table with rows never gives an empty sample. ``total`` is the number of rows if it is known already.
+    """
+    total = df.count() if total is None else total
+    if not total:
+        return []
+    order = F.xxhash64(*key).bitwiseAND(F.lit(HASH_SPAN))
+    found = df.where(in_share(rows / total, *key)).limit(2 * rows).collect() or df.orderBy(order).limit(min(rows, 100)).collect()
+    if not found:
+        raise ValueError(f"no row was sampled of {total}")
+    return sorted(found, key=lambda r: [(r[c] is not None, r[c]) for c in key])
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that an operator reads, under names that no other column can clash with."""
     ship(docs.sparkSession)

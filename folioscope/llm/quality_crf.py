@@ -4,6 +4,10 @@ Every line is good or bad. A line's potential comes from its own features and th
 labels share a transition potential, and forward-backward gives each line's marginal. The document's quality is the mean
 marginal, weighted by line length; a logistic curve turns it into the probability of label 1. Two states allow the messages
 to be kept as log odds.
+
+Only documents are labelled, not lines. Lines of good documents count as good. Which lines of a bad document are the bad ones
+is found in turns with the field (``line_labels``): those it holds for bad, and at least half of the text. Chains that go over
+from the lines of one document to those of another, with their labels, teach the transitions between good and bad.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import schema
+from .common import in_share, sample_rows, schema
 
 SYMBOLS = "#*$%&|<>^~=_\\{}[]@"
 UPPER, LOWER, DIGIT, SPACE, SYMBOL, SHOUT, PIPE = range(7)
@@ -169,34 +173,27 @@ def _forward_backward(emissions: list[np.ndarray], stay: np.ndarray) -> tuple[li
 
 #: Lines of one training document that are read in one chain.
 TRAIN_LINES = 64
+#: Turns of labelling the lines of bad documents and fitting the field to them.
+TURNS = 3
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 120) -> LineModel:
-    """Fit the field by its likelihood with every line labelled as its document, then the curve on the documents.
+def line_labels(good: np.ndarray, lengths: np.ndarray, least: float = 0.5) -> np.ndarray:
+    """Labels (1: good) for the lines of a bad document from its lines' P(good): under a half is bad, and the lowest ones are
+    until ``least`` of the length is."""
+    bad = good < 0.5
+    order = np.argsort(good, kind="stable")
+    before = np.cumsum(lengths[order]) - lengths[order]
+    bad[order[before < least * lengths.sum()]] = True
+    return (~bad).astype(np.float64)
 
-    Without any labelled line, or with one label only, all scores are the share of label 1 (with none, 1/2).
-    """
-    lines = [read_lines(t) for t in texts]
-    y = np.array(labels, np.float64)
-    prior = float(y.mean()) if len(y) else 0.5
-    stay = np.zeros(4)
-    if not len(y) or y.min() == y.max() or not any(lines):
-        return LineModel(np.zeros(WIDTH), stay, (0.0, float(np.log((prior + 1e-6) / (1 - prior + 1e-6)))), prior)
-    chains, marks, owners = [], [], []
-    for i, x in enumerate(lines):
-        if x:
-            f = with_neighbours(line_features(x))
-            for a in range(0, len(f), TRAIN_LINES):
-                chains.append(f[a : a + TRAIN_LINES])
-                marks.append(y[i])
-                owners.append(i)
-    marks = np.array(marks)
-    flat = np.vstack(chains)
+
+def _fit_field(chains: list[np.ndarray], marks: list[np.ndarray], weights: np.ndarray, stay: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and transitions by the likelihood of the labels ``marks`` of the lines in ``chains``."""
+    flat, target = np.vstack(chains), np.concatenate(marks)
     cuts = np.cumsum([len(c) for c in chains])[:-1]
-    target = np.repeat(marks, [len(c) for c in chains])
-    steps = np.array([len(c) - 1 for c in chains], np.float64)
-    seen = np.array([(steps * (marks == 0)).sum(), 0, 0, (steps * (marks == 1)).sum()])
-    weights = np.zeros(WIDTH)
+    seen = np.zeros(4)
+    for y in marks:
+        seen += np.bincount((2 * y[:-1] + y[1:]).astype(np.int64), minlength=4)
     moment = [np.zeros(WIDTH + 4), np.zeros(WIDTH + 4)]
     for r in range(1, rounds + 1):
         p, pairs = _forward_backward(np.split(flat @ weights, cuts), stay)
@@ -204,13 +201,26 @@ def train(texts: list[str], labels: list[int], rounds: int = 120) -> LineModel:
         moment[0] = 0.9 * moment[0] + 0.1 * slope
         moment[1] = 0.99 * moment[1] + 0.01 * slope**2
         move = 0.2 * (moment[0] / (1 - 0.9**r)) / (np.sqrt(moment[1] / (1 - 0.99**r)) + 1e-8)
-        weights, stay = weights + move[:WIDTH], np.clip(stay + move[WIDTH:], -2, 2)
-    model = LineModel(weights, stay, (1.0, 0.0), prior)
-    q = model.quality(texts)
-    known = ~np.isnan(q)
-    q, z = q[known], y[known]
+        weights, stay = weights + move[:WIDTH], stay + move[WIDTH:]
+    return weights, stay
+
+
+def _spliced(lines: list[list[str]], marks: dict[int, np.ndarray], bad: list[int], good: list[int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Chains of the first lines of a good document and then those of a bad one, or the other way round."""
+    chains, labels = [], []
+    for n, i in enumerate(bad):
+        j = good[n % len(good)]
+        first, second = ((i, j), (j, i))[n % 2]
+        x, y = (lines[k][: 1 + (n + k) % 8] for k in (first, second))
+        chains.append(with_neighbours(line_features(x + y)))
+        labels.append(np.r_[marks[first][: len(x)], marks[second][: len(y)]])
+    return chains, labels
+
+
+def _curve(q: np.ndarray, z: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of the logistic curve from document quality to label, lightly held, by Newton steps."""
     a, b = 4.0, -2.0
-    for _ in range(50):  # Newton steps, lightly held
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * q + b, -30, 30)))
         w = p * (1 - p)
         g = np.array([((z - p) * q).sum() - 0.1 * a, (z - p).sum() - 0.1 * b])
@@ -219,7 +229,41 @@ def train(texts: list[str], labels: list[int], rounds: int = 120) -> LineModel:
         a, b = a + float(d[0]), b + float(d[1])
         if np.abs(d).max() < 1e-6:
             break
-    return LineModel(weights, stay, (a, b), prior)
+    return a, b
+
+
+def train(texts: list[str], labels: list[int], rounds: int = 60) -> LineModel:
+    """Fit the field in TURNS turns (see the module's note), then the curve on the documents.
+
+    Without any labelled line, or with one label only, all scores are the share of label 1 (with none, 1/2).
+    """
+    lines = [read_lines(t) for t in texts]
+    y = np.array(labels, np.float64)
+    prior = float(y.mean()) if len(y) else 0.5
+    weights, stay = np.zeros(WIDTH), np.zeros(4)
+    full = [i for i, x in enumerate(lines) if x]
+    good, bad = [i for i in full if y[i] == 1], [i for i in full if y[i] == 0]
+    if not good or not bad:
+        return LineModel(weights, stay, (0.0, float(np.log((prior + 1e-6) / (1 - prior + 1e-6)))), prior)
+    features = {i: with_neighbours(line_features(lines[i])) for i in full}
+    lengths = {i: np.fromiter(map(len, lines[i]), np.float64, len(lines[i])) for i in full}
+    marks = {i: np.full(len(lines[i]), y[i]) for i in full}
+    own = np.r_[np.ones(OWN), np.zeros(2 * OWN + 2), 1.0]
+    for turn in range(TURNS):
+        if turn == 0:  # the lines by themselves: what lies around a line of a bad document says nothing yet
+            chains, given = [x * own for i in full for x in np.split(features[i], len(features[i]))], [m for i in full for m in np.split(marks[i], len(marks[i]))]
+        else:
+            pieces = [(i, a) for i in full for a in range(0, len(features[i]), TRAIN_LINES)]
+            chains, given = [features[i][a : a + TRAIN_LINES] for i, a in pieces], [marks[i][a : a + TRAIN_LINES] for i, a in pieces]
+            more = _spliced(lines, marks, bad, good)
+            chains, given = chains + more[0], given + more[1]
+        weights, stay = _fit_field(chains, given, weights, stay, rounds)
+        found, _ = _forward_backward([features[i] * own @ weights if turn == 0 else features[i] @ weights for i in bad], stay * (turn > 0))
+        marks |= {i: line_labels(p, lengths[i]) for i, p in zip(bad, found)} if turn < TURNS - 1 else {}
+    model = LineModel(weights, stay, (1.0, 0.0), prior)
+    q = model.quality(texts)
+    known = ~np.isnan(q)
+    return LineModel(weights, stay, _curve(q[known], y[known]), prior)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -227,14 +271,18 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineModel:
-    """Train on about ``rows`` labelled documents, chosen by a hash of their id; held-out, unlabelled and null-id rows never."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", longest: int = 50_000) -> LineModel:
+    """Train on about ``rows`` (at most twice as many) labelled documents of at most ``longest`` characters, chosen by a hash of
+    their id; held-out, unlabelled and null-id rows never."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__label"))
     known = known.where(~held_out("__id"))
-    share = min(1.0, rows / max(1, known.count()))
-    picked = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    found = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).join(picked, "__id")
-    sample = sorted(found.limit(2 * rows).collect(), key=lambda r: (r["__id"], r["__text"]))
+    total = known.count()
+    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).where(F.length("__text") <= longest)
+    share = min(1.0, rows / max(1, total))
+    sample = texts.join(known.where(in_share(share, "__id")), "__id").limit(2 * rows).collect()
+    if not sample and total:  # few labels, or none of the chosen in docs: all that can be learnt from
+        sample = sample_rows(texts.join(known, "__id"), rows, ("__id", "__text"))
+    sample = sorted(sample, key=lambda r: (r["__id"], r["__text"]))
     return train([r["__text"] for r in sample], [r["__label"] for r in sample])
 
 

@@ -7,14 +7,16 @@ grams, the one with the lowest hash, the leftmost of equals. Equal windows have
 1. every part of the corpus (documents dealt out by a hash of id and text) names its distinct anchors, packed into one row
    per bucket of the hash, so no key is heavier than another;
 2. a bucket answers each part with those of its anchors that occur elsewhere or twice;
-3. a part cuts out the stretch around each such anchor (the run of windows that share it); a stretch that it has seen
-   before is repeated for certain and goes no further;
-4. stretches meet by anchor, and a ``resolve`` function finds the repeated windows among them. Where an anchor is frequent
-   (over ``hot`` occurrences), each of its windows travels under its own hash instead, so that one passage's many contexts
-   do not meet in one task;
+3. a part cuts out the stretch around each such anchor (the run of windows that share it), and the kind's ``resolve`` (suffix
+   sorting, or seed and extend) finds the windows that an earlier stretch of the part holds: these are repeated. What is left
+   of each stretch, the windows that are new in the part, travels on, so a passage leaves a part once however often it is there;
+4. stretches meet by anchor, and ``resolve`` finds the repeated windows among them. An anchor with over ``hot`` occurrences is
+   split: each of its windows travels under its own hash, so that one passage's many contexts do not meet in one task;
 5. repeated windows, merged to spans, go back to the parts.
 
-The documents are shuffled once; steps 1, 3 and 5 read the same exchange.
+The documents are shuffled once; steps 1, 3 and 5 read the same exchange. Parts, buckets and the slots in which stretches meet
+are groups of a size that does not depend on the corpus: there are more of them the larger it is, Spark sorts them in its
+partitions and hands them to Python one by one.
 """
 
 from __future__ import annotations
@@ -59,6 +61,7 @@ class Kind:
     length: int
     gram: int
     read: Callable[[str], Text]
+    again: Callable[[bytes], Text]  # what Text.cut gave, as a text
     grams: Callable[[np.ndarray, int], np.ndarray]  # codes, gram -> a hash for each gram
     resolve: Callable  # see resolve() in the modules that define kinds
 
@@ -191,10 +194,69 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+#: Units of stretches that are resolved together; a larger group of one anchor is taken in pieces.
+RESOLVE_UNITS = 1 << 20
+
+
+def _runs_of(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, past the last) of each run of consecutive numbers in an ascending array."""
+    first = np.flatnonzero(np.r_[True, windows[1:] != windows[:-1] + 1]) if len(windows) else np.zeros(0, np.int64)
+    return windows[first], windows[np.r_[first[1:], len(windows)] - 1] + 1 if len(windows) else first
+
+
+def split_windows(kind: Kind, windows: np.ndarray, offset: np.ndarray, key: np.ndarray, cut: Callable[[int, int, int], bytes]) -> tuple[tuple, tuple]:
+    """((stretch, first window, past the last) of each run of windows that no earlier stretch of the same anchor holds, the
+    same of the runs that one does). Stretch i has windows[i] windows, ``offset[i]`` units before its anchor ``key[i]``, and
+    stands before i + 1; ``cut(i, a, b)`` gives the units of its windows a to b.
+    """
+    n = len(windows)
+    order = np.argsort(key, kind="stable")
+    ends = np.flatnonzero(np.r_[key[order][1:] != key[order][:-1], True]) + 1 if n else np.zeros(0, np.int64)
+    units = np.cumsum((windows + kind.length - 1)[order])
+    at = np.concatenate([[0], np.cumsum(windows)])  # every window of every stretch has a number
+    later = np.zeros(int(at[-1]), bool)
+
+    def resolve(members: np.ndarray, kept: list[tuple[int, int, int]]) -> None:
+        """Mark the windows of ``members`` that are also in ``kept`` or in an earlier member."""
+        given = [cut(i, a, b) for i, a, b in kept] + [cut(i, 0, int(windows[i])) for i in members.tolist()]
+        shift = np.array([offset[i] - a for i, a, _ in kept] + offset[members].tolist(), np.int64)
+        keys = np.r_[np.array([key[i] for i, _, _ in kept], key.dtype), key[members]]
+        which, window = kind.resolve(given, shift, keys, kind)
+        mine = which >= len(kept)
+        later[at[members[which[mine] - len(kept)]] + window[mine]] = True
+
+    a = 0
+    while a < n:
+        room = (units[a - 1] if a else 0) + RESOLVE_UNITS
+        fits = ends[(ends > a) & (units[ends - 1] <= room)]
+        if len(fits):  # whole groups
+            resolve(order[a : fits[-1]], [])
+            a = int(fits[-1])
+            continue
+        end = int(ends[np.searchsorted(ends, a, side="right")])
+        kept: list[tuple[int, int, int]] = []
+        while a < end:  # a large group: what was new so far meets the next piece
+            b = min(end, max(a + 1, int(np.searchsorted(units, (units[a - 1] if a else 0) + RESOLVE_UNITS, side="right"))))
+            piece = order[a:b]
+            resolve(piece, kept)
+            for i in piece.tolist():
+                kept += [(i, int(x), int(y)) for x, y in zip(*_runs_of(np.flatnonzero(~later[at[i] : at[i + 1]])))]
+            a = b
+    owner = np.repeat(np.arange(n), windows)
+    within = np.arange(len(owner)) - np.repeat(at[:-1], windows)
+    out = []
+    for chosen in (~later, later):
+        w, o = within[chosen], owner[chosen]
+        first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1] + 1) | (o[1:] != o[:-1])]) if len(w) else np.zeros(0, np.int64)
+        last = np.r_[first[1:], len(w)] - 1 if len(w) else first
+        out.append((o[first], w[first], w[last] + 1 if len(w) else first))
+    return out[0], out[1]
+
+
 def _cut_stretches(kind: Kind):
     form = _arrow(STRETCHES)
     digest = xxhash.xxh64_intdigest
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    tail = kind.length - 1
 
     def run(table: pa.Table, answer: pa.Table) -> pa.Table:
         if not table.num_rows or not answer.num_rows:
@@ -205,89 +267,58 @@ def _cut_stretches(kind: Kind):
         frequent = np.concatenate([np.frombuffer(x, np.uint8) for x in answer.column("counts").to_pylist()])
         order = np.argsort(again)
         again, frequent = again[order], frequent[order]
-        seen: set[bytes] = set()
-        rows: list[tuple] = []
-        local: dict[int, list[tuple[int, int]]] = {}
-        tail = kind.length - 1
+        found = []
         for doc, first, n, anchor, h in _runs(texts, kind):
             at = np.minimum(np.searchsorted(again, h), len(again) - 1)
             take = again[at] == h
-            for d, s, m, p, key, many in zip(doc[take].tolist(), first[take].tolist(), n[take].tolist(), anchor[take].tolist(), h[take].view(np.int64).tolist(), frequent[at[take]].tolist()):
-                text = texts[d]
-                stretch = text.cut(s, s + m + tail)
-                if stretch in seen:
-                    local.setdefault(d, []).append((s, s + m + tail))
-                    continue
-                seen.add(stretch)
-                if not many or m == 1 and not many:
-                    rows.append((key, ids[d], hs[d], s, s + m + tail, p - s, stretch))
-                    continue
-                for i in range(s, s + m):
-                    window = text.cut(i, i + kind.length)
-                    if window in seen and m > 1:
-                        local.setdefault(d, []).append((i, i + kind.length))
-                        continue
-                    seen.add(window)
-                    rows.append((signed(digest(window, 7)), ids[d], hs[d], i, i + kind.length, p - i, window))
-        for d, spans in local.items():
-            rows += [(hs[d] + a, ids[d], hs[d], a, b, -1, None) for a, b in merge_spans(spans)]
-        if not rows:
+            found.append((doc[take], first[take], n[take], anchor[take] - first[take], h[take], frequent[at[take]] > 0))
+        if not found or not sum(len(x[0]) for x in found):
             return form.empty_table()
-        cols = list(zip(*rows))
-        cols[0] = [(k + 2**63) % 2**64 - 2**63 for k in cols[0]]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, form)], schema=form)
+        doc, first, windows, offset, key, many = (np.concatenate(x) for x in zip(*found))
+        cut = lambda i, a, b: texts[doc[i]].cut(int(first[i]) + a, int(first[i]) + b + tail)
+        new, old = split_windows(kind, windows, offset, key, cut)
+        rows: list[tuple] = []
+        key = key.view(np.int64)
+        for i, a, b in zip(*(x.tolist() for x in new)):
+            d, s = int(doc[i]), int(first[i])
+            if not many[i]:
+                rows.append((int(key[i]), ids[d], hs[d], s + a, s + b + tail, int(offset[i]) - a, cut(i, a, b)))
+                continue
+            for w in range(a, b):
+                window = cut(i, w, w + 1)
+                rows.append(((digest(window, 7) + 2**63) % 2**64 - 2**63, ids[d], hs[d], s + w, s + w + kind.length, int(offset[i]) - w, window))
+        local: dict[int, list[tuple[int, int]]] = {}
+        for i, a, b in zip(*(x.tolist() for x in old)):
+            local.setdefault(int(doc[i]), []).append((int(first[i]) + a, int(first[i]) + b + tail))
+        for d, spans in local.items():
+            rows += [((hs[d] + a + 2**63) % 2**64 - 2**63, ids[d], hs[d], a, b, -1, None) for a, b in merge_spans(spans)]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), form)], schema=form)
 
     return run
 
 
-def _resolve_batches(kind: Kind, parts: int):
+def _resolve_slot(kind: Kind, parts: int):
     form = _arrow(SPANS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        del got
+    def run(t: pa.Table) -> pa.Table:
         known = t.filter(pc.is_null(t.column("bytes")))
         t = t.filter(pc.is_valid(t.column("bytes"))).sort_by([(c, "ascending") for c in ("key", "id", "h", "start")])
-        out = [(i, h, a, b) for i, h, a, b in zip(*(known.column(c).to_pylist() for c in ("id", "h", "start", "end")))]
-        key, ids, hs, start = (t.column(c).to_numpy() for c in ("key", "id", "h", "start"))
-        stretch = t.column("bytes").to_pylist()
-        offset = t.column("offset").to_numpy()
-        # copies of a stretch count once, under their first place; the later ones are repeated throughout
-        first_of: dict[bytes, int] = {}
-        distinct = []
-        ends = t.column("end").to_numpy()
-        for i, s in enumerate(stretch):
-            j = first_of.setdefault(s, i)
-            if j == i:
-                distinct.append(i)
-            elif (ids[i], hs[i], start[i]) != (ids[j], hs[j], start[j]):
-                out.append((ids[i], hs[i], start[i], ends[i]))
-        distinct = np.array(distinct, np.int64)
-        if len(distinct):
-            k = key[distinct]
-            new = np.r_[True, k[1:] != k[:-1]]
-            size = np.diff(np.r_[np.flatnonzero(new), len(k)])
-            met = distinct[np.repeat(size > 1, size)]
-            for a in range(0, len(met), 60_000):  # groups stay whole
-                part = met[a:] if a + 60_000 >= len(met) else met[a : a + 60_000]
-                if a:
-                    part = part[np.searchsorted(key[part], key[met[a - 1]], side="right") :]
-                if len(part) and part[-1] != met[-1]:
-                    part = np.r_[part, met[(met > part[-1]) & (key[met] == key[part[-1]])]]
-                if not len(part):
-                    continue
-                which, window = kind.resolve([stretch[i] for i in part], offset[part], key[part], kind)
-                rows = part[which]
-                out += zip(ids[rows], hs[rows], start[rows] + window, start[rows] + window + kind.length)
-        by: dict[tuple, list] = {}
-        for i, h, a, b in out:
-            by.setdefault((int(i), int(h)), []).append((int(a), int(b)))
+        by: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for i, h, a, b in zip(*(known.column(c).to_pylist() for c in ("id", "h", "start", "end"))):
+            by.setdefault((i, h), []).append((a, b))
+        key, start, end, offset = (t.column(c).to_numpy() for c in ("key", "start", "end", "offset"))
+        lone = np.r_[True, key[1:] != key[:-1]] & np.r_[key[1:] != key[:-1], True] if len(key) else np.zeros(0, bool)
+        met = np.flatnonzero(~lone)
+        if len(met):
+            stretch, ids, hs = t.column("bytes"), t.column("id").to_pylist(), t.column("h").to_pylist()
+            start, offset = start[met], offset[met]
+            given = [kind.again(x) for x in stretch.take(pa.array(met)).to_pylist()]
+            _, old = split_windows(kind, end[met] - start - kind.length + 1, offset.astype(np.int64), key[met], lambda i, a, b: given[i].cut(a, b + kind.length - 1))
+            for i, a, b in zip(*(x.tolist() for x in old)):
+                j = int(met[i])
+                by.setdefault((ids[j], hs[j]), []).append((int(start[i]) + a, int(start[i]) + b + kind.length - 1))
         rows = [(h % parts, i, h, a, b) for (i, h), spans in by.items() for a, b in merge_spans(spans)]
-        if rows:
-            yield from pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), form)], schema=form).to_batches()
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), form)], schema=form) if rows else form.empty_table()
 
     return run
 
@@ -298,11 +329,15 @@ def remove_repeats(
     """The columns of ``docs`` and those of ``added``, which ``finish(text, merged spans of repeated windows)`` gives.
 
     A null text is empty and a null id comes before all others. Rows with equal id and equal text are one document, and get
-    equal results; rows with equal id and different texts are ordered by a hash of the text.
+    equal results; rows with equal id and different texts are ordered by a hash of the text. A column of ``docs`` with a name of
+    ``added`` is replaced.
     """
     ship(docs.sparkSession)
+    docs = docs.drop(*(f.name for f in added if f.name not in (id_col, text_col)))
+    if {f.name for f in added} & {id_col, text_col}:
+        raise ValueError("id and text need other names than the results")
     names = docs.columns
-    parts = part_count(docs, 4) * 2
+    parts = part_count(docs, 1)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     held = docs.select(
         F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names) if c != text_col)).alias("__row") if len(names) > 1 else F.lit(None).cast("struct<c:int>").alias("__row"),
@@ -312,11 +347,12 @@ def remove_repeats(
     )
     held = held.select("__row", "__null", "__text", id_key("__id0").alias("__id"), F.xxhash64("__id0", "__text").alias("__h"))
     held = held.withColumn("__part", F.pmod("__h", F.lit(parts)).cast("int"))
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
+    buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts // 8)
     anchors = held.groupBy("__part").applyInArrow(_name_anchors(kind, buckets), ANCHORS)
     answer = anchors.groupBy("bucket").applyInArrow(_answer(hot), ANCHORS)
     stretches = held.groupBy("__part").cogroup(answer.groupBy("part")).applyInArrow(_cut_stretches(kind), STRETCHES)
-    spans = stretches.repartition(parts, "key").mapInArrow(_resolve_batches(kind, parts), SPANS)
+    slots = stretches.withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+    spans = slots.groupBy("slot").applyInArrow(_resolve_slot(kind, parts), SPANS)
 
     out = T.StructType([*held.schema.fields[:3], *(T.StructField(f"__{f.name}", f.dataType) for f in added)])
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -24,6 +24,11 @@ def _read(text: str) -> Text:
     return Text(b" ".join(words), np.fromiter(map(digest, words), np.uint64, len(words)), ends - sizes, ends)
 
 
+def _again(cut: bytes) -> Text:
+    ends = np.flatnonzero(np.r_[np.frombuffer(cut, np.uint8) == 32, True])
+    return Text(cut, ends, np.r_[0, ends[:-1] + 1], ends)
+
+
 def word_grams(codes: np.ndarray, gram: int) -> np.ndarray:
     n = len(codes) - gram + 1
     h = np.zeros(max(n, 0), np.uint64)
@@ -91,4 +96,4 @@ def deduplicate_words(docs: DataFrame, length: int = 20, id_col: str = "doc_id",
     """
     if length < 9:
         raise ValueError("length must be at least 9 words")
-    return remove_repeats(docs, Kind(length, 8, _read, word_grams, resolve), _finish, ADDED, id_col, text_col, hot)
+    return remove_repeats(docs, Kind(length, 8, _read, _again, word_grams, resolve), _finish, ADDED, id_col, text_col, hot)

@@ -161,4 +161,4 @@ def deduplicate_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id"
     """
     if length < 40:
         raise ValueError("length must be at least 40 bytes")
-    return remove_repeats(docs, Kind(length, 32, _read, byte_grams, resolve), _finish, ADDED, id_col, text_col, hot)
+    return remove_repeats(docs, Kind(length, 32, _read, lambda cut: Text(cut, np.zeros(0)), byte_grams, resolve), _finish, ADDED, id_col, text_col, hot)

@@ -1,7 +1,7 @@
 """Token-id output: a store of shard files whose documents are compressed one by one with a shared zstandard dictionary.
 
 A store is a folder: ``dictionary`` (bytes of the dictionary, empty if none could be trained), ``shard-*.ftok`` and a table
-``manifest`` with a row for each shard. A shard file holds documents in ascending id order::
+``manifest`` with a row for each shard, in whose order (task, seq) ids ascend. A shard file holds documents in ascending id order::
 
     b"FTOKEN01"  sha256 of the dictionary (32 bytes)  id width in bytes (u4)
     frames       each document's ids, little-endian, compressed by itself
@@ -24,16 +24,19 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, fresh_path, id_and_text, part_count, schema
+from .common import NULL_ID, fresh_path, id_and_text, id_key, part_count, sample_rows, schema
 from .pieces import PieceCache
 
 MAGIC = b"FTOKEN01"
 #: Documents that are encoded together.
 ROWS = 1000
 HEAD, FOOT = struct.Struct("<8s32sI"), struct.Struct("<QQ8s")
+
+
 def byte_letters() -> str:
     """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves, the rest follow 255."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -173,54 +176,71 @@ class Shard:
         return np.frombuffer(raw, f"<u{self.width}")
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, to: str | None = None, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", sample: int = 1000, dictionary_kb: int = 32, shard_mb: int = 16) -> str:
+#: Range partitions of one write at most; each task writes as many shards as its rows fill.
+MOST_TASKS = 20_000
+
+
+def write_tokens(docs: DataFrame, tokenizer_path: str, to: str | None = None, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", sample: int = 1000, dictionary_kb: int = 32, shard_mb: int = 16, longest: int = 50_000) -> str:
     """Encode every whole text of ``docs`` and write a store; returns its path (a new one in the shared folder if not given).
 
-    A null text is empty; ``end_id`` (None: none) is appended to each document. Shards cover ascending ranges of ids; within
-    one, documents stand in id order, null ids first, equal ids by a hash of their text; repeated rows are all written. The
-    dictionary is trained on about ``sample`` documents (at most twice as many), chosen by a hash of their id. An empty table makes an empty store.
+    A null text is empty; ``end_id`` (None: none) is appended to each document. Shards follow each other in ascending order of
+    id; null ids come first, equal ids are ordered by a hash of their text, and one id may go on in the next shard; repeated
+    rows are all written. A task sorts its range of ids and streams it into shards of about ``shard_mb`` MB, so it never holds
+    more than one shard. The dictionary is trained on about ``sample`` documents (at most twice as many) of at most ``longest``
+    characters, chosen by a hash of id and text. An empty table makes an empty store.
     """
     spark = docs.sparkSession
     to = _uri(to or fresh_path(spark, "tokens"))
     held = id_and_text(docs, id_col, text_col)
-    n = part_count(docs, shard_mb)
-    cuts = held.agg(F.percentile_approx("doc_id", F.array(*(F.lit(i / n) for i in range(1, n))) if n > 1 else F.array(F.lit(0.5)), 10000)).first()[0] or []
-    bounds = np.unique(np.array(cuts, np.int64))
     end = [] if end_id is None else [end_id]
-    share = min(1.0, sample / max(1, held.count()))
-    picked = held.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * sample).collect()
     encode = encoder(tokenizer_path)
+    picked = sample_rows(held.where(F.length("text") <= longest), sample, ("doc_id", "text"))
     dictionary = train_dictionary([encode.encode(r["text"]) for r in picked], dictionary_kb << 10)
     dict_hash = hashlib.sha256(dictionary).digest()
     width = encode.dtype.itemsize
     _put(f"{to}/dictionary", dictionary)
+    names = ["task", "seq", "file", "n_docs", "n_tokens", "n_bytes", "first_id", "last_id"]
+    form = pa.schema([("task", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), *((c, pa.int64()) for c in names[3:])])
 
-    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(tokenizer_path)
         last = np.array(end, made.dtype).tobytes()
         press = zstandard.ZstdCompressor(level=1, dict_data=_dictionary(dictionary))
+        task, seq, size = TaskContext.get().partitionId(), 0, 0
+        ids: list[int] = []
+        frames: list[bytes] = []
+        counts: list[int] = []
+
+        def close() -> pa.RecordBatch:
+            nonlocal seq, size
+            name = f"shard-{task:06d}-{seq:06d}.ftok"
+            data = pack_shard(ids, frames, counts, dict_hash, width)
+            _put(f"{to}/{name}", data)
+            row = [task, seq, name, len(ids), sum(counts), len(data), ids[0], ids[-1]]
+            seq, size = seq + 1, 0
+            for held in (ids, frames, counts):
+                held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, form)], schema=form)
+
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(NULL_ID)
-            shard = np.searchsorted(bounds, ids.to_numpy(), side="right").astype(np.int32)
-            for at in range(0, len(ids), ROWS):
-                raw = [r + last for r in made.encode_each(batch.column("text")[at : at + ROWS])]
-                counts = [len(r) // width for r in raw]
-                yield pa.RecordBatch.from_arrays([pa.array(shard[at : at + ROWS]), ids[at : at + ROWS], batch.column("tie")[at : at + ROWS], pa.array(counts, pa.int64()), pa.array([press.compress(r) for r in raw], pa.binary())], ["shard", "doc_id", "tie", "n", "frame"])
-
-    frames = held.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(compress, schema(shard="int", doc_id="long", tie="long", n="long", frame="binary"))
-
-    def write(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("tie", "ascending")])
-        shard = table.column("shard")[0].as_py()
-        ids, counts = table.column("doc_id").to_pylist(), table.column("n").to_pylist()
-        name = f"shard-{shard:07d}.ftok"
-        data = pack_shard(ids, table.column("frame").to_pylist(), counts, dict_hash, width)
-        _put(f"{to}/{name}", data)
-        row = {"shard": [shard], "file": [name], "n_docs": [len(ids)], "n_tokens": [sum(counts)], "n_bytes": [len(data)], "first_id": [ids[0]], "last_id": [ids[-1]]}
-        return pa.table(row).cast(pa.schema([("shard", pa.int32()), ("file", pa.string()), *((c, pa.int64()) for c in ("n_docs", "n_tokens", "n_bytes", "first_id", "last_id"))]))
-
-    manifest = frames.repartition(len(bounds) + 1, "shard").groupBy("shard").applyInArrow(write, schema(shard="int", file="string", n_docs="long", n_tokens="long", n_bytes="long", first_id="long", last_id="long"))
-    manifest.write.parquet(f"{to}/manifest")
+            keys = batch.column("doc_id").fill_null(NULL_ID).to_pylist()
+            for at in range(0, len(keys), ROWS):
+                for key, raw in zip(keys[at : at + ROWS], made.encode_each(batch.column("text")[at : at + ROWS])):
+                    frame = press.compress(raw + last)
+                    ids.append(key)
+                    frames.append(frame)
+                    counts.append((len(raw) + len(last)) // width)
+                    size += len(frame)
+                    if size >= shard_mb << 20:
+                        yield close()
+        if ids:
+            yield close()
+
+    # the last key deals out a row that is repeated very often; it does not depend on who computes it
+    keys = [id_key("doc_id"), F.xxhash64("text"), F.monotonically_increasing_id()]
+    ordered = held.select("doc_id", "text", *(k.alias(f"k{i}") for i, k in enumerate(keys)))
+    ordered = ordered.repartitionByRange(min(MOST_TASKS, part_count(docs, shard_mb)), "k0", "k1", "k2").sortWithinPartitions("k0", "k1", "k2").select("doc_id", "text")
+    ordered.mapInArrow(write, schema(task="int", seq="int", file="string", n_docs="long", n_tokens="long", n_bytes="long", first_id="long", last_id="long")).write.parquet(f"{to}/manifest")
     return to
 
 
@@ -237,9 +257,9 @@ def read_tokens(spark: SparkSession, store: str) -> DataFrame:
     """
     store = _uri(store)
     manifest = spark.read.parquet(f"{store}/manifest")
-    before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    todo = manifest.select("shard", "file", F.coalesce(before, F.lit(0)).alias("before"))
-    shards = max(1, manifest.count())
+    before = F.sum("n_tokens").over(Window.orderBy("task", "seq").rowsBetween(Window.unboundedPreceding, -1))
+    todo = manifest.select("file", F.coalesce(before, F.lit(0)).alias("before"))
+    shards = max(1, min(MOST_TASKS, manifest.count()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionary = None
@@ -254,13 +274,13 @@ def read_tokens(spark: SparkSession, store: str) -> DataFrame:
                     blobs = [shard.tokens(k).astype("<u4").tobytes() for k in range(i, j)]
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts[i:j]), pa.array(shard.counts[i:j].astype(np.int64)), pa.array(blobs, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return todo.repartition(shards, "shard").mapInArrow(read, schema(doc_id="long", start="long", n_tokens="long", ids="binary"))
+    return todo.repartition(shards, "file").mapInArrow(read, schema(doc_id="long", start="long", n_tokens="long", ids="binary"))
 
 
 def read_document(spark: SparkSession, store: str, doc_id: int) -> list[np.ndarray]:
     """The ids of one document (of each row that has this id): its shards are found by the manifest's id ranges, its frame by the index."""
     store = _uri(store)
-    near = spark.read.parquet(f"{store}/manifest").where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).orderBy("shard").collect()
+    near = spark.read.parquet(f"{store}/manifest").where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).orderBy("task", "seq").collect()
     dictionary, found = _load_dictionary(store), []
     for row in near:
         shard = Shard(f"{store}/{row['file']}", dictionary)

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from folioscope.llm.quality_crf import LineModel, WIDTH, _forward_backward, classify, fit, train
+from folioscope.llm.quality_crf import WIDTH, LineModel, _forward_backward, classify, fit, line_features, line_labels, read_lines, train, with_neighbours
 from folioscope.llm.quality_rules import quality_rules
 
 from .cases import awkward, docs, extra
@@ -71,6 +71,43 @@ def test_classifier_on_held_out_rows(spark):
     assert all(0 <= r.quality_score <= 1 and r.quality_predicted == (r.quality_score >= 0.3) for r in found)
 
 
+def test_lines_of_one_document_get_labels_of_their_own():
+    texts, labels = labelled()
+    model = train(texts, labels)
+    good, bad = texts[1].split("\n")[:1] * 1 + ["Rain fell on the roof all night, and nobody slept.", "She wrote a long letter about the summer they had spent there."], ["BUY!! NOW!! BEST!! DEAL!!", "spam spam spam spam spam spam spam", "a### b*** c%%% d$$$ e&&&"]
+    for lines, want in ((good + bad, [1, 1, 1, 0, 0, 0]), (bad + good, [0, 0, 0, 1, 1, 1])):
+        (p,) = model.marginals([with_neighbours(line_features(lines))])
+        assert sum((p >= 0.5) == want) >= 5 and p[np.array(want) == 1].min() > p[np.array(want) == 0].max()
+    assert (np.abs(model.stay) < 8).all() and model.stay[1:3].sum() < model.stay[0] + model.stay[3]
+
+
+def test_at_least_half_of_a_bad_document_is_bad():
+    assert line_labels(np.array([0.9, 0.8, 0.1]), np.array([10, 10, 10])).tolist() == [1, 0, 0]
+    assert line_labels(np.array([0.9]), np.array([4])).tolist() == [0]
+    assert line_labels(np.array([0.2, 0.3, 0.4]), np.array([1, 1, 1])).tolist() == [0, 0, 0]
+
+
+def test_score_matches_enumeration_of_all_labellings():
+    texts, labels = labelled(60)
+    model = train(texts, labels, rounds=10)
+    given = [*texts[:12], "one line only", "a\n\n b \nBUY!! NOW!!"]
+    for text, score in zip(given, model.score(given)):
+        lines = read_lines(text)
+        e = with_neighbours(line_features(lines)) @ model.weights
+        total, good = 0.0, np.zeros(len(e))
+        for y in np.ndindex(*[2] * len(e)):
+            w = np.exp(np.dot(y, e) + sum(model.stay[2 * a + b] for a, b in zip(y, y[1:])))
+            total, good = total + w, good + w * np.array(y)
+        q = np.dot(good / total, list(map(len, lines))) / sum(map(len, lines))
+        assert np.isclose(score, 1 / (1 + np.exp(-(model.curve[0] * q + model.curve[1]))))
+
+
+def test_the_sample_is_never_empty(spark):
+    texts, labels = labelled(200)
+    model = fit(docs(spark, texts), spark.createDataFrame(list(enumerate(labels)), "doc_id long, quality int"), rows=1)
+    assert model.prior in (0.0, 1.0) or model.weights.any()
+
+
 def test_classifier_reads_no_held_out_label(spark):
     texts, labels = labelled(200)
     df = docs(spark, texts)

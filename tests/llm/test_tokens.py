@@ -1,15 +1,18 @@
 import base64
 import random
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from folioscope.llm.bpe import BytePairs, RankQueue, decode, encode
+from folioscope.llm.common import in_share, sample_rows
 from folioscope.llm.token_store import Encoder, read_document, read_tokens, write_tokens
 
 from .cases import awkward, docs, extra
@@ -67,6 +70,50 @@ def test_bpe_on_awkward_rows(spark):
     assert encode(docs(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_other_patterns_are_not_cut_at_spaces():
+    pattern = r"\w+|\s+|[^\w\s]+"
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library, made = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), BytePairs.load(RANKS, pattern)
+    given = texts()[::7] + ["he gazed at the  old mill, twice."]
+    want = [library.encode_ordinary(t) for t in given]
+    ids, ends = made.encode_column(pa.array(given), np.dtype("<i4"))
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want
+    assert made.encode_batch(given) == [np.array(x, "<i4").tobytes() for x in want]
+
+
+def test_ids_and_bytes_outside_the_vocabulary_are_errors():
+    made = BytePairs.load(RANKS, public_tokenizers.PATTERN)
+    for ids in ([-1], [5, 60_000], [3, -7]):
+        with pytest.raises(IndexError):
+            made.decode(ids)
+    with pytest.raises(KeyError):
+        BytePairs({b"a": 0}, public_tokenizers.PATTERN).encode_batch(["ab"])
+
+
+def test_shares_of_very_large_tables_are_not_empty(spark):
+    rows = spark.range(200_000).withColumnRenamed("id", "k")
+    n = rows.where(in_share(1e-3, "k")).count()
+    assert 100 < n < 320 and rows.where(in_share(1.0, "k")).count() == 200_000
+    limits = [in_share(rows_wanted / total, "k")._jc.toString() for rows_wanted, total in ((1000, 5 * 10**10), (2000, 10**12))]
+    assert all(int(re.findall(r"\d+", x)[-1]) > 10**9 for x in limits)  # a limit of 0 would choose nothing
+    assert len(sample_rows(rows, 50, ["k"], total=10**12)) > 0  # none chosen by the hash: the lowest hashes
+    same = spark.createDataFrame([(1, "x")] * 1000, "k int, t string")
+    assert 0 < len(sample_rows(same, 10, ["k", "t"])) <= 20
+    assert sample_rows(same.limit(0), 10, ["k"]) == []
+
+
+def test_one_id_may_fill_several_shards(spark, tmp_path):
+    rng = random.Random(2)
+    given = [" ".join(str(rng.random()) for _ in range(3000)) for _ in range(60)]
+    df = docs(spark, given, [None] * 30 + [5] * 30)
+    store = write_tokens(df, BYTE_BPE, to=str(tmp_path / "s"), shard_mb=1)
+    manifest = spark.read.parquet(f"{store}/manifest").orderBy("task", "seq").collect()
+    assert len(manifest) > 2 and [r.first_id for r in manifest] == sorted(r.first_id for r in manifest)
+    rows = read_tokens(spark, store).orderBy("start").collect()
+    assert len(rows) == 60 and [r.start for r in rows[1:]] == [r.start + r.n_tokens for r in rows[:-1]]
+    assert len(read_document(spark, store, 5)) == 30
+
+
 def test_store_round_trip(spark, tmp_path):
     library = Tokenizer.from_file(BYTE_BPE)
     given = [f"the {i} text of document number {i % 9}, and more." * (i % 5) for i in range(300)] + [None, "", "é" * 9000]
