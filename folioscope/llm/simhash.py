@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text, part_count
+from .common import cut, id_and_text
 from .graph import components
 
 FANOUT = 8
@@ -217,7 +217,10 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = 4, bucket_rows: int =
         )
     )
     rows = distinct.select("fp", "rep", keyed.alias("k")).select("fp", "rep", "k.block", "k.shift", "k.value")
-    largest = rows.groupBy("block", "value").count().agg(F.max("count")).first()[0] or 0
+    chunks = F.ceil(F.col("count") / bucket_rows)
+    sizes = rows.groupBy("block", "value").count().agg(F.max("count"), F.sum(F.col("count") * chunks)).first()
+    largest, replicas = sizes[0] or 0, sizes[1] or 0
+    tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(replicas) // (2 * bucket_rows))
     if largest > bucket_rows:
         counts = rows.groupBy("block", "value").agg(F.ceil(F.count(F.lit(1)) / bucket_rows).cast("int").alias("chunks"))
         rows = rows.join(counts, ["block", "value"]).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
@@ -225,7 +228,7 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = 4, bucket_rows: int =
         rows = rows.select("*", other.alias("other")).withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
     else:
         rows = rows.select("*", F.lit(0).alias("low"), F.lit(0).alias("high"))
-    rows = rows.select("fp", "rep", "block", "shift", "value", "low", "high").repartition(part_count(distinct, 16), "block", "value", "low", "high")
+    rows = rows.select("fp", "rep", "block", "shift", "value", "low", "high").repartition(tasks, "block", "value", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
