@@ -1,128 +1,176 @@
 """Exact top-k by inner product with vector-approximation files.
 
-Queries and candidates meet in a grid of blocks of bounded size. Within a block every component of every candidate is held as
-a four-bit cell; one scan over the cells gives each candidate's lowest and highest possible score. Exact vectors are then
-read in order of the highest possible score until the k-th best exact score is above all that is left.
+The file holds four bits for every component of every candidate: the cell of a grid over the range of all components. Queries
+meet the file in blocks of bounded size; only these codes are shuffled, never the candidates' vectors. A scan gives each
+candidate's highest and lowest possible score; a candidate goes on if its highest is not under what the query is sure to get:
+the k-th best exact score among a bounded sample that every task has, or the k-th best lowest score of the block. Exact vectors
+are then read for what is left in order of the highest possible score, in two waves: the first few of each query, and after
+them those whose highest possible score reaches the k-th best exact score so far. Then the k-th result is certain.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
-from .common import schema
+from .common import cut, in_share, schema
 
 CELLS = 16
 SCAN_QUERIES = 128
-READ_AT_ONCE = 64
-
-
-class Approximation:
-    """The cells of a block of integer vectors."""
-
-    def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
-        low = vectors.min(axis=0) if len(vectors) else np.zeros(vectors.shape[1], np.int64)
-        high = vectors.max(axis=0) if len(vectors) else low
-        self.low = low.astype(np.float64)
-        self.width = (high - low) // CELLS + 1
-        self.codes = ((vectors - low) // self.width).astype(np.uint8)
-
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A score for the corner of each cell, and what to add for the lowest and for the highest score within the cell."""
-        q = queries.astype(np.float64)
-        corner = (q * self.width) @ self.codes.T.astype(np.float64) + (q @ self.low)[:, None]
-        rest = (self.width - 1).astype(np.float64)
-        return corner, np.minimum(q, 0) @ rest, np.maximum(q, 0) @ rest
-
-
-def _exact(vectors: np.ndarray, query: np.ndarray, safe: bool) -> np.ndarray:
-    return (vectors.astype(np.float64) @ query.astype(np.float64)).astype(np.int64) if safe else (vectors * query).sum(axis=1)
-
-
-def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the query, id, score) of each query's k best in this block, ties to the smaller id; rows with the query's id are left out."""
+#: Candidates whose exact vectors every task has, to know early what a query is sure to get.
+SEEN = 2048
+
+
+class Grid:
+    """The cells of one range of integers."""
+
+    def __init__(self, low: int, high: int):
+        self.low, self.width = low, (high - low) // CELLS + 1
+
+    def codes(self, vectors: np.ndarray) -> np.ndarray:
+        """Two components a byte."""
+        c = ((vectors - self.low) // self.width).astype(np.uint8)
+        if c.shape[1] % 2:
+            c = np.hstack([c, np.zeros((len(c), 1), np.uint8)])
+        return c[:, ::2] | c[:, 1::2] << 4
+
+    @staticmethod
+    def unpack(codes: np.ndarray, dim: int) -> np.ndarray:
+        out = np.empty((len(codes), 2 * codes.shape[1]), np.uint8)
+        out[:, ::2], out[:, 1::2] = codes & 15, codes >> 4
+        return out[:, :dim]
+
+    def bounds(self, queries: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A score for the corner of each cell, and what to add for the lowest and for the highest score within the cell, with
+        room for what single precision loses."""
+        q = queries.astype(np.float32)
+        corner = (q * np.float32(self.width)) @ cells.astype(np.float32).T + (queries.sum(axis=1) * self.low).astype(np.float32)[:, None]
+        size = np.abs(queries).astype(np.float64).sum(axis=1)
+        room = size * (CELLS * self.width + abs(self.low)) * 2.0**-22 * (1 + queries.shape[1] / 64) + 1
+        rest = float(self.width - 1)
+        return corner, np.minimum(queries, 0).sum(axis=1) * rest - room, np.maximum(queries, 0).sum(axis=1) * rest + room
+
+
+def scan(query_ids: np.ndarray, queries: np.ndarray, sure: np.ndarray, ids: np.ndarray, cells: np.ndarray, grid: Grid, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, highest possible score) of the pairs of a block that may be among a query's k best; ``sure`` is what
+    each query gets at least for its k-th. Candidates with the query's id are left out."""
+    at, who, most_of = [], [], []
     order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
-    found = Approximation(vectors)
-    largest = lambda x: float(np.abs(x).max(initial=0))
-    safe = largest(queries) * largest(vectors) * max(1, vectors.shape[1]) < 2**52
-    at, who, score = [], [], []
+    sorted_ids = ids[order]
     for i in range(0, len(queries), SCAN_QUERIES):
-        corner, least, most = found.bounds(queries[i : i + SCAN_QUERIES])
-        if not safe:  # bounds lose bits in floating point: leave room
-            most = most + np.abs(corner).max(initial=0) * 1e-9
-            least = least - np.abs(corner).max(initial=0) * 1e-9
+        corner, least, most = grid.bounds(queries[i : i + SCAN_QUERIES], cells)
         for j, line in enumerate(corner):
             q = i + j
-            own = slice(np.searchsorted(ids, query_ids[q]), np.searchsorted(ids, query_ids[q], side="right"))
-            line[own] = -np.inf
-            others = len(ids) - (own.stop - own.start)
-            n = min(k, others)
-            if not n:
-                continue
-            certain = np.partition(line, len(line) - n)[len(line) - n] + least[j]  # the k-th best is at least this
-            near = np.flatnonzero(line + most[j] >= certain)
-            near = near[np.isfinite(line[near])]
-            near = near[np.argsort(-line[near], kind="stable")]
-            best = np.zeros(0, np.int64)
-            best_at = np.zeros(0, np.int64)
-            for a in range(0, len(near), READ_AT_ONCE):
-                if len(best) == n and line[near[a]] + most[j] < best[-1]:
-                    break
-                some = near[a : a + READ_AT_ONCE]
-                best = np.r_[best, _exact(vectors[some], queries[q], safe)]
-                best_at = np.r_[best_at, some]
-                keep = np.lexsort((best_at, -best))[:n]
-                best, best_at = best[keep], best_at[keep]
-            at += [q] * n
-            who.append(ids[best_at])
-            score.append(best)
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return np.array(at, np.int64), join(who), join(score)
-
-
-def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    flat = column.combine_chunks()
-    flat = flat.flatten() if len(flat) else pa.array([], pa.int64())
+            line[order[np.searchsorted(sorted_ids, query_ids[q]) : np.searchsorted(sorted_ids, query_ids[q], side="right")]] = -np.inf
+            floor = sure[q]
+            if len(line) >= k:
+                floor = max(floor, float(np.partition(line, len(line) - k)[len(line) - k]) + least[j])
+            near = np.flatnonzero((line + most[j] >= floor) & np.isfinite(line))
+            at.append(np.full(len(near), q))
+            who.append(near)
+            most_of.append(line[near] + most[j])
+    join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+    return join(at, np.int64), join(who, np.int64), join(most_of, np.float64)
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten() if len(column) else pa.array([], pa.int64())
     return flat.to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), dim)
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 16_384, query_block: int = 8_192) -> DataFrame:
+def _kth(query_ids: list[int], queries: list[np.ndarray], seen: list[tuple[int, np.ndarray]], k: int) -> list[float]:
+    """Each query's k-th best exact score among the vectors seen, its own id left out; minus infinity if there are fewer."""
+    by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    out = []
+    for i, q in zip(query_ids, queries):
+        if len(q) not in by:
+            own = [(a, v) for a, v in seen if len(v) == len(q)]
+            by[len(q)] = np.array([a for a, _ in own], np.int64), np.array([v for _, v in own], np.float64).reshape(len(own), len(q))
+        ids, vectors = by[len(q)]
+        score = (vectors @ q.astype(np.float64))[ids != i]
+        room = float(np.abs(score).max(initial=0)) * 2.0**-40
+        out.append(float(np.partition(score, len(score) - k)[len(score) - k]) - room if len(score) >= k else -np.inf)
+    return out
+
+
+def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 65_536, query_block: int = 4_096) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's ``k`` best by integer inner product of floor(scale * component).
 
     ``queries`` says which rows of ``vectors`` are queries; every row but those with the query's own id is a candidate, ties go
     to the smaller id. Rows whose id or vector is null, or whose vector holds a null or non-finite component, take no part.
     Vectors of different lengths are not compared. A repeated query row counts once; repeated candidates count as often as
-    given. An empty table gives no rows. Blocks hold about ``block`` candidates and ``query_block`` queries.
+    given. An empty table gives no rows. Blocks hold about ``block`` candidates and ``query_block`` queries. Of equal vectors
+    only the k + 1 with the smallest ids go into the file: no other can be a result.
     """
     ship(vectors.sparkSession)
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     cells = F.transform(vector_col, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.coalesce(finite, F.lit(False)))
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.coalesce(queries, F.lit(False)).alias("asks"), cells.alias("cells"))
-    rows = rows.withColumn("dim", F.size("cells"))
-    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("asks").cast("long")).alias("q")).first()
-    n_blocks, q_blocks = max(1, -(-sizes["n"] // block)), max(1, -(-(sizes["q"] or 0) // query_block))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = rows.where("asks").select("vec_id", "cells", "dim").distinct()
-    asked = asked.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("qb")).select("*", spread(n_blocks).alias("cb"))
-    given = rows.select("vec_id", "cells", "dim", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("cb")).select("*", spread(q_blocks).alias("qb"))
-    keys = ["dim", "cb", "qb"]
-    target = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    rows = rows.withColumn("dim", F.size("cells")).withColumn("key", F.xxhash64("cells"))
+    times = rows.groupBy("dim", "key", "cells", "vec_id").agg(F.count(F.lit(1)).alias("times"), F.max("asks").alias("asks"))
+    equal = Window.partitionBy("dim", "key", "cells").orderBy("vec_id")
+    exact = cut(times.withColumn("n", F.row_number().over(equal)).where(F.col("n") <= k + 1).drop("n", "asks"))
+    asked = cut(times.where("asks").select(F.col("vec_id").alias("query_id"), F.col("key").alias("query_key"), F.col("cells").alias("query"), "dim"))
+    n, low, high = exact.agg(F.count(F.lit(1)), F.coalesce(F.min(F.array_min("cells")), F.lit(0)), F.coalesce(F.max(F.array_max("cells")), F.lit(0))).first()
+    n_queries = asked.count()
+    c_blocks, q_blocks = max(1, -(-n // block)), max(1, -(-n_queries // query_block))
+    grid = Grid(low, high)
+    seen = [(r["vec_id"], np.array(r["cells"], np.int64)) for r in exact.where(in_share(min(1.0, SEEN / max(1, n)), "vec_id", "key")).select("vec_id", "cells").limit(2 * SEEN).collect()]
+    spread = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    block_of = lambda column, blocks: F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                part = batch.filter(pa.array(dims == dim))
+                codes = grid.codes(_matrix(part.column("cells"), dim))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("dim", "key", "vec_id", "cb")), pa.array([x.tobytes() for x in codes], pa.binary())], ["dim", "key", "vec_id", "cb", "codes"])
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sure = _kth(batch.column("query_id").to_pylist(), [np.array(x, np.int64) for x in batch.column("query").to_pylist()], seen, k)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sure, pa.float64())], [*batch.schema.names, "sure"])
+
+    file = exact.withColumn("cb", block_of("vec_id", c_blocks)).mapInArrow(code, schema(dim="int", key="long", vec_id="long", cb="int", codes="binary"))
+    file = file.select("*", spread(q_blocks).alias("qb"))
+    wanted = asked.mapInArrow(bound, T.StructType([*asked.schema.fields, T.StructField("sure", T.DoubleType())])).select("*", block_of("query_id", q_blocks).alias("qb")).select("*", spread(c_blocks).alias("cb"))
+    pairs = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("vec_id", pa.int64()), ("key", pa.int64()), ("most", pa.float64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return target.empty_table()
+            return pairs.empty_table()
         dim = left.column("dim")[0].as_py()
-        ids = left.column("vec_id").to_numpy()
-        at, who, score = search_block(ids, _matrix(left.column("cells"), dim), right.column("vec_id").to_numpy(), _matrix(right.column("cells"), dim), k)
-        return pa.Table.from_arrays([pa.array(ids[at]), pa.array(left.column("key").to_numpy()[at]), pa.array(who), pa.array(score)], schema=target)
-
-    asked = asked.withColumn("key", F.xxhash64("cells"))
-    best = asked.groupBy(*keys).cogroup(given.groupBy(*keys)).applyInArrow(run, schema(query_id="long", query_key="long", vec_id="long", score="long"))
-    order = Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        ids, sure = left.column("query_id").to_numpy(), left.column("sure").to_numpy()
+        codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(right.num_rows, -1)
+        found = right.column("vec_id").to_numpy()
+        at, who, most = scan(ids, _matrix(left.column("query"), dim), sure, found, Grid.unpack(codes, dim), grid, k)
+        return pa.Table.from_arrays([pa.array(ids[at]), pa.array(left.column("query_key").to_numpy()[at]), pa.array(found[who]), pa.array(right.column("key").to_numpy()[who]), pa.array(most)], schema=pairs)
+
+    keys = ["dim", "cb", "qb"]
+    left = wanted.groupBy(*keys).cogroup(file.groupBy(*keys)).applyInArrow(run, schema(query_id="long", query_key="long", vec_id="long", key="long", most="double"))
+    query = ["query_id", "query_key"]
+    first = Window.partitionBy(*query).orderBy(F.col("most").desc(), "vec_id", "key")
+    left = cut(left.withColumn("n", F.row_number().over(first)))
+    product = F.aggregate(F.zip_with("query", "cells", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
+
+    def read(wave: DataFrame) -> DataFrame:
+        """The exact scores of a wave."""
+        near = wave.join(exact.drop("dim"), ["vec_id", "key"]).join(asked.drop("dim"), query)
+        return near.select(*query, "vec_id", "times", product.alias("score"))
+
+    best = Window.partitionBy(*query).orderBy(F.col("score").desc(), "vec_id")
+    early = cut(read(left.where(F.col("n") <= 2 * k)))
+    reached = early.withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select(*query, F.col("score").alias("reached"))
+    late = left.where(F.col("n") > 2 * k).join(reached, query, "left").where(F.col("most") >= F.coalesce(F.col("reached").cast("double"), F.lit(float("-inf"))))
+    found = early.unionByName(read(late.select(*query, "vec_id", "key")))
+    found = found.select(*query, "vec_id", "score", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)).cast("int"))))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
