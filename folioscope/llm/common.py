@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,10 +77,11 @@ def sample_rows(df: DataFrame, rows: int, key: Sequence[str], total: int | None
     return sorted(found, key=lambda r: [(r[c] is not None, r[c]) for c in key])
 
 
-def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the two columns that an operator reads, under names that no other column can clash with."""
+def id_and_text(docs: DataFrame, id_col: str, text_col: str, carry: Mapping[str, Column] | None = None) -> DataFrame:
+    """Only the columns that an operator reads, under names that no other column can clash with, and those of ``carry``."""
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rest = (column.alias(name) for name, column in (carry or {}).items())
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *rest)
 
 
 def id_key(column: str = "doc_id") -> Column:

@@ -8,14 +8,16 @@ does not. Documents are dealt into shards by a hash, so that a source or cluster
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
 from .common import part_count, schema
+from .token_store import ROWS, encoder
 
 
 class Bins:
@@ -94,13 +96,32 @@ def same_words(text: str = "text") -> Column:
     return F.xxhash64(F.regexp_replace(F.btrim(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+", " "))
 
 
-def best_fit(docs: DataFrame, capacity: int = 2048, per_source: int = 4, size: Column | None = None, cluster: Column | None = None, source: Column | None = None, id_col: str = "doc_id", shard_mb: int = 8) -> DataFrame:
+def with_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", to: str = "n_tokens") -> DataFrame:
+    """``docs`` with ``to``: the tokens of the whole text, without special ones. A null text has none; a column of this name is
+    replaced; rows, repeated ones too, and other columns stay."""
+    ship(docs.sparkSession)
+    docs = docs.drop(to)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = encoder(tokenizer_path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                texts = part.column(part.schema.get_field_index(text_col)).fill_null("")
+                sizes = [len(x) // made.dtype.itemsize for x in made.encode_each(texts)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sizes, pa.int64())], [*part.schema.names, to])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, T.LongType())]))
+
+
+def best_fit(docs: DataFrame, capacity: int = 2048, per_source: int = 4, size: Column | None = None, cluster: Column | None = None, source: Column | None = None, id_col: str = "doc_id", shard_mb: int = 8, shards: int | None = None) -> DataFrame:
     """doc_id, piece, start, size, bin_id, bin_offset, source, cluster_id: where each piece of each document goes.
 
     ``size`` is in units of ``capacity`` (words by default; null: 0); a longer document is cut into full pieces and a rest. No
     bin holds two documents of one cluster, nor over ``per_source`` of one source; the pieces of one document go to different
     bins, its full pieces to bins of their own. A null cluster conflicts with nothing, a null source is a source. Empty
-    documents take no room but keep the rules. Every row is placed once, repeated rows too; an empty table gives no rows.
+    documents take no room but keep the rules. By default texts with the same words are one cluster; ``near_duplicates`` gives
+    wider ones. ``shards`` is how many sets of bins there are, by default one for ``shard_mb`` of ``docs``. Every row is placed once, repeated rows too; an empty table gives no rows.
     Only these columns are shuffled, never texts.
     """
     ship(docs.sparkSession)
@@ -110,7 +131,7 @@ def best_fit(docs: DataFrame, capacity: int = 2048, per_source: int = 4, size: C
         (F.col("source").cast("string") if source is None else source.cast("string")).alias("source"),
         (same_words() if cluster is None else cluster.cast("long")).alias("cluster_id"),
     )
-    shards = part_count(docs, shard_mb)
+    shards = shards or part_count(docs, shard_mb)
     held = held.withColumn("shard", F.pmod(F.xxhash64("doc_id", "total", "cluster_id"), F.lit(shards)).cast("int"))
     names = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "size": pa.int64(), "bin_id": pa.int64(), "bin_offset": pa.int64(), "source": pa.string(), "cluster_id": pa.int64()}
     target = pa.schema(list(names.items()))

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from . import pii, quality_crf
 from .bpe import decode, encode
+from .common import part_count
 from .oracles import ORACLES
-from .packing import best_fit
+from .packing import best_fit, word_count
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
 from .substring import deduplicate_words
@@ -82,8 +83,10 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes are words, clusters the components of near-duplicates: no bin holds two documents that op1 links."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return best_fit(docs, capacity=2048, per_source=4)
+    found = near_duplicates(docs, max_bits=4, shingle_words=4, carry={"size": word_count(), "source": F.col("source")})
+    return best_fit(found, capacity=2048, per_source=4, size=F.col("size"), cluster=F.col("component_id"), shards=part_count(docs, 8))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

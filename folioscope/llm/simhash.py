@@ -9,15 +9,16 @@ node, and a whole group is left as soon as they exceed the limit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, id_and_text
+from .common import cut, id_and_text, schema
 from .graph import components
 
 FANOUT = 8
@@ -56,14 +57,17 @@ def _fingerprint_batches(shingle_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([simhash(t.as_py(), shingle_words) for t in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            rest = [n for n in batch.schema.names if n not in ("doc_id", "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64)), *map(batch.column, rest)], ["doc_id", "fp", *rest])
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4) -> DataFrame:
-    """``(doc_id, fp)`` for every row, the 64 bits held in a signed long."""
-    return id_and_text(docs, id_col, text_col).mapInArrow(_fingerprint_batches(shingle_words), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, carry: Mapping[str, Column] | None = None) -> DataFrame:
+    """``(doc_id, fp)`` for every row, the 64 bits held in a signed long, and the columns ``carry`` (name: what of the row)."""
+    held = id_and_text(docs, id_col, text_col, carry)
+    rest = [f for f in held.schema.fields if f.name not in ("doc_id", "text")]
+    return held.mapInArrow(_fingerprint_batches(shingle_words), T.StructType([*schema(doc_id="long", fp="long").fields, *rest]))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -245,17 +249,17 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = 4, bucket_rows: int =
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, max_bits: int = 4) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, fp (64 bits in a signed long), component_id.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, max_bits: int = 4, carry: Mapping[str, Column] | None = None) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, fp (64 bits in a signed long), component_id, and the columns ``carry`` of the row.
 
     component_id is the smallest document id that links of at most ``max_bits`` differing bits reach. Equal fingerprints are
     joined before any comparison, so copies cost one row. A null text is empty; texts without words have fingerprint 0 and are
     linked like any other. Rows with a null id take no part in links and have no component. Repeated rows are returned as often
     as given; an empty table gives no rows; other columns are not read.
     """
-    prints = cut(fingerprints(docs, id_col, text_col, shingle_words))
+    prints = cut(fingerprints(docs, id_col, text_col, shingle_words, carry))
     distinct = cut(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = components(link_fingerprints(distinct, max_bits))  # by first document: a root is its component's smallest id
     classes = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     found = prints.join(classes, "fp", "left")
-    return found.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return found.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), *(carry or ()))

@@ -76,7 +76,8 @@ def test_pipeline_stages(spark, tmp_path):
 
     texts, labels = labelled(300)
     texts = [t + f"\nUnique line number {i} of this very document, write to u{i}@mail.example.com." for i, t in enumerate(texts)]
-    texts += [texts[4], None, "", "shared passage " + " ".join(f"tok{i}" for i in range(60)), "other head " + " ".join(f"tok{i}" for i in range(60))]
+    passage = " ".join(f"{a}{b}ing" for a in "bcdfghklm" for b in ("am", "on", "ur", "est", "ill", "ent")) + " all night."
+    texts += [texts[4], None, "", f"Shared passage {passage}", f"Other head {passage}"]
     base = docs(spark, texts).unionByName(docs(spark, ["The row that has no id stays where it is."], [None])).unionByName(docs(spark, [texts[1]], [1]))
     base.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(list(enumerate(labels)), "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
@@ -93,7 +94,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert len([i for i in bad if i in kept["quality classifier"]]) < 0.1 * len(bad)
     assert 304 not in kept["SimHash near-dedup"] or 4 in kept["SimHash near-dedup"]
     assert sum(r == 1 for r in kept["SimHash near-dedup"]) <= 1
-    shared = [t for t in kept["suffix-array dedup"].values() if t and "tok30" in t]
+    shared = [t for t in kept["suffix-array dedup"].values() if t and "hesting" in t]
     assert len(shared) == 1
     assert not any("@mail" in (t or "") for t in kept["PII"].values()) and any("[EMAIL]" in (t or "") for t in kept["PII"].values())
     rows = pipeline.run(spark, str(tmp_path)).collect()
