@@ -1,6 +1,6 @@
 """Exact top-k by inner product with vector-approximation files.
 
-The file holds four bits for every component of every candidate: the cell of a grid over the range of all components. Queries
+The file holds a byte for every component of every candidate: which of 64 cells of the component's range it is in. Queries
 meet the file in blocks of bounded size; only these codes are shuffled, never the candidates' vectors. A scan gives each
 candidate's highest and lowest possible score; a candidate goes on if its highest is not under what the query is sure to get:
 the k-th best exact score among a bounded sample that every task has, or the k-th best lowest score of the block. Exact vectors
@@ -21,50 +21,39 @@ from pyspark.sql import types as T
 from ..session import ship
 from .common import cut, in_share, schema
 
-CELLS = 16
+CELLS = 64
 SCAN_QUERIES = 128
 #: Candidates whose exact vectors every task has, to know early what a query is sure to get.
 SEEN = 2048
 
 
 class Grid:
-    """The cells of one range of integers."""
+    """CELLS equal cells of each component's range of integers."""
 
-    def __init__(self, low: int, high: int):
+    def __init__(self, low: np.ndarray, high: np.ndarray):
         self.low, self.width = low, (high - low) // CELLS + 1
 
     def codes(self, vectors: np.ndarray) -> np.ndarray:
-        """Two components a byte."""
-        c = ((vectors - self.low) // self.width).astype(np.uint8)
-        if c.shape[1] % 2:
-            c = np.hstack([c, np.zeros((len(c), 1), np.uint8)])
-        return c[:, ::2] | c[:, 1::2] << 4
-
-    @staticmethod
-    def unpack(codes: np.ndarray, dim: int) -> np.ndarray:
-        out = np.empty((len(codes), 2 * codes.shape[1]), np.uint8)
-        out[:, ::2], out[:, 1::2] = codes & 15, codes >> 4
-        return out[:, :dim]
-
-    def bounds(self, queries: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return ((vectors - self.low) // self.width).astype(np.uint8)
+
+    def bounds(self, queries: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A score for the corner of each cell, and what to add for the lowest and for the highest score within the cell, with
         room for what single precision loses."""
-        q = queries.astype(np.float32)
-        corner = (q * np.float32(self.width)) @ cells.astype(np.float32).T + (queries.sum(axis=1) * self.low).astype(np.float32)[:, None]
-        size = np.abs(queries).astype(np.float64).sum(axis=1)
-        room = size * (CELLS * self.width + abs(self.low)) * 2.0**-22 * (1 + queries.shape[1] / 64) + 1
-        rest = float(self.width - 1)
-        return corner, np.minimum(queries, 0).sum(axis=1) * rest - room, np.maximum(queries, 0).sum(axis=1) * rest + room
+        q = queries.astype(np.float64)
+        corner = (q * self.width).astype(np.float32) @ codes.astype(np.float32).T + (q @ self.low.astype(np.float64)).astype(np.float32)[:, None]
+        room = np.abs(q) @ (CELLS * self.width + np.abs(self.low)).astype(np.float64) * 2.0**-22 * (1 + queries.shape[1] / 64) + 1
+        rest = (self.width - 1).astype(np.float64)
+        return corner, np.minimum(q, 0) @ rest - room, np.maximum(q, 0) @ rest + room
 
 
-def scan(query_ids: np.ndarray, queries: np.ndarray, sure: np.ndarray, ids: np.ndarray, cells: np.ndarray, grid: Grid, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scan(query_ids: np.ndarray, queries: np.ndarray, sure: np.ndarray, ids: np.ndarray, codes: np.ndarray, grid: Grid, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, candidate, highest possible score) of the pairs of a block that may be among a query's k best; ``sure`` is what
     each query gets at least for its k-th. Candidates with the query's id are left out."""
     at, who, most_of = [], [], []
     order = np.argsort(ids, kind="stable")
     sorted_ids = ids[order]
     for i in range(0, len(queries), SCAN_QUERIES):
-        corner, least, most = grid.bounds(queries[i : i + SCAN_QUERIES], cells)
+        corner, least, most = grid.bounds(queries[i : i + SCAN_QUERIES], codes)
         for j, line in enumerate(corner):
             q = i + j
             line[order[np.searchsorted(sorted_ids, query_ids[q]) : np.searchsorted(sorted_ids, query_ids[q], side="right")]] = -np.inf
@@ -100,7 +89,28 @@ def _kth(query_ids: list[int], queries: list[np.ndarray], seen: list[tuple[int,
     return out
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 65_536, query_block: int = 4_096) -> DataFrame:
+def _grids(exact: DataFrame) -> dict[int, Grid]:
+    """The grid of each length of vectors: every task names the ends of each component once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                v = _matrix(batch.column("cells").filter(pa.array(dims == dim)), dim)
+                low, high = ends.get(dim, (v[0], v[0]))
+                ends[dim] = np.minimum(low, v.min(axis=0)), np.maximum(high, v.max(axis=0))
+        for dim, (low, high) in ends.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(dim, dim, np.int32)), pa.array(np.arange(dim, dtype=np.int32)), pa.array(low), pa.array(high)], ["dim", "at", "low", "high"])
+
+    found = exact.select("dim", "cells").where("dim > 0").mapInArrow(run, schema(dim="int", at="int", low="long", high="long"))
+    by: dict[int, list] = {}
+    for r in found.groupBy("dim", "at").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("dim", "at").collect():
+        by.setdefault(r["dim"], []).append((r["low"], r["high"]))
+    return {dim: Grid(*np.array(ends, np.int64).T) for dim, ends in by.items()} | {0: Grid(np.zeros(0, np.int64), np.zeros(0, np.int64))}
+
+
+def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 32_768, query_block: int = 2_048) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's ``k`` best by integer inner product of floor(scale * component).
 
     ``queries`` says which rows of ``vectors`` are queries; every row but those with the query's own id is a candidate, ties go
@@ -119,10 +129,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0,
     equal = Window.partitionBy("dim", "key", "cells").orderBy("vec_id")
     exact = cut(times.withColumn("n", F.row_number().over(equal)).where(F.col("n") <= k + 1).drop("n", "asks"))
     asked = cut(times.where("asks").select(F.col("vec_id").alias("query_id"), F.col("key").alias("query_key"), F.col("cells").alias("query"), "dim"))
-    n, low, high = exact.agg(F.count(F.lit(1)), F.coalesce(F.min(F.array_min("cells")), F.lit(0)), F.coalesce(F.max(F.array_max("cells")), F.lit(0))).first()
+    n = exact.count()
     n_queries = asked.count()
     c_blocks, q_blocks = max(1, -(-n // block)), max(1, -(-n_queries // query_block))
-    grid = Grid(low, high)
+    grids = _grids(exact)
     seen = [(r["vec_id"], np.array(r["cells"], np.int64)) for r in exact.where(in_share(min(1.0, SEEN / max(1, n)), "vec_id", "key")).select("vec_id", "cells").limit(2 * SEEN).collect()]
     spread = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     block_of = lambda column, blocks: F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
@@ -132,7 +142,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0,
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                codes = grid.codes(_matrix(part.column("cells"), dim))
+                codes = grids[dim].codes(_matrix(part.column("cells"), dim))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("dim", "key", "vec_id", "cb")), pa.array([x.tobytes() for x in codes], pa.binary())], ["dim", "key", "vec_id", "cb", "codes"])
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,9 +160,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0,
             return pairs.empty_table()
         dim = left.column("dim")[0].as_py()
         ids, sure = left.column("query_id").to_numpy(), left.column("sure").to_numpy()
-        codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(right.num_rows, -1)
+        codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(right.num_rows, dim)
         found = right.column("vec_id").to_numpy()
-        at, who, most = scan(ids, _matrix(left.column("query"), dim), sure, found, Grid.unpack(codes, dim), grid, k)
+        at, who, most = scan(ids, _matrix(left.column("query"), dim), sure, found, codes, grids[dim], k)
         return pa.Table.from_arrays([pa.array(ids[at]), pa.array(left.column("query_key").to_numpy()[at]), pa.array(found[who]), pa.array(right.column("key").to_numpy()[who]), pa.array(most)], schema=pairs)
 
     keys = ["dim", "cb", "qb"]
