@@ -11,7 +11,8 @@ grams, the one with the lowest hash, the leftmost of equals. Equal windows have
    sorting, or seed and extend) finds the windows that an earlier stretch of the part holds: these are repeated. What is left
    of each stretch, the windows that are new in the part, travels on, so a passage leaves a part once however often it is there;
 4. stretches meet by anchor, and ``resolve`` finds the repeated windows among them. An anchor with over ``hot`` occurrences is
-   split: each of its windows travels under its own hash, so that one passage's many contexts do not meet in one task;
+   split: a few neighbouring windows travel together under a hash of what all of them hold, and with over 64 times as many each
+   window under its own hash, so that one passage's many contexts do not meet in one task;
 5. repeated windows, merged to spans, go back to the parts.
 
 The documents are shuffled once; steps 1, 3 and 5 read the same exchange. Parts, buckets and the slots in which stretches meet
@@ -163,7 +164,7 @@ def _name_anchors(kind: Kind, buckets: int):
 
 
 def _answer(hot: int):
-    """For each part: its anchors of this bucket that occur twice or more, and (in counts) whether they are frequent."""
+    """For each part: its anchors of this bucket that occur twice or more, and (in counts) how frequent they are: 0, 1 or 2."""
     form = _arrow(ANCHORS)
 
     def run(table: pa.Table) -> pa.Table:
@@ -177,7 +178,7 @@ def _answer(hot: int):
             at += len(hashes)
             again = n > 1
             if again.any():
-                out.append((bucket, part, hashes[again].tobytes(), (n[again] > hot).astype(np.uint8).tobytes()))
+                out.append((bucket, part, hashes[again].tobytes(), ((n[again] > hot).astype(np.uint8) + (n[again] > 64 * hot)).tobytes()))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), form)], schema=form) if out else form.empty_table()
 
     return run
@@ -271,7 +272,7 @@ def _cut_stretches(kind: Kind):
         for doc, first, n, anchor, h in _runs(texts, kind):
             at = np.minimum(np.searchsorted(again, h), len(again) - 1)
             take = again[at] == h
-            found.append((doc[take], first[take], n[take], anchor[take] - first[take], h[take], frequent[at[take]] > 0))
+            found.append((doc[take], first[take], n[take], anchor[take] - first[take], h[take], frequent[at[take]]))
         if not found or not sum(len(x[0]) for x in found):
             return form.empty_table()
         doc, first, windows, offset, key, many = (np.concatenate(x) for x in zip(*found))
@@ -284,9 +285,14 @@ def _cut_stretches(kind: Kind):
             if not many[i]:
                 rows.append((int(key[i]), ids[d], hs[d], s + a, s + b + tail, int(offset[i]) - a, cut(i, a, b)))
                 continue
-            for w in range(a, b):
-                window = cut(i, w, w + 1)
-                rows.append(((digest(window, 7) + 2**63) % 2**64 - 2**63, ids[d], hs[d], s + w, s + w + kind.length, int(offset[i]) - w, window))
+            step = max(1, kind.length // 6) if many[i] == 1 else 1
+            w = a
+            while w < b:  # windows by place relative to the anchor, in steps: all of a step hold the units from its last window's start to its first one's end
+                low = int(offset[i]) - (int(offset[i]) - w) // step * step - step + 1  # the first window of the step
+                end = min(b, low + step)
+                core = texts[d].cut(s + low + step - 1, s + low + kind.length)
+                rows.append(((digest(core, (int(offset[i]) - w) // step) + 2**63) % 2**64 - 2**63, ids[d], hs[d], s + w, s + end + tail, int(offset[i]) - w, cut(i, w, end)))
+                w = end
         local: dict[int, list[tuple[int, int]]] = {}
         for i, a, b in zip(*(x.tolist() for x in old)):
             local.setdefault(int(doc[i]), []).append((int(first[i]) + a, int(first[i]) + b + tail))
@@ -337,7 +343,7 @@ def remove_repeats(
     if {f.name for f in added} & {id_col, text_col}:
         raise ValueError("id and text need other names than the results")
     names = docs.columns
-    parts = part_count(docs, 1)
+    parts = part_count(docs, 2)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     held = docs.select(
         F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names) if c != text_col)).alias("__row") if len(names) > 1 else F.lit(None).cast("struct<c:int>").alias("__row"),

@@ -39,7 +39,7 @@ def corpus(seed):
 BYTES, WORDS = (deduplicate_bytes, lambda t: t.encode()), (deduplicate_words, lambda t: t.encode().split())
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 1000), (2, 3)])
+@pytest.mark.parametrize("seed,hot", [(1, 1000), (2, 3), (3, 0), (4, 1)])
 @pytest.mark.parametrize("which,length", [(BYTES, 100), (BYTES, 40), (WORDS, 20), (WORDS, 9)])
 def test_against_a_plain_pass(spark, seed, hot, which, length):
     operator, units = which
