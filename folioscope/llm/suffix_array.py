@@ -43,7 +43,7 @@ def sort_suffixes(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarra
     padded = np.r_[text, np.zeros(depth + 16, np.uint8)]
     step = np.sign(padded[1 : n + 1].astype(np.int16) - padded[:n].astype(np.int16))
     turn = np.flatnonzero(step)
-    after = np.searchsorted(turn, np.arange(n))
+    after = np.cumsum(step != 0) - (step != 0)  # turns before each position
     smaller = np.zeros(n, bool)  # than its successor
     known = after < len(turn)
     smaller[known] = step[turn[after[known]]] > 0
@@ -67,14 +67,20 @@ def sort_suffixes(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarra
     for at in range(0, depth + 8, 8):
         if not len(active):
             break
-        value = words[np.minimum(position[order[active]] + at, len(words) - 1)]
-        by = np.lexsort((value, group[active]))
-        value, g = value[by], group[active][by]
-        order[active] = order[active][by]
-        new = np.r_[True, (g[1:] != g[:-1]) | (value[1:] != value[:-1])]
-        group[active] = active[np.maximum.accumulate(np.where(new, np.arange(len(active)), 0))]
-        alone = new & np.r_[new[1:], True]
-        active = active[~alone]
+        value, g = words[np.minimum(position[order[active]] + at, len(words) - 1)], group[active]
+        split = np.zeros(len(order), bool)  # groups whose members differ here; the others stay as they are
+        split[g[1:][(g[1:] == g[:-1]) & (value[1:] != value[:-1])]] = True
+        here = np.flatnonzero(split[g])
+        slots, value, g = active[here], value[here], g[here]
+        by = np.lexsort((value, g))
+        value = value[by]
+        order[slots] = order[slots][by]
+        new = np.r_[True, (g[1:] != g[:-1]) | (value[1:] != value[:-1])] if len(g) else np.zeros(0, bool)
+        group[slots] = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
+        alone = new & np.r_[new[1:], True] if len(g) else new
+        keep = np.ones(len(active), bool)
+        keep[here[alone]] = False
+        active = active[keep]
 
     before = np.full(len(position), -1)  # member that precedes this one and follows from it
     follows = np.flatnonzero((position[1:] == position[:-1] + 1) & ~direct[:-1])
