@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,77 +44,97 @@ def stem(word: Column) -> Column:
     return F.when(F.length(word) > 3, F.regexp_replace(word, "[es]+$", "")).otherwise(word)
 
 
-#: Canonical metric names and the patterns that lead to them, first match wins.
+#: What is dropped from the end of a metric's name, canonical names with the whole names that lead to them, and
+#: whole names that carry a variant (the name with the variant filled in).
+METRIC_NOISE = r"\s+(score|rate|value|metric|result|measure)s?$"
 METRICS = (
-    ("perplexity", r"\b(perplexity|ppl)\b"),
-    ("nll", r"\b(nll|negative log[- ]likelihood|cross[- ]entropy)\b"),
-    ("bleu", r"\b(sacre)?bleu(-?\d)?\b"),
-    ("f1-macro", r"\bmacro[- ]?f1\b|\bf1[- ]?macro\b"),
-    ("f1-micro", r"\bmicro[- ]?f1\b|\bf1[- ]?micro\b"),
-    ("f1", r"\bf[- ]?1\b"),
-    ("top-1", r"\btop[- ]?1\b"),
-    ("top-5", r"\btop[- ]?5\b"),
-    ("accuracy", r"\b(accuracy|acc)\b"),
-    ("wer", r"\b(wer|word error rate)\b"),
-    ("cer", r"\b(cer|character error rate)\b"),
-    ("time", r"\b(training|inference|run)?[- ]?time\b"),
+    ("perplexity", r"^((val(idation)?|test|dev|train(ing)?)[\s-]?(ppl|perplexity)|ppl)$"),
+    ("nll", r"^(negative[\s-]?log[\s-]?likelihood|cross[\s-]?entropy|(val(idation)?|test|train(ing)?)[\s-]?loss|nll)$"),
+    ("bleu", r"^(tokenized|detokenized|uncased|cased|multi[\s-]?ref)?[\s-]?(sacre)?bleu[\s-]?\d*$"),
+    ("rouge-l", r"^rouge$"),
+    ("accuracy", r"^(test[\s-]?|val[\s-]?|train[\s-]?)?acc(uracy)?$"),
+    ("wer", r"^(word[\s-]?error[\s-]?rate|wer)$"),
+    ("cer", r"^(char(acter)?[\s-]?error[\s-]?rate|cer)$"),
+)
+METRIC_VARIANTS = (
+    ("rouge-$1", r"^rouge[\s-]?([l\d]+)$"),
+    ("f$2-$1", r"^(macro|micro|weighted)[\s-]?f[\s-]?(\d)$"),
+    ("f$1", r"^f[\s-]?(\d)$"),
+    ("top-$1", r"^top[\s-]?(\d)[\s-]?(?:accuracy|acc)?$"),
+    ("$1-time", r"^(training|inference)[\s-]?time$"),
 )
 
 
 def metric_name(text: Column) -> Column:
     """The canonical name of a metric; unknown ones in lower case."""
-    t = squeeze(F.lower(text))
-    rouge = F.regexp_extract(t, r"\brouge[- ]?([0-9]|l(?:sum)?)\b", 1)
-    return F.coalesce(F.when(rouge != "", F.concat(F.lit("rouge-"), rouge)), first_match(t, METRICS), t)
-
-
-#: Language names and their codes.
-LANGUAGES = (("english", "en"), ("german", "de"), ("french", "fr"), ("chinese", "zh"), ("czech", "cs"), ("russian", "ru"), ("romanian", "ro"), ("finnish", "fi"), ("spanish", "es"), ("japanese", "ja"), ("turkish", "tr"))
-#: Canonical dataset names and the patterns that lead to them, first match wins.
+    t = F.regexp_replace(F.trim(F.lower(text)), METRIC_NOISE, "")
+    variants = [F.when(t.rlike(pattern), F.regexp_replace(t, pattern, name)) for name, pattern in METRIC_VARIANTS]
+    return F.coalesce(first_match(t, METRICS), *variants, t)
+
+
+#: What is dropped from the end of a dataset's name, ways to write a pair of languages and its code, and canonical
+#: names with the whole names that lead to them.
+DATASET_NOISE = r"\s+(dataset|corpus|data|set|benchmark|task|collection|test set|training set)s?$"
+LANGUAGE_PAIRS = (
+    ("en-de", r"english[\s-]?(to[\s-])?german"),
+    ("de-en", r"german[\s-]?(to[\s-])?english"),
+    ("en-fr", r"english[\s-]?(to[\s-])?french"),
+    ("fr-en", r"french[\s-]?(to[\s-])?english"),
+    ("en-zh", r"english[\s-]?(to[\s-])?chinese"),
+    ("en-ja", r"english[\s-]?(to[\s-])?japanese"),
+    ("en-ro", r"english[\s-]?(to[\s-])?romanian"),
+    ("en-de", r"\ben[\s-]de\b"),
+    ("en-fr", r"\ben[\s-]fr\b"),
+    ("en-zh", r"\ben[\s-]zh\b"),
+    ("de-en", r"\bde[\s-]en\b"),
+)
 DATASETS = (
-    ("penn-treebank", r"\b(ptb|penn[- ]?treebank|wsj)\b"),
-    ("imagenet-1k", r"\bimagenet\b"),
-    ("cifar-100", r"\bcifar[- ]?100\b"),
-    ("cifar-10", r"\bcifar[- ]?10\b"),
+    ("wmt", r"^wmt$"),
+    ("squad-v1", r"^squad$"),
+    ("penn-treebank", r"^(penn[\s-]?treebank|ptb|wall[\s-]?street[\s-]?journal|wsj)$"),
+    ("imagenet-1k", r"^(imagenet|ilsvrc)[\s-]?(1k|2012)?$"),
 )
 #: Tasks of the language-understanding suite.
-GLUE = "mnli|qnli|qqp|sst-2|cola|mrpc|rte|wnli|sts-b"
+GLUE = "mnli|snli|qnli|qqp|cola|mrpc|rte|wnli|stsb|sst"
 
 
 def dataset_name(text: Column) -> Column:
     """The canonical name of a dataset; unknown ones in lower case."""
-    t = squeeze(F.regexp_replace(F.lower(text), "['’]", ""))
-    coded = t
-    for name, code in LANGUAGES:
-        coded = F.regexp_replace(coded, rf"\b{name}\b", code)
-    year = lambda pattern: F.regexp_extract(coded, pattern, 1)
-    pair = F.regexp_extract(coded, r"\b([a-z]{2})\s*[-→/]\s*([a-z]{2})\b", 0)
-    pair = F.regexp_replace(pair, r"\s*[-→/]\s*", "-")
-    wmt, iwslt, test = year(r"\bwmt\s*(?:20)?(\d{2})\b"), year(r"\biwslt\s*(?:20)?(\d{2})\b"), year(r"\b(?:newstest|ntst)\s*(?:20)?(\d{2})\b")
-    named = lambda head, y: F.when(y != "", F.concat(F.lit(head), y, F.when(pair != "", F.concat(F.lit("-"), pair)).otherwise(F.lit(""))))
-    squad, glue = F.regexp_extract(t, r"\bsquad\s*v?(\d)", 1), F.regexp_extract(t, rf"\b({GLUE})\b", 1)
+    t = F.regexp_replace(F.trim(F.lower(text)), DATASET_NOISE, "")
+
+    def dated(pattern: str, head: str) -> Column:
+        """head + two digits of the year, and a pair of languages if one follows."""
+        rest = F.regexp_replace(F.regexp_extract(t, pattern, 2), r"^[\s-]+|[\s-]+$", "")
+        for code, written in LANGUAGE_PAIRS:
+            rest = F.regexp_replace(rest, written, code)
+        return F.when(t.rlike(pattern), F.concat_ws("-", F.concat(F.lit(head), F.right(F.regexp_extract(t, pattern, 1), F.lit(2))), F.when(rest != "", rest)))
+
+    test = F.regexp_extract(t, r"^(?:newstest|ntst)[\s-]?(\d{2,4})$", 1)
+    squad, cifar = F.regexp_extract(t, r"^squad[\s-]?v?(\d)[.\d]*$", 1), F.regexp_extract(t, r"^cifar[\s-]?(\d+)$", 1)
+    task = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[\s-](matched|mismatched)$", ""), r"^glue[\s-]?", ""), r"[\s-]", "")
     return F.coalesce(
-        F.when(test != "", F.concat(F.lit("newstest20"), test)),
-        named("wmt", wmt),
-        named("iwslt", iwslt),
+        dated(r"^wmt[\s'\u2019`]?(\d{2,4})[\s-]?(.*)$", "wmt"),
+        F.when(test != "", F.concat(F.lit("newstest"), F.when(F.length(test) == 2, F.concat(F.lit("20"), test)).otherwise(test))),
         F.when(squad != "", F.concat(F.lit("squad-v"), squad)),
-        F.when(glue != "", F.concat(F.lit("glue-"), glue)),
+        F.when(t.rlike(rf"^(glue[\s-]?)?({GLUE})[\s-]?(matched|mismatched|\d)?$"), F.concat(F.lit("glue-"), task)),
+        dated(r"^iwslt[\s'\u2019]?(\d{2,4})[\s-]?(.*)$", "iwslt"),
+        F.when(cifar != "", F.concat(F.lit("cifar-"), cifar)),
         first_match(t, DATASETS),
         t,
     )
 
 
-#: Question intents in the order in which they are tried.
+#: Question intents in the order in which they are tried, and the patterns that lead to them.
 INTENTS = (
-    ("contradiction", r"\b(contradict|disagree|conflict|inconsisten)"),
-    ("gap", r"\b(gap|unexplored|never (been )?(tried|tested)|not been (tried|tested)|missing combination)"),
-    ("limitation", r"\b(limitation|weakness|drawback|shortcoming)"),
-    ("future_work", r"\bfuture (work|direction|research)"),
-    ("comparison", r"\b(compare|comparison|versus|vs\.?|better than|outperform)"),
-    ("performance", r"\b(accuracy|score|performance|result|bleu|f1|state[- ]of[- ]the[- ]art|sota)\b"),
-    ("figure", r"\b(figure|diagram|plot|chart|illustrat)"),
-    ("method", r"\b(how does|method|approach|architecture|algorithm|technique)"),
-)
+    ("limitation", r"\blimitation|\bweakness|\bshortcoming|\bproblem with|\bissue with|\bdrawback|\bwhat.{0,20}wrong|\bwhat.{0,20}bad"),
+    ("future_work", r"\bfuture work|\bfuture direction|\bnext step|\bopen problem|\bopen question|\bto be explored|\bwhat.{0,20}next|\bwhat.{0,20}remain"),
+    ("comparison", r"\bcompar|\bvs\b|\bversus|\boutperform|\bfaster than|\bbetter than|\bworse than|\bcontradiction|\bconflict|\bdisagree|\bdifference between|\bhow does .{0,30} differ"),
+    ("performance", r"\bperformance|\baccuracy|\bresult|\bscore|\brmse\b|\bmae\b|\bf1\b|\bbleu\b|\bbenchmark|\bevaluat|\bhow well|\bhow (good|accurate|fast)"),
+    ("gap", r"\bgap|\bnobody|\bno one|\bnot (yet )?tried|\buntried|\bmissing combination|\bwhich.{0,30}(hasn.t|have not|not been) (been )?tested|\bwhich.{0,30}(hasn.t|have not) (been )?explored|\bwhat.{0,30}(hasn.t|have not|not been) (been )?tested|\bwhat.{0,30}(hasn.t|have not) (been )?explored"),
+    ("entity_lookup", r"\bwhat is\b|\bwhat are\b|\bwhich (method|model|dataset|metric)|\btell me about\b|\bexplain\b|\bhow does .{0,30} work"),
+    ("figure", r"\bfigure\b|\bdiagram\b|\barchitecture diagram|\bshow.{0,20}figure|\bfig\.?\s*\d"),
+    ("literature_review", r"\bliterature review|\bsurvey|\bsummar|\boverview|\bwrite.{0,20}review|\bwhat do (the )?papers say"),
+)
 
 
 def intent(question: Column) -> Column:
@@ -133,89 +155,117 @@ SIGNALS = {
     "reproducibility": r"(github\.com|gitlab\.com|\bcode is\b|open[- ]source|reproduc|licensed under)",
     "speed": r"\b(latency|throughput|fps|faster|speed)",
 }
-#: Wording that marks a limitation as boilerplate, and wording that marks it as real.
-HOLLOW = r"\b(future work will|left for future|beyond the scope|in this paper we)\b"
-REAL = r"\b(limited|fails?|cannot|unable|only|lack|poor|degrade|expensive|slow|requires?|assum|small|noisy|bias|stupid|worthless|trash)"
+#: Tuning details that are never research gaps, and wording that marks a limitation as a real one.
+TUNING = ("d_k", "beam size", "dropout", "label smoothing")
+REAL = (
+    "scalability", "generalization", "long-range", "sequential", "parallelization", "efficiency", "modalities", "tasks beyond", "not tested", "restricted to", "only evaluated",
+    "computational cost", "training cost", "cannot handle", "lack of", "absence of", "limited to", "does not", "unable to", "fixed-length", "quadratic", "out-of-domain", "domain",
+    "interpretability", "explainab", "low-resource", "multimodal", "multi-modal", "structured", "variable-length", "memory", "context length", "generalise", "generaliz", "require",
+    "constraint", "limitation", "beyond translation", "non-english", "other languages",
+)
+
+
+def holds_any(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether a text holds any of some literal strings."""
+    return text.rlike("|".join(re.escape(w) for w in words))
 
 
 def meaningful_limitation(text: Column) -> Column:
+    """Whether a limitation names a real constraint and no tuning detail."""
     t = F.lower(text)
-    return (F.length(text) > 20) & t.rlike(REAL) & ~t.rlike(HOLLOW)
+    return holds_any(t, REAL) & ~holds_any(t, TUNING)
 
 
-#: Families of methods.
-FAMILIES = (("lstm", r"lstm|rnn|recurrent|gru"), ("transformer", r"transformer|attention|bert"), ("cnn", r"cnn|conv"))
-#: Words that are no methods, and words too weak to name one alone.
-NOT_METHODS, WEAK_METHODS = r"\b(paper|work|result|study|figure|table)\b", r"\b(model|method|approach|system|network|baseline)\b"
+#: Families of methods, tried in order.
+FAMILIES = (("recurrent models", "lstm|rnn"), ("transformer models", "transformer|attention"), ("convolutional models", "cnn|conv"))
+#: Parts of names that are no methods, that are too weak to name one, and that always do.
+NOT_METHODS, WEAK_METHODS, METHODS = ("gpu", "dgx", "tesla", "system"), ("representation", "function", "code", "transformation", "processing"), ("lstm", "rnn", "transformer", "attention", "cnn", "bert")
 
 
 def method_class(name: Column) -> Column:
-    """NOT, WEAK or VALID; several words are at most WEAK."""
+    """NOT_METHOD, WEAK_METHOD or VALID_METHOD; of unknown names, those of several words are weak."""
     n = F.lower(name)
-    return F.when(n.rlike(NOT_METHODS), F.lit("NOT")).when(n.rlike(WEAK_METHODS) | (F.size(F.split(F.trim(n), r"\s+")) >= 2), F.lit("WEAK")).otherwise(F.lit("VALID"))
+    found = F.when(holds_any(n, NOT_METHODS), "NOT_METHOD").when(holds_any(n, WEAK_METHODS), "WEAK_METHOD").when(holds_any(n, METHODS), "VALID_METHOD")
+    return found.when(F.size(F.split(F.trim(n), r"\s+")) >= 2, "WEAK_METHOD").otherwise("NOT_METHOD")
 
 
 def method_family(name: Column) -> Column:
-    n = F.lower(F.trim(name))
+    n = F.lower(name)
     return F.coalesce(first_match(n, FAMILIES), n)
 
 
-#: Hyper-parameters and the pattern of their value.
+#: Hyper-parameters and the patterns of their values, the first that is found counts.
 SETUP = {
-    "learning_rate": r"(?i)(?:learning rate|\blr\b)\s*(?:of|=|:|is)?\s*([0-9.]+(?:e-?[0-9]+)?)",
-    "batch_size": r"(?i)batch size\s*(?:of|=|:|is)?\s*([0-9]+)",
-    "epochs": r"(?i)([0-9]+)\s*epochs",
-    "dropout": r"(?i)dropout\s*(?:of|=|:|rate|is)*\s*([0-9.]+)",
-    "layers": r"(?i)([0-9]+)[- ]layers?",
-    "hidden_size": r"(?i)hidden (?:size|dimension)s?\s*(?:of|=|:|is)?\s*([0-9]+)",
-    "weight_decay": r"(?i)weight decay\s*(?:of|=|:|is)?\s*([0-9.]+(?:e-?[0-9]+)?)",
-    "optimizer": r"(?i)\b(adamw?|sgd|rmsprop|adagrad)\b",
+    "learning_rate": (r"learning[\s_-]?rate[s]?\s*[=:of]*\s*([\d.e+\-]+)", r"\blr\s*[=:]\s*([\d.e+\-]+)", r"(?:set|use[sd]?)\s+(?:a\s+)?learning[\s_-]?rate\s+of\s+([\d.e+\-]+)"),
+    "batch_size": (r"batch[\s_-]?size[s]?\s*(?:of\s+)?[=:of]*\s*(\d+)", r"\bbs\s*[=:]\s*(\d+)", r"mini[\s_-]?batch(?:es)?\s+of\s+(\d+)"),
+    "epochs": (r"(\d+)\s+epoch[s]?", r"epoch[s]?\s*[=:]\s*(\d+)", r"train(?:ed|ing)?\s+for\s+(\d+)\s+epoch[s]?"),
+    "optimizer": (r"\b(adam(?:w)?|sgd|adagrad|rmsprop|adamax|nadam|lion)\b",),
+    "weight_decay": (r"weight[\s_-]?decay\s*[=:of]*\s*([\d.e+\-]+)",),
+    "dropout": (r"dropout\s*(?:rate\s*)?[=:of]*\s*([\d.]+)",),
+    "warmup_steps": (r"warmup[\s_-]?steps?\s*[=:of]*\s*(\d+)", r"linear\s+warmup\s+(?:over\s+)?(\d+)\s+step[s]?"),
+    "max_seq_length": (r"max(?:imum)?\s+seq(?:uence)?\s+length\s*[=:of]*\s*(\d+)", r"(?:input\s+)?(?:context\s+)?length\s+of\s+(\d+)\s+token[s]?"),
 }
-#: Accelerators and their tier.
-HARDWARE = (("h100", 5), ("a100", 4), ("tpu", 4), ("v100", 3), ("3090", 3), ("p100", 2), ("2080", 2), ("1080", 1), ("k80", 1))
+#: Accelerators, their tier and the pattern of their name; how their number is written; what saves computation.
+HARDWARE = (
+    ("H100", 6, r"\bh100\b"), ("A100", 5, r"\ba100\b"), ("V100", 4, r"\bv100\b"), ("TPU", 4, r"\btpu\b"), ("T4", 3, r"\bt4\b"), ("P100", 3, r"\bp100\b"),
+    ("RTX 3/4000", 2, r"\brtx\s*[34]\d{3}"), ("GTX", 1, r"\bgtx\s*\d{4}"), ("CPU-Xeon", 0, r"\bxeon\b"),
+)
+DEVICES = r"(\d+)\s*[×x]\s*(?:nvidia\s+)?(?:gpu[s]?|h100|a100|v100|t4|p100)"
+CLUSTER = r"\b(?:distributed|multi[\s-]?(?:gpu|node)|cluster|data[\s-]?parallel|\d+\s+node[s]?)\b"
+PRECISIONS = (("bf16", "bf16"), ("fp16", "fp16"), ("fp32", "fp32"), ("mixed-precision", r"mixed[\s-]?precision"))
+SAVINGS = (("uses_quantization", "quantiz|4-bit|8-bit|int8"), ("uses_pruning", r"\bprun(?:ing|ed)\b"), ("uses_distillation", r"\b(?:distillation|distilled|knowledge[\s-]?distill)\b"))
 
 
 def setup_values(text: Column) -> dict[str, Column]:
-    """Hyper-parameters named in a text, null where not found; numbers above zero only."""
-    found = {}
-    for name, pattern in SETUP.items():
-        raw = F.regexp_extract(text, pattern, 1)
-        value = F.when(raw != "", F.lower(raw)) if name == "optimizer" else raw.try_cast("double")
-        found[name] = value if name == "optimizer" else F.when(value > 0, value)
-    t = F.lower(text)
-    tier = F.greatest(*(F.when(t.contains(n), F.lit(v)).otherwise(F.lit(0)) for n, v in HARDWARE))
-    count = F.regexp_extract(t, r"([0-9]+)\s*(?:x|×)?\s*(?:nvidia\s*)?(?:h100|a100|v100|tpu|3090|p100|2080|1080|k80|gpus?)", 1).try_cast("int")
-    return found | {"hardware_tier": F.when(tier > 0, tier), "n_devices": count}
+    """The experimental setup that a text names: hyper-parameters (null where not found or no number), hardware_tier (-1: none
+    named), n_devices, is_cluster, precision, what saves computation, and a confidence of a tenth for each thing found."""
+    t, found = F.lower(text), {}
+    for name, patterns in SETUP.items():
+        raw = F.coalesce(*(F.when(t.rlike(p), F.regexp_extract(t, p, 1)) for p in patterns))
+        number = raw.try_cast("double")
+        found[name] = raw if name == "optimizer" else F.floor(number).cast("double") if name in ("batch_size", "epochs", "warmup_steps", "max_seq_length") else number
+    found["hardware_tier"] = F.greatest(F.lit(-1), *(F.when(t.rlike(p), F.lit(tier)).otherwise(F.lit(-1)) for _, tier, p in HARDWARE))
+    found["n_devices"] = F.when(t.rlike(DEVICES), F.regexp_extract(t, DEVICES, 1)).try_cast("int")
+    found["is_cluster"] = t.rlike(CLUSTER)
+    found["precision"] = first_match(t, PRECISIONS)
+    found |= {name: t.rlike(pattern) for name, pattern in SAVINGS}
+    things = [c.isNotNull() for n, c in found.items() if n in (*SETUP, "n_devices", "precision")] + [found["hardware_tier"] >= 0, found["is_cluster"], *(found[n] for n, _ in SAVINGS)]
+    n = things[0].cast("int")
+    for x in things[1:]:
+        n = n + x.cast("int")
+    return found | {"confidence": F.least(F.lit(1.0), n / 10)}
 
 
 def setup_divergence(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
     """How far two setups lie apart: ratios of rates, batches and epochs, hardware tiers, a score in [0, 1], comparability."""
-    ratio = lambda k: F.greatest(a[k], b[k]) / F.least(a[k], b[k])  # noqa: E731  null-skipping, so guard
-    both = lambda k: a[k].isNotNull() & b[k].isNotNull()
+    ratio = lambda k: F.greatest(a[k], b[k]) / F.nullif(F.least(a[k], b[k]), F.lit(0.0))  # noqa: E731  null-skipping, so guard
+    both = lambda k: (a[k] > 0) & (b[k] > 0)
     over = lambda k, n: F.when(both(k), ratio(k) >= n).otherwise(F.lit(False))
     lr, batch, epochs = over("learning_rate", 10), over("batch_size", 8), over("epochs", 5)
-    hardware = F.when(both("hardware_tier"), F.abs(a["hardware_tier"] - b["hardware_tier"]) >= 2).otherwise(F.lit(False))
-    optimizer = F.when(both("optimizer"), a["optimizer"] != b["optimizer"]).otherwise(F.lit(False))
+    hardware = F.when((a["hardware_tier"] >= 0) & (b["hardware_tier"] >= 0), F.abs(a["hardware_tier"] - b["hardware_tier"]) >= 2).otherwise(F.lit(False))
+    optimizer = F.when(a["optimizer"].isNotNull() & b["optimizer"].isNotNull(), a["optimizer"] != b["optimizer"]).otherwise(F.lit(False))
     score = F.least(0.35 * lr.cast("int") + 0.25 * hardware.cast("int") + 0.20 * batch.cast("int") + 0.15 * epochs.cast("int") + 0.15 * optimizer.cast("int"), F.lit(1.0))
     note = F.concat_ws("; ", F.when(lr, F.lit("learning rate")), F.when(hardware, F.lit("hardware")), F.when(batch, F.lit("batch size")), F.when(epochs, F.lit("epochs")), F.when(optimizer, F.lit("optimizer")))
     return {"divergence": score, "note": note, "comparable": ~((lr & hardware) | over("learning_rate", 100))}
 
 
-#: Section types by heading, first match wins.
+#: Section types by what is found in the heading, first match wins.
 SECTIONS = (
-    ("Abstract", r"^abstract"),
-    ("Introduction", r"^introduction"),
-    ("Related Work", r"related work|prior work"),
-    ("Background", r"background|preliminar"),
-    ("Future Work", r"future work"),
-    ("Limitations", r"limitation"),
-    ("Experiments", r"experiment|evaluation"),
-    ("Results", r"result"),
-    ("Methods", r"method|approach|model|architecture"),
-    ("Discussion", r"discussion|analysis"),
+    ("Abstract", r"abstract"),
+    ("Introduction", r"introduction"),
+    ("Related Work", r"related\s+work|prior\s+work|literature\s+review"),
+    ("Background", r"^background$|^preliminar"),
+    ("Future Work", r"future\s+(research|work|direction)"),
+    ("Experiments", r"^training$|training\s+(data|detail|regime|procedure|setup|batching)|hardware|schedule|optimizer|regularization"),
+    ("Experiments", r"experiment|empirical|evaluation\s+setup|implementation\s+detail"),
+    ("Results", r"result|performance|benchmark|english\s+constituency|machine\s+translation"),
+    ("Results", r"variation|ablation|benefit\s+of|training\s+efficienc"),
+    ("Methods", r"method|approach|architecture|framework|proposed|models?"),
+    ("Discussion", r"discussion|why\s+|analysis|comparison|motivation"),
     ("Conclusion", r"conclusion|summary"),
+    ("Limitations", r"limitation"),
     ("Acknowledgements", r"acknowledg"),
-    ("References", r"references|bibliography"),
+    ("References", r"reference|bibliograph|appendix"),
 )
 
 

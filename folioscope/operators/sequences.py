@@ -88,8 +88,9 @@ def fold_fragments(rows: DataFrame, group: str, order: list[str], text: str, sho
 def bio_spans(rows: DataFrame, group: str, order: list[str], tag: str) -> DataFrame:
     """Spans of B-/I- tags: a span starts at B-, or at an I- that does not continue the type before it; O ends it."""
     w = Window.partitionBy(group).orderBy(*order)
-    kind, before = F.regexp_extract(tag, "^[BI]-(.*)$", 1), F.lag(tag).over(w)
-    starts = (F.col(tag).startswith("B-")) | (F.col(tag).startswith("I-") & ~F.coalesce(before.endswith(kind) & (before != "O"), F.lit(False)))
+    kind = F.regexp_extract(tag, "^[BI]-(.*)$", 1)
+    goes_on = (F.lag(kind).over(w) == kind) & (F.lag(tag).over(w) != "O")
+    starts = (F.col(tag).startswith("B-")) | (F.col(tag).startswith("I-") & ~F.coalesce(goes_on, F.lit(False)))
     numbered = rows.withColumn("__kind", kind).withColumn("__at", F.row_number().over(w)).withColumn("__start", starts.cast("int"))
     spans = numbered.withColumn("span", F.sum("__start").over(w)).where(F.col(tag) != "O")
     return spans.groupBy(group, "span").agg(F.first("__kind").alias("kind"), F.min("__at").alias("start"), F.max("__at").alias("end"))

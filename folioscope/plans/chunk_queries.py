@@ -13,7 +13,7 @@ _CHUNKS = """chunks AS (
   UNION ALL SELECT 'figure', page_id, url, NULL, 0 FROM pages
   UNION ALL SELECT 'claim', item_id, text, 'Results', 0 FROM benchmark
   UNION ALL SELECT 'limitation', conv_id, text, role, turn FROM conversations)"""
-_ROUTE = "CASE chunk_type WHEN 'claim' THEN 'claims_and_findings' WHEN 'limitation' THEN 'claims_and_findings' ELSE 'sections' END"
+_ROUTE = "CASE chunk_type WHEN 'claim' THEN 'claims_and_findings' WHEN 'limitation' THEN 'claims_and_findings' WHEN 'entity' THEN 'entities_global' ELSE 'paper_sections' END"
 
 
 def chunks(t: Tables) -> DataFrame:
@@ -35,15 +35,15 @@ def chunk_ids(t: Tables) -> DataFrame:
 @query(
     "chunk_union_routing",
     "WITH " + _CHUNKS + f""" SELECT substr(sha256(paper_id || '::' || text || '::' || pos), 1, 12) AS chunk_id, chunk_type, {_ROUTE} AS collection, paper_id, coalesce(section, '') AS section,
-      chunk_type || ' claim in ' || coalesce(section, '') || ':' || chr(10) || text AS embed_text FROM chunks""",
+      CASE chunk_type WHEN 'limitation' THEN 'limitation' WHEN 'future_work' THEN 'future work' ELSE 'claim' END || ' in ' || coalesce(section, '') || ':' || chr(10) || text AS embed_text FROM chunks""",
 )
 def chunk_union_routing(t: Tables) -> DataFrame:
     none = F.array().cast("array<string>")
-    text = op.claim_text(F.col("chunk_type"), F.col("section"), F.lit(None).cast("string"), F.col("text"), none)
+    text = op.claim_text(F.col("chunk_type"), F.lit(None).cast("string"), F.col("section"), F.lit(None).cast("string"), F.col("text"), none)
     return chunks(t).select(op.chunk_id(F.col("paper_id"), F.col("text"), F.col("pos")).alias("chunk_id"), "chunk_type", op.route(F.col("chunk_type")).alias("collection"), "paper_id", F.coalesce("section", F.lit("")).alias("section"), text.alias("embed_text"))
 
 
-@query("collection_counts", "WITH " + _CHUNKS + f", n AS (SELECT {_ROUTE} AS collection FROM chunks) SELECT c.collection, count(n.collection) AS n FROM (VALUES ('claims_and_findings'), ('entities'), ('sections')) AS c(collection) LEFT JOIN n USING (collection) GROUP BY 1")
+@query("collection_counts", "WITH " + _CHUNKS + f", n AS (SELECT {_ROUTE} AS collection FROM chunks) SELECT c.collection, count(n.collection) AS n FROM (VALUES ('claims_and_findings'), ('entities_global'), ('paper_sections')) AS c(collection) LEFT JOIN n USING (collection) GROUP BY 1")
 def collection_counts(t: Tables) -> DataFrame:
     names = t.spark.createDataFrame([(n,) for n in sorted(set(op.ROUTES.values()))], "collection string")
     counts = chunks(t).groupBy(op.route(F.col("chunk_type")).alias("collection")).agg(F.count(F.lit(1)).alias("n"))
@@ -88,10 +88,10 @@ def delete_refresh(t: Tables) -> DataFrame:
 
 @query(
     "array_merge_update",
-    """WITH {MENTIONS} SELECT lower(method) AS entity_id, array_to_string(list_sort(list(DISTINCT paper_id % 50)), ',') AS papers FROM mentions WHERE paper_id % 3 < 2 GROUP BY 1""",
+    """WITH {MENTIONS} SELECT lower(method) AS entity_id, array_to_string(list_sort(list(DISTINCT paper_id)), ',') AS papers FROM mentions GROUP BY 1""",
 )
 def array_merge_update(t: Tables) -> DataFrame:
-    m = t.mentions.select(F.lower("method").alias("entity_id"), (F.col("paper_id") % 50).alias("p"), (F.col("paper_id") % 3).alias("part"))
+    m = t.mentions.select(F.lower("method").alias("entity_id"), F.col("paper_id").alias("p"), (F.col("paper_id") % 2).alias("part"))
     side = lambda i: m.where(F.col("part") == i).groupBy("entity_id").agg(F.collect_set("p").alias("papers"))
     return op.merge_arrays(side(0), side(1), ["entity_id"], "papers").withColumn("papers", F.array_join("papers", ","))
 
@@ -179,14 +179,18 @@ def pseudo_sections(t: Tables) -> DataFrame:
 
 @query(
     "positional_override",
-    """WITH a AS (SELECT text, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE doc_id < 60), b AS (SELECT text, row_number() OVER (ORDER BY item_id) AS n FROM benchmark)
-    SELECT CAST(coalesce(a.n, b.n) AS INTEGER) AS n, sha256(coalesce(b.text, a.text)) AS hash, b.text IS NOT NULL AS replaced FROM a FULL JOIN b ON a.n = b.n""",
+    """WITH a AS (SELECT lang || '/' || source AS owner, text, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n FROM documents),
+    b AS (SELECT owner, text, row_number() OVER (PARTITION BY owner ORDER BY item_id) AS n FROM (SELECT DISTINCT owner FROM a) CROSS JOIN benchmark WHERE item_id % 7 = length(owner) % 7)
+    SELECT coalesce(a.owner, b.owner) AS owner, CAST(coalesce(a.n, b.n) AS INTEGER) AS n, sha256(coalesce(b.text, a.text)) AS hash, b.text IS NOT NULL AS replaced FROM a FULL JOIN b ON a.owner = b.owner AND a.n = b.n""",
 )
 def positional_override(t: Tables) -> DataFrame:
-    """The i-th better version replaces the i-th row; further ones are appended. Both lists belong to one document, so are short."""
-    nth = lambda df, key, name: df.select(F.col("text").alias(name), F.row_number().over(Window.orderBy(key)).alias("n"))
-    a, b = nth(t.documents.where("doc_id < 60"), "doc_id", "a"), nth(t.benchmark, "item_id", "b")
-    return a.join(b, "n", "full").select("n", F.sha2(F.coalesce("b", "a"), 256).alias("hash"), F.col("b").isNotNull().alias("replaced"))
+    """The i-th better version of an owner replaces its i-th row; further ones are appended. Rows are numbered within an owner."""
+    nth = lambda df, key, name: df.select("owner", F.col("text").alias(name), F.row_number().over(Window.partitionBy("owner").orderBy(key)).alias("n"))
+    docs = t.documents.withColumn("owner", F.concat_ws("/", "lang", "source")).where("lang IS NOT NULL AND source IS NOT NULL")
+    owners = docs.select("owner", (F.length("owner") % 7).alias("k")).distinct()
+    better = t.benchmark.withColumn("k", (F.col("item_id") % 7).cast("int")).join(owners, "k")
+    both = nth(docs, "doc_id", "a").join(nth(better, "item_id", "b"), ["owner", "n"], "full")
+    return both.select("owner", "n", F.sha2(F.coalesce("b", "a"), 256).alias("hash"), F.col("b").isNotNull().alias("replaced"))
 
 
 @query(

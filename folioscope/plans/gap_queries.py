@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import fixed, rank_of
-from ..functions.text import STOP_TOKENS, tokens
+from ..functions.text import STOP_TOKENS, holds_any, setup_values, tokens
 from ..operators import critique, layout
 from ..operators.entities import cooccurrence
 from .registry import Tables, query
@@ -50,14 +50,14 @@ def severity_validation(t: Tables) -> DataFrame:
     return rows.select("id", critique.validated_severity(F.col("rule"), F.col("proposed"), F.col("year"), F.col("reason")).alias("final"))
 
 
-_SINCE = " ".join(f"WHEN '{k}' THEN {v}" for k, v in critique.BASELINES.items())
-_NAMES = ["LSTM", "Word2Vec", "seq2seq", "ResNet", "Trans-former", "BERT", "GPT-2", "T5", "unheard"]
+_SINCE = "WHEN 'lstm' THEN 1997 WHEN 'word2vec' THEN 2013 WHEN 'seq2seq' THEN 2014 WHEN 'resnet' THEN 2016 WHEN 'transformer' THEN 2017 WHEN 'bert' THEN 2018 WHEN 'gpt-2' THEN 2019 WHEN 't5' THEN 2020"
+_NAMES = ["LSTM", "Word2Vec", "seq2seq", "ResNet", "Transformer", "BERT", "GPT-2", "T5", "unheard"]
 
 
 @query(
     "baseline_staleness",
     "WITH {MENTIONS}, u AS (SELECT DISTINCT paper_id, " + "[" + ", ".join(f"'{n}'" for n in _NAMES) + "]" + """[part_id % 9 + 1] AS name FROM mentions), y AS (SELECT u.*, year(o_orderdate) + 20 AS year FROM u JOIN orders ON o_orderkey = paper_id),
-    a AS (SELECT *, year - CASE regexp_replace(lower(name), '[^a-z0-9]', '', 'g') """ + _SINCE + """ END AS age FROM y)
+    a AS (SELECT *, year - CASE lower(name) """ + _SINCE + """ END AS age FROM y)
     SELECT paper_id, name, CAST(age AS BIGINT) AS age, CASE WHEN age > 7 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM a WHERE age > 4""",
 )
 def baseline_staleness(t: Tables) -> DataFrame:
@@ -82,19 +82,18 @@ def narrow_coverage_gaps(t: Tables) -> DataFrame:
 
 @query(
     "combinatorial_gaps",
-    """WITH {MENTIONS}, e AS (SELECT * FROM mentions WHERE paper_id % 50 = 0), mt AS (SELECT DISTINCT method, task FROM e), td AS (SELECT DISTINCT a.task, b.dataset FROM e AS a JOIN e AS b USING (paper_id)),
+    """WITH {MENTIONS}, e AS (SELECT paper_id, part_id AS method, task, dataset FROM mentions), mt AS (SELECT DISTINCT method, task FROM e), td AS (SELECT DISTINCT a.task, b.dataset FROM e AS a JOIN e AS b USING (paper_id)),
     md AS (SELECT DISTINCT a.method, b.dataset FROM e AS a JOIN e AS b USING (paper_id)),
     g AS (SELECT method, dataset, count(DISTINCT task) AS n_shared FROM mt JOIN td USING (task) ANTI JOIN md USING (method, dataset) GROUP BY 1, 2)
-    SELECT method, dataset, n_shared, CASE WHEN n_shared >= 4 THEN 'HIGH' WHEN n_shared >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS priority, floor(least(0.4 + 0.15 * n_shared, 0.95)::DOUBLE * 10000 + 0.5) / 10000 AS confidence FROM g""".replace("WHERE paper_id % 50 = 0", "WHERE paper_id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%' AND o_orderstatus = 'P' AND o_totalprice > 450000)"),
+    SELECT method, dataset, n_shared, CASE WHEN n_shared >= 4 THEN 'HIGH' WHEN n_shared >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS priority, floor(least(0.4 + 0.15 * n_shared, 0.9)::DOUBLE * 10000 + 0.5) / 10000 AS confidence FROM g""",
 )
 def combinatorial_gaps(t: Tables) -> DataFrame:
-    """Datasets of a task that another paper tested, for methods of that task that were never tried on them."""
-    chosen = t.orders.where("o_orderpriority LIKE '1%' AND o_orderstatus = 'P' AND o_totalprice > 450000").select(F.col("o_orderkey").alias("paper_id"))
-    e = t.mentions.join(chosen, "paper_id", "left_semi")
+    """Datasets of a task that another paper tested, for methods of that task that were never tried on them; a part is a method."""
+    e = t.mentions.select("paper_id", F.col("part_id").alias("method"), "task", "dataset")
     reach = e.select("method", "task").distinct().join(cooccurrence(e, "task", "dataset"), "task")
     gaps = reach.join(cooccurrence(e, "method", "dataset"), ["method", "dataset"], "left_anti").groupBy("method", "dataset").agg(F.count_distinct("task").alias("n_shared"))
     priority = F.when(F.col("n_shared") >= 4, "HIGH").when(F.col("n_shared") >= 2, "MEDIUM").otherwise("LOW")
-    return gaps.select("method", "dataset", "n_shared", priority.alias("priority"), fixed(F.least(0.4 + 0.15 * F.col("n_shared"), F.lit(0.95))).alias("confidence"))
+    return gaps.select("method", "dataset", "n_shared", priority.alias("priority"), fixed(F.least(0.4 + 0.15 * F.col("n_shared"), F.lit(0.9))).alias("confidence"))
 
 
 @query(
@@ -126,17 +125,22 @@ def addressed_later(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id").join(hits, "item_id", "left").select("item_id", (n > 0).alias("addressed"), n.alias("n_later"))
 
 
-@query(
-    "complement_signals",
-    """WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 7 AND regexp_matches(x, '^[a-z]'))) AS t FROM documents WHERE lang = 'en'),
-    b AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 7 AND regexp_matches(x, '^[a-z]'))) AS t FROM benchmark)
-    SELECT doc_id, item_id, len(list_intersect(d.t, b.t)) AS n_shared, CASE WHEN len(list_intersect(d.t, b.t)) >= 6 THEN 0.9 ELSE 0.65 END::DOUBLE AS confidence FROM d JOIN b ON len(list_intersect(d.t, b.t)) >= 3""",
-)
+#: Words of a limitation that what saves computation answers.
+_SCARCE = ("memory", "edge", "mobile", "resource", "parameter", "compute", "lightweight")
+
+
+@query("complement_signals")
 def complement_signals(t: Tables) -> DataFrame:
-    """Limitations of one text that claims of another speak to: three or more shared words."""
-    words = lambda df, key: df.select(key, F.explode(F.filter(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+")), lambda x: (F.length(x) >= 7) & x.rlike("^[a-z]"))).alias("w"))
-    shared = words(t.documents.where("lang = 'en'"), "doc_id").join(words(t.benchmark, "item_id"), "w").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
-    return shared.where("n_shared >= 3").withColumn("confidence", F.when(F.col("n_shared") >= 6, 0.9).otherwise(0.65))
+    """Limitations of one text that claims of another speak to: three or more shared words of three letters or more, stop words
+    left out. 0.9 where the limitation is about scarce means and the claim's text names what saves them, else 0.65."""
+    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z][a-z0-9\-]{2,}\b"), F.lit(0))))
+    words = lambda df, key: df.select(key, word.alias("w")).where(~F.col("w").isin(STOP_TOKENS))
+    shared = words(t.documents, "doc_id").join(words(t.benchmark, "item_id"), "w").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared")).where("n_shared >= 3")
+    scarce = t.documents.select("doc_id", holds_any(F.lower("text"), _SCARCE).alias("scarce"))
+    savings = setup_values(F.col("text"))
+    saves = t.benchmark.select("item_id", (savings["uses_quantization"] | savings["uses_pruning"] | savings["uses_distillation"]).alias("saves"))
+    found = shared.join(scarce, "doc_id").join(saves, "item_id")
+    return found.select("doc_id", "item_id", "n_shared", F.when(F.col("scarce") & F.col("saves"), 0.9).otherwise(0.65).alias("confidence"))
 
 
 @query("citation_link", "WITH c AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 100 AS b FROM lineitem), p AS (SELECT a.s_suppkey AS paper_a, b.s_suppkey AS paper_b FROM supplier AS a JOIN supplier AS b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey) SELECT paper_a, paper_b, EXISTS (SELECT 1 FROM c WHERE c.a = paper_a AND c.b = paper_b OR c.a = paper_b AND c.b = paper_a) AS linked FROM p")
@@ -247,26 +251,21 @@ def document_tokens(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(tokens(F.col("text"))).alias("n_tokens"))
 
 
-def _drain(t: Tables, stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what is there now, into a table in the shared folder, and read it."""
-    import uuid
+_TUMBLING = "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
 
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/folioscope-streams"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    run = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/state").option("path", f"{path}/data").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return t.spark.read.schema(stream.schema).parquet(f"{path}/data")
 
-
-@query("batch_tumbling", "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query("batch_tumbling", _TUMBLING)
 def batch_tumbling(t: Tables) -> DataFrame:
     from ..streaming.events import tumbling_counts
 
     return tumbling_counts(t.events.withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("batch_sessions", """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL '30 minutes' THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM e)
-    SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '30 minutes' AS session_end, count(*) AS n FROM s GROUP BY user_id, s""")
+_SESSIONS = """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL '30 minutes' THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM e)
+    SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '30 minutes' AS session_end, count(*) AS n FROM s GROUP BY user_id, s"""
+
+
+@query("batch_sessions", _SESSIONS)
 def batch_sessions(t: Tables) -> DataFrame:
     from ..streaming.events import session_counts
 
@@ -274,22 +273,23 @@ def batch_sessions(t: Tables) -> DataFrame:
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
-@query("stream_tumbling")
+@query("stream_tumbling", _TUMBLING)
 def stream_tumbling(t: Tables) -> DataFrame:
-    from ..streaming.events import read_events, tumbling_counts
+    from ..streaming.events import drain, read_events, tumbling_counts
 
-    return _drain(t, tumbling_counts(read_events(t.spark, t._dir)), "tumbling")
+    return drain(t.spark, read_events(t.spark, t._dir), tumbling_counts, "tumbling", close=True).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("stream_sessions")
+@query("stream_sessions", _SESSIONS)
 def stream_sessions(t: Tables) -> DataFrame:
-    from ..streaming.events import read_events, session_counts
+    from ..streaming.events import drain, read_events, session_counts
 
-    return _drain(t, session_counts(read_events(t.spark, t._dir)), "sessions")
+    out = drain(t.spark, read_events(t.spark, t._dir), session_counts, "sessions", close=True)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
 @query("stream_dedup")
 def stream_dedup(t: Tables) -> DataFrame:
-    from ..streaming.events import first_events, read_events
+    from ..streaming.events import drain, first_events, read_events
 
-    return _drain(t, first_events(read_events(t.spark, t._dir).select("user_id", "event_type", "ts"), ["user_id", "event_type"]), "dedup")
+    return drain(t.spark, read_events(t.spark, t._dir).select("user_id", "event_type", "ts"), lambda events: first_events(events, ["user_id", "event_type"]), "dedup", close=False)

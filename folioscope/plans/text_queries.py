@@ -13,12 +13,15 @@ from .registry import Tables, query
 METRIC_CASES = [
     ("BLEU score", "bleu"), ("bleu", "bleu"), ("BLEU-4", "bleu"), ("tokenized BLEU", "bleu"), ("SacreBLEU", "bleu"), ("val perplexity", "perplexity"), ("validation perplexity", "perplexity"),
     ("ppl", "perplexity"), ("NLL", "nll"), ("negative log likelihood", "nll"), ("cross entropy", "nll"), ("Top-1 Accuracy", "top-1"), ("top-5 acc", "top-5"), ("F1 score", "f1"),
-    ("macro-F1", "f1-macro"), ("ROUGE-L", "rouge-l"), ("rouge1", "rouge-1"), ("WER", "wer"),
+    ("macro-F1", "f1-macro"), ("ROUGE-L", "rouge-l"), ("rouge1", "rouge-1"), ("WER", "wer"), ("training time", "training-time"), ("rouge", "rouge-l"), ("weighted f1", "f1-weighted"), ("test loss", "nll"),
+    ("top-3 acc", "top-3"), ("perplexity", "perplexity"), ("Detection Rate", "detection"), ("val acc", "accuracy"), ("character error rate", "character error"), ("cer", "cer"), ("micro f1", "f1-micro"), ("mAP", "map"),
 ]
 DATASET_CASES = [
     ("WMT'14 En-De", "wmt14-en-de"), ("WMT 2014 English-German dataset", "wmt14-en-de"), ("wmt 2014 english-german dataset", "wmt14-en-de"), ("WMT'14 En-Fr", "wmt14-en-fr"),
     ("WMT 2016 English-German", "wmt16-en-de"), ("WMT'20 English-Chinese", "wmt20-en-zh"), ("newstest2014", "newstest2014"), ("ntst14", "newstest2014"), ("SQuAD 1.1", "squad-v1"),
     ("squad v2.0", "squad-v2"), ("MNLI", "glue-mnli"), ("Penn Treebank", "penn-treebank"), ("WSJ", "penn-treebank"), ("ImageNet", "imagenet-1k"), ("IWSLT14 De-En", "iwslt14-de-en"), ("CIFAR-10", "cifar-10"),
+    ("squad", "squad-v1"), ("snli", "glue-snli"), ("foo dataset", "foo"), ("wall street journal", "penn-treebank"), ("tiny imagenet", "tiny imagenet"), ("SST-2", "glue-sst2"), ("glue mnli matched", "glue-mnli"),
+    ("wmt", "wmt"), ("WMT 19", "wmt19"), ("ilsvrc 2012", "imagenet-1k"), ("cifar 100", "cifar-100"), ("iwslt 2017 German to English", "iwslt17-de-en"), ("PeMSD7", "pemsd7"), ("newstest19", "newstest2019"),
 ]
 
 
@@ -61,21 +64,36 @@ def keyword_signals(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", *(low.rlike(p).alias(f"has_{n}") for n, p in tx.SIGNALS.items()), (F.size(F.split(low, "model")) - 1).alias("n_model"))
 
 
-@query("limitation_filter", f"SELECT doc_id, length(text) > 20 AND regexp_matches(lower(text), '{tx.REAL}') AND NOT regexp_matches(lower(text), '{tx.HOLLOW}') AS meaningful FROM documents")
+_REAL = (
+    "scalability|generalization|long-range|sequential|parallelization|efficiency|modalities|tasks beyond|not tested|restricted to|only evaluated|computational cost|training cost|cannot handle|lack of|absence of|limited to|"
+    "does not|unable to|fixed-length|quadratic|out-of-domain|domain|interpretability|explainab|low-resource|multimodal|multi-modal|structured|variable-length|memory|context length|generalise|generaliz|require|constraint|"
+    "limitation|beyond translation|non-english|other languages"
+)
+_ENDS = ["", " The cost is quadratic in memory.", " Dropout is limited to one layer only.", " Results might be due to a small number of runs.", " It does not cover other languages."]
+
+
+@query(
+    "limitation_filter",
+    f"""WITH d AS (SELECT doc_id, lower(text || CASE doc_id % 5 {" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_ENDS))} END) AS t FROM documents)
+    SELECT doc_id, regexp_matches(t, '{_REAL}') AND NOT regexp_matches(t, 'd_k|beam size|dropout|label smoothing') AS meaningful FROM d""",
+)
 def limitation_filter(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", tx.meaningful_limitation(F.col("text")).alias("meaningful"))
+    end = F.element_at(F.array(*(F.lit(x) for x in _ENDS)), (F.col("doc_id") % 5 + 1).cast("int"))
+    return t.documents.select("doc_id", tx.meaningful_limitation(F.concat("text", end)).alias("meaningful"))
 
 
-_NAMES = "SELECT DISTINCT p_name || CASE p_size % 5 WHEN 0 THEN ' lstm' WHEN 1 THEN ' self-attention' WHEN 2 THEN ' convnet' WHEN 3 THEN ' model' ELSE '' END AS name FROM part"
+_NAMES = "SELECT DISTINCT p_name || CASE p_size % 5 WHEN 0 THEN ' lstm' WHEN 1 THEN ' self-attention' WHEN 2 THEN ' convnet' WHEN 3 THEN ' code' ELSE ' gpu' END AS name FROM part"
 
 
 @query(
     "method_family",
-    f"""WITH n AS ({_NAMES}) SELECT name, CASE WHEN regexp_matches(lower(name), '{tx.NOT_METHODS}') THEN 'NOT' WHEN regexp_matches(lower(name), '{tx.WEAK_METHODS}') OR len(regexp_split_to_array(trim(lower(name)), '\\s+')) >= 2 THEN 'WEAK' ELSE 'VALID' END AS class,
-    CASE {" ".join(f"WHEN regexp_matches(lower(trim(name)), '{p}') THEN '{n}'" for n, p in tx.FAMILIES)} ELSE lower(trim(name)) END AS family FROM n""",
+    f"""WITH n AS ({_NAMES}), l AS (SELECT name, lower(name) AS m FROM n)
+    SELECT name, CASE WHEN regexp_matches(m, 'gpu|dgx|tesla|system') THEN 'NOT_METHOD' WHEN regexp_matches(m, 'representation|function|code|transformation|processing') THEN 'WEAK_METHOD'
+      WHEN regexp_matches(m, 'lstm|rnn|transformer|attention|cnn|bert') THEN 'VALID_METHOD' WHEN len(string_split(m, ' ')) >= 2 THEN 'WEAK_METHOD' ELSE 'NOT_METHOD' END AS class,
+      CASE WHEN regexp_matches(m, 'lstm|rnn') THEN 'recurrent models' WHEN regexp_matches(m, 'transformer|attention') THEN 'transformer models' WHEN regexp_matches(m, 'cnn|conv') THEN 'convolutional models' ELSE m END AS family FROM l""",
 )
 def method_family(t: Tables) -> DataFrame:
-    tail = F.when(F.col("p_size") % 5 == 0, " lstm").when(F.col("p_size") % 5 == 1, " self-attention").when(F.col("p_size") % 5 == 2, " convnet").when(F.col("p_size") % 5 == 3, " model").otherwise("")
+    tail = F.when(F.col("p_size") % 5 == 0, " lstm").when(F.col("p_size") % 5 == 1, " self-attention").when(F.col("p_size") % 5 == 2, " convnet").when(F.col("p_size") % 5 == 3, " code").otherwise(" gpu")
     names = t.part.select(F.concat("p_name", tail).alias("name")).distinct()
     return names.select("name", tx.method_class(F.col("name")).alias("class"), tx.method_family(F.col("name")).alias("family"))
 
@@ -106,9 +124,10 @@ _SENTENCES = [
     (2, "Trained with SGD, lr = 0.1, batch size = 1024, 90 epochs, weight decay 0.0001 on 4 A100 GPUs."),
     (3, "A 12-layer model with hidden size 768, learning rate 1e-5, on one K80."),
     (4, "No setup is given."),
-    (5, "RMSprop, learning rate: 0.00001; batch size of 16; 500 epochs on 2 1080 GPUs."),
+    (5, "RMSprop, learning rate: 0.00001; batch size of 16; 500 epochs on 2 x GTX 1080."),
+    (6, "AdamW, lr = 0.0001, mini-batches of 32, trained for 10 epochs with linear warmup over 4000 steps and a maximum sequence length of 512 in bf16 on 8 x H100, T4 for tests."),
 ]
-_SETUPS = [(1, 0.001, 64.0, 50.0, "adam", 3), (2, 0.1, 1024.0, 90.0, "sgd", 4), (3, 1e-5, None, None, None, 1), (4, None, None, None, None, None), (5, 0.00001, 16.0, 500.0, "rmsprop", 1)]
+_SETUPS = [(1, 0.001, 64.0, 50.0, "adam", 4), (2, 0.1, 1024.0, 90.0, "sgd", 5), (3, 1e-5, None, None, None, -1), (4, None, None, None, None, -1), (5, 0.00001, 16.0, 500.0, "rmsprop", 1), (6, 0.0001, 32.0, 10.0, "adamw", 6)]
 _SETUP_SQL = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"CAST({v!r} AS DOUBLE)" if isinstance(v, float) else str(v) for v in r) + ")" for r in _SETUPS)
 _SETUP_VIEW = f"s(id, learning_rate, batch_size, epochs, optimizer, hardware_tier) AS (VALUES {_SETUP_SQL})"
 
@@ -128,7 +147,7 @@ def setup_extraction(t: Tables) -> DataFrame:
     f"""WITH {_SETUP_VIEW}, p AS (SELECT a.id AS a, b.id AS b,
       coalesce(greatest(a.learning_rate, b.learning_rate) / least(a.learning_rate, b.learning_rate) >= 10 AND a.learning_rate IS NOT NULL AND b.learning_rate IS NOT NULL, false) AS lr,
       coalesce(greatest(a.learning_rate, b.learning_rate) / least(a.learning_rate, b.learning_rate) >= 100 AND a.learning_rate IS NOT NULL AND b.learning_rate IS NOT NULL, false) AS lr100,
-      coalesce(abs(a.hardware_tier - b.hardware_tier) >= 2, false) AS hw,
+      coalesce(abs(a.hardware_tier - b.hardware_tier) >= 2 AND a.hardware_tier >= 0 AND b.hardware_tier >= 0, false) AS hw,
       coalesce(greatest(a.batch_size, b.batch_size) / least(a.batch_size, b.batch_size) >= 8 AND a.batch_size IS NOT NULL AND b.batch_size IS NOT NULL, false) AS bs,
       coalesce(greatest(a.epochs, b.epochs) / least(a.epochs, b.epochs) >= 5 AND a.epochs IS NOT NULL AND b.epochs IS NOT NULL, false) AS ep, coalesce(a.optimizer <> b.optimizer, false) AS opt
       FROM s AS a JOIN s AS b ON a.id < b.id)

@@ -55,7 +55,7 @@ def read_document(xml: str) -> dict:
             sections.append({"heading": running_text(div.find(f"{SPACE}head")), "text": text})
     figures, tables = [], []
     for fig in root.iter(f"{SPACE}figure"):
-        label, caption = running_text(fig.find(f"{SPACE}head")), running_text(fig.find(f"{SPACE}figDesc"))
+        label, caption = running_text(fig.find(f"{SPACE}label")), running_text(fig.find(f"{SPACE}figDesc"))
         if fig.get("type") == "table":
             rows = [[t for t in (running_text(c) for c in row.iter(f"{SPACE}cell")) if t] for row in fig.iter(f"{SPACE}row")]
             if rows := [r for r in rows if r]:

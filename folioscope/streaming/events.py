@@ -1,10 +1,15 @@
-"""Streams of events: windows with watermarks and deduplication (an extension; the batch forms give the same rows)."""
+"""Streams of events: windows with watermarks and deduplication (an extension; drained to the end, the batch forms give the same rows)."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet", files_per_trigger: int = 1) -> DataFrame:
     """A file stream of events whose time is a proper event time."""
@@ -30,3 +35,23 @@ def first_events(events: DataFrame, key: list[str], late: str = "1 hour") -> Dat
     if events.isStreaming:
         return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
     return events.groupBy(*key).agg(F.min("ts").alias("ts"))
+
+
+def drain(spark: SparkSession, events: DataFrame, rows_of: Callable[[DataFrame], DataFrame], name: str, close: bool) -> DataFrame:
+    """What a stream of events gives when it has been read to its end.
+
+    The watermark holds the last windows back. With ``close``, once all files are read, a second source gives one event far in the
+    future; it moves the watermark past every window, and its own window never ends.
+    """
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    closing = events.schema
+    marker = spark.createDataFrame([tuple(None for _ in closing)], closing).withColumn("ts", F.lit("2999-01-01").cast("timestamp"))
+    marker.limit(0).write.parquet(f"{path}/closing")
+    both = events.unionByName(spark.readStream.schema(closing).parquet(f"{path}/closing"))
+    stream = rows_of(both)
+    for last in (False, True)[: 2 if close else 1]:
+        if last:
+            marker.write.mode("append").parquet(f"{path}/closing")
+        run = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/state").option("path", f"{path}/data").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/data")

@@ -39,6 +39,47 @@ def test_upserts_are_idempotent(spark):
         assert {tuple(r) for r in once.collect()} == want == {tuple(r) for r in chunks.upsert(once, new, ["k"], last).collect()}
 
 
+def test_upserts_keep_one_row_a_key(spark):
+    row = "k int, v string"
+    old, new = spark.createDataFrame([(1, "a"), (None, "n")], row), spark.createDataFrame([(2, "c"), (2, "b"), (None, "m"), (None, "o")], row)
+    for last, want in ((True, {(1, "a"), (2, "c"), (None, "o")}), (False, {(1, "a"), (None, "n"), (2, "b")})):
+        once = chunks.upsert(old, new, ["k"], last)
+        assert sorted(map(str, once.collect())) == sorted(map(str, [type(once.first())(k=k, v=v) for k, v in want]))
+        assert once.count() == chunks.upsert(once, new, ["k"], last).count() == 3
+
+
+def test_embedded_texts(spark):
+    df = spark.createDataFrame([("limitation", "performance", "Results", "Speed", "It is slow.", ["A", "B"])], "ct string, claim string, section string, heading string, text string, names array<string>")
+    c = F.col
+    none = F.lit(None).cast("string")
+    made = df.select(
+        chunks.claim_text(c("ct"), c("claim"), c("section"), c("heading"), c("text"), c("names")),
+        chunks.claim_text(F.lit("claim"), c("claim"), c("section"), c("section"), c("text"), F.array().cast("array<string>")),
+        chunks.claim_text(F.lit("claim"), none, none, none, c("text"), F.lit(None).cast("array<string>")),
+        chunks.entity_text(F.lit("method"), F.lit("STGCN"), c("section"), F.array(F.lit("Abstract"), F.lit("Results")), F.lit("T")),
+        chunks.section_text(c("section"), c("heading"), c("text"), F.lit("T")),
+        chunks.figure_text(F.lit("2"), F.lit("A plot."), F.lit("T")),
+        chunks.figure_text(F.lit(""), F.lit("A plot."), F.lit("T")),
+    ).first()
+    assert list(made) == [
+        "limitation in Results | Speed:\nIt is slow.\nentities: A, B", "performance claim in Results:\nIt is slow.", "claim in :\nIt is slow.", "method: STGCN\nappears in: Results, Abstract\npaper: T",
+        "Results section — Speed | paper: T\n\nIt is slow.", "figure 2 caption | paper: T:\nA plot.", "figure caption | paper: T:\nA plot.",
+    ]
+
+
+def test_rules_on_cases_of_their_own(spark):
+    df = spark.createDataFrame([("dgx",), ("adam",), ("transformer base",), ("graph system",), ("code model",), ("pointer net",), ("convnet",)], "n string")
+    assert [tuple(r) for r in df.select(tx.method_class(F.col("n")), tx.method_family(F.col("n"))).collect()] == [
+        ("NOT_METHOD", "dgx"), ("NOT_METHOD", "adam"), ("VALID_METHOD", "transformer models"), ("NOT_METHOD", "graph system"), ("WEAK_METHOD", "code model"), ("WEAK_METHOD", "pointer net"), ("NOT_METHOD", "convolutional models"),
+    ]
+    kinds = {"Hardware and Schedule": "Experiments", "Why Self-Attention": "Discussion", "Appendix": "References", "Benchmark": "Results", "2 Background": "Background", "Model": "Methods", "x": "Unknown"}
+    assert {r[0]: r[1] for r in spark.createDataFrame([(k,) for k in kinds], "h string").select("h", tx.section_type(F.col("h"))).collect()} == kinds
+    said = {"quadratic memory in context length hurts scalability": True, "dropout is limited to one layer only": False, "You stupid worthless trash": False, "Only a few runs": False}
+    assert {r[0]: r[1] for r in spark.createDataFrame([(k,) for k in said], "t string").select("t", tx.meaningful_limitation(F.col("t"))).collect()} == said
+    asked = {"what is bert?": "entity_lookup", "give an overview": "literature_review", "which pairs have not been tested": "gap", "hello": "general", "does it conflict": "comparison"}
+    assert {r[0]: r[1] for r in spark.createDataFrame([(k,) for k in asked], "q string").select("q", tx.intent(F.col("q"))).collect()} == asked
+
+
 def test_filters_compile(spark):
     df = spark.createDataFrame([(i, "x" if i % 2 else "y") for i in range(10)], "n int, s string")
     count = lambda where: df.where(chunks.compile_filter(where)).count()
@@ -87,8 +128,8 @@ def test_results_do_not_depend_on_partitions(spark):
 
 
 def test_spans_of_tags(spark):
-    rows = spark.createDataFrame(list(enumerate(["B-a", "I-a", "O", "I-b", "B-b", "I-a"])), "i int, tag string").withColumn("g", F.lit(1))
-    assert [(r.kind, r.start, r.end) for r in sequences.bio_spans(rows, "g", ["i"], "tag").orderBy("start").collect()] == [("a", 1, 2), ("b", 4, 4), ("b", 5, 5), ("a", 6, 6)]
+    rows = spark.createDataFrame(list(enumerate(["B-a", "I-a", "O", "I-b", "B-b", "I-a", "B-subtask", "I-task"])), "i int, tag string").withColumn("g", F.lit(1))
+    assert [(r.kind, r.start, r.end) for r in sequences.bio_spans(rows, "g", ["i"], "tag").orderBy("start").collect()] == [("a", 1, 2), ("b", 4, 4), ("b", 5, 5), ("a", 6, 6), ("subtask", 7, 7), ("task", 8, 8)]
 
 
 def test_last_claims_win(spark):
@@ -99,7 +140,7 @@ def test_last_claims_win(spark):
 TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title type="main">A Title</title></titleStmt><sourceDesc><biblStruct><analytic>
 <author><persName><forename>Ada</forename><surname>Byron</surname></persName></author></analytic><monogr><imprint><date when="2018-05-01"/></imprint></monogr><idno type="DOI">10.1/x</idno></biblStruct></sourceDesc></fileDesc>
 <profileDesc><abstract><p>Short.</p></abstract></profileDesc></teiHeader><text><body><div><head n="1">1 Introduction</head><p>One <ref>[1]</ref>two.</p></div><div><head>Methods</head><p>Three.</p><p>Four.</p></div>
-<figure xml:id="f0"><head>Figure 1</head><figDesc>A figure that shows the thing.</figDesc></figure><figure type="table" xml:id="t0"><head>Table 1</head><figDesc>Numbers</figDesc><table><row><cell>a</cell><cell>1</cell></row><row><cell></cell></row></table></figure></body></text></TEI>"""
+<figure xml:id="f0"><head>Figure 1</head><label>1</label><figDesc>A figure that shows the thing.</figDesc></figure><figure type="table" xml:id="t0"><head>Table 1</head><label>2</label><figDesc>Numbers</figDesc><table><row><cell>a</cell><cell>1</cell></row><row><cell></cell></row></table></figure></body></text></TEI>"""
 
 
 def test_tei_is_read_into_parts(spark):
@@ -109,7 +150,7 @@ def test_tei_is_read_into_parts(spark):
     d = p["p"].document
     assert (d.title, d.authors, d.year, d.doi, d.abstract) == ("A Title", ["Ada Byron"], 2018, "10.1/x", "Short.")
     assert [(s.heading, s.text) for s in d.sections] == [("1 Introduction", "One two."), ("Methods", "Three.\nFour.")]
-    assert [f.figure_id for f in d.figures] == ["f0"] and [t.rows for t in d.tables] == [[["a", "1"]]]
+    assert [(f.figure_id, f.label) for f in d.figures] == [("f0", "1")] and [t.label for t in d.tables] == ["2"] and [t.rows for t in d.tables] == [[["a", "1"]]]
 
 
 def test_feed_entries(spark):
