@@ -72,19 +72,6 @@ def normalise(rows: DataFrame, group: str, value: str, to: str) -> DataFrame:
     return rows.withColumn(to, (F.col(value) - F.avg(value).over(w)) / (F.stddev_pop(value).over(w) + 1e-8))
 
 
-def fold_fragments(rows: DataFrame, group: str, order: list[str], text: str, short: int, sep: str = " ") -> DataFrame:
-    """Fragments under ``short`` characters join the text before them, one after the other; returns the merged texts in order."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("t")))), lambda p: p["t"])
-    empty = F.array().cast("array<string>")
-
-    def step(acc: Column, t: Column) -> Column:
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit(sep), t)))
-        return F.when((F.size(acc) > 0) & (F.length(t) < short), joined).otherwise(F.concat(acc, F.array(t)))
-
-    folded = rows.groupBy(group).agg(F.aggregate(parts, empty, step).alias("merged"))
-    return folded.select(group, F.posexplode("merged").alias("pos", text))
-
-
 def bio_spans(rows: DataFrame, group: str, order: list[str], tag: str) -> DataFrame:
     """Spans of B-/I- tags: a span starts at B-, or at an I- that does not continue the type before it; O ends it."""
     w = Window.partitionBy(group).orderBy(*order)

@@ -142,11 +142,6 @@ def advantage_normalised(t: Tables) -> DataFrame:
     return op.normalise(episodes(t), "session_id", "reward", "z").select("session_id", "episode", fixed(F.col("z")).alias("z"))
 
 
-@query("formula_fragment_merge")
-def formula_fragment_merge(t: Tables) -> DataFrame:
-    return op.fold_fragments(t.conversations, "conv_id", ORDER, "text", 60)
-
-
 @query(
     "session_reward",
     """WITH {CLAIMS}, s AS (SELECT paper_id AS session_id, CASE metric WHEN 'error' THEN 1.0 WHEN 'purchase' THEN 0.6 WHEN 'signup' THEN 0.3 END AS sev, value, dataset FROM claims)

@@ -35,7 +35,7 @@ def running_text(node: ElementTree.Element | None) -> str:
             parts.append(child.tail or "")
 
     walk(node)
-    return re.sub(r"\s+", " ", "".join(parts)).strip()
+    return re.sub(r"\s+", " ", " ".join(parts)).strip()
 
 
 def read_document(xml: str) -> dict:
