@@ -133,7 +133,7 @@ _SCARCE = ("memory", "edge", "mobile", "resource", "parameter", "compute", "ligh
 def complement_signals(t: Tables) -> DataFrame:
     """Limitations of one text that claims of another speak to: three or more shared words of three letters or more, stop words
     left out. 0.9 where the limitation is about scarce means and the claim's text names what saves them, else 0.65."""
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z][a-z0-9\-]{2,}\b"), F.lit(0))))
+    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b[a-z][a-z0-9\-]{2,}\b"), F.lit(0))))
     words = lambda df, key: df.select(key, word.alias("w")).where(~F.col("w").isin(STOP_TOKENS))
     shared = words(t.documents, "doc_id").join(words(t.benchmark, "item_id"), "w").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared")).where("n_shared >= 3")
     scarce = t.documents.select("doc_id", holds_any(F.lower("text"), _SCARCE).alias("scarce"))

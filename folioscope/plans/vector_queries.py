@@ -79,12 +79,12 @@ def softmax_masked(t: Tables) -> DataFrame:
 
 @query(
     "linucb_sufficient_stats",
-    """WITH x AS (SELECT label, (vec_id % 7) / 7.0 AS r, unnest(range(1, 9)) AS i, embedding FROM embeddings), y AS (SELECT label, r, i, unnest(range(1, 9)) AS j, embedding FROM x)
+    """WITH x AS (SELECT label, (vec_id % 7) / 7.0 AS r, unnest(range(1, 65)) AS i, embedding FROM embeddings), y AS (SELECT label, r, i, unnest(range(1, 65)) AS j, embedding FROM x)
     SELECT label, CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, floor(sum(embedding[i]::DOUBLE * embedding[j]::DOUBLE) * 1000000 + 0.5) / 1000000 AS a,
       floor(sum(CASE WHEN i = j THEN embedding[i]::DOUBLE * r END) * 1000000 + 0.5) / 1000000 AS b FROM y WHERE i <= j GROUP BY 1, 2, 3""",
 )
 def linucb_sufficient_stats(t: Tables) -> DataFrame:
-    rows = t.embeddings.select("label", F.slice("embedding", 1, 8).alias("x"), ((F.col("vec_id") % 7) / 7.0).alias("r"))
+    rows = t.embeddings.select("label", F.col("embedding").alias("x"), ((F.col("vec_id") % 7) / 7.0).alias("r"))
     return ranking.linucb_statistics(rows, "label", "x", "r").select("label", "i", "j", fixed(F.col("a"), 6).alias("a"), fixed(F.col("b"), 6).alias("b"))
 
 
