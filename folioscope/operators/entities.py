@@ -89,12 +89,15 @@ def canonical_key(text: Column) -> Column:
 
 
 def canonical_entities(mentions: DataFrame, kind: str, raw: str, paper: str = "paper_id") -> DataFrame:
-    """entity_id = kind::canonical text, with its sorted raw variants and papers."""
+    """entity_id = kind::canonical text, with its sorted raw variants, its number of papers and the first of them.
+
+    Which papers they are is a join on the entity away; a list of them would be as long as the entity is common.
+    """
     name = canonical_key(F.col(raw))
     return (
         mentions.select(F.concat_ws("::", F.lit(kind), name).alias("entity_id"), name.alias("canonical_text"), raw, paper)
         .groupBy("entity_id", "canonical_text")
-        .agg(F.array_sort(F.collect_set(raw)).alias("raw_variants"), F.array_sort(F.collect_set(paper)).alias("papers_seen_in"))
+        .agg(F.array_sort(F.collect_set(raw)).alias("raw_variants"), F.count_distinct(paper).alias("n_papers"), F.min(paper).alias("first_paper"))
     )
 
 

@@ -196,6 +196,44 @@ def judged_weakness(kind: Column, description: Column, evidence: Column, truth:
     return {"reason": reason, "confidence": F.when(loose, F.lit(0.60)).otherwise(confidence), "needs_review": loose}
 
 
+#: What each kind of step adds to a session's context, and what their order and breadth add.
+STEP_WEIGHTS = {"run_comparator": 0.35, "run_critic": 0.30, "run_gap_detector": 0.25}
+IN_ORDER, WITH_GAPS = 0.05, 0.05
+
+
+def context_score(ran: Column) -> Column:
+    """How much of a session's context its steps (an array, in order) have built, at most 1: weights of those that ran, more where
+    papers were compared before they were criticised, and where gaps were looked for beside either."""
+    at = {k: F.array_position(ran, k) for k in STEP_WEIGHTS}
+    score = F.lit(0.0)
+    for k, w in STEP_WEIGHTS.items():
+        score = score + F.when(at[k] > 0, w).otherwise(0.0)
+    compared, criticised, gaps = at.values()
+    score = score + F.when((compared > 0) & (compared < criticised), IN_ORDER).otherwise(0.0)
+    return F.least(score + F.when(((compared > 0) | (criticised > 0)) & (gaps > 0), WITH_GAPS).otherwise(0.0), F.lit(1.0))
+
+
+#: Fixed value: characters of an abstract that a record shows.
+ABSTRACT = 1000
+
+
+def paper_records(papers: DataFrame) -> DataFrame:
+    """One flat record a paper: title (else its id, else unknown), authors as JSON, year (0: null), venue, the beginning of the
+    abstract, and how many claims, entities and limitations it has. ``papers`` as read by the catalog; absent lists count as empty."""
+    meta = F.col("metadata")
+    filled = lambda c: F.when(F.coalesce(c, F.lit("")) != "", c)
+    many = lambda c: F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)).cast("long").alias(f"n_{c}")
+    return papers.select(
+        "paper_id",
+        F.coalesce(filled(meta["title"]), filled(F.col("paper_id")), F.lit("unknown")).alias("title"),
+        F.to_json(F.coalesce(meta["authors"], F.array().cast("array<string>"))).alias("authors"),
+        F.nullif(meta["year"], F.lit(0)).alias("year"),
+        F.coalesce(meta["venue"], F.lit("")).alias("venue"),
+        F.substring(F.coalesce(meta["abstract"], F.lit("")), 1, ABSTRACT).alias("abstract"),
+        *(many(c) for c in ("claims", "entities", "limitations")),
+    )
+
+
 def merged_formulas(rows: DataFrame, group: str, order: list[str], label: str = "label", text: str = "content", tiny: int = 6) -> DataFrame:
     """Formulas that were split come together: without a label, a tiny fragment joins what stands before it, any fragment joins an
     unlabelled one before it, and what is left unlabelled joins the next labelled formula. Empty ones are dropped.

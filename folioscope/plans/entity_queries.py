@@ -121,7 +121,7 @@ def graph_summary(t: Tables) -> DataFrame:
 )
 def canonical_entities(t: Tables) -> DataFrame:
     found = op.canonical_entities(t.mentions, "method", "raw_text")
-    return found.select("entity_id", "canonical_text", F.array_join("raw_variants", "|").alias("raw_variants"), F.size("papers_seen_in").cast("long").alias("n_papers"), F.col("papers_seen_in")[0].alias("first_paper"))
+    return found.select("entity_id", "canonical_text", F.array_join("raw_variants", "|").alias("raw_variants"), "n_papers", "first_paper")
 
 
 @query(

@@ -327,3 +327,33 @@ def chunk_texts(t: Tables) -> DataFrame:
     figure = chunk.figure_text(c("p_size").cast("string"), c("p_name"), c("p_brand"))
     section = chunk.section_text(c("lang"), c("source"), c("text"), F.lit("t"))
     return row(t.part, "entity", "p_partkey", entity).unionByName(row(t.part, "figure", "p_partkey", figure)).unionByName(row(t.documents.where("text IS NOT NULL"), "section", "doc_id", section))
+
+
+_STEP = "CASE event_type WHEN 'view' THEN 'run_comparator' WHEN 'click' THEN 'run_critic' WHEN 'purchase' THEN 'run_gap_detector' ELSE 'run_reader' END"
+
+
+@query(
+    "context_score",
+    f"""WITH s AS (SELECT user_id, CAST(ts AS DATE) AS day, {_STEP} AS step, min((ts, event_id)) AS first FROM events GROUP BY 1, 2, 3),
+    r AS (SELECT user_id, day, max(first) FILTER (step = 'run_comparator') AS c, max(first) FILTER (step = 'run_critic') AS k, max(first) FILTER (step = 'run_gap_detector') AS g FROM s GROUP BY 1, 2)
+    SELECT user_id, CAST(day AS VARCHAR) AS day, floor(least(CASE WHEN c IS NOT NULL THEN 0.35 ELSE 0 END + CASE WHEN k IS NOT NULL THEN 0.3 ELSE 0 END + CASE WHEN g IS NOT NULL THEN 0.25 ELSE 0 END + CASE WHEN c < k THEN 0.05 ELSE 0 END
+      + CASE WHEN g IS NOT NULL AND (c IS NOT NULL OR k IS NOT NULL) THEN 0.05 ELSE 0 END, 1.0) * 100 + 0.5) / 100 AS score FROM r""",
+)
+def context_score(t: Tables) -> DataFrame:
+    """A session is a user's day; its steps are listed in the order of their first event, so a list has four members at most."""
+    firsts = t.events.groupBy("user_id", F.to_date("ts").alias("day"), F.expr(_STEP).alias("step")).agg(F.min(F.struct("ts", "event_id")).alias("first"))
+    ran = F.transform(F.array_sort(F.collect_list(F.struct("first", "step"))), lambda x: x["step"])
+    return firsts.groupBy("user_id", "day").agg(ran.alias("ran")).select("user_id", F.col("day").cast("string").alias("day"), fixed(op.context_score(F.col("ran")), 2).alias("score"))
+
+
+@query(
+    "paper_records",
+    """SELECT CAST(doc_id AS VARCHAR) AS paper_id, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) ELSE source END AS title, '["' || lang || '"]' AS authors, CASE WHEN doc_id % 5 > 0 THEN 2000 + doc_id % 5 ELSE -1 END::INTEGER AS year,
+      '' AS venue, substr(coalesce(text, ''), 1, 1000) AS abstract, doc_id % 4 AS n_claims, 0::BIGINT AS n_entities, 0::BIGINT AS n_limitations FROM documents""",
+)
+def paper_records(t: Tables) -> DataFrame:
+    year = F.when(F.col("doc_id") % 5 > 0, 2000 + F.col("doc_id") % 5).otherwise(0).cast("int")
+    meta = F.struct(F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("title"), F.array("lang").alias("authors"), year.alias("year"), F.lit(None).cast("string").alias("venue"), F.col("text").alias("abstract"))
+    none = F.lit(None).cast("array<string>")
+    papers = t.documents.select(F.col("doc_id").cast("string").alias("paper_id"), meta.alias("metadata"), F.array_repeat(F.lit("c"), (F.col("doc_id") % 4).cast("int")).alias("claims"), none.alias("entities"), none.alias("limitations"))
+    return op.paper_records(papers).withColumn("year", F.coalesce("year", F.lit(-1)))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import scholarly as rule
+from folioscope.operators import claims
 from folioscope.operators import papers as op
 from folioscope.sources import outputs, tei
 
@@ -102,6 +103,20 @@ def test_formulas_and_sections_that_were_split(spark):
     assert [(r.heading, r.text) for r in out] == [("Intro", "a b"), (None, "c")]
 
 
+def test_scores_of_steps(spark):
+    cases = [(["run_comparator", "run_critic", "run_gap_detector"], 1.0), (["run_critic", "run_comparator"], 0.65), (["run_gap_detector"], 0.25), ([], 0.0), (["run_critic", "run_gap_detector"], 0.6)]
+    rows = spark.createDataFrame([(i, ran) for i, (ran, _) in enumerate(cases)], "i int, ran array<string>")
+    assert [round(r.s, 9) for r in rows.select("i", op.context_score(F.col("ran")).alias("s")).orderBy("i").collect()] == [want for _, want in cases]
+
+
+def test_close_claims_are_all_pairs_within_the_tolerance(spark):
+    dice = random.Random(3)
+    rows = [(i, dice.randrange(6), "m", round(dice.uniform(-2, 2), 2)) for i in range(80)] + [(80, 1, "m", None), (81, 2, None, 0.0)]
+    want = sorted((a[0], b[0]) for a in rows[:80] for b in rows[:80] if a[1] < b[1] and abs(a[3] - b[3]) <= 0.25)
+    table = spark.createDataFrame(rows, "claim_id int, paper_id int, metric string, value double")
+    assert sorted((r.claim_id_a, r.claim_id_b) for r in claims.close_claims(table, ["metric"], 0.25).collect()) == want
+
+
 def test_empty_tables(spark):
     none = lambda schema: spark.createDataFrame([], schema)
     assert op.typed_entities(none("paper_id int, source string, entity_type string, text string"), ["x"]).count() == 0
