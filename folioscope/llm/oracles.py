@@ -106,7 +106,35 @@ FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+#: crc32 of the decimal doc_id: eight steps a byte, the polynomial reflected.
+_CRC = """xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+  lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)), xor(c, b)), 4294967295))"""
+
+
+def _runs() -> str:
+    return rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w, {_CRC} AS h FROM documents),
+s AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, h // 10 AS g FROM d),
+t AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE
+        list_transform(range(n), lambda i: w[CAST(1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END AS BIGINT)]) END AS w FROM s),
+o AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM t),
+e AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM o AS x JOIN o AS y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+k AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l
+      FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e) GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+r AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM k AS x WHERE x.doc_id = k.doc_id AND x.q < k.q AND x.s <= k.s AND x.s + x.l >= k.s + k.l)),
+b AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM r GROUP BY doc_id),
+best AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r AS x WHERE x.doc_id = r.doc_id
+         AND (x.l * r.q > r.l * x.q OR x.l * r.q = r.l * x.q AND (x.s < r.s OR x.s = r.s AND x.q < r.q)))),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM r),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM o ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(s AS BIGINT) AS start, CAST(l AS BIGINT) AS length, CAST(q AS BIGINT) AS period,
+       CAST(1000 * l // q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN b USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_periodic_runs": _runs(),
     "op3_substring_dedup": _substrings(),
     "op4_vector_search": _VECTORS,
     "op5_quality_rules": _quality(),

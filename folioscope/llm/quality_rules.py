@@ -1,7 +1,7 @@
 """Quality rules: a table of thresholds compiled into one projection of built-in functions.
 
 Everything is measured inside a row, so there is no shuffle and no user function. Arrays that a lambda reads more than once
-are bound with ``_let``; otherwise they would be computed again for each element.
+are bound with ``let``; otherwise they would be computed again for each element.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ RULES = (
 )
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with value computed once."""
     return F.transform(F.array(value), body)[0]
 
@@ -63,7 +63,7 @@ def _repeat_words(hashes: Column, width: int) -> Column:
         return F.aggregate(F.sort_array(twice), start, step, lambda acc: acc["n"])
 
     pairs = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    return _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(_let(pairs(h), covered)))
+    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(pairs(h), covered)))
 
 
 def measures(text: Column, window: int = 8) -> dict[str, Column]:
@@ -73,7 +73,7 @@ def measures(text: Column, window: int = 8) -> dict[str, Column]:
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, SPACES, "") != "")
     n_windows = lambda w: F.size(w) - (window - 1)
     hashes = lambda w: F.when(n_windows(w) < 2, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n_windows(w), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, window))))
-    counted = _let(
+    counted = let(
         words,
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
@@ -81,7 +81,7 @@ def measures(text: Column, window: int = 8) -> dict[str, Column]:
             F.size(F.filter(w, lambda x: F.rtrim(F.lower(x), F.lit(".,;:!?")).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
         ),
     )
-    of_lines = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     return {
         "counted": counted,
         "of_lines": of_lines,

@@ -13,12 +13,14 @@ from .bpe import decode, encode
 from .common import part_count
 from .oracles import ORACLES
 from .packing import best_fit, word_count
-from .quality_rules import quality_rules
+from .quality_rules import let, quality_rules
+from .runs import periodic_runs, strongest
 from .simhash import near_duplicates
 from .substring import deduplicate_words
 from .suffix_array import deduplicate_bytes
 from .token_store import read_tokens, write_tokens
 from .vector_search import top_k
+from .whitening import whiten
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +102,48 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _with_runs(docs: DataFrame) -> DataFrame:
+    """``docs``, where the contract asks for it with the words from some position on repeating what stands there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w).cast("long")
+
+        def turned(x: Column) -> Column:
+            a, p = x["a"], x["p"]
+            return F.transform(w, lambda own, i: F.when(i >= a, F.get(w, (a + F.pmod(i - a, p)).cast("int"))).otherwise(own))
+
+        start = F.pmod(g, n)
+        return F.array_join(let(F.struct(start.alias("a"), (F.lit(1) + F.floor((n - start) / (3 + g % 8))).alias("p")), turned), " ")
+
+    changed = let(words, lambda w: F.when(F.size(w) > 0, repeated(w)))
+    return docs.withColumn("text", F.when(h % 10 == 0, F.coalesce(changed, F.col("text"))).otherwise(F.col("text")))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(_with_runs(_documents(spark, sf_dir)), least=24, periods=3).withColumn("best", strongest("runs"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), scale=256.0, components=4)
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")
+    rows = found.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), "identity_error", each)
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_store": op2_token_store,
@@ -111,6 +155,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array": op8_suffix_array,
     "op9_packing": op9_packing,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op13_whitening": op13_whitening,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
