@@ -40,7 +40,7 @@ def _ordered(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate((shingles[~late], shingles[late]))
 
 
-def _parity(shingles: np.ndarray) -> bytes:
+def parity(shingles: np.ndarray) -> bytes:
     """One bit for each of n to 2n buckets (a power of two, 64 at least): whether it holds an odd number of the shingles."""
     width = max(64, 1 << (max(1, len(shingles)) - 1).bit_length())
     return np.packbits(np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8).tobytes()
@@ -60,7 +60,7 @@ def _may_share(x: bytes, y: bytes, n: int) -> bool:
 
 
 class Parities:
-    """The rows of bits of many documents (see ``_parity``), for many pairs at once."""
+    """The rows of bits of many documents (see ``parity``), for many pairs at once."""
 
     def __init__(self, bits: pa.BinaryArray, order: np.ndarray):
         ends = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1].astype(np.int64)
@@ -99,7 +99,7 @@ def _prints(docs: DataFrame, shingle_words: int, common: np.ndarray) -> DataFram
                 fp.append(simhash_of(hashes))
                 key.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
                 size.append(n)
-                bits.append(_parity(own))
+                bits.append(parity(own))
                 prefix.append(_ordered(own, common)[: n - -(-NUM * n // DEN) + 1 if n else 0].view(np.int64))
             ends = np.cumsum([0, *map(len, prefix)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*prefix, np.zeros(0, np.int64)])))
@@ -207,7 +207,7 @@ def _possible(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, shingle_words: int) -> DataFrame:
+def similar(docs: DataFrame, pairs: DataFrame, shingle_words: int) -> DataFrame:
     """The ``pairs`` (a, b) whose shingle sets have a Jaccard similarity of NUM / DEN or more, checked exactly."""
     pairs = cut(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -239,7 +239,7 @@ def surplus(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     rows = lambda table, *columns: with_ids(table.select("doc_id", *columns), left, "left_semi")
 
     def without_similar(pairs: DataFrame) -> DataFrame:
-        found = components(_similar(docs, _possible(prints, pairs), shingle_words)).where("node <> root").select(F.col("node").alias("doc_id"))
+        found = components(similar(docs, _possible(prints, pairs), shingle_words)).where("node <> root").select(F.col("node").alias("doc_id"))
         return cut(left.join(found, "doc_id", "left_anti"))
 
     left = without_similar(_close(rows(prints, "fp")))

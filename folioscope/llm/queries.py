@@ -12,6 +12,7 @@ from . import pii, quality_crf
 from .bpe import decode, encode
 from .common import part_count
 from .oracles import ORACLES
+from .ngram_join import near_duplicate_sets
 from .packing import best_fit, word_count
 from .quality_rules import let, quality_rules
 from .runs import periodic_runs, strongest
@@ -137,6 +138,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_sets(_documents(spark, sf_dir), shingle_words=5)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), scale=256.0, components=4)
     each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")
@@ -156,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_ngram_join": op12_ngram_join,
     "op13_whitening": op13_whitening,
 }
 

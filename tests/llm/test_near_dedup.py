@@ -80,7 +80,7 @@ def test_parities_of_many_pairs_are_those_of_each():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 2**63, rng.integers(0, 300)).astype(np.uint64)) for _ in range(60)]
     sets += [np.unique(np.r_[x[: len(x) * 9 // 10], rng.integers(0, 2**63, 3).astype(np.uint64)]) for x in sets]
-    bits = [jaccard._parity(x) for x in sets]
+    bits = [jaccard.parity(x) for x in sets]
     order = rng.permutation(len(sets))
     i, j = rng.integers(0, len(sets), 3000), rng.integers(0, len(sets), 3000)
     n = np.array([len(sets[order[a]]) + len(sets[order[b]]) for a, b in zip(i, j)])

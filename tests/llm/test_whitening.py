@@ -49,7 +49,7 @@ def test_equals_the_covariance(spark):
 
 
 def test_large_integers_stay_exact(spark):
-    vectors = [[rng * 3e9, (rng * 7 % 11) * 1e9 + 1, rng % 3] for rng in range(40)]
+    vectors = [[rng * 3e9, (rng * 7 % 11) * 1e9 + 1, float(rng % 3)] for rng in range(40)]
     found = {r.vec_id: r for r in whiten(frame(spark, vectors), components=2).collect()}
     n, deviation, _, _ = plain(dict(enumerate(vectors)), 256)
     assert all(int(r.deviation) == deviation[i] for i, r in found.items())
