@@ -196,8 +196,20 @@ def allocate(docs: DataFrame, n_sets: int, shingle_words: int, sample: int = SAM
     return Allocation(pick(0), pick(1))
 
 
+def _narrow(values: np.ndarray) -> bytes:
+    """Long integers as the least of them, a byte that says how wide the differences to it are, and these."""
+    least = int(values.min())
+    rest = (values - least).astype(np.uint64)
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(rest.max()) < 1 << 8 * w)
+    return least.to_bytes(8, "little", signed=True) + bytes([width]) + rest.astype(f"<u{width}").tobytes()
+
+
+def _wide(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{packed[8]}", offset=9).astype(np.int64) + int.from_bytes(packed[:8], "little", signed=True)
+
+
 def _packed_keys(docs: DataFrame, buckets: int, shingle_words: int, allocation: Allocation) -> DataFrame:
-    """``(bucket, turn, rows, keys, ids, sizes)``: keys with the ids and sizes (and flags) of their sets, packed by bucket."""
+    """``(bucket, turn, rows, keys, flags, ids, sizes)``: keys with the ids and sizes of their sets, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -210,14 +222,15 @@ def _packed_keys(docs: DataFrame, buckets: int, shingle_words: int, allocation:
             bucket, at = bucket[order], at[order]
             low = (key[order] & np.uint64(0xFFFFFFFF)).astype("<u4")
             who = np.array(ids, np.int64)[at]
-            size = (np.array([len(s) for s in sets], np.int64)[at] | flags[order]).astype("<u4")
+            size, flag = np.array([len(s) for s in sets], np.int64)[at], (flags[order] >> 30).astype("u1")
             first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             last = np.r_[first[1:], len(bucket)]
-            cuts = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array([turn] * len(first), pa.int64()), pa.array(last - first), cuts(low), cuts(who), cuts(size)], ["bucket", "turn", "rows", "keys", "ids", "sizes"])
+            cuts = lambda x: [x[a:b] for a, b in zip(first.tolist(), last.tolist())]  # noqa: B023, E731
+            packed = [pa.array([x.tobytes() for x in cuts(v)], pa.binary()) for v in (low, flag)] + [pa.array([_narrow(x) for x in cuts(v)], pa.binary()) for v in (who, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array([turn] * len(first), pa.int64()), pa.array(last - first), *packed], ["bucket", "turn", "rows", "keys", "flags", "ids", "sizes"])
             turn += 1
 
-    return docs.mapInArrow(run, schema(bucket="long", turn="long", rows="long", keys="binary", ids="binary", sizes="binary"))
+    return docs.mapInArrow(run, schema(bucket="long", turn="long", rows="long", keys="binary", flags="binary", ids="binary", sizes="binary"))
 
 
 def _met(packed: DataFrame) -> DataFrame:
@@ -228,19 +241,20 @@ def _met(packed: DataFrame) -> DataFrame:
     rows = packed.join(totals, "bucket", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("turn"), F.col("slices")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    rows = rows.select("bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "keys", "ids", "sizes")
+    rows = rows.select("bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "keys", "flags", "ids", "sizes")
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
-        join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-        low, who, size = join("keys", "<u4"), join("ids", "<i8"), join("sizes", "<u4")
+        whole = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        wide = lambda name: np.concatenate([_wide(x) for x in table.column(name).to_pylist()])
+        low, who, size = whole("keys", "<u4"), wide("ids"), wide("sizes") | whole("flags", "u1").astype(np.int64) << 30
         order = np.argsort(low, kind="stable")
         low, who, size = low[order], who[order], size[order]
         first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
         differ = np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)
-        together = np.bitwise_and.reduceat(size, first) & np.uint32(PROBE) == 0  # not only sets that probe
+        together = np.bitwise_and.reduceat(size, first) & PROBE == 0  # not only sets that probe
         keep = np.repeat(differ & together, np.diff(np.r_[first, len(low)]))
         k = (key[0].as_py() << 32) | low[keep].astype(np.int64)
-        return pa.table({"k": pa.array(k), "doc_id": pa.array(who[keep]), "size": pa.array(size[keep].astype(np.int64))})
+        return pa.table({"k": pa.array(k), "doc_id": pa.array(who[keep]), "size": pa.array(size[keep])})
 
     found = rows.groupBy("bucket", "low", "high").applyInArrow(meet, "k long, doc_id long, size long")
     return found.distinct() if sliced else found
