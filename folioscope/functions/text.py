@@ -39,6 +39,11 @@ def safe_file_name(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\p{L}\p{N}_.-]", "_")
 
 
+def plain_name(text: Column) -> Column:
+    """Lower case, all but letters a-z, digits and spaces blanked, spaces collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9 ]", " "), " +", " "))
+
+
 def stem(word: Column) -> Column:
     """Words over three letters lose every trailing e and s."""
     return F.when(F.length(word) > 3, F.regexp_replace(word, "[es]+$", "")).otherwise(word)

@@ -187,11 +187,10 @@ def gap_text_templates(t: Tables) -> DataFrame:
 @query("string_match_fallback", """WITH b AS (SELECT DISTINCT lower(p_brand) AS name FROM part), k AS (SELECT DISTINCT lower(p_brand) AS known FROM part WHERE p_size > 45), s AS (SELECT name, known, CASE WHEN name = known THEN 1.0 ELSE 0.85 END AS score FROM b JOIN k ON contains(name, known) OR contains(known, name))
     SELECT name, known, score::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, known) AS n FROM s) WHERE n = 1""")
 def string_match_fallback(t: Tables) -> DataFrame:
-    """A name's best match in a bounded dictionary: equal, or one inside the other."""
-    names = t.part.select(F.lower("p_brand").alias("name")).distinct()
-    known = t.part.where("p_size > 45").select(F.lower("p_brand").alias("known")).distinct()
-    hits = names.join(known, F.col("name").contains(F.col("known")) | F.col("known").contains(F.col("name"))).withColumn("score", F.when(F.col("name") == F.col("known"), 1.0).otherwise(0.85))
-    return hits.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("s"), "known")).alias("m")).select("name", F.col("m.known").alias("known"), (-F.col("m.s")).alias("score"))
+    """A name's best match in a dictionary: equal, or one inside the other."""
+    from ..operators.dictionary import resolve_names
+
+    return resolve_names(t.part.select(F.lower("p_brand").alias("name")), "name", t.part.where("p_size > 45").select(F.lower("p_brand").alias("known")), "known")
 
 
 _BOXES = "b AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS id, l_quantity * 10 AS x0, l_linenumber * 30.0 AS y0, l_quantity * 10 + 100 AS x1, l_linenumber * 30.0 + 40 AS y1, l_returnflag FROM lineitem)"

@@ -205,16 +205,16 @@ def jaccard_docs(t: Tables) -> DataFrame:
 
 @query(
     "entity_hint",
-    """WITH h AS (SELECT doc_id, n_name, instr(lower(text || ' nation_' || doc_id % 25), lower(n_name)) AS place FROM documents JOIN nation ON contains(lower(text || ' nation_' || doc_id % 25), lower(n_name)))
-    SELECT doc_id, n_name AS hint FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place, n_name) AS n FROM h) WHERE n = 1""",
+    """WITH k AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) >= 9)) AS name FROM benchmark), d AS (SELECT doc_id, lower(text) AS t FROM documents)
+    SELECT doc_id, min(name) AS hint, count(*) AS n_names FROM d JOIN k ON contains(t, name) GROUP BY doc_id""",
 )
 def entity_hint(t: Tables) -> DataFrame:
-    """The first known name inside a text; the names are a dictionary of bounded size."""
-    text = F.lower(F.concat("text", F.lit(" nation_"), (F.col("doc_id") % 25).cast("string")))
-    names = t.nation.select("n_name")
-    docs = t.documents.select("doc_id", text.alias("text"))
-    found = docs.join(names, F.col("text").contains(F.lower("n_name"))).select("doc_id", "n_name", F.expr("instr(text, lower(n_name))").alias("place"))
-    return found.groupBy("doc_id").agg(F.min(F.struct("place", "n_name")).alias("first")).select("doc_id", F.col("first.n_name").alias("hint"))
+    """The first of the known names, in their order, that a text holds, and how many it holds; long words of passages are names."""
+    from ..operators.dictionary import occurrences
+
+    known = t.benchmark.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("name")).where("char_length(name) >= 9").distinct()
+    found = occurrences(t.documents.select("doc_id", F.lower("text").alias("text")), "doc_id", "text", known, "name")
+    return found.groupBy("doc_id").agg(F.min("name").alias("hint"), F.count(F.lit(1)).alias("n_names"))
 
 
 @query("sentence_windows")

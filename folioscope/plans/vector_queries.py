@@ -63,6 +63,41 @@ def greedy_clusters(t: Tables) -> DataFrame:
     return ranking.leader_clusters(op.similar_within(t.embeddings, "label", 0.2), t.embeddings, "label", "vec_id")
 
 
+#: The cosine distance up to which two limitations belong together, and how many nearest ones a leader sees.
+_TOGETHER, _SEEN = 0.35, 10
+
+
+@query("limitation_clusters")
+def limitation_clusters(t: Tables) -> DataFrame:
+    """Clusters of limitations by meaning, across all papers: in order, one that is not taken leads and takes what is not taken
+    among its ten nearest (itself included) within the cosine distance. Vectors have unit length."""
+    from pyspark.sql import Window
+
+    from ..operators.greedy import leaders
+    from ..operators.metric import close_pairs
+
+    pairs = close_pairs(t.embeddings, "vec_id", "embedding", (2 * _TOGETHER) ** 0.5)
+    nearest = Window.partitionBy("a").orderBy("distance", "b")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    takes = both.withColumn("place", F.row_number().over(nearest)).where(F.col("place") < _SEEN)
+    return leaders(t.embeddings, "vec_id", takes)
+
+
+@query(
+    "embedding_pairs_in_range",
+    f"SELECT a.vec_id AS a, b.vec_id AS b, {_DOT.format('a.embedding', 'b.embedding')} AS similarity FROM embeddings AS a JOIN embeddings AS b ON a.vec_id < b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4",
+)
+def embedding_pairs_in_range(t: Tables) -> DataFrame:
+    """All pairs at a similarity of 0.4 or more, of whatever label: found within 0.001 more by distance, then tested exactly."""
+    from ..operators.metric import close_pairs
+
+    v = t.embeddings
+    near = close_pairs(v, "vec_id", "embedding", (2 * (1 - 0.399)) ** 0.5)
+    side = lambda x: v.select(F.col("vec_id").alias(x), F.col("embedding").alias(f"v{x}"))
+    exact = near.join(side("a"), "a").join(side("b"), "b").withColumn("s", op.dot(F.col("va"), F.col("vb")))
+    return exact.where("s >= 0.4").select("a", "b", fixed(F.col("s"), 6).alias("similarity"))
+
+
 @query(
     "softmax_masked",
     f"""WITH {_Q}, s AS (SELECT label, max({_DOT.format('embedding', 'q')}) FILTER (vec_id <> 0) AS s FROM embeddings, q GROUP BY label)
@@ -131,6 +166,21 @@ def hash_embedding(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.transform(op.hash_embedding(F.col("text"), 16), lambda x: fixed(x, 6)).alias("embedding"))
 
 
+@query("distinct_names")
+def distinct_names(t: Tables) -> DataFrame:
+    """Names of entities without near-duplicates, in the order of their first part: of two with a similarity of their stemmed words
+    of 0.6 or more the longer one goes, the later one if they are as long, each compared in turn with what is still there."""
+    from ..functions.text import plain_name, stem
+    from ..operators.greedy import survivors
+    from ..operators.setjoin import similar_sets
+
+    name = F.concat_ws(" ", "p_name", F.lower("p_type"))
+    first = t.part.groupBy(name.alias("name")).agg(F.min("p_partkey").alias("place")).withColumn("length", F.char_length("name"))
+    words = F.explode(F.array_distinct(F.transform(F.split(plain_name(F.col("name")), " "), stem)))
+    alike = similar_sets(first.select("place", words.alias("word")).where("word <> ''"), "place", "word", 0.6)
+    return survivors(first, "place", "length", alike).join(first.select("place", "name"), "place").select("place", "name")
+
+
 @query(
     "near_dup_names",
     """WITH n AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS name FROM part), w AS (SELECT name, list_distinct(list_transform(string_split(name, ' '), lambda x: CASE WHEN length(x) > 3 THEN regexp_replace(x, '[es]+$', '') ELSE x END)) AS w FROM n)
