@@ -348,7 +348,7 @@ def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     _packed_keys(named, buckets, shingle_words, allocate(named, total["sets"], shingle_words)).write.parquet(path)
     met = cut(_met(docs.sparkSession.read.parquet(path)))
     bits = classes.select(F.col("rep").alias("doc_id"), "n", "bits")
-    rows = met.withColumn("n", F.col("size").bitwiseAND(DELETED - 1)).join(bits, ["doc_id", "n"]).select("k", "doc_id", "size", "bits")
+    rows = met.withColumn("n", F.col("size").bitwiseAND(DELETED - 1)).join(bits.select("doc_id", "n").distinct(), ["doc_id", "n"], "left_semi")
     for pivots in (PIVOTS, None):
         roots = cut(components(links)) if links.first() is not None else None
         own = F.col("doc_id")
@@ -356,7 +356,8 @@ def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if pivots is None:  # keys whose members are all of one class are done
             open_keys = labelled.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("k")
             labelled = labelled.join(open_keys, "k", "left_semi")
-        found = similar(named, _pairs(_in_chunks(cut(labelled)), pivots), shingle_words)
+        met_again = _in_chunks(cut(labelled)).join(bits, ["doc_id", "n"]).select("k", "low", "high", "doc_id", "size", "root", "bits")
+        found = similar(named, _pairs(met_again, pivots), shingle_words)
         links = cut(links.unionByName(found).distinct())
     roots = components(links)
     named_classes = classes.join(roots, classes["rep"] == roots["node"], "left").select("key", "n", F.coalesce("root", "rep").alias("component_id"))
