@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -153,13 +152,16 @@ def paper_reference(question: Column) -> Column:
     return F.when(found != "", found)
 
 
-#: Signals that a text reports a kind of evidence.
-SIGNALS = {
-    "ablation": r"\b(ablat|without the|removing the|w/o)",
-    "significance": r"\b(p\s*<\s*0?\.|significan|confidence interval|standard deviation|t-test|std\.)",
-    "reproducibility": r"(github\.com|gitlab\.com|\bcode is\b|open[- ]source|reproduc|licensed under)",
-    "speed": r"\b(latency|throughput|fps|faster|speed)",
-}
+#: Words by which a text reports ablations, variants of a model, significance, its code, and speed.
+ABLATION = ("ablation", "ablate", "sensitivity analysis", "component analysis", "remove", "without", "w/o", "effect of", "contribution of")
+VARIANTS = ("variant", "variants", "different versions", "we test", "we compare", "configuration", "setting", "hyperparameter", "heads", "layers")
+SIGNIFICANCE = ("p<", "p <", "p-value", "t-test", "wilcoxon", "statistical significance", "confidence interval", "error bar", "std dev", "standard deviation", "±")
+REPRODUCIBILITY = ("github", "code", "implementation", "available at", "open source", "open-source", "released", "https://", "http://")
+SPEED = ("words/sec", "words per second", "tokens/sec", "throughput", "training time", "faster", "speed", "latency", "step/sec")
+#: Words that, with a model named three times, speak of models that are compared.
+COMPARED = ("compare", "different", "vary")
+
+
 #: Tuning details that are never research gaps, and wording that marks a limitation as a real one.
 TUNING = ("d_k", "beam size", "dropout", "label smoothing")
 REAL = (
@@ -171,8 +173,21 @@ REAL = (
 
 
 def holds_any(text: Column, words: tuple[str, ...]) -> Column:
-    """Whether a text holds any of some literal strings."""
-    return text.rlike("|".join(re.escape(w) for w in words))
+    """Whether a text holds any of some literal strings; a search for each is much faster than a pattern of alternatives."""
+    found = text.contains(words[0])
+    for w in words[1:]:
+        found = found | text.contains(w)
+    return found
+
+
+def signals(text: Column) -> dict[str, Column]:
+    """Which kinds of evidence a text reports: has_ablation, has_significance, has_reproducibility, has_speed_metrics.
+
+    An ablation is also what names variants, or names a model three times and compares."""
+    t = F.lower(text)
+    compares = (F.size(F.split(t, "model")) > 3) & holds_any(t, COMPARED)
+    found = {"has_ablation": holds_any(t, ABLATION) | holds_any(t, VARIANTS) | compares}
+    return found | {f"has_{n}": holds_any(t, w) for n, w in (("significance", SIGNIFICANCE), ("reproducibility", REPRODUCIBILITY), ("speed_metrics", SPEED))}
 
 
 def meaningful_limitation(text: Column) -> Column:
@@ -230,6 +245,8 @@ def setup_values(text: Column) -> dict[str, Column]:
         number = raw.try_cast("double")
         found[name] = raw if name == "optimizer" else F.floor(number).cast("double") if name in ("batch_size", "epochs", "warmup_steps", "max_seq_length") else number
     found["hardware_tier"] = F.greatest(F.lit(-1), *(F.when(t.rlike(p), F.lit(tier)).otherwise(F.lit(-1)) for _, tier, p in HARDWARE))
+    named = F.filter(F.array(*(F.when(t.rlike(p), F.lit(n)) for n, _, p in HARDWARE)), lambda x: x.isNotNull())
+    found["hardware"] = F.coalesce(F.nullif(F.array_join(named, ", "), F.lit("")), F.lit("unknown"))
     found["n_devices"] = F.when(t.rlike(DEVICES), F.regexp_extract(t, DEVICES, 1)).try_cast("int")
     found["is_cluster"] = t.rlike(CLUSTER)
     found["precision"] = first_match(t, PRECISIONS)
@@ -241,17 +258,38 @@ def setup_values(text: Column) -> dict[str, Column]:
     return found | {"confidence": F.least(F.lit(1.0), n / 10)}
 
 
+def number_text(x: Column) -> Column:
+    """A positive number as it is usually written: 0.001, 64.0, 1e-05."""
+    raw = x.cast("string")
+    plain = F.regexp_replace(F.regexp_replace(x.cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0")
+    small = F.concat(F.regexp_replace(F.regexp_extract(raw, "^([0-9.]+)E", 1), r"\.0$", ""), F.lit("e-"), F.lpad(F.regexp_extract(raw, "E-([0-9]+)$", 1), 2, "0"))
+    return F.when(x < 1e-4, small).otherwise(plain)
+
+
 def setup_divergence(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
-    """How far two setups lie apart: ratios of rates, batches and epochs, hardware tiers, a score in [0, 1], comparability."""
+    """How far two setups lie apart: a score in [0, 1], a summary with a reason for each difference, whether they can be compared and
+    why not, and which of the two (a or b) alone saves computation."""
     ratio = lambda k: F.greatest(a[k], b[k]) / F.nullif(F.least(a[k], b[k]), F.lit(0.0))  # noqa: E731  null-skipping, so guard
     both = lambda k: (a[k] > 0) & (b[k] > 0)
-    over = lambda k, n: F.when(both(k), ratio(k) >= n).otherwise(F.lit(False))
+    over = lambda k, n: F.coalesce(F.when(both(k), ratio(k) >= n), F.lit(False))
+    times = lambda k: F.concat(F.bround(ratio(k)).cast("long").cast("string"), F.lit("x"))
     lr, batch, epochs = over("learning_rate", 10), over("batch_size", 8), over("epochs", 5)
     hardware = F.when((a["hardware_tier"] >= 0) & (b["hardware_tier"] >= 0), F.abs(a["hardware_tier"] - b["hardware_tier"]) >= 2).otherwise(F.lit(False))
     optimizer = F.when(a["optimizer"].isNotNull() & b["optimizer"].isNotNull(), a["optimizer"] != b["optimizer"]).otherwise(F.lit(False))
     score = F.least(0.35 * lr.cast("int") + 0.25 * hardware.cast("int") + 0.20 * batch.cast("int") + 0.15 * epochs.cast("int") + 0.15 * optimizer.cast("int"), F.lit(1.0))
-    note = F.concat_ws("; ", F.when(lr, F.lit("learning rate")), F.when(hardware, F.lit("hardware")), F.when(batch, F.lit("batch size")), F.when(epochs, F.lit("epochs")), F.when(optimizer, F.lit("optimizer")))
-    return {"divergence": score, "note": note, "comparable": ~((lr & hardware) | over("learning_rate", 100))}
+    reasons = F.concat_ws(
+        "; ",
+        F.when(lr, F.concat(F.lit("LR differs "), times("learning_rate"), F.lit(" ("), number_text(a["learning_rate"]), F.lit(" vs "), number_text(b["learning_rate"]), F.lit(")"))),
+        F.when(batch, F.concat(F.lit("batch size differs "), times("batch_size"))),
+        F.when(epochs, F.concat(F.lit("training duration differs "), times("epochs"))),
+        F.when(optimizer, F.concat(F.lit("different optimizers: "), a["optimizer"], F.lit(" vs "), b["optimizer"])),
+        F.when(hardware, F.concat(F.lit("hardware gap: "), a["hardware"], F.lit(" vs "), b["hardware"])),
+    )
+    summary = F.when(reasons == "", "No major setup differences detected.").otherwise(F.concat(F.lit("Setup differences: "), reasons, F.lit(".")))
+    why = F.when(lr & hardware, "Both LR and hardware differ significantly.").when(over("learning_rate", 100), F.concat(F.lit("LR differs by "), times("learning_rate"), F.lit(".")))
+    saves = {x: s["uses_quantization"] | s["uses_pruning"] | s["uses_distillation"] for x, s in (("a", a), ("b", b))}
+    alone = F.when(saves["a"] & ~saves["b"], "a").when(saves["b"] & ~saves["a"], "b")
+    return {"divergence": score, "summary": summary, "comparable": why.isNull(), "reason": why, "saves_alone": alone}
 
 
 #: Section types by what is found in the heading, first match wins.
@@ -276,7 +314,7 @@ SECTIONS = (
 
 def section_type(heading: Column) -> Column:
     """The type of a section by its heading, numbering stripped."""
-    return first_match(F.regexp_replace(F.lower(F.trim(heading)), r"^[0-9ivx.]+\s+", ""), SECTIONS, "Unknown")
+    return first_match(F.regexp_replace(F.lower(F.trim(heading)), r"^\d+(\.\d+)*\.?\s*", ""), SECTIONS, "Unknown")
 
 
 def repair_json(text: Column) -> Column:

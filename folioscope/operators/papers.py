@@ -103,21 +103,26 @@ def resolved_slots(candidates: DataFrame, claim: list[str], pos: str = "pos", ra
     return rows.groupBy(*claim).agg(F.aggregate(listed, start, step).alias("__slots")).select(*claim, "__slots.metric", "__slots.dataset", "__slots.methods")
 
 
+def entity_sets(mentions: DataFrame, kinds: Sequence[str] = ENTITY_TYPES, paper: str = "paper_id", kind: str = "entity_type", name: str = "entity") -> DataFrame:
+    """One row a paper: for each kind the array of its distinct entities, as long as the paper's mentions at most."""
+    return mentions.groupBy(paper).agg(*(F.collect_set(F.when(F.col(kind) == k, F.col(name))).alias(k) for k in kinds))
+
+
 def pair_overlaps(pairs: DataFrame, mentions: DataFrame, kinds: Sequence[str] = ENTITY_TYPES, paper: str = "paper_id", kind: str = "entity_type", name: str = "entity", a: str = "paper_a", b: str = "paper_b") -> DataFrame:
     """Of given pairs of papers: shared entities and Jaccard overlap, of all kinds together and of each.
 
-    Every step is an equi-join on the pairs' papers; pairs are never formed here.
+    Both papers' sets are joined to the pair, one row each, and compared there: pairs are never formed here, and no entity is
+    joined by itself.
     """
-    pairs = pairs.select(a, b).distinct()
-    m = mentions.select(paper, F.col(kind).alias("__kind"), F.col(name).alias("__name")).where(F.col("__kind").isin(*kinds)).distinct()
-    sizes = m.groupBy(paper).agg(F.count(F.lit(1)).alias("entity"), *(F.count_if(F.col("__kind") == k).alias(k) for k in kinds))
-    left = pairs.join(m.withColumnRenamed(paper, a), a)
-    shared = left.join(m.withColumnRenamed(paper, b), [b, "__kind", "__name"]).groupBy(a, b).agg(F.count(F.lit(1)).alias("__entity"), *(F.count_if(F.col("__kind") == k).alias(f"__{k}") for k in kinds))
-    side = lambda key, tag: sizes.select(F.col(paper).alias(key), *(F.col(k).alias(f"__{k}_{tag}") for k in ("entity", *kinds)))
-    out = pairs.join(shared, [a, b], "left").join(side(a, "a"), a, "left").join(side(b, "b"), b, "left").na.fill(0)
-    both = lambda k: F.col(f"__{k}_a") + F.col(f"__{k}_b") - F.col(f"__{k}")
-    ratio = lambda k: F.when(both(k) > 0, F.col(f"__{k}") / both(k)).otherwise(F.lit(0.0))
-    return out.select(a, b, *(F.col(f"__{k}").alias(f"shared_{k}") for k in ("entity", *kinds)), *(ratio(k).alias(f"{k}_overlap") for k in ("entity", *kinds)))
+    sets = entity_sets(mentions, kinds, paper, kind, name)
+    side = lambda key, tag: sets.select(F.col(paper).alias(key), *(F.col(k).alias(f"__{k}_{tag}") for k in kinds))
+    both = pairs.select(a, b).distinct().join(side(a, "a"), a, "left").join(side(b, "b"), b, "left")
+    size = lambda c: F.coalesce(F.array_size(c), F.lit(0))
+    rows = both.select(a, b, *(size(F.array_intersect(f"__{k}_a", f"__{k}_b")).cast("long").alias(f"shared_{k}") for k in kinds), *((size(F.col(f"__{k}_a")) + size(F.col(f"__{k}_b"))).alias(f"__n_{k}") for k in kinds))
+    plus = lambda names: sum((F.col(n) for n in names[1:]), F.col(names[0]))
+    rows = rows.withColumn("shared_entity", plus([f"shared_{k}" for k in kinds])).withColumn("__n_entity", plus([f"__n_{k}" for k in kinds]))
+    ratio = lambda k: F.when(F.col(f"__n_{k}") > F.col(f"shared_{k}"), F.col(f"shared_{k}") / (F.col(f"__n_{k}") - F.col(f"shared_{k}"))).otherwise(F.lit(0.0))
+    return rows.select(a, b, *(f"shared_{k}" for k in ("entity", *kinds)), *(ratio(k).alias(f"{k}_overlap") for k in ("entity", *kinds)))
 
 
 def pair_score(dataset: Column, divergence: Column, entity: Column, metric: Column, task: Column, cites: Column, setup: Column) -> Column:

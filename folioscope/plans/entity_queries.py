@@ -58,13 +58,13 @@ def entity_spread(t: Tables) -> DataFrame:
 
 
 @query(
-    "pair_ranking",
+    "overlap_ranking",
     """WITH {MENTIONS}, p AS (SELECT DISTINCT paper_id, part_id FROM mentions), n AS (SELECT paper_id, count(*) AS n FROM p GROUP BY paper_id),
     s AS (SELECT a.paper_id AS paper_a, b.paper_id AS paper_b, count(*) AS n_shared FROM p AS a JOIN p AS b USING (part_id) WHERE a.paper_id < b.paper_id GROUP BY 1, 2),
     j AS (SELECT paper_a, paper_b, n_shared, n_shared * 1.0 / (x.n + y.n - n_shared) AS j FROM s JOIN n AS x ON x.paper_id = paper_a JOIN n AS y ON y.paper_id = paper_b)
     SELECT paper_a, paper_b, n_shared, floor(j * 10000 + 0.5) / 10000 AS jaccard FROM j WHERE j >= 0.01 ORDER BY j DESC, paper_a, paper_b LIMIT 20""",
 )
-def pair_ranking(t: Tables) -> DataFrame:
+def overlap_ranking(t: Tables) -> DataFrame:
     pairs = op.overlap_pairs(t.mentions, "paper_id", "part_id").where("jaccard >= 0.01")
     top = pairs.orderBy(F.col("jaccard").desc(), "a", "b").limit(20)
     return top.select(F.col("a").alias("paper_a"), F.col("b").alias("paper_b"), "n_shared", fixed(F.col("jaccard")).alias("jaccard"))

@@ -11,89 +11,158 @@ from ..operators import critique, layout
 from ..operators.entities import cooccurrence
 from .registry import Tables, query
 
-_FEATURES = """f AS (
-  SELECT paper_id, count(DISTINCT dataset) - 1 AS n_datasets, count(DISTINCT task) AS n_tasks, count(DISTINCT method) AS n_claims, count(DISTINCT task) % 3 AS n_metrics,
-    bool_or(raw_text LIKE '%ring%') AS has_ablation, bool_or(raw_text LIKE 'red%') AS has_significance, bool_or(raw_text LIKE '%bolt%') AS has_code, paper_id % 2 AS n_future_work, paper_id % 4 AS n_limitations
-  FROM mentions GROUP BY paper_id)"""
+#: The rules written out, for DuckDB: signals over the text of a document, counts over the entities and claims of its paper.
+_FEATURES = r"""x AS (SELECT doc_id, lower(coalesce(text, '')) AS t, string_split(lower(coalesce(text, '')), chr(10)) AS lines FROM documents),
+  m AS (SELECT paper_id, count(DISTINCT dataset) AS n_datasets, count(DISTINCT task) AS n_tasks FROM mentions GROUP BY paper_id),
+  c AS (SELECT paper_id, count(DISTINCT metric) AS n_metrics, count(*) AS n_claims FROM claims WHERE value IS NOT NULL AND metric IN ('purchase', 'signup') GROUP BY paper_id),
+  f AS (SELECT doc_id AS paper_id, coalesce(n_datasets, 0) AS n_datasets, coalesce(n_tasks, 0) AS n_tasks, coalesce(n_metrics, 0) AS n_metrics, coalesce(n_claims, 0) AS n_claims,
+    regexp_matches(t, 'ablation|ablate|sensitivity analysis|component analysis|remove|without|w/o|effect of|contribution of|variant|different versions|we test|we compare|configuration|setting|hyperparameter|heads|layers')
+      OR len(string_split(t, 'model')) > 3 AND regexp_matches(t, 'compare|different|vary') AS has_ablation,
+    regexp_matches(t, 'p<|p <|p-value|t-test|wilcoxon|statistical significance|confidence interval|error bar|std dev|standard deviation|±') AS has_significance,
+    regexp_matches(t, 'github|code|implementation|available at|open source|open-source|released|https?://') AS has_reproducibility,
+    regexp_matches(t, 'words/sec|words per second|tokens/sec|throughput|training time|faster|speed|latency|step/sec') AS has_speed_metrics,
+    len(list_filter(lines, lambda l: regexp_matches(l, 'future (research|work|direction)'))) AS n_future_work,
+    len(list_filter(lines, lambda l: NOT regexp_matches(l, 'd_k|beam size|dropout|label smoothing') AND regexp_matches(l, 'scalability|generalization|long-range|sequential|parallelization|efficiency|modalities|tasks beyond|not tested|restricted to|only evaluated|computational cost|training cost|cannot handle|lack of|absence of|limited to|does not|unable to|fixed-length|quadratic|out-of-domain|domain|interpretability|explainab|low-resource|multimodal|multi-modal|structured|variable-length|memory|context length|generalise|generaliz|require|constraint|limitation|beyond translation|non-english|other languages'))) AS n_limitations
+    FROM x LEFT JOIN m ON m.paper_id = doc_id LEFT JOIN c ON c.paper_id = doc_id)"""
 
 
 def features(t: Tables) -> DataFrame:
-    has = lambda pattern: F.bool_or(F.col("raw_text").like(pattern))
-    f = t.mentions.groupBy("paper_id").agg(
-        (F.count_distinct("dataset") - 1).alias("n_datasets"), F.count_distinct("task").alias("n_tasks"), F.count_distinct("method").alias("n_claims"), (F.count_distinct("task") % 3).alias("n_metrics"),
-        has("%ring%").alias("has_ablation"), has("red%").alias("has_significance"), has("%bolt%").alias("has_code"),
-    )
-    return f.withColumn("n_future_work", F.col("paper_id") % 2).withColumn("n_limitations", F.col("paper_id") % 4)
-
-
-_FIRED = " UNION ALL ".join(f"SELECT paper_id, '{c.name}' AS weakness, '{c.severity}' AS severity, '{c.advice}' AS suggestion FROM f WHERE {c.when}" for c in critique.CHECKS)
-
-
-@query("critic_rules", "WITH {MENTIONS}, " + _FEATURES + " " + _FIRED)
+    """A feature row for each document: what its text reports, and the entities and claims of the paper with its id."""
+    from ..functions.text import meaningful_limitation, signals
+
+    lines = F.split(F.lower(F.coalesce("text", F.lit(""))), "\n")
+    of_text = {
+        **signals(F.coalesce("text", F.lit(""))),
+        "n_future_work": F.size(F.filter(lines, lambda x: x.rlike("future (research|work|direction)"))),
+        "n_limitations": F.size(F.filter(lines, meaningful_limitation)),
+    }
+    docs = t.documents.select(F.col("doc_id").alias("paper_id"), *(c.alias(n) for n, c in of_text.items()))
+    m = t.mentions.groupBy("paper_id").agg(F.count_distinct("dataset").alias("n_datasets"), F.count_distinct("task").alias("n_tasks"))
+    c = t.claims.where("value IS NOT NULL AND metric IN ('purchase', 'signup')").groupBy("paper_id").agg(F.count_distinct("metric").alias("n_metrics"), F.count(F.lit(1)).alias("n_claims"))
+    return docs.join(m, "paper_id", "left").join(c, "paper_id", "left").na.fill(0, ["n_datasets", "n_tasks", "n_metrics", "n_claims"])
+
+
+_FIRED = """SELECT paper_id, 'no_dataset_reported' AS weakness, 'HIGH' AS severity, 'Report the data used.' AS suggestion FROM f WHERE n_datasets = 0
+    UNION ALL SELECT paper_id, 'single_dataset_evaluation', 'HIGH', 'Evaluate on further data.' FROM f WHERE n_datasets = 1
+    UNION ALL SELECT paper_id, 'missing_ablation_study', 'MEDIUM', 'Remove parts one at a time.' FROM f WHERE NOT has_ablation
+    UNION ALL SELECT paper_id, 'missing_statistical_significance', 'MEDIUM', 'Report variance over runs.' FROM f WHERE n_claims > 0 AND NOT has_significance
+    UNION ALL SELECT paper_id, 'missing_reproducibility', 'LOW', 'Publish the code.' FROM f WHERE NOT has_reproducibility
+    UNION ALL SELECT paper_id, 'missing_limitations_future_work', 'MEDIUM', 'Discuss limitations.' FROM f WHERE n_future_work = 0 AND n_limitations <= 1
+    UNION ALL SELECT paper_id, 'limited_evaluation_metrics', 'LOW', 'Use further metrics.' FROM f WHERE n_metrics <= 1 AND n_tasks >= 2"""
+
+
+@query("critic_rules", "WITH {MENTIONS}, {CLAIMS}, " + _FEATURES + " " + _FIRED)
 def critic_rules(t: Tables) -> DataFrame:
     return critique.find_weaknesses(features(t), "paper_id")
 
 
-@query("critic_quality", "WITH {MENTIONS}, " + _FEATURES + f", w AS ({_FIRED})" + """, n AS (SELECT paper_id, count(*) FILTER (severity = 'LOW') AS n_low, count(*) FILTER (severity = 'MEDIUM') AS n_medium, count(*) FILTER (severity = 'HIGH') AS n_high FROM w GROUP BY 1)
+@query("ground_truth", "WITH {MENTIONS}, {CLAIMS}, " + _FEATURES + " SELECT paper_id, n_datasets, n_tasks, n_metrics, n_claims, has_ablation, has_significance, has_reproducibility, has_speed_metrics, CAST(n_future_work AS INTEGER) AS n_future_work, CAST(n_limitations AS INTEGER) AS n_limitations FROM f")
+def ground_truth(t: Tables) -> DataFrame:
+    """What is there in each paper, against which claims of absence are held."""
+    return features(t)
+
+
+@query("critic_quality", "WITH {MENTIONS}, {CLAIMS}, " + _FEATURES + f", w AS ({_FIRED})" + """, n AS (SELECT paper_id, count(*) FILTER (severity = 'LOW') AS n_low, count(*) FILTER (severity = 'MEDIUM') AS n_medium, count(*) FILTER (severity = 'HIGH') AS n_high FROM w GROUP BY 1)
     SELECT *, CASE WHEN n_high >= 2 THEN 'HIGH_CONCERN' WHEN n_high >= 1 OR n_medium >= 3 THEN 'MODERATE' ELSE 'ACCEPTABLE' END AS overall_quality FROM n""")
 def critic_quality(t: Tables) -> DataFrame:
     return critique.quality_of(critique.find_weaknesses(features(t), "paper_id"), "paper_id")
 
 
-_CASES = [("HIGH", "LOW", 2021, None), ("LOW", "HIGH", 2021, "many runs are missing"), ("LOW", "HIGH", 2021, "short"), ("MEDIUM", "HIGH", 2019, "long enough reason"), ("HIGH", "HIGH", 2018, ""), ("MEDIUM", "MEDIUM", None, None), ("MEDIUM", "HIGH", 2022, "long enough reason")]
-_FINALS = ["LOW", "MEDIUM", "LOW", "MEDIUM", "MEDIUM", "MEDIUM", "HIGH"]
-
-
-@query("severity_validation", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(_FINALS)) + ") v(id, final)")
+@query(
+    "severity_validation",
+    """WITH o AS (SELECT o_orderkey AS id, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 2 WHEN '2' THEN 1 WHEN '3' THEN 1 ELSE 0 END AS r, CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END AS p,
+      year(o_orderdate) + 22 AS year, length(o_orderpriority) > 10 AS explained FROM orders),
+    s AS (SELECT id, year, CASE WHEN p <= r THEN p WHEN explained THEN least(p, r + 1) ELSE r END AS s FROM o)
+    SELECT id, ['LOW', 'MEDIUM', 'HIGH'][CASE WHEN year < 2020 THEN least(s, 1) ELSE s END + 1] AS final FROM s""",
+)
 def severity_validation(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(i, *c) for i, c in enumerate(_CASES)], "id int, rule string, proposed string, year int, reason string")
-    return rows.select("id", critique.validated_severity(F.col("rule"), F.col("proposed"), F.col("year"), F.col("reason")).alias("final"))
+    """Severities that a rule gave and a model proposes: an order's priority and status, its priority's text as the reason."""
+    digit, status = F.substring("o_orderpriority", 1, 1), F.col("o_orderstatus")
+    rule = F.when(digit == "1", "HIGH").when(digit.isin("2", "3"), "MEDIUM").otherwise("LOW")
+    proposed = F.when(status == "F", "HIGH").when(status == "O", "MEDIUM").otherwise("LOW")
+    return t.orders.select(F.col("o_orderkey").alias("id"), critique.validated_severity(rule, proposed, F.year("o_orderdate") + 22, F.col("o_orderpriority")).alias("final"))
+
+
+#: Baselines and years as the oracle knows them, and spellings that have to lead to them or, the last ones, must not.
+_SINCE = "lstm 1997 biglstm 2016 lstmp 2014 rnn 1990 gru 2014 transformer 2017 attentionisall 2017 bert 2018 roberta 2019 gpt 2018 gpt2 2019 gpt3 2020 t5 2020 xlnet 2019 albert 2020 distilbert 2019 electra 2020 alexnet 2012 vgg 2014 resnet 2016 inception 2015 densenet 2017 seq2seq 2014 bahdanau 2015 attention 2015 word2vec 2013 glove 2014 fasttext 2017 elmo 2018 dqn 2015 a3c 2016 ppo 2017 sac 2018".split()
+_NAMES = (
+    "LSTM", "BigLSTM", "lstmp", "RNN", "GRU", "Transformer", "Attention Is All", "BERT", "RoBERTa", "gpt", "GPT2", "gpt 2", "GPT-3", "T5", "XLNet", "ALBERT", "Distil-BERT", "ELECTRA", "AlexNet", "VGG", "Res Net", "Inception", "DenseNet",
+    "seq2seq", "Bahdanau", "attention", "Word2Vec", "GloVe", "fastText", "ELMo", "DQN", "A3C", "PPO", "SAC", "f-lstm", "BERT-large", "unheard",
+)
+_USES = (
+    "{MENTIONS}, u AS (SELECT DISTINCT paper_id, [" + ", ".join(f"'{n}'" for n in _NAMES) + f"][part_id % {len(_NAMES)} + 1]" + " AS name FROM mentions), y AS (SELECT u.*, year(o_orderdate) + 20 AS year FROM u JOIN orders ON o_orderkey = paper_id), "
+    "k(key, since) AS (VALUES " + ", ".join(f"('{n}', {y})" for n, y in zip(_SINCE[::2], _SINCE[1::2])) + "), a AS (SELECT y.*, year - since AS age FROM y JOIN k ON key = regexp_replace(lower(name), '[^a-z0-9]', '', 'g') WHERE year - since > 4)"
+)
 
 
-_SINCE = "WHEN 'lstm' THEN 1997 WHEN 'word2vec' THEN 2013 WHEN 'seq2seq' THEN 2014 WHEN 'resnet' THEN 2016 WHEN 'transformer' THEN 2017 WHEN 'bert' THEN 2018 WHEN 'gpt-2' THEN 2019 WHEN 't5' THEN 2020"
-_NAMES = ["LSTM", "Word2Vec", "seq2seq", "ResNet", "Transformer", "BERT", "GPT-2", "T5", "unheard"]
+def baseline_uses(t: Tables) -> DataFrame:
+    name = F.element_at(F.array(*(F.lit(n) for n in _NAMES)), (F.col("part_id") % len(_NAMES) + 1).cast("int"))
+    return t.mentions.select("paper_id", name.alias("name")).distinct().join(t.orders.select(F.col("o_orderkey").alias("paper_id"), (F.year("o_orderdate") + 20).alias("year")), "paper_id")
 
 
-@query(
-    "baseline_staleness",
-    "WITH {MENTIONS}, u AS (SELECT DISTINCT paper_id, " + "[" + ", ".join(f"'{n}'" for n in _NAMES) + "]" + """[part_id % 9 + 1] AS name FROM mentions), y AS (SELECT u.*, year(o_orderdate) + 20 AS year FROM u JOIN orders ON o_orderkey = paper_id),
-    a AS (SELECT *, year - CASE lower(name) """ + _SINCE + """ END AS age FROM y)
-    SELECT paper_id, name, CAST(age AS BIGINT) AS age, CASE WHEN age > 7 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM a WHERE age > 4""",
-)
+@query("baseline_staleness", "WITH " + _USES + " SELECT paper_id, name, CAST(age AS BIGINT) AS age, CASE WHEN age > 7 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM a")
 def baseline_staleness(t: Tables) -> DataFrame:
-    name = F.element_at(F.array(*(F.lit(n) for n in _NAMES)), (F.col("part_id") % 9 + 1).cast("int"))
-    uses = t.mentions.select("paper_id", name.alias("name")).distinct().join(t.orders.select(F.col("o_orderkey").alias("paper_id"), (F.year("o_orderdate") + 20).alias("year")), "paper_id")
-    return critique.stale_baselines(uses, "name", "year").select("paper_id", "name", F.col("age").cast("long").alias("age"), "severity")
+    return critique.stale_baselines(baseline_uses(t), "name", "year").select("paper_id", "name", F.col("age").cast("long").alias("age"), "severity")
+
+
+@query("outdated_baselines", "WITH " + _USES + " SELECT paper_id, count(DISTINCT lower(name)) AS n_stale, CAST(max(age) AS BIGINT) AS oldest, CASE WHEN max(age) > 7 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM a GROUP BY paper_id")
+def outdated_baselines(t: Tables) -> DataFrame:
+    return critique.outdated_papers(baseline_uses(t), "paper_id", "name", "year").withColumn("oldest", F.col("oldest").cast("long"))
 
 
 @query(
     "narrow_coverage_gaps",
-    """WITH {MENTIONS}, n AS (SELECT paper_id, count(DISTINCT dataset) AS n FROM mentions GROUP BY 1), one AS (SELECT DISTINCT paper_id, task FROM mentions WHERE paper_id IN (SELECT paper_id FROM n WHERE n = 1)),
-    seen AS (SELECT DISTINCT a.task, b.dataset FROM one AS a JOIN mentions AS b USING (paper_id))
-    SELECT task, count(*) AS n_tested, 25 - count(*) AS n_untested FROM seen GROUP BY task""",
+    """WITH {MENTIONS}, e AS (SELECT DISTINCT paper_id, part_id || '/' || pos AS task, dataset FROM mentions), n AS (SELECT count(DISTINCT dataset) AS n FROM e),
+    tested AS (SELECT a.task, count(DISTINCT b.dataset) AS k FROM (SELECT DISTINCT paper_id, task FROM e) AS a JOIN e AS b USING (paper_id) GROUP BY 1 HAVING count(DISTINCT b.dataset) <= 1),
+    own AS (SELECT paper_id, min(dataset) AS dataset FROM e GROUP BY 1 HAVING count(DISTINCT dataset) <= 1)
+    SELECT task, dataset, min(paper_id) AS paper_id, min(k) AS n_tested, n - min(k) AS n_untested FROM (SELECT DISTINCT paper_id, task FROM e) JOIN tested USING (task) JOIN own USING (paper_id), n WHERE n > k GROUP BY task, dataset, n""",
 )
 def narrow_coverage_gaps(t: Tables) -> DataFrame:
-    """Datasets on which a task was tested in papers that use one dataset only, and how many remain."""
-    m = t.mentions
-    single = m.groupBy("paper_id").agg(F.count_distinct("dataset").alias("n")).where("n = 1")
-    seen = cooccurrence(m.join(single, "paper_id", "left_semi"), "task", "dataset")
-    return seen.groupBy("task").agg(F.count(F.lit(1)).alias("n_tested")).withColumn("n_untested", 25 - F.col("n_tested"))
+    """Tasks that were tested on one dataset at most, of papers with one dataset at most: one gap a task and dataset, of the first
+    paper. A task is a part in its place."""
+    e = t.mentions.select("paper_id", F.concat_ws("/", "part_id", "pos").alias("task"), "dataset").distinct()
+    of_paper = e.groupBy("paper_id").agg(F.count_distinct("dataset").alias("n"), F.min("dataset").alias("dataset"))
+    tested = cooccurrence(e, "task", "dataset").groupBy("task").agg(F.count_distinct("dataset").alias("k")).where("k <= 1")
+    everything = e.agg(F.count_distinct("dataset").alias("n_all"))
+    mine = e.select("paper_id", "task").distinct().join(of_paper.where("n <= 1"), "paper_id").join(tested, "task")
+    gaps = mine.groupBy("task", "dataset").agg(F.min("paper_id").alias("paper_id"), F.min("k").alias("n_tested"))
+    return gaps.join(F.broadcast(everything)).where("n_all > n_tested").select("task", "dataset", "paper_id", "n_tested", (F.col("n_all") - F.col("n_tested")).alias("n_untested"))
 
 
 @query(
     "combinatorial_gaps",
-    """WITH {MENTIONS}, e AS (SELECT paper_id, part_id AS method, task, dataset FROM mentions), mt AS (SELECT DISTINCT method, task FROM e), td AS (SELECT DISTINCT a.task, b.dataset FROM e AS a JOIN e AS b USING (paper_id)),
-    md AS (SELECT DISTINCT a.method, b.dataset FROM e AS a JOIN e AS b USING (paper_id)),
-    g AS (SELECT method, dataset, count(DISTINCT task) AS n_shared FROM mt JOIN td USING (task) ANTI JOIN md USING (method, dataset) GROUP BY 1, 2)
-    SELECT method, dataset, n_shared, CASE WHEN n_shared >= 4 THEN 'HIGH' WHEN n_shared >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS priority, floor(least(0.4 + 0.15 * n_shared, 0.9)::DOUBLE * 10000 + 0.5) / 10000 AS confidence FROM g""",
+    """WITH {MENTIONS}, o AS (SELECT lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS a, o_orderkey AS b FROM orders), p AS (SELECT a AS paper_a, b AS paper_b FROM o WHERE a IS NOT NULL UNION ALL SELECT b, a FROM o WHERE a IS NOT NULL),
+    e AS (SELECT DISTINCT paper_id, CASE WHEN part_id % 5 = 0 THEN raw_text || ' lstm ' || part_id WHEN part_id % 5 < 3 THEN raw_text || ' ' || part_id ELSE method || part_id END AS method, task, dataset FROM mentions),
+    s AS (SELECT paper_a, paper_b, count(DISTINCT a.task) AS n_shared FROM p JOIN e AS a ON a.paper_id = paper_a JOIN e AS b ON b.paper_id = paper_b AND b.task = a.task GROUP BY ALL),
+    seen AS (SELECT DISTINCT a.method, b.dataset FROM e AS a JOIN e AS b USING (paper_id)),
+    g AS (SELECT DISTINCT a.method, paper_a, paper_b, n_shared, b.dataset FROM s JOIN e AS a ON a.paper_id = paper_a JOIN e AS b ON b.paper_id = paper_b WHERE regexp_matches(a.method, 'lstm') OR contains(a.method, ' ')),
+    k AS (SELECT method, paper_a, paper_b, n_shared, count(*) AS n_missing FROM g ANTI JOIN seen USING (method, dataset) GROUP BY ALL)
+    SELECT method, paper_a, paper_b, n_shared, n_missing, CASE WHEN n_shared > 2 AND n_missing > 3 THEN 'HIGH' WHEN n_missing > 1 THEN 'MEDIUM' ELSE 'LOW' END AS priority,
+      floor((least(0.9, 0.4 + 0.15 * n_shared)::DOUBLE - CASE WHEN regexp_matches(method, 'lstm') THEN 0 ELSE 0.2 END) * 10000 + 0.5) / 10000 AS confidence FROM k""",
 )
 def combinatorial_gaps(t: Tables) -> DataFrame:
-    """Datasets of a task that another paper tested, for methods of that task that were never tried on them; a part is a method."""
-    e = t.mentions.select("paper_id", F.col("part_id").alias("method"), "task", "dataset")
-    reach = e.select("method", "task").distinct().join(cooccurrence(e, "task", "dataset"), "task")
-    gaps = reach.join(cooccurrence(e, "method", "dataset"), ["method", "dataset"], "left_anti").groupBy("method", "dataset").agg(F.count_distinct("task").alias("n_shared"))
-    priority = F.when(F.col("n_shared") >= 4, "HIGH").when(F.col("n_shared") >= 2, "MEDIUM").otherwise("LOW")
-    return gaps.select("method", "dataset", "n_shared", priority.alias("priority"), fixed(F.least(0.4 + 0.15 * F.col("n_shared"), F.lit(0.9))).alias("confidence"))
+    """Methods of one paper of a pair that no paper has tried on datasets of the other, where both share a task: one gap a method and
+    ordered pair. Names that are no methods are left out, weak ones are less sure. Pairs are given, so all are equi-joins."""
+    from ..functions.text import method_class
+    from .paper_queries import neighbours
+
+    part, kind = F.col("part_id").cast("string"), F.col("part_id") % 5
+    name = F.when(kind == 0, F.concat("raw_text", F.lit(" lstm "), part)).when(kind < 3, F.concat_ws(" ", "raw_text", part)).otherwise(F.concat("method", part))
+    return cross_paper_methods(neighbours(t), t.mentions.select("paper_id", name.alias("method"), "task", "dataset"), method_class)
+
+
+def cross_paper_methods(pairs: DataFrame, entities: DataFrame, method_class) -> DataFrame:
+    """``(method, paper_a, paper_b, n_shared, n_missing, priority, confidence)`` for both orders of each pair."""
+    both = pairs.select("paper_a", "paper_b").unionByName(pairs.select(F.col("paper_b").alias("paper_a"), F.col("paper_a").alias("paper_b"))).distinct()
+    of = lambda kind, paper: entities.select(F.col("paper_id").alias(paper), kind).distinct()
+    shared = both.join(of("task", "paper_a"), "paper_a").join(of("task", "paper_b"), ["paper_b", "task"]).groupBy("paper_a", "paper_b").agg(F.count(F.lit(1)).alias("n_shared"))
+    methods = of("method", "paper_a").withColumn("class", method_class(F.col("method"))).where("class <> 'NOT_METHOD'")
+    reach = shared.join(methods, "paper_a").join(of("dataset", "paper_b"), "paper_b")
+    missing = reach.join(cooccurrence(entities, "method", "dataset").select("method", "dataset"), ["method", "dataset"], "left_anti")
+    gaps = missing.groupBy("method", "paper_a", "paper_b", "n_shared", "class").agg(F.count(F.lit(1)).alias("n_missing"))
+    priority = F.when((F.col("n_shared") > 2) & (F.col("n_missing") > 3), "HIGH").when(F.col("n_missing") > 1, "MEDIUM").otherwise("LOW")
+    sure = F.least(F.lit(0.9), 0.4 + 0.15 * F.col("n_shared")) - F.when(F.col("class") == "WEAK_METHOD", 0.2).otherwise(0.0)
+    return gaps.select("method", "paper_a", "paper_b", "n_shared", "n_missing", priority.alias("priority"), fixed(sure).alias("confidence"))
 
 
 @query(

@@ -50,9 +50,8 @@ def long_entities(t: Tables) -> DataFrame:
 
 def results_of_pairs(t: Tables) -> DataFrame:
     """The last results of both papers of a pair on each dataset that they share."""
-    last = t.mentions.groupBy("paper_id", "dataset", "pos", "price").agg(F.max("method").alias("method"), F.max("task").alias("task"))
-    place = F.struct("pos", "price")
-    results = last.groupBy("paper_id", "dataset").agg(F.max_by("price", place).alias("value"), F.max_by("method", place).alias("subject"), F.max_by("task", place).alias("task"))
+    last = t.mentions.groupBy("paper_id", "dataset").agg(F.max(F.struct("pos", "price", "method")).alias("m"), F.max(F.struct("pos", "price", "task")).alias("k"))
+    results = last.select("paper_id", "dataset", F.col("m.price").alias("value"), F.col("m.method").alias("subject"), F.col("k.task").alias("task"))
     a = results.select(F.col("paper_id").alias("paper_a"), "dataset", F.col("value").alias("value_a"), F.col("subject").alias("subject_a"), "task")
     b = results.select(F.col("paper_id").alias("paper_b"), "dataset", F.col("value").alias("value_b"), F.col("subject").alias("subject_b"))
     found = neighbours(t).join(a, "paper_a").join(b, ["paper_b", "dataset"]).withColumn("diff", F.abs(F.col("value_a") - F.col("value_b")))
@@ -63,31 +62,46 @@ _OVERLAP = lambda k: f"coalesce(shared_{k}, 0) * 1.0 / nullif(a.{k} + b.{k} - co
 _ROUND = lambda x, n=4: f"floor(coalesce({x}, 0) * {10**n} + 0.5) / {10**n}"
 
 
-@query(
-    "pair_features",
-    f"""WITH {_FOUND}, {_ENTITIES}, sizes AS (SELECT paper_id, count(*) AS entity, {", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in op.ENTITY_TYPES)} FROM entities GROUP BY paper_id),
+_PAIR_ROWS = f"""{_FOUND}, {_ENTITIES}, sizes AS (SELECT paper_id, count(*) AS entity, {", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in op.ENTITY_TYPES)} FROM entities GROUP BY paper_id),
     shared AS (SELECT paper_a, paper_b, count(*) AS shared_entity, {", ".join(f"count(*) FILTER (a.kind = '{k}') AS shared_{k}" for k in op.ENTITY_TYPES)}
       FROM pairs JOIN entities AS a ON a.paper_id = paper_a JOIN entities AS b ON b.paper_id = paper_b AND b.kind = a.kind AND b.entity = a.entity GROUP BY 1, 2),
     divergence AS (SELECT paper_a, paper_b, least(avg(diff / greatest(value_a, value_b)), 1.0) AS divergence FROM found GROUP BY 1, 2),
     f AS (SELECT p.paper_a, p.paper_b, year_diff, cites, setup, coalesce(shared_dataset, 0) AS shared_dataset, coalesce(shared_method, 0) AS shared_method, coalesce(divergence, 0) AS divergence,
       {", ".join(f"coalesce({_OVERLAP(k)}, 0) AS {k}_overlap" for k in ("entity", *op.ENTITY_TYPES))}
-      FROM pairs AS p LEFT JOIN shared USING (paper_a, paper_b) LEFT JOIN divergence USING (paper_a, paper_b) LEFT JOIN sizes AS a ON a.paper_id = p.paper_a LEFT JOIN sizes AS b ON b.paper_id = p.paper_b)
-    SELECT paper_a, paper_b, {_ROUND("0.30 * dataset_overlap + 0.25 * divergence + 0.15 * entity_overlap + 0.10 * metric_overlap + 0.05 * task_overlap + 0.05 * CAST(cites AS DOUBLE) + 0.10 * (1.0 - least(setup, 1.0))")} AS score,
-      {_ROUND("entity_overlap", 6)} AS f0, {_ROUND("dataset_overlap", 6)} AS f1, {_ROUND("metric_overlap", 6)} AS f2, {_ROUND("task_overlap", 6)} AS f3, {_ROUND("divergence", 6)} AS f4,
-      CAST(shared_dataset AS DOUBLE) AS f5, CAST(shared_method AS DOUBLE) AS f6, CAST(cites AS DOUBLE) AS f7, CAST(year_diff AS DOUBLE) AS f8, {_ROUND("setup", 6)} AS f9 FROM f""",
-)
-def pair_features(t: Tables) -> DataFrame:
+      FROM pairs AS p LEFT JOIN shared USING (paper_a, paper_b) LEFT JOIN divergence USING (paper_a, paper_b) LEFT JOIN sizes AS a ON a.paper_id = p.paper_a LEFT JOIN sizes AS b ON b.paper_id = p.paper_b),
+    scored AS (SELECT *, {_ROUND("0.30 * dataset_overlap + 0.25 * divergence + 0.15 * entity_overlap + 0.10 * metric_overlap + 0.05 * task_overlap + 0.05 * CAST(cites AS DOUBLE) + 0.10 * (1.0 - least(setup, 1.0))")} AS score FROM f)"""
+
+
+def pair_rows(t: Tables) -> DataFrame:
+    """Each given pair of papers with its overlaps, divergence and score."""
     pairs = neighbours(t)
     results = results_of_pairs(t).groupBy("paper_a", "paper_b").agg(F.least(F.avg(F.col("diff") / F.greatest("value_a", "value_b")), F.lit(1.0)).alias("divergence"))
     rows = pairs.join(op.pair_overlaps(pairs, long_entities(t)), ["paper_a", "paper_b"]).join(results, ["paper_a", "paper_b"], "left").na.fill(0.0, ["divergence"])
     c = F.col
-    score = op.pair_score(c("dataset_overlap"), c("divergence"), c("entity_overlap"), c("metric_overlap"), c("task_overlap"), c("cites"), c("setup"))
+    return rows.withColumn("score", op.pair_score(c("dataset_overlap"), c("divergence"), c("entity_overlap"), c("metric_overlap"), c("task_overlap"), c("cites"), c("setup")))
+
+
+@query(
+    "pair_features",
+    f"""WITH {_PAIR_ROWS} SELECT paper_a, paper_b, score,
+      {_ROUND("entity_overlap", 6)} AS f0, {_ROUND("dataset_overlap", 6)} AS f1, {_ROUND("metric_overlap", 6)} AS f2, {_ROUND("task_overlap", 6)} AS f3, {_ROUND("divergence", 6)} AS f4,
+      CAST(shared_dataset AS DOUBLE) AS f5, CAST(shared_method AS DOUBLE) AS f6, CAST(cites AS DOUBLE) AS f7, CAST(year_diff AS DOUBLE) AS f8, {_ROUND("setup", 6)} AS f9 FROM scored""",
+)
+def pair_features(t: Tables) -> DataFrame:
+    c = F.col
     parts = {"result_divergence": c("divergence"), "shared_dataset_count": c("shared_dataset"), "shared_method_count": c("shared_method"), "citation_link": c("cites"), "setup_divergence": c("setup")}
     vector = op.pair_vector(parts | {n: c(n) for n in ("entity_overlap", "dataset_overlap", "metric_overlap", "task_overlap", "year_diff")})
-    rows = rows.select("paper_a", "paper_b", score.alias("score"), vector.alias("v"))
+    rows = pair_rows(t).select("paper_a", "paper_b", "score", vector.alias("v"))
     return rows.select("paper_a", "paper_b", "score", *(fixed(c("v")[i], 6).alias(f"f{i}") for i in range(10)))
 
 
+@query("pair_ranking", f"WITH {_PAIR_ROWS} SELECT paper_a, paper_b, score, {_ROUND('entity_overlap', 6)} AS entity_overlap FROM scored WHERE entity_overlap >= 0.01 ORDER BY score DESC, paper_a, paper_b LIMIT 20")
+def pair_ranking(t: Tables) -> DataFrame:
+    """The twenty pairs of papers with most to compare, by their weighted score; pairs with hardly an entity in common are left out."""
+    top = pair_rows(t).where("entity_overlap >= 0.01").orderBy(F.col("score").desc(), "paper_a", "paper_b").limit(20)
+    return top.select("paper_a", "paper_b", "score", fixed(F.col("entity_overlap"), 6).alias("entity_overlap"))
+
+
 @query(
     "judged_contradictions",
     f"""WITH {_FOUND}, j AS (SELECT *, CASE WHEN subject_a <> subject_b THEN 'different_subjects' WHEN NOT comparable THEN 'incomparable_setup' WHEN task = 'ECONOMY' AND year_diff > 1 THEN 'hardware_variance' END AS filter_reason

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import fixed
+from ..operators import rewards as rw
 from ..operators import sequences as op
 from .registry import Tables, query
 
@@ -142,16 +143,72 @@ def advantage_normalised(t: Tables) -> DataFrame:
     return op.normalise(episodes(t), "session_id", "reward", "z").select("session_id", "episode", fixed(F.col("z")).alias("z"))
 
 
+_ACTIONS = {"view": "run_comparator", "signup": "run_critic", "purchase": "run_gap_detector", "error": "run_writer"}
+_REVIEW = {"view": "## Methods", "signup": "## Results", "purchase": "## Gaps", "error": "## Contradictions"}
+_IN_ORDER = "coalesce({0}comparator < {0}critic, false)::INT * {1} + coalesce({0}critic < {0}gap, false)::INT * {2} + coalesce({0}gap < {0}writer, false)::INT * {3}"
+
+
 @query(
     "session_reward",
-    """WITH {CLAIMS}, s AS (SELECT paper_id AS session_id, CASE metric WHEN 'error' THEN 1.0 WHEN 'purchase' THEN 0.6 WHEN 'signup' THEN 0.3 END AS sev, value, dataset FROM claims)
-    SELECT session_id, floor(pow(avg(sev), 2) * 1000000 + 0.5) / 1000000 AS severity_term, count(*) FILTER (sev >= 0.5) AS n_severe, least(count(DISTINCT dataset) / 100.0, 1.0) AS breadth,
-      floor((0.5 * pow(avg(sev), 2) + 0.3 * least(count(DISTINCT dataset) / 100.0, 1.0) + 0.2 * least(count(*) FILTER (sev >= 0.5) / 20.0, 1.0)) * 1000000000 + 0.5) / 1000000000 AS reward FROM s GROUP BY session_id""",
+    f"""WITH {{CLAIMS}}, c AS (SELECT *, CASE claim_id % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'low' ELSE '0.7' END AS sev FROM claims WHERE paper_id IS NOT NULL),
+    g AS (SELECT paper_id, dataset, count(DISTINCT paper_id) OVER (PARTITION BY dataset) = 1 AS novel FROM c WHERE metric = 'purchase' AND dataset IS NOT NULL), v AS (SELECT paper_id, avg(novel::INT) AS novelty FROM g GROUP BY paper_id),
+    s AS (SELECT paper_id, count(*) FILTER (metric = 'error' AND sev IN ('HIGH', '0.7')) AS n_severe, avg(CASE sev WHEN 'HIGH' THEN 1.0 WHEN 'low' THEN 0.3 ELSE 0.7 END) FILTER (metric = 'signup') AS severity,
+      min(claim_id) FILTER (metric = 'view') AS comparator, min(claim_id) FILTER (metric = 'signup') AS critic, min(claim_id) FILTER (metric = 'purchase') AS gap, min(claim_id) FILTER (metric = 'error') AS writer, count(DISTINCT metric) FILTER (metric IN ('view', 'signup', 'purchase', 'error')) AS found, count(*) // 15 AS calls FROM c GROUP BY paper_id)
+    SELECT paper_id AS session_id, n_severe, {_IN_ORDER.format("", 1, 1, 1)} AS n_in_order, floor(least(greatest(0.25 * least(n_severe / 3.0, 1.0) + 0.2 * coalesce(severity * severity, 0) + 0.2 * coalesce(novelty, 0) + 0.15 * ({_IN_ORDER.format("", 1, 1, 1)}) / 3.0
+      + 0.15 * found / 5.0 + 0.05 * greatest(1 - greatest(calls - 4, 0) / 4.0, 0), 0), 1)::DOUBLE * 1000000 + 0.5) / 1000000 AS reward FROM s LEFT JOIN v USING (paper_id)""",
 )
 def session_reward(t: Tables) -> DataFrame:
-    sev = F.when(F.col("metric") == "error", F.lit(1.0)).when(F.col("metric") == "purchase", F.lit(0.6)).when(F.col("metric") == "signup", F.lit(0.3))
-    g = t.claims.withColumn("sev", sev).groupBy(F.col("paper_id").alias("session_id")).agg(
-        F.pow(F.avg("sev"), F.lit(2)).alias("s"), F.count_if(F.col("sev") >= 0.5).alias("n_severe"), F.least(F.count_distinct("dataset") / 100.0, F.lit(1.0)).alias("breadth")
+    """What each user's session was worth: its events are the agents' actions, contradictions, critiques and gaps."""
+    c = t.claims.where("paper_id IS NOT NULL").withColumn("sev", F.when(F.col("claim_id") % 3 == 0, "HIGH").when(F.col("claim_id") % 3 == 1, "low").otherwise("0.7"))
+    named = lambda names: F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[F.col("metric")]
+    order = rw.order_kept(c.select("paper_id", named(_ACTIONS).alias("action"), "claim_id"), "paper_id", "action", "claim_id")
+    novel = rw.novel_gaps(c.where("metric = 'purchase' AND dataset IS NOT NULL").select("paper_id", "dataset"), "paper_id", "dataset")
+    review = F.array_join(F.array_sort(F.collect_set(named(_REVIEW))), "\n")
+    g = c.groupBy("paper_id").agg(
+        F.count_if((F.col("metric") == "error") & rw.severe(F.col("sev"))).alias("n_severe"), F.avg(F.when(F.col("metric") == "signup", rw.severity_score(F.col("sev")))).alias("severity"),
+        review.alias("review"), F.floor(F.count(F.lit(1)) / 15).alias("calls"),
+    )
+    rows = g.join(order, "paper_id").join(novel, "paper_id", "left")
+    reward = rw.session_reward(F.col("n_severe"), F.col("severity"), F.col("gap_novelty"), F.col("n_in_order"), rw.review_completeness(F.col("review")), F.col("calls"))
+    return rows.select(F.col("paper_id").alias("session_id"), "n_severe", "n_in_order", fixed(reward, 6).alias("reward"))
+
+
+@query(
+    "gap_rewards",
+    """WITH g AS (SELECT l_orderkey AS gap_id, avg(l_tax) * 5 AS redundancy, count(DISTINCT l_partkey) AS n, count(DISTINCT l_suppkey) AS papers, count(DISTINCT l_partkey) FILTER (l_returnflag = 'R') AS conflicts, 1 - avg(l_discount) AS sure FROM lineitem GROUP BY 1)
+    SELECT gap_id, floor(least(greatest(0.2 * (1 - redundancy) + 0.18 * least(n / 5.0, 1.0) + 0.18 * least(papers / 10.0, 1.0) + 0.14 * (1 - conflicts * 1.0 / greatest(n, 1)) + 0.18 * sure
+      + 0.12 * least(CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 1.0 WHEN '2' THEN 0.5 WHEN '3' THEN 0.0 ELSE 0.5 END + CASE WHEN o_orderstatus = 'P' THEN 0.25 ELSE 0 END, 1.0), 0), 1)::DOUBLE * 1000000 + 0.5) / 1000000 AS reward FROM g JOIN orders ON o_orderkey = gap_id""",
+)
+def gap_rewards(t: Tables) -> DataFrame:
+    """What choosing each gap would be worth; an order is a gap, its parts the entities, its suppliers the papers."""
+    g = t.lineitem.groupBy(F.col("l_orderkey").alias("gap_id")).agg(
+        (F.avg("l_tax") * 5).alias("redundancy"), F.count_distinct("l_partkey").alias("n"), F.count_distinct("l_suppkey").alias("papers"), F.count_distinct(F.when(F.col("l_returnflag") == "R", F.col("l_partkey"))).alias("conflicts"), (1 - F.avg("l_discount")).alias("sure")
+    )
+    digit = F.substring("o_orderpriority", 1, 1)
+    priority = F.when(digit == "1", "HIGH").when(digit == "2", "MEDIUM").when(digit == "3", "LOW")
+    o = t.orders.select(F.col("o_orderkey").alias("gap_id"), priority.alias("priority"), F.when(F.col("o_orderstatus") == "P", "cross_paper").otherwise("limitation").alias("gap_type"))
+    c = F.col
+    reward = rw.gap_reward(c("redundancy"), c("n"), c("papers"), F.lit(10), c("conflicts"), c("sure"), c("priority"), c("gap_type"))
+    return g.join(o, "gap_id").select("gap_id", fixed(reward, 6).alias("reward"))
+
+
+@query(
+    "terminal_rewards",
+    f"""WITH s AS (SELECT o_custkey AS episode, count(*) AS papers, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p, bool_or(o_orderpriority LIKE '4%') AS wrote,
+      count(*) FILTER (substr(o_orderpriority, 1, 1) < '5') - count(DISTINCT o_orderpriority) FILTER (substr(o_orderpriority, 1, 1) < '5') AS again, least(max(o_totalprice) / 500000.0, 1.0) AS context,
+      min(o_orderkey) FILTER (o_orderpriority LIKE '1%') AS comparator, min(o_orderkey) FILTER (o_orderpriority LIKE '2%') AS critic, min(o_orderkey) FILTER (o_orderpriority LIKE '3%') AS gap, min(o_orderkey) FILTER (o_orderpriority LIKE '4%') AS writer FROM orders GROUP BY 1)
+    SELECT episode, floor(least(greatest(0.22 * CASE WHEN papers >= 2 THEN least(f / greatest(papers * (papers - 1) / 2.0, 1), 1.0) ELSE 0.05 END + 0.18 * CASE WHEN o > 0 THEN pow(least(o / greatest(papers * 2.0, 1), 1.0), 0.65) ELSE 0 END + 0.18 * least(p / 8.0, 1.0)
+      + 0.32 * CASE WHEN wrote THEN context ELSE 0 END + 0.1 * greatest(1 - again * 0.18, 0.25) + {_IN_ORDER.format("", 0.05, 0.04, 0.04)}, 0), 1)::DOUBLE * 1000000 + 0.5) / 1000000 AS reward FROM s""",
+)
+def terminal_rewards(t: Tables) -> DataFrame:
+    """What each episode is worth at its end; a customer is an episode, the priority of an order says which agent ran."""
+    agents = {"1": "run_comparator", "2": "run_critic", "3": "run_gap_detector", "4": "run_writer"}
+    agent = F.create_map(*(F.lit(x) for kv in agents.items() for x in kv))[F.substring("o_orderpriority", 1, 1)]
+    o = t.orders.select(F.col("o_custkey").alias("episode"), "o_orderkey", "o_orderstatus", agent.alias("agent"), (F.col("o_totalprice") / 500000.0).alias("context"))
+    g = o.groupBy("episode").agg(
+        F.count(F.lit(1)).alias("papers"), *(F.count_if(F.col("o_orderstatus") == s).alias(s.lower()) for s in "FOP"), F.coalesce(F.bool_or(F.col("agent") == "run_writer"), F.lit(False)).alias("wrote"),
+        (F.count("agent") - F.count_distinct("agent")).alias("again"), F.least(F.max("context"), F.lit(1.0)).alias("context"),
     )
-    reward = 0.5 * F.col("s") + 0.3 * F.col("breadth") + 0.2 * F.least(F.col("n_severe") / 20.0, F.lit(1.0))
-    return g.select("session_id", fixed(F.col("s"), 6).alias("severity_term"), "n_severe", "breadth", fixed(reward, 9).alias("reward"))
+    c = F.col
+    reward = rw.terminal_reward(c("papers"), c("f"), c("o"), c("p"), c("context"), c("wrote"), c("again"), c("bonus"))
+    return g.join(rw.order_kept(o, "episode", "agent", "o_orderkey"), "episode").select("episode", fixed(reward, 6).alias("reward"))

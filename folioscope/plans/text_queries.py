@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -29,14 +29,25 @@ def _values(rows: list[tuple[str, str]]) -> str:
     return ", ".join("('" + a.replace("'", "''") + f"', '{b}')" for a, b in rows)
 
 
-@query("normalize_metric", f"SELECT * FROM (VALUES {_values(METRIC_CASES)}) v(spelling, canonical)")
+def _spelled(cases: list[tuple[str, str]], place: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(x) for x, _ in cases)), (place % len(cases) + 1).cast("int"))
+
+
+def _spelled_sql(cases: list[tuple[str, str]]) -> str:
+    return f"WITH {{CLAIMS}}, v(i, spelling, canonical) AS (VALUES {', '.join(f'({i}, ' + _values([c])[1:] for i, c in enumerate(cases))}) SELECT claim_id, paper_id, spelling, canonical FROM claims JOIN v ON i = dataset % {len(cases)}"
+
+
+@query("normalize_metric", _spelled_sql(METRIC_CASES))
 def normalize_metric(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(a,) for a, _ in METRIC_CASES], "spelling string").withColumn("canonical", tx.metric_name(F.col("spelling")))
+    """Metrics of claims under the names that papers give them."""
+    rows = t.claims.where("dataset IS NOT NULL").select("claim_id", "paper_id", _spelled(METRIC_CASES, F.col("dataset")).alias("spelling"))
+    return rows.withColumn("canonical", tx.metric_name(F.col("spelling")))
 
 
-@query("normalize_dataset", f"SELECT * FROM (VALUES {_values(DATASET_CASES)}) v(spelling, canonical)")
+@query("normalize_dataset", _spelled_sql(DATASET_CASES))
 def normalize_dataset(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(a,) for a, _ in DATASET_CASES], "spelling string").withColumn("canonical", tx.dataset_name(F.col("spelling")))
+    rows = t.claims.where("dataset IS NOT NULL").select("claim_id", "paper_id", _spelled(DATASET_CASES, F.col("dataset")).alias("spelling"))
+    return rows.withColumn("canonical", tx.dataset_name(F.col("spelling")))
 
 
 def _case(column: str, rules, default: str) -> str:
@@ -57,11 +68,15 @@ def intent_classification(t: Tables) -> DataFrame:
 
 @query(
     "keyword_signals",
-    "SELECT doc_id, " + ", ".join(f"regexp_matches(lower(text), '{p}') AS has_{n}" for n, p in tx.SIGNALS.items()) + ", CAST(len(string_split(lower(text), 'model')) - 1 AS INTEGER) AS n_model FROM documents",
+    """WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), m AS (SELECT *, len(string_split(t, 'model')) - 1 AS n FROM d)
+    SELECT doc_id, regexp_matches(t, 'ablation|ablate|sensitivity analysis|component analysis|remove|without|w/o|effect of|contribution of|variant|different versions|we test|we compare|configuration|setting|hyperparameter|heads|layers')
+        OR n >= 3 AND regexp_matches(t, 'compare|different|vary') AS has_ablation,
+      regexp_matches(t, 'p<|p <|p-value|t-test|wilcoxon|statistical significance|confidence interval|error bar|std dev|standard deviation|±') AS has_significance,
+      regexp_matches(t, 'github|code|implementation|available at|open source|open-source|released|https?://') AS has_reproducibility,
+      regexp_matches(t, 'words/sec|words per second|tokens/sec|throughput|training time|faster|speed|latency|step/sec') AS has_speed_metrics, CAST(n AS INTEGER) AS n_model FROM m""",
 )
 def keyword_signals(t: Tables) -> DataFrame:
-    low = F.lower("text")
-    return t.documents.select("doc_id", *(low.rlike(p).alias(f"has_{n}") for n, p in tx.SIGNALS.items()), (F.size(F.split(low, "model")) - 1).alias("n_model"))
+    return t.documents.select("doc_id", *(c.alias(n) for n, c in tx.signals(F.col("text")).items()), (F.size(F.split(F.lower("text"), "model")) - 1).alias("n_model"))
 
 
 _REAL = (
@@ -119,49 +134,61 @@ def entity_text_cleanup(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", clean.alias("clean"), F.regexp_extract(s, r"([0-9]+(\.[0-9]+)?)$", 1).try_cast("double").alias("number"), F.substring(s, 1, 8).alias("head"))
 
 
-_SENTENCES = [
-    (1, "We use Adam with a learning rate of 0.001, batch size 64 and dropout of 0.3 for 50 epochs on 8 V100 GPUs."),
-    (2, "Trained with SGD, lr = 0.1, batch size = 1024, 90 epochs, weight decay 0.0001 on 4 A100 GPUs."),
-    (3, "A 12-layer model with hidden size 768, learning rate 1e-5, on one K80."),
-    (4, "No setup is given."),
-    (5, "RMSprop, learning rate: 0.00001; batch size of 16; 500 epochs on 2 x GTX 1080."),
-    (6, "AdamW, lr = 0.0001, mini-batches of 32, trained for 10 epochs with linear warmup over 4000 steps and a maximum sequence length of 512 in bf16 on 8 x H100, T4 for tests."),
-]
-_SETUPS = [(1, 0.001, 64.0, 50.0, "adam", 4), (2, 0.1, 1024.0, 90.0, "sgd", 5), (3, 1e-5, None, None, None, -1), (4, None, None, None, None, -1), (5, 0.00001, 16.0, 500.0, "rmsprop", 1), (6, 0.0001, 32.0, 10.0, "adamw", 6)]
-_SETUP_SQL = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"CAST({v!r} AS DOUBLE)" if isinstance(v, float) else str(v) for v in r) + ")" for r in _SETUPS)
-_SETUP_VIEW = f"s(id, learning_rate, batch_size, epochs, optimizer, hardware_tier) AS (VALUES {_SETUP_SQL})"
+#: What the texts of setups say: values in turn, as they are written and as they count.
+_OPTIMIZERS, _RATES, _BATCHES, _EPOCHS = ("Adam", "SGD", "AdamW", "RMSprop"), ("0.1", "0.01", "0.001", "0.0001", "1e-5"), ("16", "64", "1024"), ("10", "90", "500")
+_DEVICES = (("V100", 4), ("A100", 5), ("H100", 6), ("T4", 3), ("GTX 1080", 1))
+_NOTHING = "No setup is given."
 
 
-def setups(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame(_SENTENCES, "id int, text string")
-    return rows.select("id", *(c.alias(n) for n, c in tx.setup_values(F.col("text")).items()))
+def _listed(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-@query("setup_extraction", f"WITH {_SETUP_VIEW} SELECT id, learning_rate, batch_size, epochs, optimizer, CAST(hardware_tier AS DOUBLE) AS hardware_tier FROM s")
+_SETUP_VIEW = f"""s AS (SELECT o_orderkey AS id, o_orderkey % 7 = 0 AS none, {_listed(v.lower() for v in _OPTIMIZERS)}[o_custkey % 4 + 1] AS opt, {_listed(_RATES)}[o_orderkey % 5 + 1]::DOUBLE AS lr, ['0.1', '0.01', '0.001', '0.0001', '1e-05'][o_orderkey % 5 + 1] AS lr_text,
+    {_listed(_BATCHES)}[o_custkey % 3 + 1]::DOUBLE AS bs, {_listed(_EPOCHS)}[o_orderkey // 5 % 3 + 1]::DOUBLE AS ep, {_listed(n for n, _ in _DEVICES)}[o_custkey % 5 + 1] AS gpu, [4, 5, 6, 3, 1][o_custkey % 5 + 1] AS tier, o_orderstatus = 'P' AND o_orderkey % 7 <> 0 AS saves FROM orders),
+  x AS (SELECT id, CASE WHEN NOT none THEN opt END AS opt, CASE WHEN NOT none THEN lr END AS lr, lr_text, CASE WHEN NOT none THEN bs END AS bs, CASE WHEN NOT none THEN ep END AS ep,
+    CASE WHEN none THEN 'unknown' WHEN gpu = 'GTX 1080' THEN 'GTX' ELSE gpu END AS hw, CASE WHEN none THEN -1 ELSE tier END AS tier, saves FROM s)"""
+
+
+def setups(t: Tables) -> DataFrame:
+    """The setup that each paper's text names; an order is a paper, and its keys say what was used."""
+    at = lambda values, i: F.element_at(F.array(*(F.lit(v) for v in values)), (i + 1).cast("int"))
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    said = F.format_string(
+        "We use %s with a learning rate of %s, batch size %s for %s epochs on 8 x %s GPUs.%s", at(_OPTIMIZERS, cust % 4), at(_RATES, key % 5), at(_BATCHES, cust % 3), at(_EPOCHS, F.floor(key / 5) % 3),
+        at([n for n, _ in _DEVICES], cust % 5), F.when(F.col("o_orderstatus") == "P", " Weights are pruned to int8 by pruning.").otherwise(""),
+    )
+    text = F.when(key % 7 == 0, _NOTHING).otherwise(said)
+    return t.orders.select(key.alias("id"), text.alias("text")).select("id", *(c.alias(n) for n, c in tx.setup_values(F.col("text")).items()))
+
+
+@query("setup_extraction", f"WITH {_SETUP_VIEW} SELECT id, lr AS learning_rate, bs AS batch_size, ep AS epochs, opt AS optimizer, tier::DOUBLE AS hardware_tier, hw AS hardware, saves AS uses_quantization FROM x")
 def setup_extraction(t: Tables) -> DataFrame:
-    return setups(t).select("id", "learning_rate", "batch_size", "epochs", "optimizer", F.col("hardware_tier").cast("double").alias("hardware_tier"))
+    return setups(t).select("id", "learning_rate", "batch_size", "epochs", "optimizer", F.col("hardware_tier").cast("double").alias("hardware_tier"), "hardware", "uses_quantization")
 
 
 @query(
     "setup_divergence",
-    f"""WITH {_SETUP_VIEW}, p AS (SELECT a.id AS a, b.id AS b,
-      coalesce(greatest(a.learning_rate, b.learning_rate) / least(a.learning_rate, b.learning_rate) >= 10 AND a.learning_rate IS NOT NULL AND b.learning_rate IS NOT NULL, false) AS lr,
-      coalesce(greatest(a.learning_rate, b.learning_rate) / least(a.learning_rate, b.learning_rate) >= 100 AND a.learning_rate IS NOT NULL AND b.learning_rate IS NOT NULL, false) AS lr100,
-      coalesce(abs(a.hardware_tier - b.hardware_tier) >= 2 AND a.hardware_tier >= 0 AND b.hardware_tier >= 0, false) AS hw,
-      coalesce(greatest(a.batch_size, b.batch_size) / least(a.batch_size, b.batch_size) >= 8 AND a.batch_size IS NOT NULL AND b.batch_size IS NOT NULL, false) AS bs,
-      coalesce(greatest(a.epochs, b.epochs) / least(a.epochs, b.epochs) >= 5 AND a.epochs IS NOT NULL AND b.epochs IS NOT NULL, false) AS ep, coalesce(a.optimizer <> b.optimizer, false) AS opt
-      FROM s AS a JOIN s AS b ON a.id < b.id)
+    f"""WITH {_SETUP_VIEW}, o AS (SELECT lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS a, o_orderkey AS b FROM orders),
+    p AS (SELECT o.a, o.b, greatest(x.lr, y.lr) / least(x.lr, y.lr) AS lrx, greatest(x.bs, y.bs) / least(x.bs, y.bs) AS bsx, greatest(x.ep, y.ep) / least(x.ep, y.ep) AS epx, x.lr_text AS la, y.lr_text AS lb, x.opt AS oa, y.opt AS ob, x.hw AS ha, y.hw AS hb,
+      x.tier >= 0 AND y.tier >= 0 AND abs(x.tier - y.tier) >= 2 AS hw, coalesce(x.opt <> y.opt, false) AS opt, x.lr IS NOT NULL AND y.lr IS NOT NULL AS known, x.saves AS sa, y.saves AS sb FROM o JOIN x ON x.id = o.a JOIN x AS y ON y.id = o.b),
+    d AS (SELECT *, known AND lrx >= 10 AS lr, known AND lrx >= 100 AS lr100, known AND bsx >= 8 AS bs, known AND epx >= 5 AS ep FROM p),
+    r AS (SELECT *, concat_ws('; ', CASE WHEN lr THEN 'LR differs ' || CAST(round_even(lrx, 0) AS BIGINT) || 'x (' || la || ' vs ' || lb || ')' END, CASE WHEN bs THEN 'batch size differs ' || CAST(round_even(bsx, 0) AS BIGINT) || 'x' END,
+      CASE WHEN ep THEN 'training duration differs ' || CAST(round_even(epx, 0) AS BIGINT) || 'x' END, CASE WHEN opt THEN 'different optimizers: ' || oa || ' vs ' || ob END, CASE WHEN hw THEN 'hardware gap: ' || ha || ' vs ' || hb END) AS reasons FROM d)
     SELECT a, b, floor(least(0.35 * lr::INT + 0.25 * hw::INT + 0.20 * bs::INT + 0.15 * ep::INT + 0.15 * opt::INT, 1.0)::DOUBLE * 10000 + 0.5) / 10000 AS divergence,
-      concat_ws('; ', CASE WHEN lr THEN 'learning rate' END, CASE WHEN hw THEN 'hardware' END, CASE WHEN bs THEN 'batch size' END, CASE WHEN ep THEN 'epochs' END, CASE WHEN opt THEN 'optimizer' END) AS note,
-      NOT (lr AND hw OR lr100) AS comparable FROM p""",
+      CASE WHEN reasons = '' THEN 'No major setup differences detected.' ELSE 'Setup differences: ' || reasons || '.' END AS summary, NOT (lr AND hw OR lr100) AS comparable,
+      CASE WHEN lr AND hw THEN 'Both LR and hardware differ significantly.' WHEN lr100 THEN 'LR differs by ' || CAST(round_even(lrx, 0) AS BIGINT) || 'x.' END AS reason, CASE WHEN sa AND NOT sb THEN 'a' WHEN sb AND NOT sa THEN 'b' END AS saves_alone FROM r""",
 )
 def setup_divergence(t: Tables) -> DataFrame:
+    """How far the setups of pairs of papers lie apart, said in words."""
+    from .paper_queries import neighbours
+
     s = setups(t)
     a, b = (s.select(*(F.col(c).alias(f"{c}_{x}") for c in s.columns)) for x in "ab")
     names = [c for c in s.columns if c != "id"]
     d = tx.setup_divergence({n: F.col(f"{n}_a") for n in names}, {n: F.col(f"{n}_b") for n in names})
-    pairs = a.join(b, F.col("id_a") < F.col("id_b"))
-    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), fixed(d["divergence"]).alias("divergence"), d["note"].alias("note"), d["comparable"].alias("comparable"))
+    pairs = neighbours(t).select(F.col("paper_a").alias("id_a"), F.col("paper_b").alias("id_b")).join(a, "id_a").join(b, "id_b")
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), fixed(d["divergence"]).alias("divergence"), *(d[n].alias(n) for n in ("summary", "comparable", "reason", "saves_alone")))
 
 
 @query(

@@ -136,16 +136,19 @@ def mmr_select(t: Tables) -> DataFrame:
     return ranking.select_diverse(rows, "label", "vec_id", "score", "embedding", 15)
 
 
-@query("simulated_sessions")
-def simulated_sessions(t: Tables) -> DataFrame:
-    return ranking.simulate_sessions(t.spark.range(200))
-
-
-@query("bandit_eval")
+@query(
+    "bandit_eval",
+    """WITH e AS (SELECT event_type AS arm, value / 100.0 AS reward, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value IS NOT NULL)
+    SELECT arm, floor(avg(reward) FILTER (2 * step <= n) * 10000 + 0.5) / 10000 AS early, floor(avg(reward) FILTER (2 * step > n) * 10000 + 0.5) / 10000 AS late, count(*) AS n FROM e GROUP BY arm""",
+)
 def bandit_eval(t: Tables) -> DataFrame:
-    """Mean reward of each arm in simulated sessions, early and late."""
-    rows = ranking.simulate_sessions(t.spark.range(200))
-    return rows.groupBy("arm").agg(fixed(F.avg(F.when(F.col("step") < 4, F.col("reward")))).alias("early"), fixed(F.avg(F.when(F.col("step") >= 4, F.col("reward")))).alias("late"), F.count(F.lit(1)).alias("n"))
+    """Mean reward of each arm in the first and in the second half of each user's events."""
+    from pyspark.sql import Window
+
+    mine = Window.partitionBy("user_id")
+    rows = t.events.where("value IS NOT NULL").select(F.col("event_type").alias("arm"), (F.col("value") / 100.0).alias("reward"), F.row_number().over(mine.orderBy("event_id")).alias("step"), F.count(F.lit(1)).over(mine).alias("n"))
+    half = lambda early: fixed(F.avg(F.when((2 * F.col("step") <= F.col("n")) == early, F.col("reward"))))
+    return rows.groupBy("arm").agg(half(True).alias("early"), half(False).alias("late"), F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -92,18 +92,6 @@ def test_sentence_windows(spark):
     assert sorted(got[["doc_id", "window", "n_sentences", "text"]].itertuples(index=False, name=None)) == sorted(want)
 
 
-def test_simulated_sessions_depend_on_their_seed_alone(spark):
-    first, again = (found(spark, "simulated_sessions") for _ in range(2))
-    for frame in (first, again):
-        frame["state"] = frame["state"].map(list)
-    pd.testing.assert_frame_equal(first.sort_values(["session", "step"], ignore_index=True), again.sort_values(["session", "step"], ignore_index=True))
-    assert len(first) == 200 * 8 and first["reward"].between(0, 1).all()
-    means = found(spark, "bandit_eval").set_index("arm")
-    for arm, own in first.groupby("arm"):
-        early, late = own[own["step"] < 4]["reward"].mean(), own[own["step"] >= 4]["reward"].mean()
-        assert (means["early"][arm], means["late"][arm]) == (pytest.approx(early, abs=1e-4), pytest.approx(late, abs=1e-4)) and means["n"][arm] == len(own)
-
-
 def test_stream_dedup_has_each_key_of_each_stretch(spark):
     events, got = table(spark, "events"), found(spark, "stream_dedup")
     keys = lambda frame: set(zip(frame["user_id"], frame["event_type"]))
