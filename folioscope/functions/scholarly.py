@@ -160,6 +160,11 @@ def is_setup_section(heading: Column, kind: Column) -> Column:
     return holds_any(place, SETUP_SECTIONS)
 
 
+def is_priority_section(kind: Column) -> Column:
+    """Whether entities are looked for in a section of this type."""
+    return kind.isin(*PRIORITY_SECTIONS)
+
+
 def normalised(text: Column, kind: Column, answer: Column | None = None) -> Column:
     """The name of a metric or dataset by the rules; where they leave it as it is, the kept answer for it, else lower case.
 

@@ -29,6 +29,12 @@ def slug(text: Column) -> Column:
     return F.btrim(s, F.lit("_"))
 
 
+def paper_slug(text: Column) -> Column:
+    """A slug of three characters or more; a shorter one is an error."""
+    made = slug(text)
+    return F.when(F.char_length(made) >= 3, made).otherwise(F.raise_error(F.concat(F.lit("no paper id in: "), F.coalesce(text, F.lit("null")))))
+
+
 def short_id(*parts: Column) -> Column:
     """First 12 hexadecimal digits of the SHA-256 of the parts joined by ``::``."""
     return F.substring(F.sha2(F.concat_ws("::", *parts), 256), 1, 12)
@@ -318,7 +324,19 @@ def section_type(heading: Column) -> Column:
 
 
 def repair_json(text: Column) -> Column:
-    """The outermost object of an answer, code fences stripped; null if there is none. ``from_json`` then reads it leniently."""
+    """The first object of an answer, code fences stripped: from its brace to the one that closes it, braces in strings left out.
+    Null if there is no object or it is never closed. ``from_json`` then reads it leniently."""
     bare = F.regexp_replace(text, r"```(?:json)?", "")
-    found = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
-    return F.when(found != "", found)
+    rest = F.substring(bare, F.instr(bare, "{"), F.char_length(bare))
+    state = lambda depth, quoted, escaped, n, end: F.struct(depth.alias("depth"), quoted.alias("quoted"), escaped.alias("escaped"), n.alias("n"), end.alias("end"))
+
+    def step(s: Column, c: Column) -> Column:
+        live = s["end"] == 0
+        quote = (c == '"') & ~s["escaped"]
+        plain = ~s["quoted"] & ~s["escaped"]
+        depth = s["depth"] + F.when(plain & (c == "{"), 1).when(plain & (c == "}"), -1).otherwise(0)
+        closed = live & plain & (c == "}") & (depth == 0)
+        return state(depth, s["quoted"] != quote, (c == "\\") & s["quoted"] & ~s["escaped"], s["n"] + 1, F.when(closed, s["n"] + 1).otherwise(s["end"]))
+
+    end = F.aggregate(F.split(rest, ""), state(F.lit(0), F.lit(False), F.lit(False), F.lit(0), F.lit(0)), step, lambda s: s["end"])
+    return F.when(F.contains(bare, F.lit("{")) & (end > 0), F.substring(rest, F.lit(1), end))

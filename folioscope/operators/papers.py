@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scholarly import KNOWN_DATASET, KNOWN_METRIC, garbage_heading
+from ..functions.scholarly import KNOWN_DATASET, KNOWN_METRIC, garbage_heading, is_setup_section
 from ..functions.scores import fixed
 from ..functions.text import method_class, method_family
 
@@ -265,3 +265,11 @@ def absorbed_sections(sections: DataFrame, group: str, order: list[str], heading
     numbered = sections.withColumn("__own", ~garbage_heading(F.col(heading))).withColumn("__at", F.row_number().over(w)).withColumn("pos", F.sum(F.col("__own").cast("int")).over(w))
     pieces = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("__at", F.coalesce(F.col(text), F.lit("")).alias("t")))), lambda p: p["t"]), lambda t: t != "")
     return numbered.where("pos > 0").groupBy(group, "pos").agg(F.max(F.when(F.col("__own"), F.col(heading))).alias(heading), F.trim(F.array_join(pieces, " ")).alias(text))
+
+
+def setup_sections(sections: DataFrame, paper: str = "paper_id", heading: str = "heading", kind: str = "section_type") -> DataFrame:
+    """The sections of each paper that describe its setup; all of its sections where none does."""
+    mine = F.coalesce(is_setup_section(F.col(heading), F.col(kind)), F.lit(False))
+    rows = sections.withColumn("__mine", mine)
+    some = rows.where("__mine").select(paper).distinct().withColumn("__some", F.lit(True))
+    return rows.join(some, paper, "left").where(F.col("__mine") | F.col("__some").isNull()).drop("__mine", "__some")

@@ -163,7 +163,7 @@ def corpus_scan_prefer(t: Tables) -> DataFrame:
 
 @query(
     "pseudo_sections",
-    """SELECT 'section' AS kind, doc_id AS id, length(text)::INTEGER AS n FROM documents WHERE trim(text) <> '' AND lang IN ('en', 'de') UNION ALL
+    """SELECT 'section' AS kind, doc_id AS id, length(text)::INTEGER AS n FROM documents WHERE trim(text) <> '' UNION ALL
     SELECT 'table', page_id, length(url || ' | ' || regexp_extract(html, '(?s)<title>(.*?)</title>', 1))::INTEGER FROM pages UNION ALL SELECT 'figure', item_id, length(text)::INTEGER FROM benchmark WHERE length(text) > 20""",
 )
 def pseudo_sections(t: Tables) -> DataFrame:
@@ -171,7 +171,7 @@ def pseudo_sections(t: Tables) -> DataFrame:
     row = lambda df, kind, key, text: df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.length(text).alias("n"))
     table = F.array_join(F.array("url", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)), " | ")
     return op.union_chunks(
-        row(t.documents.where((F.trim("text") != "") & F.col("lang").isin("en", "de")), "section", "doc_id", F.col("text")),
+        row(t.documents.where(F.trim("text") != ""), "section", "doc_id", F.col("text")),
         row(t.pages, "table", "page_id", table),
         row(t.benchmark.where(F.length("text") > 20), "figure", "item_id", F.col("text")),
     )

@@ -182,16 +182,18 @@ def boost_priority(t: Tables) -> DataFrame:
 
 @query(
     "addressed_later",
-    """WITH w AS (SELECT item_id, item_id % 10 AS year, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 5 AND regexp_matches(x, '^[a-z]'))) AS t FROM benchmark)
-    SELECT a.item_id, count(DISTINCT b.item_id) > 0 AS addressed, count(DISTINCT b.item_id) AS n_later FROM w AS a LEFT JOIN w AS b ON b.year > a.year AND len(list_intersect(a.t, b.t)) >= 3 GROUP BY 1""",
+    """WITH w AS (SELECT item_id, item_id % 10 AS year, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 5 AND regexp_matches(x, '^[a-z]'))) AS t FROM benchmark),
+    d AS (SELECT doc_id, doc_id % 10 AS year, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: length(x) >= 5 AND regexp_matches(x, '^[a-z]'))) AS t FROM documents)
+    SELECT doc_id, count(DISTINCT item_id) > 0 AS addressed, count(DISTINCT item_id) AS n_later FROM d LEFT JOIN w ON w.year > d.year AND len(list_intersect(d.t, w.t)) >= 3 GROUP BY 1""",
 )
 def addressed_later(t: Tables) -> DataFrame:
-    """Statements that a later paper takes up: three or more shared words, by a join on words."""
-    w = t.benchmark.select("item_id", (F.col("item_id") % 10).alias("year"), F.explode(F.filter(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+")), lambda x: (F.length(x) >= 5) & x.rlike("^[a-z]"))).alias("w"))
-    later = w.select(F.col("item_id").alias("other"), F.col("year").alias("later"), "w")
-    hits = w.join(later, "w").where("later > year").groupBy("item_id", "other").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").groupBy("item_id").agg(F.count(F.lit(1)).alias("n_later"))
+    """Documents whose limitations a later claim takes up: three or more shared words, by a join on words that later claims have."""
+    words = lambda c: F.explode(F.filter(F.array_distinct(F.split(F.lower(c), "[^a-z0-9]+")), lambda x: (F.length(x) >= 5) & x.rlike("^[a-z]")))
+    said = t.documents.select("doc_id", (F.col("doc_id") % 10).alias("year"), words("text").alias("w"))
+    later = t.benchmark.select("item_id", (F.col("item_id") % 10).alias("later"), words("text").alias("w"))
+    hits = said.join(later, "w").where("later > year").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_later"))
     n = F.coalesce("n_later", F.lit(0))
-    return t.benchmark.select("item_id").join(hits, "item_id", "left").select("item_id", (n > 0).alias("addressed"), n.alias("n_later"))
+    return t.documents.select("doc_id").distinct().join(hits, "doc_id", "left").select("doc_id", (n > 0).alias("addressed"), n.alias("n_later"))
 
 
 #: Words of a limitation that what saves computation answers.

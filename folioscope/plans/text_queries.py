@@ -219,15 +219,22 @@ def page_sections(t: Tables) -> DataFrame:
 
 @query(
     "jaccard_docs",
-    f"""WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 3 AND regexp_matches(x, '^[a-z]') AND x NOT IN ({", ".join(f"'{x}'" for x in tx.STOP_TOKENS)}))) AS t FROM benchmark)
-    SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.t, b.t)) * 1.0 / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) AS jaccard FROM w AS a JOIN w AS b ON a.item_id < b.item_id WHERE len(list_intersect(a.t, b.t)) >= 3""",
+    f"""WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 3 AND regexp_matches(x, '^[a-z]') AND x NOT IN ({", ".join(f"'{x}'" for x in tx.STOP_TOKENS)}))) AS t FROM documents),
+    s AS (SELECT doc_id, list_sort(t) AS t, min(doc_id) OVER (PARTITION BY list_sort(t)) AS rep FROM w WHERE len(t) > 0), r AS (SELECT doc_id, t FROM s WHERE doc_id = rep)
+    SELECT rep AS a, doc_id AS b, 1.0::DOUBLE AS jaccard FROM s WHERE doc_id <> rep
+    UNION ALL SELECT a.doc_id, b.doc_id, len(list_intersect(a.t, b.t))::DOUBLE / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) FROM r AS a JOIN r AS b ON a.doc_id < b.doc_id AND len(a.t) >= 0.6 * len(b.t) AND len(b.t) >= 0.6 * len(a.t) AND len(list_intersect(a.t, b.t)) >= 0.6 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))""",
 )
 def jaccard_docs(t: Tables) -> DataFrame:
-    """Pairs of texts with three or more shared tokens, by an inverted-index join on tokens."""
-    from ..operators.entities import overlap_pairs
-
-    words = t.benchmark.select("item_id", F.explode(tx.tokens(F.col("text"))).alias("token"))
-    return overlap_pairs(words, "item_id", "token").where("n_shared >= 3").select("a", "b", "jaccard")
+    """Pairs of documents with a similarity of their words of 0.6 or more. Documents with the same words are one: the first of them
+    is paired with the others, and stands for them in all other pairs."""
+    from ..operators.setjoin import similar_sets
+
+    words = t.documents.where("doc_id IS NOT NULL").select("doc_id", F.array_sort(tx.tokens(F.col("text"))).alias("t")).where("size(t) > 0")
+    keyed = words.withColumn("key", F.sha2(F.array_join("t", " "), 256))
+    first = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.min_by("t", "doc_id").alias("t"))
+    same = keyed.select("key", F.col("doc_id").alias("b")).join(first.select("key", "a"), "key").where("a <> b").select("a", "b", F.lit(1.0).alias("jaccard"))
+    near = similar_sets(first.select("a", F.explode("t").alias("word")).withColumnRenamed("a", "doc_id"), "doc_id", "word", 0.6)
+    return near.select("a", "b", (F.col("n_shared") / (F.col("n_a") + F.col("n_b") - F.col("n_shared"))).alias("jaccard")).unionByName(same)
 
 
 @query(

@@ -7,8 +7,10 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from ..functions import scholarly as rule
 from ..session import ship
 
 SPACE = "{http://www.tei-c.org/ns/1.0}"
@@ -58,12 +60,11 @@ def read_document(xml: str) -> dict:
         label, caption = running_text(fig.find(f"{SPACE}label")), running_text(fig.find(f"{SPACE}figDesc"))
         if fig.get("type") == "table":
             rows = [[t for t in (running_text(c) for c in row.iter(f"{SPACE}cell")) if t] for row in fig.iter(f"{SPACE}row")]
-            if rows := [r for r in rows if r]:
-                tables.append({"table_id": fig.get(ID), "label": label, "caption": caption, "rows": rows})
-        elif label or len(caption) >= 20:
-            figures.append({"figure_id": fig.get(ID), "label": label, "caption": caption})
+            tables.append({"table_id": fig.get(ID) or "", "label": label, "caption": caption, "rows": [r for r in rows if r]})
+        else:
+            figures.append({"figure_id": fig.get(ID) or "", "label": label, "caption": caption})
     return {
-        "title": running_text(main) or None, "authors": [n for n in dict.fromkeys(names) if len(n.split()) >= 2], "year": int(year[0]) if year else None, "venue": venue, "doi": doi,
+        "title": running_text(main) or None, "authors": [n for n in dict.fromkeys(names) if n], "year": int(year[0]) if year else None, "venue": venue, "doi": doi,
         "abstract": running_text(abstract) or None, "sections": sections, "figures": figures, "tables": tables,
     }
 
@@ -85,4 +86,38 @@ def parse(papers: DataFrame, xml: str) -> DataFrame:
             out["success"], out["error"], out["document"] = zip(*done) if done else ((), (), ())
             yield out
 
-    return papers.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "success boolean", "error string", f"document {DOCUMENT}"]))
+    parsed = papers.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "success boolean", "error string", f"document {DOCUMENT}"]))
+    return repaired(parsed)
+
+
+def _last_of_each(items: Column, key: str) -> Column:
+    """Of items with the same id the last, where the first of them stood."""
+    return F.transform(F.array_distinct(F.transform(items, lambda x: x[key])), lambda k: F.element_at(F.filter(items, lambda x: x[key] == k), -1))
+
+
+def repaired(parsed: DataFrame, document: str = "document") -> DataFrame:
+    """``parsed`` with what the parser got wrong put right, by the rules of ``functions.scholarly``.
+
+    Titles lose what stands before them and names of institutions are no authors. Sections under headings that are no headings
+    go. Figures without a label go if their caption is garbled or shorter than 20 letters; tables get a caption rescued from a
+    garbled one and lose rows that are running text, and go if nothing is left. Of repeated ids the last counts.
+    """
+    d = F.col(document)
+    figures = F.filter(d["figures"], lambda x: (x["label"] != "") | ~(rule.garbled_caption(x["caption"]) | (F.char_length(x["caption"]) < 20)))
+    tables = F.transform(
+        d["tables"],
+        lambda x: F.struct(
+            x["table_id"].alias("table_id"), x["label"].alias("label"), F.when(rule.garbled_caption(x["caption"]), rule.rescued_caption(x["caption"])).otherwise(x["caption"]).alias("caption"),
+            F.when(rule.garbled_table(x["rows"]), F.array().cast("array<array<string>>")).otherwise(x["rows"]).alias("rows"),
+        ),
+    )
+    tables = F.filter(tables, lambda x: (x["label"] != "") | (x["caption"] != "") | (F.size(x["rows"]) > 0))
+    new = {
+        "title": F.when(d["title"].isNotNull(), rule.clean_title(d["title"])),
+        "authors": F.filter(d["authors"], rule.is_author),
+        "sections": F.filter(d["sections"], lambda x: ~rule.garbage_heading(x["heading"])),
+        "figures": _last_of_each(figures, "figure_id"),
+        "tables": _last_of_each(tables, "table_id"),
+    }
+    fields = [new.get(n, d[n]).alias(n) for n in ("title", "authors", "year", "venue", "doi", "abstract", "sections", "figures", "tables")]
+    return parsed.withColumn(document, F.when(d.isNotNull(), F.struct(*fields)))
