@@ -52,3 +52,13 @@ def first_match(text: Column, rules: Sequence[tuple[str, str]], default: str | N
     for name, pattern in reversed(rules):
         found = F.when(text.rlike(pattern), F.lit(name)).otherwise(found)
     return found
+
+
+def linear_decay(step: Column, start: float, end: float, steps: int) -> Column:
+    """From ``start`` to ``end`` in equal parts over ``steps``, then ``end``."""
+    return F.when(step >= steps, F.lit(end)).otherwise(start + step / steps * (end - start))
+
+
+def cosine_decay(step: Column, start: float, least: float, steps: int) -> Column:
+    """Cosine annealing from ``start`` down to ``least`` over ``steps``."""
+    return least + 0.5 * (1.0 + F.cos(F.pi() * step / max(steps, 1))) * (start - least)

@@ -18,6 +18,26 @@ def tokens(text: Column, least: int = 3) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= least) & w.rlike("^[a-z]") & ~w.isin(STOP_TOKENS)))
 
 
+#: Words that are left out of limitations, and of claims that are held against them.
+LIMITATION_STOPS = "the and for are that this with have been from they which their will not can but our more also than such its may each when these use".split()
+CLAIM_STOPS = "the a an of is are in to and that this we our with for on by from as at be was it its not but have has their which can also will may".split()
+
+
+def limitation_tokens(text: Column) -> Column:
+    """Distinct words of a letter and two or more letters or digits, stop words of limitations left out."""
+    return F.filter(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b[a-z][a-z0-9]{2,}\b"), F.lit(0))), lambda w: ~w.isin(LIMITATION_STOPS))
+
+
+def claim_tokens(text: Column) -> Column:
+    """As ``limitation_tokens``, with hyphens inside words and the stop words of claims."""
+    return F.filter(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b[a-z][a-z0-9\-]{2,}\b"), F.lit(0))), lambda w: ~w.isin(CLAIM_STOPS))
+
+
+def long_words(text: Column) -> Column:
+    """Distinct words of four or more letters, digits and underscores."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w{4,}\b"), F.lit(0)))
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 

@@ -78,6 +78,22 @@ def dedup_mentions(mentions: DataFrame, key: list[str], section: str, score: str
     return firsts.groupBy(*key).agg(F.max("__score").alias("confidence"), F.transform(rows, lambda r: r["s"]).alias("sections"))
 
 
+def first_mentions(mentions: DataFrame, key: list[str], section: str, score: str, order: list[str]) -> DataFrame:
+    """The first mention of each key, its confidence raised to the highest, and the other sections that name it, sorted."""
+    rows = mentions.withColumn("__o", F.struct(*order))
+    g = rows.groupBy(*key).agg(F.min_by(section, "__o").alias(section), F.max(score).alias(score), F.array_sort(F.collect_set(section)).alias("__all"))
+    return g.select(*key, section, score, F.array_remove("__all", F.col(section)).alias("also_in_sections"))
+
+
+def entity_index(mentions: DataFrame, kinds: list[str], fields: list[str], order: list[str], paper: str = "paper_id", kind: str = "entity_type", text: str = "text") -> DataFrame:
+    """One row a paper: for each of the kinds a map from the text in lower case to its mentions (``fields``), in order."""
+    rows = mentions.where(F.col(kind).isin(kinds)).withColumn("__k", F.lower(text))
+    lists = rows.groupBy(paper, kind, "__k").agg(F.array_sort(F.collect_list(F.struct(*order, *(F.col(f).alias(f"__{f}") for f in fields)))).alias("m"))
+    lists = lists.withColumn("m", F.transform("m", lambda x: F.struct(*(x[f"__{f}"].alias(f) for f in fields))))
+    entries = lambda k: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(kind) == k, F.struct("__k", "m")))))
+    return lists.groupBy(paper).agg(*(entries(k).alias(k) for k in kinds))
+
+
 def counts_of(rows: DataFrame, by: list[str], column: str, values: list[str]) -> DataFrame:
     """A count column for each of the given values, zero where there are none."""
     return rows.groupBy(*by).agg(*(F.count_if(F.col(column) == v).alias(f"n_{v.lower()}") for v in values), F.count(F.lit(1)).alias("n_total"))
