@@ -109,7 +109,7 @@ def entity_sets(mentions: DataFrame, kinds: Sequence[str] = ENTITY_TYPES, paper:
 
 
 def pair_overlaps(pairs: DataFrame, mentions: DataFrame, kinds: Sequence[str] = ENTITY_TYPES, paper: str = "paper_id", kind: str = "entity_type", name: str = "entity", a: str = "paper_a", b: str = "paper_b") -> DataFrame:
-    """Of given pairs of papers: shared entities and Jaccard overlap, of all kinds together and of each.
+    """Of given pairs of papers: shared entities and Jaccard overlap, of all kinds but metrics together and of each kind.
 
     Both papers' sets are joined to the pair, one row each, and compared there: pairs are never formed here, and no entity is
     joined by itself.
@@ -118,9 +118,18 @@ def pair_overlaps(pairs: DataFrame, mentions: DataFrame, kinds: Sequence[str] =
     side = lambda key, tag: sets.select(F.col(paper).alias(key), *(F.col(k).alias(f"__{k}_{tag}") for k in kinds))
     both = pairs.select(a, b).distinct().join(side(a, "a"), a, "left").join(side(b, "b"), b, "left")
     size = lambda c: F.coalesce(F.array_size(c), F.lit(0))
-    rows = both.select(a, b, *(size(F.array_intersect(f"__{k}_a", f"__{k}_b")).cast("long").alias(f"shared_{k}") for k in kinds), *((size(F.col(f"__{k}_a")) + size(F.col(f"__{k}_b"))).alias(f"__n_{k}") for k in kinds))
-    plus = lambda names: sum((F.col(n) for n in names[1:]), F.col(names[0]))
-    rows = rows.withColumn("shared_entity", plus([f"shared_{k}" for k in kinds])).withColumn("__n_entity", plus([f"__n_{k}" for k in kinds]))
+    none = F.array().cast("array<string>")
+
+    def together(x: str) -> Column:
+        """The entities of a side that are compared as one set: all kinds but metrics, whatever their kind."""
+        held = none
+        for k in kinds:
+            if k != "metric":
+                held = F.array_union(held, F.coalesce(F.col(f"__{k}_{x}"), none))
+        return held
+
+    rows = both.select(a, b, *(size(F.array_intersect(f"__{k}_a", f"__{k}_b")).cast("long").alias(f"shared_{k}") for k in kinds), *((size(F.col(f"__{k}_a")) + size(F.col(f"__{k}_b"))).alias(f"__n_{k}") for k in kinds), *(together(x).alias(f"__all_{x}") for x in "ab"))
+    rows = rows.withColumn("shared_entity", size(F.array_intersect("__all_a", "__all_b")).cast("long")).withColumn("__n_entity", size(F.col("__all_a")) + size(F.col("__all_b")))
     ratio = lambda k: F.when(F.col(f"__n_{k}") > F.col(f"shared_{k}"), F.col(f"shared_{k}") / (F.col(f"__n_{k}") - F.col(f"shared_{k}"))).otherwise(F.lit(0.0))
     return rows.select(a, b, *(f"shared_{k}" for k in ("entity", *kinds)), *(ratio(k).alias(f"{k}_overlap") for k in ("entity", *kinds)))
 

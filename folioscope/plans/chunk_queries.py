@@ -27,9 +27,19 @@ def chunks(t: Tables) -> DataFrame:
     )
 
 
-@query("chunk_ids", "SELECT doc_id, substr(sha256(doc_id || '::' || text || '::0'), 1, 12) AS chunk_id FROM documents")
+@query("chunk_ids", "SELECT conv_id, turn, substr(sha256(conv_id || '::' || coalesce(text, '') || '::' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1)), 1, 12) AS chunk_id FROM conversations")
 def chunk_ids(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", op.chunk_id(F.col("doc_id"), F.col("text"), F.lit(0)).alias("chunk_id"))
+    """Ids of the turns of conversations; the place of a turn in its conversation tells equal ones apart."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1
+    return t.conversations.select("conv_id", "turn", op.chunk_id(F.col("conv_id"), F.coalesce("text", F.lit("")), place).alias("chunk_id"))
+
+
+@query("peek_collections", "WITH " + _CHUNKS + f", r AS (SELECT {_ROUTE} AS collection, chunk_type, paper_id, pos FROM chunks) SELECT collection, chunk_type, paper_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY chunk_type, paper_id, pos) AS n FROM r) WHERE n <= 3")
+def peek_collections(t: Tables) -> DataFrame:
+    """The first three chunks of each collection."""
+    rows = chunks(t).select(op.route(F.col("chunk_type")).alias("collection"), "chunk_type", "paper_id", "pos")
+    first = F.row_number().over(Window.partitionBy("collection").orderBy("chunk_type", "paper_id", "pos"))
+    return rows.withColumn("n", first).where("n <= 3").drop("n")
 
 
 @query(

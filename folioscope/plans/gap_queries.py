@@ -10,6 +10,7 @@ from ..functions.text import STOP_TOKENS, holds_any, setup_values, tokens
 from ..operators import critique, layout
 from ..operators.entities import cooccurrence
 from .registry import Tables, query
+from .text_queries import _SETUP_VIEW, setups
 
 #: The rules written out, for DuckDB: signals over the text of a document, counts over the entities and claims of its paper.
 _FEATURES = r"""x AS (SELECT doc_id, lower(coalesce(text, '')) AS t, string_split(lower(coalesce(text, '')), chr(10)) AS lines FROM documents),
@@ -165,6 +166,18 @@ def cross_paper_methods(pairs: DataFrame, entities: DataFrame, method_class) ->
     return gaps.select("method", "paper_a", "paper_b", "n_shared", "n_missing", priority.alias("priority"), fixed(sure).alias("confidence"))
 
 
+@query(
+    "gaps_once",
+    """WITH g AS (SELECT l_orderkey AS paper, l_returnflag AS task, l_linenumber AS place, array_to_string(list_sort(list_distinct([l_suppkey % 5, l_partkey % 5])), '+') AS datasets FROM lineitem)
+    SELECT task, datasets, min(paper) AS paper, count(*) AS n FROM g GROUP BY 1, 2""",
+)
+def gaps_once(t: Tables) -> DataFrame:
+    """Gaps with the same task and the same set of datasets, in whatever order, are one: that of the first paper."""
+    names = F.array_join(F.array_sort(F.array_distinct(F.array(F.col("l_suppkey") % 5, F.col("l_partkey") % 5))).cast("array<string>"), "+")
+    g = t.lineitem.select(F.col("l_orderkey").alias("paper"), F.col("l_returnflag").alias("task"), names.alias("datasets"))
+    return g.groupBy("task", "datasets").agg(F.min("paper").alias("paper"), F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "boost_priority",
     """WITH {MENTIONS}, g AS (SELECT dataset AS gap_id, paper_id, CASE WHEN count(*) OVER (PARTITION BY dataset) > 2400 THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM (SELECT DISTINCT dataset, paper_id FROM mentions)),
@@ -202,16 +215,19 @@ _SCARCE = ("memory", "edge", "mobile", "resource", "parameter", "compute", "ligh
 
 @query("complement_signals")
 def complement_signals(t: Tables) -> DataFrame:
-    """Limitations of one text that claims of another speak to: three or more shared words of three letters or more, stop words
-    left out. 0.9 where the limitation is about scarce means and the claim's text names what saves them, else 0.65."""
+    """Limitations of one text that claims of another speak to, in both directions between documents and passages: three or more
+    shared words of three letters or more, stop words left out. 0.9 where the limitation is about scarce means and the claim's text
+    names what saves them, else 0.65."""
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b[a-z][a-z0-9\-]{2,}\b"), F.lit(0))))
     words = lambda df, key: df.select(key, word.alias("w")).where(~F.col("w").isin(STOP_TOKENS))
     shared = words(t.documents, "doc_id").join(words(t.benchmark, "item_id"), "w").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared")).where("n_shared >= 3")
-    scarce = t.documents.select("doc_id", holds_any(F.lower("text"), _SCARCE).alias("scarce"))
     savings = setup_values(F.col("text"))
-    saves = t.benchmark.select("item_id", (savings["uses_quantization"] | savings["uses_pruning"] | savings["uses_distillation"]).alias("saves"))
-    found = shared.join(scarce, "doc_id").join(saves, "item_id")
-    return found.select("doc_id", "item_id", "n_shared", F.when(F.col("scarce") & F.col("saves"), 0.9).otherwise(0.65).alias("confidence"))
+    saves = savings["uses_quantization"] | savings["uses_pruning"] | savings["uses_distillation"]
+    means = lambda df, key: df.select(key, holds_any(F.lower("text"), _SCARCE).alias(f"scarce_{key}"), saves.alias(f"saves_{key}"))
+    found = shared.join(means(t.documents, "doc_id"), "doc_id").join(means(t.benchmark, "item_id"), "item_id")
+    sure = lambda limitation, claim: F.when(F.col(f"scarce_{limitation}") & F.col(f"saves_{claim}"), 0.9).otherwise(0.65)
+    both = F.array(*(F.struct(F.lit(f"{a} to {b}").alias("direction"), sure(x, y).alias("confidence")) for a, b, x, y in (("document", "passage", "doc_id", "item_id"), ("passage", "document", "item_id", "doc_id"))))
+    return found.select("doc_id", "item_id", "n_shared", F.inline(both))
 
 
 @query("citation_link", "WITH c AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 100 AS b FROM lineitem), p AS (SELECT a.s_suppkey AS paper_a, b.s_suppkey AS paper_b FROM supplier AS a JOIN supplier AS b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey) SELECT paper_a, paper_b, EXISTS (SELECT 1 FROM c WHERE c.a = paper_a AND c.b = paper_b OR c.a = paper_b AND c.b = paper_a) AS linked FROM p")
@@ -231,16 +247,17 @@ def ner_hint_join(t: Tables) -> DataFrame:
     return c.join(hints, hints["n_regionkey"] == c["conv_id"] % 7, "left").select("conv_id", "turn", F.concat("role", F.lit(": "), F.coalesce("hints", F.lit(""))).alias("prompt"))
 
 
-@query("llm_validation_merge", """WITH {CLAIMS} SELECT claim_id, least(greatest(0.5 + CASE claim_id % 3 WHEN 0 THEN 0.2 WHEN 1 THEN -0.2 ELSE 0 END, 0), 1)::DOUBLE AS confidence, claim_id % 3 <> 2 AS validated,
-    0.5 + CASE claim_id % 3 WHEN 0 THEN 0.2 WHEN 1 THEN -0.2 ELSE 0 END < 0.6 AS needs_review FROM claims WHERE 0.5 + CASE claim_id % 3 WHEN 0 THEN 0.2 WHEN 1 THEN -0.2 ELSE 0 END >= 0.4""")
+@query("llm_validation_merge", """WITH {CLAIMS}, d AS (SELECT claim_id, CASE WHEN metric <> 'error' THEN (dataset - 50) / 100.0 END AS delta FROM claims), c AS (SELECT claim_id, least(greatest(0.5 + coalesce(delta, 0), 0), 1)::DOUBLE AS confidence, delta IS NOT NULL AS validated FROM d)
+    SELECT claim_id, floor(confidence * 100 + 0.5) / 100 AS confidence, validated, confidence < 0.6 AS needs_review FROM c WHERE confidence >= 0.4""")
 def llm_validation_merge(t: Tables) -> DataFrame:
-    """Answers of a validator, read leniently, adjust confidences; low ones go, middling ones are marked."""
+    """Answers of a validator, read leniently from the text around them, adjust confidences; low ones go, middling ones are marked.
+    What an event holds beside its value is its answer; errors have none."""
     from ..functions.text import repair_json
 
-    answer = F.when(F.col("claim_id") % 3 == 0, F.lit('```json\n{"delta": 0.2}\n```')).when(F.col("claim_id") % 3 == 1, F.lit('{"delta": -0.2}')).otherwise(F.lit("no answer"))
-    delta = F.get_json_object(repair_json(answer), "$.delta").try_cast("double")
-    c = t.claims.select("claim_id", F.least(F.greatest(F.lit(0.5) + F.coalesce(delta, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("confidence"), delta.isNotNull().alias("validated"))
-    return c.where("confidence >= 0.4").withColumn("needs_review", F.col("confidence") < 0.6)
+    answer = F.when(F.col("event_type") != "error", F.concat(F.lit("Here it is: ```json\n"), "props", F.lit("\n``` Done {."))).otherwise(F.lit("no answer"))
+    delta = (F.get_json_object(repair_json(answer), "$.k").try_cast("double") - 50) / 100.0
+    c = t.events.select(F.col("event_id").alias("claim_id"), F.least(F.greatest(F.lit(0.5) + F.coalesce(delta, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("confidence"), delta.isNotNull().alias("validated"))
+    return c.where("confidence >= 0.4").select("claim_id", fixed(F.col("confidence"), 2).alias("confidence"), "validated", (F.col("confidence") < 0.6).alias("needs_review"))
 
 
 @query("priority_sort_topk", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderpriority LIKE '2%' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey LIMIT 25")
@@ -297,15 +314,12 @@ def references(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.concat(F.lit("["), F.element_at(F.split("c_name", "#"), -1), F.lit(" "), (F.lit(1990) + F.col("c_nationkey")).cast("string"), F.lit("]")).alias("citation"))
 
 
-@query("setup_attach", "SELECT doc_id, coalesce(CASE doc_id % 3 WHEN 0 THEN 64 WHEN 1 THEN 128 END, 32)::INTEGER AS batch_size FROM documents")
+@query("setup_attach", f"WITH {_SETUP_VIEW} SELECT id, CAST(coalesce(bs, 32) AS INTEGER) AS batch_size, coalesce(opt, 'unknown') AS optimizer FROM x")
 def setup_attach(t: Tables) -> DataFrame:
-    """A setup row for each paper, a default where there is none."""
-    from ..functions.text import setup_values
-
-    text = F.when(F.col("doc_id") % 3 == 0, "batch size 64").when(F.col("doc_id") % 3 == 1, "batch size of 128").otherwise("")
-    rows = t.documents.select("doc_id", text.alias("t"))
-    found = rows.select("doc_id", setup_values(F.col("t"))["batch_size"].cast("int").alias("b")).where("b IS NOT NULL")
-    return t.documents.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("b", F.lit(32)).alias("batch_size"))
+    """The setup of each paper, defaults where its text names none."""
+    found = setups(t).where("batch_size IS NOT NULL").select("id", F.col("batch_size").cast("int").alias("b"), "optimizer")
+    papers = t.orders.select(F.col("o_orderkey").alias("id"))
+    return papers.join(found, "id", "left").select("id", F.coalesce("b", F.lit(32)).alias("batch_size"), F.coalesce("optimizer", F.lit("unknown")).alias("optimizer"))
 
 
 @query("title_caption_clean", """WITH p AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages) SELECT page_id, trim(regexp_replace(title, '[^\\p{L}\\p{N} .,;:!?-]', '', 'g')) AS clean, len(regexp_split_to_array(trim(title), '\\s+')) >= 3 AS is_title FROM p""")

@@ -62,8 +62,8 @@ _OVERLAP = lambda k: f"coalesce(shared_{k}, 0) * 1.0 / nullif(a.{k} + b.{k} - co
 _ROUND = lambda x, n=4: f"floor(coalesce({x}, 0) * {10**n} + 0.5) / {10**n}"
 
 
-_PAIR_ROWS = f"""{_FOUND}, {_ENTITIES}, sizes AS (SELECT paper_id, count(*) AS entity, {", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in op.ENTITY_TYPES)} FROM entities GROUP BY paper_id),
-    shared AS (SELECT paper_a, paper_b, count(*) AS shared_entity, {", ".join(f"count(*) FILTER (a.kind = '{k}') AS shared_{k}" for k in op.ENTITY_TYPES)}
+_PAIR_ROWS = f"""{_FOUND}, {_ENTITIES}, sizes AS (SELECT paper_id, count(*) FILTER (kind <> 'metric') AS entity, {", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in op.ENTITY_TYPES)} FROM entities GROUP BY paper_id),
+    shared AS (SELECT paper_a, paper_b, count(*) FILTER (a.kind <> 'metric') AS shared_entity, {", ".join(f"count(*) FILTER (a.kind = '{k}') AS shared_{k}" for k in op.ENTITY_TYPES)}
       FROM pairs JOIN entities AS a ON a.paper_id = paper_a JOIN entities AS b ON b.paper_id = paper_b AND b.kind = a.kind AND b.entity = a.entity GROUP BY 1, 2),
     divergence AS (SELECT paper_a, paper_b, least(avg(diff / greatest(value_a, value_b)), 1.0) AS divergence FROM found GROUP BY 1, 2),
     f AS (SELECT p.paper_a, p.paper_b, year_diff, cites, setup, coalesce(shared_dataset, 0) AS shared_dataset, coalesce(shared_method, 0) AS shared_method, coalesce(divergence, 0) AS divergence,

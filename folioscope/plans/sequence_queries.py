@@ -124,6 +124,17 @@ def arm_rewards(t: Tables) -> DataFrame:
     return t.orders.groupBy(F.col("o_custkey").alias("session_id")).agg(mean("1-URGENT").alias("urgent"), mean("2-HIGH").alias("high"), mean("5-LOW").alias("low"))
 
 
+@query(
+    "last_picks",
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders)
+    SELECT o_custkey AS session_id, o_orderpriority AS arm, floor(o_totalprice / 5000.0 + 0.5) / 100 AS confidence, year(o_orderdate) AS year, o_orderstatus AS status FROM r WHERE n = 1""",
+)
+def last_picks(t: Tables) -> DataFrame:
+    """The parts of the reward of the last pick of each session, as they stood then."""
+    last = t.orders.groupBy(F.col("o_custkey").alias("session_id")).agg(F.max_by(F.struct("o_orderpriority", "o_totalprice", "o_orderdate", "o_orderstatus"), F.struct("o_orderdate", "o_orderkey")).alias("m"))
+    return last.select("session_id", F.col("m.o_orderpriority").alias("arm"), fixed(F.col("m.o_totalprice") / 500000.0, 2).alias("confidence"), F.year("m.o_orderdate").cast("long").alias("year"), F.col("m.o_orderstatus").alias("status"))
+
+
 @query(
     "gae_scan",
     "WITH RECURSIVE " + _EPISODES + """, n AS (SELECT session_id, reward, row_number() OVER (PARTITION BY session_id ORDER BY happened, episode) - 1 AS step, row_number() OVER (PARTITION BY session_id ORDER BY happened DESC, episode DESC) AS back FROM e),

@@ -153,15 +153,15 @@ def bandit_eval(t: Tables) -> DataFrame:
 
 @query(
     "post_session_update",
-    """WITH e AS (SELECT o_orderkey AS episode, least(o_totalprice / 500000.0, 1.0) AS reward, o_orderpriority AS arm, [o_custkey % 3, o_custkey % 5, 1] AS x FROM orders), y AS (SELECT arm, reward, x, unnest(range(1, 4)) AS i FROM e)
-    SELECT arm, CAST(i - 1 AS INTEGER) AS i, floor(sum(x[i]::DOUBLE * x[i]::DOUBLE) * 10000 + 0.5) / 10000 AS a, floor(sum(x[i] * reward) * 10000 + 0.5) / 10000 AS b FROM y GROUP BY 1, 2""",
+    """WITH e AS (SELECT o_orderkey AS episode, least(o_totalprice / 500000.0, 1.0) AS reward, o_orderpriority AS arm, [o_custkey % 3, o_custkey % 5, 1] AS x FROM orders), y AS (SELECT arm, reward, x, unnest(range(1, 4)) AS i FROM e), z AS (SELECT *, unnest(range(1, 4)) AS j FROM y)
+    SELECT arm, CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, floor(sum(x[i]::DOUBLE * x[j]::DOUBLE) * 10000 + 0.5) / 10000 AS a, floor(sum(x[i] * reward) FILTER (i = j) * 10000 + 0.5) / 10000 AS b FROM z WHERE i <= j GROUP BY 1, 2, 3""",
 )
 def post_session_update(t: Tables) -> DataFrame:
-    """Every decision of an episode is credited with the episode's reward: sums for each arm."""
+    """Every decision of an episode is credited with the episode's reward: the statistics of each arm, off its diagonal too."""
     x = F.array((F.col("o_custkey") % 3).cast("double"), (F.col("o_custkey") % 5).cast("double"), F.lit(1.0))
     rows = t.orders.select(F.col("o_orderpriority").alias("arm"), x.alias("x"), F.least(F.col("o_totalprice") / 500000.0, F.lit(1.0)).alias("r"))
-    sums = ranking.linucb_statistics(rows, "arm", "x", "r").where("i = j")
-    return sums.select("arm", "i", fixed(F.col("a")).alias("a"), fixed(F.col("b")).alias("b"))
+    sums = ranking.linucb_statistics(rows, "arm", "x", "r")
+    return sums.select("arm", "i", "j", fixed(F.col("a")).alias("a"), fixed(F.col("b")).alias("b"))
 
 
 @query("hash_embedding")

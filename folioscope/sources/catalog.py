@@ -75,3 +75,12 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 def count_or_zero(spark: SparkSession, table: str) -> int:
     return spark.table(table).count() if spark.catalog.tableExists(table) else 0
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """``(kind, key, paper_id)`` of a registry of hashes and ids in one JSON file; a flat file of an older form holds hashes only."""
+    pairs = "map<string,string>"
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", f"hashes {pairs}, arxiv_ids {pairs}").alias("r"), F.from_json("value", pairs).alias("flat"))
+    old = F.col("r.hashes").isNull() & F.col("r.arxiv_ids").isNull()
+    named = lambda kind, m: rows.select(F.lit(kind).alias("kind"), F.explode(m).alias("key", "paper_id"))
+    return named("hash", F.when(old, F.col("flat")).otherwise(F.col("r.hashes"))).unionByName(named("arxiv", F.col("r.arxiv_ids")))

@@ -89,5 +89,5 @@ def headings_found(spark: SparkSession, path: str, headings: tuple[str, ...]) ->
 
 
 def files_named(spark: SparkSession, folder: str, name: str = "*.pdf") -> DataFrame:
-    """Paths and sizes of the files of a kind, without their contents."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", name).option("recursiveFileLookup", True).load(folder).select("path", "length")
+    """Paths and sizes of the files of a kind in order of their paths, without their contents."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", name).option("recursiveFileLookup", True).load(folder).select("path", "length").orderBy("path")

@@ -104,3 +104,12 @@ def test_nested_and_first_mentions(spark):
     assert {k: [tuple(m) for m in v] for k, v in index.method.items()} == {"bert": [("BERT", 0.5), ("bert", 0.9)]} and index.dataset == {} and list(index.task) == ["qa"]
     first = first_mentions(rows.withColumn("key", F.lower("text")), ["paper_id", "key"], "section", "confidence", ["pos"]).where("key = 'bert'").first()
     assert (first.section, first.confidence, first.also_in_sections) == ("Intro", 0.9, ["Results"])
+
+
+def test_registries_of_both_forms(spark, tmp_path):
+    from folioscope.sources.catalog import read_registry
+
+    for name, value in (("new", {"hashes": {"h": "p"}, "arxiv_ids": {"1.2": "q"}}), ("old", {"h1": "p", "h2": "q"}), ("empty", {})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(value))
+    read = lambda name: {tuple(r) for r in read_registry(spark, f"{tmp_path}/{name}.json").collect()}
+    assert read("new") == {("hash", "h", "p"), ("arxiv", "1.2", "q")} and read("old") == {("hash", "h1", "p"), ("hash", "h2", "q")} and read("empty") == set()
