@@ -19,6 +19,7 @@ from tests.test_queries import rows
 
 from .cases import docs
 from .test_packing_and_pipeline import check
+from .test_packing_and_pipeline import plain as plain_bins
 from .test_pii import plain as patterns
 from .test_quality import labelled
 
@@ -121,6 +122,13 @@ def test_op9_bins(spark, folder, given):
         total[r.doc_id] = total.get(r.doc_id, 0) + r.size
         assert r.cluster_id == components[r.doc_id]
     assert total == {i: len(t.encode().split()) for i, t in given.items()}
+    shards = {}
+    for r in found:
+        shards.setdefault(r.bin_id >> 32, {}).setdefault(r.doc_id, []).append(r)
+    for members in shards.values():  # every last piece is in the tightest bin that may take it
+        last = [max(pieces, key=lambda r: r.piece) for _, pieces in sorted(members.items(), key=lambda x: (-sum(r.size for r in x[1]), x[0]))]
+        left, n_bins = plain_bins([r.size for r in last], [r.source for r in last], [r.cluster_id for r in last], 2048, 4)
+        assert [2048 - r.bin_offset - r.size for r in last] == left and len({r.bin_id for r in last}) == n_bins
 
 
 def test_op10_ids_of_the_library(spark, folder, given):
