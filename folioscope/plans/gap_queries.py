@@ -9,6 +9,7 @@ from ..functions.scores import fixed, rank_of
 from ..functions.text import STOP_TOKENS, holds_any, setup_values, tokens
 from ..operators import critique, layout
 from ..operators.entities import cooccurrence
+from .entity_queries import GAPS, gap_cells
 from .registry import Tables, query
 from .text_queries import _SETUP_VIEW, setups
 
@@ -130,18 +131,22 @@ def narrow_coverage_gaps(t: Tables) -> DataFrame:
     return gaps.join(F.broadcast(everything)).where("n_all > n_tested").select("task", "dataset", "paper_id", "n_tested", (F.col("n_all") - F.col("n_tested")).alias("n_untested"))
 
 
-@query(
-    "combinatorial_gaps",
-    """WITH {MENTIONS}, o AS (SELECT lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS a, o_orderkey AS b FROM orders), p AS (SELECT a AS paper_a, b AS paper_b FROM o WHERE a IS NOT NULL UNION ALL SELECT b, a FROM o WHERE a IS NOT NULL),
+_COMBINED = """{MENTIONS}, o AS (SELECT lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS a, o_orderkey AS b FROM orders), p AS (SELECT a AS paper_a, b AS paper_b FROM o WHERE a IS NOT NULL UNION ALL SELECT b, a FROM o WHERE a IS NOT NULL),
     e AS (SELECT DISTINCT paper_id, CASE WHEN part_id % 5 = 0 THEN raw_text || ' lstm ' || part_id WHEN part_id % 5 < 3 THEN raw_text || ' ' || part_id ELSE method || part_id END AS method, task, dataset FROM mentions),
     s AS (SELECT paper_a, paper_b, count(DISTINCT a.task) AS n_shared FROM p JOIN e AS a ON a.paper_id = paper_a JOIN e AS b ON b.paper_id = paper_b AND b.task = a.task GROUP BY ALL),
     seen AS (SELECT DISTINCT a.method, b.dataset FROM e AS a JOIN e AS b USING (paper_id)),
     g AS (SELECT DISTINCT a.method, paper_a, paper_b, n_shared, b.dataset FROM s JOIN e AS a ON a.paper_id = paper_a JOIN e AS b ON b.paper_id = paper_b WHERE regexp_matches(a.method, 'lstm') OR contains(a.method, ' ')),
-    k AS (SELECT method, paper_a, paper_b, n_shared, count(*) AS n_missing FROM g ANTI JOIN seen USING (method, dataset) GROUP BY ALL)
-    SELECT method, paper_a, paper_b, n_shared, n_missing, CASE WHEN n_shared > 2 AND n_missing > 3 THEN 'HIGH' WHEN n_missing > 1 THEN 'MEDIUM' ELSE 'LOW' END AS priority,
-      floor((least(0.9, 0.4 + 0.15 * n_shared)::DOUBLE - CASE WHEN regexp_matches(method, 'lstm') THEN 0 ELSE 0.2 END) * 10000 + 0.5) / 10000 AS confidence FROM k""",
-)
+    missing AS (SELECT method, paper_a, paper_b, n_shared, count(*) AS n_missing FROM g ANTI JOIN seen USING (method, dataset) GROUP BY ALL),
+    combined AS (SELECT method, paper_a, paper_b, n_shared, n_missing, CASE WHEN n_shared > 2 AND n_missing > 3 THEN 'HIGH' WHEN n_missing > 1 THEN 'MEDIUM' ELSE 'LOW' END AS priority,
+      floor((least(0.9, 0.4 + 0.15 * n_shared)::DOUBLE - CASE WHEN regexp_matches(method, 'lstm') THEN 0 ELSE 0.2 END) * 10000 + 0.5) / 10000 AS confidence FROM missing)"""
+
+
+@query("combinatorial_gaps", f"WITH {_COMBINED} SELECT * FROM combined")
 def combinatorial_gaps(t: Tables) -> DataFrame:
+    return combinatorial_gaps_of(t)
+
+
+def combinatorial_gaps_of(t: Tables) -> DataFrame:
     """Methods of one paper of a pair that no paper has tried on datasets of the other, where both share a task: one gap a method and
     ordered pair. Names that are no methods are left out, weak ones are less sure. Pairs are given, so all are equi-joins."""
     from ..functions.text import method_class
@@ -180,17 +185,19 @@ def gaps_once(t: Tables) -> DataFrame:
 
 @query(
     "boost_priority",
-    """WITH {MENTIONS}, g AS (SELECT dataset AS gap_id, paper_id, CASE WHEN count(*) OVER (PARTITION BY dataset) > 2400 THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM (SELECT DISTINCT dataset, paper_id FROM mentions)),
-    b AS (SELECT gap_id, priority, bool_or(quality = 0) AS flagged, count(*) AS n FROM g LEFT JOIN labels ON doc_id = paper_id GROUP BY 1, 2)
-    SELECT gap_id, n, CASE WHEN flagged AND priority = 'LOW' THEN 'MEDIUM' WHEN flagged AND priority = 'MEDIUM' THEN 'HIGH' ELSE priority END AS priority FROM b""",
+    f"WITH {_COMBINED}, " + _USES.replace("{MENTIONS}, u AS", "uses AS").replace("SELECT u.*, year", "SELECT uses.*, year").replace("FROM u JOIN", "FROM uses JOIN").replace(", a AS (", ", aged AS (") + """, own AS (SELECT paper_id, 0.1 AS plus FROM mentions GROUP BY paper_id HAVING count(DISTINCT dataset) = 1), old AS (SELECT paper_id, 0.05 AS plus FROM aged GROUP BY paper_id HAVING max(age) > 7),
+    w AS (SELECT paper_id, sum(plus) AS plus FROM (SELECT * FROM own UNION ALL SELECT * FROM old) GROUP BY paper_id)
+    SELECT method, paper_a, paper_b, CASE WHEN x.plus IS NOT NULL OR y.plus IS NOT NULL THEN 'HIGH' ELSE priority END AS priority, floor(least(confidence + coalesce(x.plus, 0) + coalesce(y.plus, 0), 1.0)::DOUBLE * 10000 + 0.5) / 10000 AS confidence
+    FROM combined LEFT JOIN w AS x ON x.paper_id = paper_a LEFT JOIN w AS y ON y.paper_id = paper_b""",
 )
 def boost_priority(t: Tables) -> DataFrame:
-    """A gap whose own papers have a flagged weakness goes up one step."""
-    g = t.mentions.select(F.col("dataset").alias("gap_id"), "paper_id").distinct()
-    flags = t.labels.select(F.col("doc_id").alias("paper_id"), (F.col("quality") == 0).alias("flag"))
-    b = g.join(flags, "paper_id", "left").groupBy("gap_id").agg(F.bool_or("flag").alias("flagged"), F.count(F.lit(1)).alias("n"))
-    level = F.when(F.col("n") > 2400, 1).otherwise(0) + F.when(F.col("flagged"), 1).otherwise(0)
-    return b.select("gap_id", "n", F.element_at(F.array(F.lit("LOW"), F.lit("MEDIUM"), F.lit("HIGH")), level + 1).alias("priority"))
+    """Combinatorial gaps are raised by HIGH weaknesses of their papers: results on one dataset, or baselines that are long outdated."""
+    one = t.mentions.groupBy("paper_id").agg(F.count_distinct("dataset").alias("n_datasets"))
+    single = critique.find_weaknesses(one, "paper_id", tuple(c for c in critique.CHECKS if c.name == "single_dataset_evaluation")).select("paper_id", "weakness", "severity")
+    old = critique.outdated_papers(baseline_uses(t), "paper_id", "name", "year").select("paper_id", F.lit("outdated_baselines").alias("weakness"), "severity")
+    gaps = combinatorial_gaps_of(t).withColumns({"gap_id": F.struct("method", "paper_a", "paper_b"), "gap_type": F.lit("combinatorial"), "papers": F.array("paper_a", "paper_b")})
+    found = critique.boosted_gaps(gaps.select("gap_id", "gap_type", "papers", "priority", "confidence"), single.unionByName(old))
+    return found.select("gap_id.*", "priority", fixed(F.col("confidence")).alias("confidence"))
 
 
 @query(
@@ -266,10 +273,26 @@ def priority_sort_topk(t: Tables) -> DataFrame:
     return t.orders.orderBy(rank, F.col("o_totalprice").desc(), "o_orderkey").limit(25).select("o_orderkey", "o_orderpriority", "o_totalprice")
 
 
-@query("gap_text_templates", "WITH {MENTIONS}, g AS (SELECT method, count(DISTINCT paper_id) AS n FROM mentions GROUP BY 1) SELECT method, 'Method ' || method || ' is used in ' || n || ' papers.' AS description, CASE WHEN n > 2400 THEN 'contradicts' WHEN n > 2300 THEN 'complements' ELSE 'neutral' END AS relationship FROM g")
+_TEXTS = {
+    "description": "Method '%s' has never been evaluated on dataset '%s' (gap score: %d). Method used in: %d papers; dataset used in: %d papers.",
+    "evidence": "gap matrix: method='%s', dataset='%s', gap_score=%d.",
+    "suggestion": "Evaluate '%s' on '%s' to fill this identified research gap.",
+}
+
+
+@query(
+    "gap_text_templates",
+    f"""WITH {GAPS}, q AS (SELECT *, chr(39) || part_id || chr(39) AS m, chr(39) || dataset || chr(39) AS d FROM gaps)
+    SELECT part_id, dataset, CASE WHEN gap_score >= 4 THEN 'HIGH' WHEN gap_score >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS priority,
+      'Method ' || m || ' has never been evaluated on dataset ' || d || ' (gap score: ' || gap_score || '). Method used in: ' || n_method_papers || ' papers; dataset used in: ' || n_dataset_papers || ' papers.' AS description,
+      'gap matrix: method=' || m || ', dataset=' || d || ', gap_score=' || gap_score || '.' AS evidence, 'Evaluate ' || m || ' on ' || d || ' to fill this identified research gap.' AS suggestion FROM q""",
+)
 def gap_text_templates(t: Tables) -> DataFrame:
-    g = t.mentions.groupBy("method").agg(F.count_distinct("paper_id").alias("n"))
-    return g.select("method", F.format_string("Method %s is used in %d papers.", "method", "n").alias("description"), F.when(F.col("n") > 2400, "contradicts").when(F.col("n") > 2300, "complements").otherwise("neutral").alias("relationship"))
+    """What is said of each empty cell of the gap matrix."""
+    c = gap_cells(t).withColumn("m", F.col("part_id").cast("string"))
+    priority = F.when(F.col("gap_score") >= 4, "HIGH").when(F.col("gap_score") >= 2, "MEDIUM").otherwise("LOW")
+    values = {"description": ("m", "dataset", "gap_score", "n_method_papers", "n_dataset_papers"), "evidence": ("m", "dataset", "gap_score"), "suggestion": ("m", "dataset")}
+    return c.select("part_id", "dataset", priority.alias("priority"), *(F.format_string(_TEXTS[n], *columns).alias(n) for n, columns in values.items()))
 
 
 @query("string_match_fallback", """WITH b AS (SELECT DISTINCT lower(p_brand) AS name FROM part), k AS (SELECT DISTINCT lower(p_brand) AS known FROM part WHERE p_size > 45), s AS (SELECT name, known, CASE WHEN name = known THEN 1.0 ELSE 0.85 END AS score FROM b JOIN k ON contains(name, known) OR contains(known, name))

@@ -217,6 +217,25 @@ def page_sections(t: Tables) -> DataFrame:
     return parts.select("page_id", "title", "heading", F.size("paragraphs").alias("n_paragraphs"), F.length("body").alias("text_length"), tx.section_type(F.col("heading")).alias("section_type"))
 
 
+_HEADING = "regexp_replace(lower(trim(heading)), '^[0-9]+([.][0-9]+)*[.]? *', '')"
+
+
+@query(
+    "priority_sections",
+    f"""WITH p AS (SELECT page_id, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS heading FROM pages), n AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '1. Results of ' WHEN 1 THEN '2.1 References ' ELSE '' END || heading AS heading FROM p),
+    s AS (SELECT *, {_case(_HEADING, tx.SECTIONS, "Unknown")} AS section_type FROM n)
+    SELECT page_id, heading, section_type FROM s WHERE section_type IN ('Methods', 'Experiments', 'Results', 'Evaluation', 'Abstract', 'Introduction', 'Discussion', 'Conclusion', 'Related Work', 'Limitations', 'Future Work', 'Table', 'Figure')""",
+)
+def priority_sections(t: Tables) -> DataFrame:
+    """Sections that entities are looked for in, by the type of their heading."""
+    from ..functions.scholarly import is_priority_section
+    from ..sources.markup import page_parts
+
+    number = F.when(F.col("page_id") % 3 == 0, "1. Results of ").when(F.col("page_id") % 3 == 1, "2.1 References ").otherwise("")
+    rows = page_parts(t.pages).select("page_id", F.concat(number, "heading").alias("heading"))
+    return rows.withColumn("section_type", tx.section_type(F.col("heading"))).where(is_priority_section(F.col("section_type")))
+
+
 @query(
     "jaccard_docs",
     f"""WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 3 AND regexp_matches(x, '^[a-z]') AND x NOT IN ({", ".join(f"'{x}'" for x in tx.STOP_TOKENS)}))) AS t FROM documents),

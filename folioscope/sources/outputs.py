@@ -69,6 +69,26 @@ def write_json(rows: DataFrame, folder: str, by: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).json(folder)
 
 
+#: What agents write: the folder of each kind of output and the column whose values name its files.
+WRITTEN = {
+    "entities": ("enriched", "paper_id"), "claims": ("claims", "paper_id"), "critiques": ("critiques", "paper_id"), "papers": ("papers", "paper_id"), "comparisons": ("comparisons", "comparison_id"), "gaps": ("gaps", "gap_type"),
+    "candidates": ("candidates", "collection"), "gap_matrix": ("gap_matrix", "dataset"),
+}
+
+
+def write_output(rows: DataFrame, root: str, kind: str) -> str:
+    """Rows of a kind of output below ``root``; what was written before for the same names is replaced. The folder."""
+    folder, by = WRITTEN[kind]
+    write_json(rows, f"{root.rstrip('/')}/{folder}", by)
+    return f"{root.rstrip('/')}/{folder}"
+
+
+def finding_counts(comparisons: DataFrame) -> DataFrame:
+    """How many contradictions and complements each comparison has; none for missing lists."""
+    n = lambda c: F.coalesce(F.array_size(c), F.lit(0))
+    return comparisons.select("comparison_id", "paper_a", "paper_b", n("contradictions").alias("n_contradictions"), n("complementary_findings").alias("n_complements"))
+
+
 def review_text(sections: DataFrame, order: list[str], text: str = "text") -> DataFrame:
     """The sections of one review (a handful of rows) joined by an empty line, as a table of one text."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("__t")))), lambda s: s["__t"])

@@ -113,3 +113,32 @@ def test_registries_of_both_forms(spark, tmp_path):
         (tmp_path / f"{name}.json").write_text(json.dumps(value))
     read = lambda name: {tuple(r) for r in read_registry(spark, f"{tmp_path}/{name}.json").collect()}
     assert read("new") == {("hash", "h", "p"), ("arxiv", "1.2", "q")} and read("old") == {("hash", "h1", "p"), ("hash", "h2", "q")} and read("empty") == set()
+
+
+def test_gaps_are_boosted(spark):
+    gaps = spark.createDataFrame(
+        [("a", "combinatorial", "LOW", 0.5, [1, 2]), ("b", "combinatorial", "LOW", 0.95, [1, 1]), ("c", "combinatorial", "LOW", 0.5, [3]), ("d", "limitation", "LOW", 0.5, [3, 1]), ("e", "limitation", "LOW", 0.35, [3]), ("f", "cross_paper", "LOW", 0.5, [1, 3])],
+        "gap_id string, gap_type string, priority string, confidence double, papers array<int>",
+    )
+    weak = spark.createDataFrame([(1, "single_dataset_evaluation", "HIGH"), (1, "outdated_baselines", "MEDIUM"), (2, "outdated_baselines", "HIGH"), (3, "vague_limitations", "LOW"), (3, "single_dataset_evaluation", "MEDIUM")], "paper_id int, weakness string, severity string")
+    found = {r.gap_id: (r.priority, round(r.confidence, 6), r.needs_review) for r in critique.boosted_gaps(gaps, weak).collect()}
+    assert found == {"a": ("HIGH", 0.65, False), "b": ("HIGH", 1.0, False), "c": ("LOW", 0.5, False), "d": ("LOW", 0.35, True), "e": ("LOW", 0.3, True), "f": ("LOW", 0.5, False)}
+
+
+def test_statistics_of_other_arms_are_dropped(spark):
+    from folioscope.operators.ranking import kept_statistics
+
+    saved = spark.createDataFrame([("x", 1.0, ["x", "y"]), ("y", 2.0, ["x", "y"])], "arm string, a double, arms array<string>")
+    assert {tuple(r) for r in kept_statistics(saved, ["x", "y"]).collect()} == {("x", 1.0), ("y", 2.0)}
+    assert kept_statistics(saved, ["y", "x"]).count() == kept_statistics(saved, ["x"]).count() == kept_statistics(saved.where("false"), ["x"]).count() == 0
+
+
+def test_outputs_are_written_and_counted(spark, tmp_path):
+    from folioscope.sources import outputs
+
+    rows = spark.createDataFrame([("p", "g1", 1), ("q", "g2", 2)], "paper_id string, g string, n int")
+    assert outputs.write_output(rows, str(tmp_path), "claims") == f"{tmp_path}/claims"
+    outputs.write_output(rows.where("paper_id = 'p'").withColumn("n", F.lit(9)), str(tmp_path), "claims")
+    assert {(r.paper_id, r.n) for r in spark.read.json(f"{tmp_path}/claims").collect()} == {("p", 9), ("q", 2)}
+    compared = spark.createDataFrame([("c1", "a", "b", [1, 2], []), ("c2", "a", "c", None, [1])], "comparison_id string, paper_a string, paper_b string, contradictions array<int>, complementary_findings array<int>")
+    assert {(r.comparison_id, r.n_contradictions, r.n_complements) for r in outputs.finding_counts(compared).collect()} == {("c1", 2, 0), ("c2", 0, 1)}
