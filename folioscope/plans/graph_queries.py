@@ -118,3 +118,48 @@ def setup_sections_of_papers(t: Tables) -> DataFrame:
     heading = F.concat("p_name", F.when((F.col("p_size") % 10 == 0) & F.col("p_brand").endswith("1"), " training procedure").otherwise(""))
     rows = t.part.select(F.col("p_brand").alias("paper"), F.col("p_partkey").alias("section"), heading.alias("heading"), F.lit("").alias("section_type"))
     return setup_sections(rows, "paper").select("paper", "section")
+
+
+_LIST = "coalesce(nullif(array_to_string(list_transform({0}[1:{1}], lambda x: '- ' || x), chr(10)), ''), '(none)')"
+
+
+@query(
+    "pair_prompts",
+    f"""WITH {_PAIR_ROWS}, same AS (SELECT p.paper_a, p.paper_b, list_sort(list(DISTINCT a.entity) FILTER (a.kind = 'method')) AS m, list_sort(list(DISTINCT a.entity) FILTER (a.kind = 'dataset')) AS d FROM pairs AS p
+      JOIN entities AS a ON a.paper_id = p.paper_a JOIN entities AS b ON b.paper_id = p.paper_b AND b.kind = a.kind AND b.entity = a.entity GROUP BY ALL),
+    against AS (SELECT paper_a, paper_b, list_sort(list(dataset) FILTER (diff > 0.5 * greatest(value_a, value_b))) AS c FROM found GROUP BY ALL)
+    SELECT p.paper_a, p.paper_b, sha256('Task:' || chr(10) || 'Compare papers ' || p.paper_a || ' and ' || p.paper_b || '. Answer with one JSON object: relationship, and for each contradiction real, explains or neutral.' || chr(10) || chr(10)
+      || 'Shared methods:' || chr(10) || {_LIST.format("m", 5)} || chr(10) || chr(10) || 'Shared datasets:' || chr(10) || {_LIST.format("d", 5)} || chr(10) || chr(10) || 'Contradictions:' || chr(10) || {_LIST.format("c", 3)} || chr(10) || chr(10) || 'Complements:' || chr(10) || '(none)') AS hash
+    FROM pairs AS p LEFT JOIN same USING (paper_a, paper_b) LEFT JOIN against USING (paper_a, paper_b)""",
+)
+def pair_prompts(t: Tables) -> DataFrame:
+    """What a model is asked about each pair of papers, by its hash."""
+    from ..functions.prompts import pair_prompt
+
+    sets = t.mentions.groupBy("paper_id").agg(F.collect_set("method").alias("m"), F.collect_set("dataset").alias("d"))
+    side = lambda x: sets.select(F.col("paper_id").alias(f"paper_{x}"), F.col("m").alias(f"m{x}"), F.col("d").alias(f"d{x}"))
+    found = results_of_pairs(t).where(F.col("diff") > 0.5 * F.greatest("value_a", "value_b")).groupBy("paper_a", "paper_b").agg(F.array_sort(F.collect_list("dataset")).alias("c"))
+    rows = neighbours(t).select("paper_a", "paper_b").join(side("a"), "paper_a", "left").join(side("b"), "paper_b", "left").join(found, ["paper_a", "paper_b"], "left")
+    shared = lambda k: F.array_sort(F.array_intersect(f"{k}a", f"{k}b"))
+    text = pair_prompt(F.col("paper_a"), F.col("paper_b"), shared("m"), shared("d"), F.col("c"), F.array().cast("array<string>"))
+    return rows.select("paper_a", "paper_b", F.sha2(text, 256).alias("hash"))
+
+
+@query(
+    "critique_prompts",
+    """WITH {CLAIMS}, c AS (SELECT paper_id, list(metric || ' ' || coalesce(dataset, 0) ORDER BY claim_id) AS l FROM claims WHERE paper_id IS NOT NULL GROUP BY paper_id), w AS (SELECT doc_id, ['low quality'] AS w FROM labels WHERE quality = 0 GROUP BY doc_id)
+    SELECT paper_id, sha256('Task:' || chr(10) || 'Name further weaknesses of paper ' || paper_id || ' as one JSON list. Claim nothing to be absent that is listed.' || chr(10) || chr(10) || 'Claims:' || chr(10) || """ + _LIST.format("l", 8) + """ || chr(10) || chr(10)
+      || 'Limitations:' || chr(10) || '(none)' || chr(10) || chr(10) || 'Found already:' || chr(10) || """ + _LIST.format("w", 6) + """) AS hash FROM c LEFT JOIN w ON doc_id = paper_id""",
+)
+def critique_prompts(t: Tables) -> DataFrame:
+    """What a model is asked about each paper beside what rules have found, by its hash; no more claims are gathered than it shows."""
+    from pyspark.sql import Window
+
+    from ..functions.prompts import CAPS, critique_prompt
+
+    first = F.row_number().over(Window.partitionBy("paper_id").orderBy("claim_id"))
+    claims = t.claims.where("paper_id IS NOT NULL").select("paper_id", "claim_id", F.concat_ws(" ", "metric", F.coalesce("dataset", F.lit(0)).cast("string")).alias("line")).withColumn("n", first).where(F.col("n") <= CAPS["claims"])
+    lines = claims.groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("l"))
+    weak = t.labels.where("quality = 0").select(F.col("doc_id").alias("paper_id"), F.array(F.lit("low quality")).alias("w")).distinct()
+    rows = lines.join(weak, "paper_id", "left")
+    return rows.select("paper_id", F.sha2(critique_prompt(F.col("paper_id"), F.col("l"), F.array().cast("array<string>"), F.col("w")), 256).alias("hash"))

@@ -142,3 +142,16 @@ def test_outputs_are_written_and_counted(spark, tmp_path):
     assert {(r.paper_id, r.n) for r in spark.read.json(f"{tmp_path}/claims").collect()} == {("p", 9), ("q", 2)}
     compared = spark.createDataFrame([("c1", "a", "b", [1, 2], []), ("c2", "a", "c", None, [1])], "comparison_id string, paper_a string, paper_b string, contradictions array<int>, complementary_findings array<int>")
     assert {(r.comparison_id, r.n_contradictions, r.n_complements) for r in outputs.finding_counts(compared).collect()} == {("c1", 2, 0), ("c2", 0, 1)}
+
+
+def test_prompts(spark):
+    from folioscope.functions import prompts
+
+    row = spark.createDataFrame([(1, 2, list("abcdefg"), [], None, "t" * 2000, 0.654)], "a int, b int, m array<string>, d array<string>, c array<string>, t string, p double")
+    pair = row.select(prompts.pair_prompt(F.col("a"), F.col("b"), F.col("m"), F.col("d"), F.col("c"), F.col("d"))).first()[0]
+    assert "papers 1 and 2" in pair and pair.count("\n- ") == 5 and pair.count("(none)") == 3 and "- f" not in pair
+    section = row.select(prompts.section_prompt(F.lit("Results"), F.lit(None).cast("string"), F.col("t"), F.col("m"))).first()[0]
+    assert section.endswith("t" * 1500) and "Section Results: \n" in section
+    gap = row.select(prompts.validation_prompt(F.lit("gap"), F.lit("why"), F.col("p"))).first()[0]
+    assert gap.endswith("Confidence:\n0.65") and "Gap:\ngap\n\nEvidence:\nwhy" in gap
+    assert row.select(prompts.critique_prompt(F.col("a"), F.col("m"), F.col("d"), F.col("c"))).first()[0].count("\n- ") == 7
