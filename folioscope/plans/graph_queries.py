@@ -78,10 +78,10 @@ _CLEAN = "regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]
 
 @query(
     "parsed_papers",
-    f"""WITH d AS (SELECT doc_id, len(list_filter(string_split({_CLEAN}, chr(10)), lambda x: regexp_matches(x, '[^ -~]|[!-~]'))) AS n FROM documents)
-    SELECT doc_id, doc_id % 11 <> 0 AS success, CASE WHEN doc_id % 11 <> 0 THEN 'A Study of Words' END AS title, CASE WHEN doc_id % 11 <> 0 THEN 'Ada Lovelace' END AS authors, CASE WHEN doc_id % 11 <> 0 THEN 1 + (doc_id % 3 = 1)::INT END AS n_figures,
-      CASE WHEN doc_id % 11 <> 0 THEN 1 END AS n_tables, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN 'These are the results of all runs.' ELSE 'Scores of the systems.' END AS caption,
-      CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 0 ELSE 2 END AS n_rows, CASE WHEN doc_id % 11 <> 0 THEN n::INT END AS n_sections FROM d""",
+    f"""WITH d AS (SELECT doc_id, doc_id % 11 <> 0 AS ok, len(list_filter(string_split({_CLEAN}, chr(10)), lambda x: regexp_matches(x, '[^ -~]|[!-~]'))) AS n FROM documents)
+    SELECT doc_id, ok AS success, CASE WHEN ok THEN 'A Study of Words' ELSE '' END AS title, CASE WHEN ok THEN 'Ada Lovelace' ELSE '' END AS authors, CASE WHEN ok THEN 1 + (doc_id % 3 = 1)::INT ELSE -1 END AS n_figures,
+      CASE WHEN ok THEN 1 ELSE -1 END AS n_tables, CASE WHEN NOT ok THEN '' WHEN doc_id % 2 = 0 THEN 'These are the results of all runs.' ELSE 'Scores of the systems.' END AS caption,
+      CASE WHEN NOT ok THEN -1 WHEN doc_id % 5 = 0 THEN 0 ELSE 2 END AS n_rows, CASE WHEN ok THEN n::INT ELSE -1 END AS n_sections FROM d""",
 )
 def parsed_papers(t: Tables) -> DataFrame:
     """Documents as parsed papers: a section for each line, some figures and a table, garbled here and there, and repaired by the reader."""
@@ -101,9 +101,10 @@ def parsed_papers(t: Tables) -> DataFrame:
     head = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title type="main">Proceedings of it. A Study of Words</title></titleStmt></fileDesc><persName><forename>Ada</forename><surname>Lovelace</surname></persName><persName><forename>Google</forename><surname>Brain</surname></persName></teiHeader><text><body>'
     xml = F.when(k % 11 == 0, "<TEI>").otherwise(F.concat(F.lit(head), body, wrong, F.lit("</body>"), figures, table, F.lit("</text></TEI>")))
     d = F.col("document")
+    text, size = (lambda c: F.coalesce(c, F.lit(""))), (lambda c: F.coalesce(F.array_size(c), F.lit(-1)))
     return parse(t.documents.select("doc_id", xml.alias("xml")), "xml").select(
-        "doc_id", "success", d["title"].alias("title"), F.array_join(d["authors"], ";").alias("authors"), F.array_size(d["figures"]).alias("n_figures"), F.array_size(d["tables"]).alias("n_tables"),
-        d["tables"][0]["caption"].alias("caption"), F.array_size(d["tables"][0]["rows"]).alias("n_rows"), F.array_size(d["sections"]).alias("n_sections"),
+        "doc_id", "success", text(d["title"]).alias("title"), text(F.array_join(d["authors"], ";")).alias("authors"), size(d["figures"]).alias("n_figures"), size(d["tables"]).alias("n_tables"),
+        text(d["tables"][0]["caption"]).alias("caption"), size(d["tables"][0]["rows"]).alias("n_rows"), size(d["sections"]).alias("n_sections"),
     )
 
 
