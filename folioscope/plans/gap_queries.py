@@ -9,6 +9,7 @@ from ..functions.scores import fixed, rank_of
 from ..functions.text import STOP_TOKENS, holds_any, setup_values, tokens
 from ..operators import critique, layout
 from ..operators.entities import cooccurrence
+from ..operators.setjoin import overlapping_sets
 from .entity_queries import GAPS, gap_cells
 from .registry import Tables, query
 from .text_queries import _SETUP_VIEW, setups
@@ -227,7 +228,7 @@ def complement_signals(t: Tables) -> DataFrame:
     names what saves them, else 0.65."""
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b[a-z][a-z0-9\-]{2,}\b"), F.lit(0))))
     words = lambda df, key: df.select(key, word.alias("w")).where(~F.col("w").isin(STOP_TOKENS))
-    shared = words(t.documents, "doc_id").join(words(t.benchmark, "item_id"), "w").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared")).where("n_shared >= 3")
+    shared = overlapping_sets(words(t.documents, "doc_id"), words(t.benchmark, "item_id"), "doc_id", "item_id", "w", 3).select(F.col("a").alias("doc_id"), F.col("b").alias("item_id"), "n_shared")
     savings = setup_values(F.col("text"))
     saves = savings["uses_quantization"] | savings["uses_pruning"] | savings["uses_distillation"]
     means = lambda df, key: df.select(key, holds_any(F.lower("text"), _SCARCE).alias(f"scarce_{key}"), saves.alias(f"saves_{key}"))

@@ -155,3 +155,11 @@ def test_prompts(spark):
     gap = row.select(prompts.validation_prompt(F.lit("gap"), F.lit("why"), F.col("p"))).first()[0]
     assert gap.endswith("Confidence:\n0.65") and "Gap:\ngap\n\nEvidence:\nwhy" in gap
     assert row.select(prompts.critique_prompt(F.col("a"), F.col("m"), F.col("d"), F.col("c"))).first()[0].count("\n- ") == 7
+
+
+def test_slugs_of_papers(spark):
+    rows = spark.createDataFrame([("A Study - of  Words!",), ("abc",)], "t string")
+    assert [r[0] for r in rows.select(tx.paper_slug(F.col("t"))).collect()] == ["a_study_of_words", "abc"]
+    for short in ("ab", "--", None):
+        with pytest.raises(Exception, match="no paper id"):
+            spark.createDataFrame([(short,)], "t string").select(tx.paper_slug(F.col("t"))).collect()
