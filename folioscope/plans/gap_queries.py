@@ -31,13 +31,14 @@ _FEATURES = r"""x AS (SELECT doc_id, lower(coalesce(text, '')) AS t, string_spli
 
 def features(t: Tables) -> DataFrame:
     """A feature row for each document: what its text reports, and the entities and claims of the paper with its id."""
-    from ..functions.text import meaningful_limitation, signals
+    from ..functions.text import REAL, meaningful_limitation, signals
 
+    whole = F.lower(F.coalesce("text", F.lit("")))
     lines = F.split(F.lower(F.coalesce("text", F.lit(""))), "\n")
     of_text = {
         **signals(F.coalesce("text", F.lit(""))),
         "n_future_work": F.size(F.filter(lines, lambda x: x.rlike("future (research|work|direction)"))),
-        "n_limitations": F.size(F.filter(lines, meaningful_limitation)),
+        "n_limitations": F.when(holds_any(whole, REAL), F.size(F.filter(lines, meaningful_limitation))).otherwise(0),  # a look at each line only where one can tell
     }
     docs = t.documents.select(F.col("doc_id").alias("paper_id"), *(c.alias(n) for n, c in of_text.items()))
     m = t.mentions.groupBy("paper_id").agg(F.count_distinct("dataset").alias("n_datasets"), F.count_distinct("task").alias("n_tasks"))
