@@ -73,7 +73,7 @@ def clean_title(title: Column) -> Column:
 
 def rescued_caption(text: Column) -> Column:
     """The last sentence of a garbled caption with five words that begins with a capital, with a full stop; else empty."""
-    fit = F.filter(F.transform(F.split(text, r"\.\s+"), F.trim), lambda s: (F.size(words(s)) >= 5) & s.rlike(r"^\p{Lu}"))
+    fit = F.filter(F.transform(F.split(text, r"\.\s+"), lambda s: F.trim(s)), lambda s: (F.size(words(s)) >= 5) & s.rlike(r"^\p{Lu}"))
     found = F.try_element_at(fit, F.lit(-1))
     return F.coalesce(F.when(found.endswith("."), found).otherwise(F.concat(found, F.lit("."))), F.lit(""))
 

@@ -25,7 +25,7 @@ def parse_atom(pages: DataFrame, xml: str) -> DataFrame:
     return entries.select(
         F.regexp_replace(F.regexp_extract("e", r"<id>[^<]*/([^/<]+)</id>", 1), r"v\d+$", "").alias("id"),
         one("title").alias("title"),
-        F.transform(F.regexp_extract_all("e", F.lit(r"(?s)<name>(.*?)</name>"), 1), F.trim).alias("authors"),
+        F.transform(F.regexp_extract_all("e", F.lit(r"(?s)<name>(.*?)</name>"), 1), lambda x: F.trim(x)).alias("authors"),
         one("summary").alias("abstract"),
         one("published").alias("published"),
         F.regexp_extract("e", r'title="pdf"[^>]*href="([^"]+)"', 1).alias("pdf_url"),

@@ -89,3 +89,12 @@ def test_agents_in_order(spark):
     rows = [(1, "run_comparator", 1), (1, "run_critic", 2), (1, "run_gap_detector", 3), (1, "run_writer", 4), (2, "run_critic", 1), (2, "run_comparator", 2), (2, "run_critic", 3), (3, "other", 1)]
     found = rw.order_kept(spark.createDataFrame(rows, "s long, a string, t long"), "s", "a", "t").collect()
     assert {r.s: (r.n_in_order, round(r.bonus, 6)) for r in found} == {1: (3, 0.13), 2: (0, 0.0), 3: (0, 0.0)}
+
+
+def test_a_rescued_caption_keeps_its_digits(spark):
+    """The first sentence once lost the zeros at its ends, the second its ones: each was trimmed of its place."""
+    from folioscope.functions.scholarly import rescued_caption
+
+    texts = [("Licensed under the License, Version 2.0.\nNo more.",), ("Short.  We have four seeds and a total of 31. End.",), ("Some words that stand here first. ",)]
+    found = spark.createDataFrame(texts, "t string").select(rescued_caption(F.col("t"))).collect()
+    assert [r[0] for r in found] == ["Licensed under the License, Version 2.0.", "We have four seeds and a total of 31.", "Some words that stand here first."]
