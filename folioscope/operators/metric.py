@@ -4,6 +4,9 @@ A bounded number of rows serve as pivots; each row belongs to the cell of its ne
 and v is in the cell of p, then u is not nearer to its own pivot than to p by more than r allows, nor farther from p than the
 cell's radius and r. So u is also sent to the few other cells that this leaves, and within a cell only rows whose distances to
 the pivot differ by r or less are compared. A cell with many rows is cut into chunks, and each pair of chunks is a task.
+
+Where distances hardly differ, no pivot prunes anything and rows would be sent to nearly all cells. What would be sent is counted
+first; if blocks of all rows against each other send less, these meet instead, by products of matrices.
 """
 
 from __future__ import annotations
@@ -18,11 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut, ship
+from . import blocks
 
 #: Rows of a cell that are aimed at, at most how many pivots every task has, and rows of a chunk.
 CELL_ROWS, MOST_PIVOTS, CHUNK = 500, 2048, 1000
-#: Room for what double precision loses.
-ROOM = 1e-9
+#: Room for what double precision loses, and for what products of matrices lose of a square; rows of a tile of them.
+ROOM, SQUARE_ROOM, TILE = 1e-9, 1e-9, 512
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -40,8 +44,9 @@ def _usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite)
 
 
-def _cells(rows: DataFrame, radius: float, pivots: int | None) -> DataFrame:
-    """Rows (id, v) with the cells that they are sent to: distance to the pivot, whether it is their own, and the chunks that meet."""
+def _cells(rows: DataFrame, radius: float, pivots: int | None, most: int | None = None) -> DataFrame | None:
+    """Rows (id, v) with the cells that they are sent to: distance to the pivot, whether it is their own, and the chunks that meet.
+    None if more than ``most`` rows would be sent."""
     id_type = rows.schema["id"].dataType
     n = rows.count()
     chosen = rows.orderBy(F.xxhash64("id"), "id").limit(max(1, min(MOST_PIVOTS, n // CELL_ROWS if pivots is None else pivots))).collect()
@@ -61,24 +66,36 @@ def _cells(rows: DataFrame, radius: float, pivots: int | None) -> DataFrame:
     for r in assigned.groupBy("own").agg(F.max("d").alias("d")).collect():  # one number a pivot
         reach[r["own"]] = r["d"]
 
+    def to_cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        own = batch.column("own").to_numpy()
+        d = _distances(_matrix(batch.column("v")), centres)
+        mine = d[np.arange(len(own)), own]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            beyond = (d**2 - mine[:, None] ** 2) / (2 * apart[own])  # how far the half space of p is
+        near = (d <= reach + radius + ROOM) & ~(beyond > radius + ROOM)
+        near &= np.arange(len(centres)) >= own[:, None]  # a pair meets in the cell with the higher number
+        return *np.nonzero(near), own, d
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column("own").to_numpy()
-            d = _distances(_matrix(batch.column("v")), centres)
-            mine = d[np.arange(len(own)), own]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                beyond = (d**2 - mine[:, None] ** 2) / (2 * apart[own])  # how far the half space of p is
-            near = (d <= reach + radius + ROOM) & ~(beyond > radius + ROOM)
-            near &= np.arange(len(centres)) >= own[:, None]  # a pair meets in the cell with the higher number
-            at, cell = np.nonzero(near)
-            at_rows = pa.array(at)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at_rows), batch.column("v").take(at_rows), pa.array(cell, pa.int32()), pa.array(own[at] == cell), pa.array(d[at, cell])], ["id", "v", "cell", "inner", "d"])
+            if batch.num_rows:
+                at, cell, own, d = to_cells(batch)
+                at_rows = pa.array(at)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(at_rows), batch.column("v").take(at_rows), pa.array(cell, pa.int32()), pa.array(own[at] == cell), pa.array(d[at, cell])], ["id", "v", "cell", "inner", "d"])
 
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(centres), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                n += np.bincount(to_cells(batch)[1], minlength=len(centres))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centres)), pa.int32()), pa.array(n)], ["cell", "n"])
+
+    counts = cut(assigned.mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 0"))  # a row a pivot
+    chunks = counts.select("cell", "n", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    if most is not None and (chunks.agg(F.sum(F.col("n") * F.col("chunks"))).first()[0] or 0) > most:
+        return None
     sent = assigned.mapInArrow(send, T.StructType([*fields, T.StructField("cell", T.IntegerType()), T.StructField("inner", T.BooleanType()), T.StructField("d", T.DoubleType())]))
-    chunks = sent.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))  # a row a pivot
-    parts = sent.join(F.broadcast(chunks), "cell").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    parts = sent.join(F.broadcast(chunks.drop("n")), "cell").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     return parts.select("id", "v", "inner", "d", "cell", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine")
 
@@ -120,7 +137,35 @@ def close_pairs(vectors: DataFrame, vec_id: str, vector: str, radius: float, piv
         return pa.table({"a": pc.if_else(swap, b, a), "b": pc.if_else(swap, a, b), "distance": pa.array(far, pa.float64())})
 
     kind = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("distance", T.DoubleType())])
-    return _cells(rows, radius, pivots).groupBy("cell", "low", "high").applyInArrow(compare, kind)
+    n = rows.count()
+    most = n * max(1, -(-n // blocks.VECTORS)) if pivots is None and n > CHUNK else None
+    cells = _cells(rows, radius, pivots, most)
+    return _block_pairs(rows, radius, kind) if cells is None else cells.groupBy("cell", "low", "high").applyInArrow(compare, kind)
+
+
+def _block_pairs(rows: DataFrame, radius: float, kind: T.StructType) -> DataFrame:
+    """All blocks of rows (id, v) against each other; a product of matrices leaves out what is surely farther, the rest is measured."""
+
+    def compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        block, ids, v = table.column("__block").to_numpy(), table.column("id").combine_chunks(), _matrix(table.column("v"))
+        left, right = (np.flatnonzero(block == k.as_py()) for k in key[1:])
+        y = v[right]
+        squares = (y * y).sum(axis=1)
+        for first in range(0, len(left), TILE):
+            x = v[left[first : first + TILE]]
+            own = (x * x).sum(axis=1)[:, None]
+            total = own + squares[None, :]
+            i, j = np.nonzero(~(total - 2 * (x @ y.T) > radius**2 + SQUARE_ROOM * (1 + total)))
+            if key[1] == key[2]:  # each pair is met from both sides
+                i, j = i[i + first < j], j[i + first < j]
+            distance = np.sqrt(((y[j] - x[i]) ** 2).sum(axis=1))
+            near = distance <= radius
+            a, b = ids.take(pa.array(left[i[near] + first])), ids.take(pa.array(right[j[near]]))
+            swap = pc.greater(a, b)
+            yield pa.RecordBatch.from_arrays([pc.if_else(swap, b, a), pc.if_else(swap, a, b), pa.array(distance[near])], names=["a", "b", "distance"])
+
+    return blocks.vector_blocks(rows, [], "id", "v").groupBy("__size", "__low", "__high").applyInArrow(compare, kind)
 
 
 def comparisons(vectors: DataFrame, vec_id: str, vector: str, radius: float, pivots: int | None = None) -> DataFrame:
