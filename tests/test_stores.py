@@ -1,6 +1,7 @@
 """Tables in versions, kept answers, rates, staged runs, streams with state, boxes and folders, against plain computations."""
 
 import os
+import math
 import random
 from pathlib import Path
 
@@ -240,6 +241,19 @@ def test_boxes_merge_to_the_end(spark):
     assert sorted(map(tuple, found)) == sorted((p, *b) for p, bs in pages.items() for b in merge_in_turn(bs))
 
 
+def test_boxes_that_meet_by_rounding_from_one_side_only(spark):
+    """Within the margin as one of them is widened and, by rounding, not as the other is: such boxes merge, and the rounds end."""
+    rng, one_sided = random.Random(1), []
+    while len(one_sided) < 20:
+        low = rng.uniform(20, 900)
+        high = next((h for h in (low - 10, math.nextafter(low - 10, 0), math.nextafter(low - 10, 1e9)) if (low - 10 < h) != (low < h + 10)), None)
+        if high is not None:
+            one_sided.append((low, high))
+    rows = [(p, k, *box) for p, (low, high) in enumerate(one_sided) for k, box in ((p % 2, (high - 5, 0.0, high, 9.0)), (1 - p % 2, (low, 0.0, low + 5, 9.0)))]
+    found = merged_boxes(spark.createDataFrame([*rows, (99, 1, 0.0, 0.0, 1.0, 1.0)], "page long, id long, x0 double, y0 double, x1 double, y1 double"), "page", "id").collect()
+    assert sorted(map(tuple, found)) == sorted([*((p, 0, high - 5, 0.0, low + 5, 9.0) for p, (low, high) in enumerate(one_sided)), (99, 1, 0.0, 0.0, 1.0, 1.0)])
+
+
 def test_figure_boxes(spark):
     from folioscope.plans.registry import Tables
     from folioscope.plans.store_queries import drawings
