@@ -124,15 +124,24 @@ def outdated_baselines(t: Tables) -> DataFrame:
 def narrow_coverage_gaps(t: Tables) -> DataFrame:
     """Tasks that were tested on one dataset at most, of papers with one dataset at most: one gap a task and dataset, of the first
     paper. A task is a part in its place."""
-    e = t.mentions.select("paper_id", F.concat_ws("/", "part_id", "pos").alias("task"), "dataset").distinct()
-    of_paper = e.groupBy("paper_id").agg(F.count_distinct("dataset").alias("n"), F.min("dataset").alias("dataset"))
-    tested = cooccurrence(e, "task", "dataset").groupBy("task").agg(F.count_distinct("dataset").alias("k")).where("k <= 1")
-    everything = e.agg(F.count_distinct("dataset").alias("n_all"))
-    mine = e.select("paper_id", "task").distinct().join(of_paper.where("n <= 1"), "paper_id").join(tested, "task")
-    gaps = mine.groupBy("task", "dataset").agg(F.min("paper_id").alias("paper_id"), F.min("k").alias("n_tested"))
+    mentions = t.mentions.select("paper_id", F.concat_ws("/", "part_id", "pos").alias("task"), "dataset")
+    gaps = one_dataset_gaps(mentions)
+    everything = mentions.agg(F.count_distinct("dataset").alias("n_all"))
     return gaps.join(F.broadcast(everything)).where("n_all > n_tested").select("task", "dataset", "paper_id", "n_tested", (F.col("n_all") - F.col("n_tested")).alias("n_untested"))
 
 
+def one_dataset_gaps(mentions: DataFrame) -> DataFrame:
+    """``(task, dataset, paper_id, n_tested)`` of tasks whose papers have one dataset at most together. A paper brings its first and
+    last dataset, and a task those of its papers: tasks never meet datasets, and no set is gathered."""
+    of_paper = mentions.where("paper_id IS NOT NULL").groupBy("paper_id").agg(F.min("dataset").alias("dataset"), F.max("dataset").alias("last"))
+    met = mentions.select("paper_id", "task").join(of_paper, "paper_id")
+    # where a task has one dataset, each of its papers has that one or none
+    tasks = met.groupBy("task").agg(F.min("dataset").alias("dataset"), F.max("last").alias("last"), F.min(F.when(F.col("dataset").isNotNull(), F.col("paper_id"))).alias("with"), F.min(F.when(F.col("dataset").isNull(), F.col("paper_id"))).alias("without"))
+    one = tasks.where("dataset IS NULL OR dataset = last").withColumn("n_tested", F.when(F.col("dataset").isNull(), 0).otherwise(1).cast("long"))
+    rows = one.select("task", "n_tested", F.inline(F.array(F.struct("dataset", F.col("with").alias("paper_id")), F.struct(F.lit(None).cast("string").alias("dataset"), F.col("without").alias("paper_id")))))
+    return rows.where("paper_id IS NOT NULL").select("task", "dataset", "paper_id", "n_tested")
+
+
 _COMBINED = """{MENTIONS}, o AS (SELECT lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS a, o_orderkey AS b FROM orders), p AS (SELECT a AS paper_a, b AS paper_b FROM o WHERE a IS NOT NULL UNION ALL SELECT b, a FROM o WHERE a IS NOT NULL),
     e AS (SELECT DISTINCT paper_id, CASE WHEN part_id % 5 = 0 THEN raw_text || ' lstm ' || part_id WHEN part_id % 5 < 3 THEN raw_text || ' ' || part_id ELSE method || part_id END AS method, task, dataset FROM mentions),
     s AS (SELECT paper_a, paper_b, count(DISTINCT a.task) AS n_shared FROM p JOIN e AS a ON a.paper_id = paper_a JOIN e AS b ON b.paper_id = paper_b AND b.task = a.task GROUP BY ALL),
