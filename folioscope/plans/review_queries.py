@@ -166,7 +166,7 @@ def first_mentions(t: Tables) -> DataFrame:
 def entity_index(t: Tables) -> DataFrame:
     """Each paper's entities with all their mentions, nested; shown as text."""
     kinds = F.inline(F.array(*(F.struct(F.lit(k).alias("entity_type"), F.col(k).alias("text")) for k in ("method", "dataset"))))
-    rows = t.mentions.select("paper_id", "pos", "part_id", "price", kinds)
+    rows = t.mentions.repartition("paper_id").select("paper_id", "pos", "part_id", "price", kinds)  # sent once, before a mention becomes two rows
     nested = ent.entity_index(rows, ["method", "dataset"], ["part_id"], ["pos", "part_id", "price"])
     shown = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit(":"), F.array_join(F.transform(e["value"], lambda x: x["part_id"].cast("string")), "+"))), ";")
     return nested.select("paper_id", shown("method").alias("methods"), shown("dataset").alias("datasets"))
