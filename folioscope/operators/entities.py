@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def entity_papers(mentions: DataFrame, entity: str, paper: str = "paper_id") -> DataFrame:
     """Each entity with the number of distinct papers that mention it."""
@@ -60,6 +62,25 @@ def overlap_pairs(members: DataFrame, owner: str, member: str) -> DataFrame:
     return sized.withColumn("jaccard", F.col("n_shared") / (F.col("n_a") + F.col("n_b") - F.col("n_shared")))
 
 
+def closest_pairs(members: DataFrame, owner: str, member: str, k: int) -> DataFrame:
+    """The ``k`` first of ``overlap_pairs`` by falling similarity, then owners.
+
+    Owners with the same members come first of all. Where these alone are ``k`` pairs no other pair is formed: of one set's owners,
+    only the first ``k + 1`` can be in the first ``k`` pairs. Null owners and members stay out.
+    """
+    members = members.select(owner, member).dropna()
+    sets = members.groupBy(owner).agg(F.array_sort(F.collect_set(member)).alias("items"))
+    first = sets.withColumn("__n", F.row_number().over(Window.partitionBy("items").orderBy(owner))).where(F.col("__n") <= k + 1)
+    owners = first.groupBy("items").agg(F.array_sort(F.collect_list(owner)).alias("o")).where("size(o) > 1").select(F.size("items").alias("n"), "o")
+    later = lambda a, i: F.transform(F.slice("o", i + 2, F.size("o")), lambda b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = owners.select("n", F.inline(F.flatten(F.transform("o", later))))
+    n = F.col("n").cast("long")
+    same = cut(pairs.orderBy("a", "b").limit(k).select("a", "b", n.alias("n_shared"), n.alias("n_a"), n.alias("n_b"), F.lit(1.0).alias("jaccard")))
+    if same.count() == k:
+        return same
+    return overlap_pairs(members, owner, member).orderBy(F.col("jaccard").desc(), "a", "b").limit(k)
+
+
 def papers_with(mentions: DataFrame, papers: DataFrame, entity: Column, paper: str = "paper_id") -> DataFrame:
     """Papers that have an entity: a semi-join, so a paper comes once."""
     return papers.join(mentions.where(entity).select(paper), paper, "left_semi")

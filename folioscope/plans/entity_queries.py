@@ -65,8 +65,7 @@ def entity_spread(t: Tables) -> DataFrame:
     SELECT paper_a, paper_b, n_shared, floor(j * 10000 + 0.5) / 10000 AS jaccard FROM j WHERE j >= 0.01 ORDER BY j DESC, paper_a, paper_b LIMIT 20""",
 )
 def overlap_ranking(t: Tables) -> DataFrame:
-    pairs = op.overlap_pairs(t.mentions, "paper_id", "part_id").where("jaccard >= 0.01")
-    top = pairs.orderBy(F.col("jaccard").desc(), "a", "b").limit(20)
+    top = op.closest_pairs(t.mentions, "paper_id", "part_id", 20).where("jaccard >= 0.01").orderBy(F.col("jaccard").desc(), "a", "b")
     return top.select(F.col("a").alias("paper_a"), F.col("b").alias("paper_b"), "n_shared", fixed(F.col("jaccard")).alias("jaccard"))
 
 
