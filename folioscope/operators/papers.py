@@ -109,14 +109,20 @@ def entity_sets(mentions: DataFrame, kinds: Sequence[str] = ENTITY_TYPES, paper:
 
 
 def pair_overlaps(pairs: DataFrame, mentions: DataFrame, kinds: Sequence[str] = ENTITY_TYPES, paper: str = "paper_id", kind: str = "entity_type", name: str = "entity", a: str = "paper_a", b: str = "paper_b") -> DataFrame:
+    """``set_overlaps`` of the distinct ``pairs``, from a row for each mention of an entity."""
+    return set_overlaps(pairs.select(a, b).distinct(), entity_sets(mentions, kinds, paper, kind, name), kinds, paper, a, b).select(a, b, *(f"shared_{k}" for k in ("entity", *kinds)), *(f"{k}_overlap" for k in ("entity", *kinds)))
+
+
+def set_overlaps(pairs: DataFrame, sets: DataFrame, kinds: Sequence[str] = ENTITY_TYPES, paper: str = "paper_id", a: str = "paper_a", b: str = "paper_b", carry: Sequence[str] = ()) -> DataFrame:
     """Of given pairs of papers: shared entities and Jaccard overlap, of all kinds but metrics together and of each kind.
 
     Both papers' sets are joined to the pair, one row each, and compared there: pairs are never formed here, and no entity is
-    joined by itself.
+    joined by itself. Columns of ``pairs`` stay, and columns ``carry`` of the sets come along as ``{c}_a`` and ``{c}_b``, so that
+    nothing has to be joined to the pairs again.
     """
-    sets = entity_sets(mentions, kinds, paper, kind, name)
-    side = lambda key, tag: sets.select(F.col(paper).alias(key), *(F.col(k).alias(f"__{k}_{tag}") for k in kinds))
-    both = pairs.select(a, b).distinct().join(side(a, "a"), a, "left").join(side(b, "b"), b, "left")
+    side = lambda key, tag: sets.select(F.col(paper).alias(key), *(F.col(k).alias(f"__{k}_{tag}") for k in kinds), *(F.col(c).alias(f"{c}_{tag}") for c in carry))
+    own = [*pairs.columns, *(f"{c}_{tag}" for c in carry for tag in "ab")]
+    both = pairs.join(side(a, "a"), a, "left").join(side(b, "b"), b, "left")
     size = lambda c: F.coalesce(F.array_size(c), F.lit(0))
     none = F.array().cast("array<string>")
 
@@ -128,10 +134,10 @@ def pair_overlaps(pairs: DataFrame, mentions: DataFrame, kinds: Sequence[str] =
                 held = F.array_union(held, F.coalesce(F.col(f"__{k}_{x}"), none))
         return held
 
-    rows = both.select(a, b, *(size(F.array_intersect(f"__{k}_a", f"__{k}_b")).cast("long").alias(f"shared_{k}") for k in kinds), *((size(F.col(f"__{k}_a")) + size(F.col(f"__{k}_b"))).alias(f"__n_{k}") for k in kinds), *(together(x).alias(f"__all_{x}") for x in "ab"))
+    rows = both.select(*own, *(size(F.array_intersect(f"__{k}_a", f"__{k}_b")).cast("long").alias(f"shared_{k}") for k in kinds), *((size(F.col(f"__{k}_a")) + size(F.col(f"__{k}_b"))).alias(f"__n_{k}") for k in kinds), *(together(x).alias(f"__all_{x}") for x in "ab"))
     rows = rows.withColumn("shared_entity", size(F.array_intersect("__all_a", "__all_b")).cast("long")).withColumn("__n_entity", size(F.col("__all_a")) + size(F.col("__all_b")))
     ratio = lambda k: F.when(F.col(f"__n_{k}") > F.col(f"shared_{k}"), F.col(f"shared_{k}") / (F.col(f"__n_{k}") - F.col(f"shared_{k}"))).otherwise(F.lit(0.0))
-    return rows.select(a, b, *(f"shared_{k}" for k in ("entity", *kinds)), *(ratio(k).alias(f"{k}_overlap") for k in ("entity", *kinds)))
+    return rows.select(*own, *(f"shared_{k}" for k in ("entity", *kinds)), *(ratio(k).alias(f"{k}_overlap") for k in ("entity", *kinds)))
 
 
 def pair_score(dataset: Column, divergence: Column, entity: Column, metric: Column, task: Column, cites: Column, setup: Column) -> Column:
