@@ -47,6 +47,18 @@ def comparison_edges(pairs: DataFrame, findings: DataFrame, a: str = "paper_a",
     return against.unionByName(one).unionByName(alike).unionByName(agree)
 
 
+def nested_edges(pairs: DataFrame, a: str = "paper_a", b: str = "paper_b", relation: str = "relation", shared: str = "shared", against: str = "against", agreed: str = "agreed") -> DataFrame:
+    """``comparison_edges`` of pairs that bring their findings along: ``against`` (contradictions not explained away) and ``agreed``
+    are arrays of details, so that no finding is joined to its pair."""
+    edge = lambda place, kind, detail: F.struct(F.lit(place).alias("place"), kind.alias("edge_type"), detail.alias("detail"))
+    each = lambda c, place, kind: F.transform(c, lambda x: edge(place, F.lit(kind), x))
+    r = F.col(relation)
+    names = F.array_join(F.slice(F.array_sort(shared), 1, SHARED), ",")
+    first = F.when(r == "contradicts", each(against, 0, "contradicts")).when(r.isin("complements", "extends"), F.array(edge(0, r, F.lit(""))))
+    first = first.when(r.isin("parallel", "neutral") & (F.size(shared) > 0), F.array(edge(0, F.lit("similar_to"), names)))
+    return pairs.select(a, b, F.inline(F.concat(F.coalesce(first, F.array().cast("array<struct<place:int,edge_type:string,detail:string>>")), each(agreed, 1, "agrees_with"))))
+
+
 def collapsed(edges: DataFrame, src: str, dst: str, order: Sequence[str], last: bool = True) -> DataFrame:
     """At most one edge for each ordered pair of nodes, as a simple graph keeps it: the last one added, or the first."""
     by = [F.col(c).desc() if last else F.col(c) for c in order]

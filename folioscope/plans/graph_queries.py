@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph as op
-from ..operators.papers import pair_overlaps, setup_sections
-from .paper_queries import _PAIR_ROWS, long_entities, neighbours, results_of_pairs
+from ..operators.papers import setup_sections
+from .paper_queries import _PAIR_ROWS, compared_papers, neighbours, results_of_pairs
 from .registry import Tables, query
 
 _LINES = """l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
@@ -44,21 +44,18 @@ _RELATED = f"""{_PAIR_ROWS}, n AS (SELECT paper_a, paper_b, count(*) FILTER (dif
 def compared(t: Tables) -> DataFrame:
     """The edges of all given pairs: results that differ by half contradict, unless about other subjects; setups far apart complement;
     close results agree; a cited paper of much earlier is extended."""
-    found = results_of_pairs(t)
-    most = F.greatest("value_a", "value_b")
-    kind = F.when(F.col("diff") > 0.5 * most, "contradiction").when(F.col("diff") <= 0.1 * most, "agreement")
-    findings = found.select("paper_a", "paper_b", kind.alias("kind"), F.col("dataset").alias("detail"), (F.col("subject_a") != F.col("subject_b")).alias("explained")).where("kind IS NOT NULL")
-    counts = findings.groupBy("paper_a", "paper_b").agg(F.count_if(F.col("kind") == "contradiction").alias("n_against"), F.count_if(F.col("kind") == "agreement").alias("n_agree"))
-    pairs = neighbours(t)
-    overlaps = pair_overlaps(pairs, long_entities(t)).select("paper_a", "paper_b", "shared_method", "shared_dataset")
-    of = t.mentions.groupBy("paper_id").agg(F.collect_set("dataset").alias("datasets"))
-    side = lambda x: of.select(F.col("paper_id").alias(f"paper_{x}"), F.col("datasets").alias(f"d{x}"))
-    rows = pairs.join(overlaps, ["paper_a", "paper_b"]).join(counts, ["paper_a", "paper_b"], "left").na.fill(0, ["n_against", "n_agree"]).join(side("a"), "paper_a", "left").join(side("b"), "paper_b", "left")
+    rows = compared_papers(t)
+    most = lambda x: F.greatest(x["value_a"], x["value_b"])
+    far = lambda x: x["diff"] > 0.5 * most(x)
+    found = F.coalesce("found", F.array().cast(rows.schema["found"].dataType))
+    agreed = F.filter(found, lambda x: ~far(x) & (x["diff"] <= 0.1 * most(x)))
+    against = F.filter(found, far)
+    names = lambda c: F.transform(c, lambda x: x["dataset"])
+    other = lambda x: F.coalesce(x["subject_a"] != x["subject_b"], F.lit(False))
     answered = F.when(F.col("cites") & (F.col("year_diff") > 3), "extends")
-    relation = op.relationship(F.col("n_against"), (F.col("setup") > 0.8).cast("int"), F.col("n_agree"), F.col("shared_method") + F.col("shared_dataset"), answered)
-    none = F.array().cast("array<string>")
-    rows = rows.select("paper_a", "paper_b", relation.alias("relation"), F.coalesce(F.array_intersect("da", "db"), none).alias("shared"))
-    return op.comparison_edges(rows, findings)
+    relation = op.relationship(F.size(against), (F.col("setup") > 0.8).cast("int"), F.size(agreed), F.col("shared_method") + F.col("shared_dataset"), answered)
+    shared = F.coalesce(F.array_intersect("dataset_a", "dataset_b"), F.array().cast("array<string>"))
+    return op.nested_edges(rows.select("paper_a", "paper_b", relation.alias("relation"), shared.alias("shared"), names(F.filter(against, lambda x: ~other(x))).alias("against"), names(agreed).alias("agreed")))
 
 
 @query("comparison_graph", f"WITH {_RELATED} SELECT paper_a, paper_b, edge_type, count(*) AS n, min(detail) AS first FROM e GROUP BY ALL")
