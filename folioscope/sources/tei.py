@@ -19,6 +19,8 @@ DOCUMENT = (
     "struct<title:string,authors:array<string>,year:int,venue:string,doi:string,abstract:string,sections:array<struct<heading:string,text:string>>,"
     "figures:array<struct<figure_id:string,label:string,caption:string>>,tables:array<struct<table_id:string,label:string,caption:string,rows:array<array<string>>>>>"
 )
+#: Papers whose parsed form is held at once; a batch has more.
+AT_ONCE = 100
 #: Elements whose own text is no part of the running text; what follows them is.
 SKIPPED = {f"{SPACE}ref", f"{SPACE}note"}
 
@@ -75,7 +77,7 @@ def parse(papers: DataFrame, xml: str) -> DataFrame:
     others = [f for f in papers.schema.fields if f.name != xml]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (whole.iloc[i : i + AT_ONCE] for whole in batches for i in range(0, len(whole), AT_ONCE)):
             done = []
             for x in pdf[xml]:
                 try:
@@ -83,7 +85,7 @@ def parse(papers: DataFrame, xml: str) -> DataFrame:
                 except ElementTree.ParseError as e:
                     done.append((False, str(e), None))
             out = pdf.drop(columns=[xml])
-            out["success"], out["error"], out["document"] = zip(*done) if done else ((), (), ())
+            out["success"], out["error"], out["document"] = zip(*done)
             yield out
 
     parsed = papers.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "success boolean", "error string", f"document {DOCUMENT}"]))
