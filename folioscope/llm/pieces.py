@@ -143,14 +143,18 @@ class PieceCache:
         except ValueError:
             return
 
+    def _odd(self, texts: pa.StringArray) -> pa.BooleanArray:
+        odd = pc.match_substring_regex(texts, RARE_SPACE.pattern)
+        for run in (*SPACE_RUNS, *self.special):
+            odd = pc.or_(odd, pc.match_substring(texts, run))
+        return odd
+
     def encode_column(self, texts: pa.StringArray, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's begin (one more entry for the end).
 
         Texts are cut at their spaces and equal parts numbered by Arrow, so only distinct parts are looked up one by one.
         """
-        odd = pc.match_substring_regex(texts, RARE_SPACE.pattern)
-        for run in (*SPACE_RUNS, *self.special):
-            odd = pc.or_(odd, pc.match_substring(texts, run))
+        odd = self._odd(texts)
         slow = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         plain = texts if not len(slow) else texts.filter(pc.invert(odd))
         ids, offsets = self._encode_plain(plain, dtype) if len(plain) else (np.zeros(0, dtype), np.zeros(1, np.int64))
@@ -166,7 +170,8 @@ class PieceCache:
                 at += 1
         return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
-    def _encode_plain(self, texts: pa.StringArray, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    def _looked_up(self, texts: pa.StringArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Ids of the distinct parts of the texts, which of them each part is, and where each text's parts begin (and the last ends)."""
         self.parts.age()
         self.pieces.age()
         cut = pc.split_pattern(texts, " ")
@@ -189,6 +194,16 @@ class PieceCache:
             self._fill(first, heads, piece)
         which[bounds[:-1]] = len(values) + np.arange(len(first))
         values += first
+        return values, which, bounds
+
+    def encode_texts(self, texts: pa.StringArray) -> list[bytes]:
+        """The ids of texts without odd white space or special tokens, each by itself."""
+        values, which, bounds = self._looked_up(texts)
+        get, which, bounds = values.__getitem__, which.tolist(), bounds.tolist()
+        return [b"".join(map(get, which[a:b])) for a, b in zip(bounds, bounds[1:])]
+
+    def _encode_plain(self, texts: pa.StringArray, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+        values, which, bounds = self._looked_up(texts)
         data = np.frombuffer(b"".join(values), dtype)
         sizes = np.fromiter(map(len, values), np.int64, len(values)) // dtype.itemsize
         starts = np.cumsum(sizes) - sizes

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -100,9 +101,11 @@ class Encoder(PieceCache):
         """The ids of each text of an Arrow column."""
         if not self.by_piece:
             return self.whole(texts.to_pylist())
-        ids, ends = self.encode_column(texts, self.dtype)
-        raw, at = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
-        return [raw[a:b] for a, b in zip(at, at[1:])]
+        odd = self._odd(texts)
+        slow = odd.to_numpy(zero_copy_only=False)
+        plain = iter(self.encode_texts(texts.filter(pc.invert(odd))) if not slow.all() else ())
+        rest = iter(self.encode_batch(texts.filter(odd).to_pylist()) if slow.any() else ())
+        return [next(rest) if s else next(plain) for s in slow]
 
 
 _encoders: dict[str, Encoder] = {}
