@@ -148,6 +148,13 @@ def similar_sets(members: DataFrame, owner: str, member: str, threshold: float)
 def overlapping_sets(left: DataFrame, right: DataFrame, left_owner: str, right_owner: str, member: str, least: int) -> DataFrame:
     """``(a, b, n_shared, n_a, n_b)``: owners of the left and of the right table whose sets share ``least`` members or more."""
     x, y = (cut(collected_sets(rows, own, member).where(F.col("n") >= least)) for rows, own in ((left, left_owner), (right, right_owner)))
+    return overlapping_arrays(x, y, left_owner, right_owner, least)
+
+
+def overlapping_arrays(x: DataFrame, y: DataFrame, left_owner: str, right_owner: str, least: int) -> DataFrame:
+    """``overlapping_sets`` of sets that are arrays: ``(owner, items, n)``, a row a set, items distinct and neither they nor the array
+    null, n their number or a bound of it. Their n is read first, then they are read once. An owner may be a struct, so that what is
+    known of it need not be joined to the pairs."""
     blocks = []
     for sets in (x, y):
         n, members = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()

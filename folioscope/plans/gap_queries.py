@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import fixed, rank_of
 from ..functions.text import STOP_TOKENS, holds_any, setup_values, tokens
 from ..operators import critique, layout
-from ..operators.setjoin import overlapping_sets
+from ..operators.setjoin import overlapping_arrays
 from .entity_queries import GAPS, gap_cells
 from .registry import Tables, query
 from .text_queries import _SETUP_VIEW, setups
@@ -240,14 +240,15 @@ _SCARCE = ("memory", "edge", "mobile", "resource", "parameter", "compute", "ligh
 def complement_signals(t: Tables) -> DataFrame:
     """Limitations of one text that claims of another speak to, in both directions between documents and passages: three or more
     shared words of three letters or more, stop words left out. 0.9 where the limitation is about scarce means and the claim's text
-    names what saves them, else 0.65."""
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b[a-z][a-z0-9\-]{2,}\b"), F.lit(0))))
-    words = lambda df, key: df.select(key, word.alias("w")).where(~F.col("w").isin(STOP_TOKENS))
-    shared = overlapping_sets(words(t.documents, "doc_id"), words(t.benchmark, "item_id"), "doc_id", "item_id", "w", 3).select(F.col("a").alias("doc_id"), F.col("b").alias("item_id"), "n_shared")
+    names what saves them, else 0.65. A row is a text; what is known of it goes along with its words, which are never parted."""
     savings = setup_values(F.col("text"))
     saves = savings["uses_quantization"] | savings["uses_pruning"] | savings["uses_distillation"]
-    means = lambda df, key: df.select(key, holds_any(F.lower("text"), _SCARCE).alias(f"scarce_{key}"), saves.alias(f"saves_{key}"))
-    found = shared.join(means(t.documents, "doc_id"), "doc_id").join(means(t.benchmark, "item_id"), "item_id")
+    words = F.array_except(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b[a-z][a-z0-9\-]{2,}\b"), F.lit(0)), F.array(*map(F.lit, STOP_TOKENS)))
+    most = F.floor((F.length("text") + 1) / 4)  # words of three letters or more, each with what parts it from the next
+    owner = lambda key: F.struct(key, holds_any(F.lower("text"), _SCARCE).alias("scarce"), saves.alias("saves")).alias(key)
+    sets = lambda df, key: df.where(F.col("text").isNotNull() & F.col(key).isNotNull()).select(owner(key), words.alias("items"), most.alias("n"))
+    met = overlapping_arrays(sets(t.documents, "doc_id"), sets(t.benchmark, "item_id"), "doc_id", "item_id", 3)
+    found = met.select("a.doc_id", "b.item_id", "n_shared", *(F.col(f"{x}.{c}").alias(f"{c}_{key}") for x, key in (("a", "doc_id"), ("b", "item_id")) for c in ("scarce", "saves")))
     sure = lambda limitation, claim: F.when(F.col(f"scarce_{limitation}") & F.col(f"saves_{claim}"), 0.9).otherwise(0.65)
     both = F.array(*(F.struct(F.lit(f"{a} to {b}").alias("direction"), sure(x, y).alias("confidence")) for a, b, x, y in (("document", "passage", "doc_id", "item_id"), ("passage", "document", "item_id", "doc_id"))))
     return found.select("doc_id", "item_id", "n_shared", F.inline(both))

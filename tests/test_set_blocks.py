@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from folioscope import plans
 from folioscope.operators import setjoin
 
+from .test_queries import SF
+
 
 def small(monkeypatch, rare):
     for name, value in (("SETS", 9), ("ITEMS", 80), ("RARE", rare), ("COLUMNS", 3), ("AT_ONCE", 10)):
@@ -38,3 +40,16 @@ def test_no_set_is_joined_to_pairs(spark):
     for found in (setjoin.similar_sets(rows, "o", "m", 0.6), setjoin.overlapping_sets(rows, rows.withColumnRenamed("o", "p"), "o", "p", "m", 1)):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Join ") <= 1 and "Aggregate" not in plan  # the sizes of blocks at most; pairs are not gathered
+
+
+def test_signals_send_texts_once_and_join_no_pair(spark):
+    plan = plans.QUERIES["complement_signals"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join " not in plan and "Aggregate" not in plan and plan.count("RepartitionByExpression") == 1
+
+
+def test_signals_of_rows_without_id_or_text(spark, tmp_path):
+    said = "alpha beta gamma memory the and"
+    spark.createDataFrame([(1, said), (2, None), (None, said), (3, "alpha beta the and")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "Alpha beta gamma quantized the and"), (8, None), (9, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = sorted(map(tuple, plans.QUERIES["complement_signals"](spark, str(tmp_path)).collect()))
+    assert found == [(1, 7, 3, "document to passage", 0.9), (1, 7, 3, "passage to document", 0.65)]
