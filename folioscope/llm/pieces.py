@@ -196,12 +196,6 @@ class PieceCache:
         values += first
         return values, which, bounds
 
-    def encode_texts(self, texts: pa.StringArray) -> list[bytes]:
-        """The ids of texts without odd white space or special tokens, each by itself."""
-        values, which, bounds = self._looked_up(texts)
-        get, which, bounds = values.__getitem__, which.tolist(), bounds.tolist()
-        return [b"".join(map(get, which[a:b])) for a, b in zip(bounds, bounds[1:])]
-
     def _encode_plain(self, texts: pa.StringArray, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
         values, which, bounds = self._looked_up(texts)
         data = np.frombuffer(b"".join(values), dtype)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, fresh_path, id_and_text, id_key, part_count, sample_rows, schema
-from .pieces import PieceCache
+from .pieces import CACHED, PieceCache
 
 MAGIC = b"FTOKEN01"
 #: Documents that are encoded together.
@@ -68,6 +68,8 @@ class Encoder(PieceCache):
         self.by_piece = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not made.get("normalizer") and self.line is not None
         self.split = Tokenizer.from_file(path)
         self.split.pre_tokenizer = pre_tokenizers.Split(self.letters[10], "isolated")
+        self.words, self.word_ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
+        self.asked = np.zeros(0, np.int64)  # when each word was last asked for
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -103,10 +105,84 @@ class Encoder(PieceCache):
             return self.whole(texts.to_pylist())
         odd = self._odd(texts)
         slow = odd.to_numpy(zero_copy_only=False)
-        plain = iter(self.encode_texts(texts.filter(pc.invert(odd))) if not slow.all() else ())
+        plain = iter(self._by_words(texts.filter(pc.invert(odd)).cast(pa.string())) if not slow.all() else ())
         rest = iter(self.encode_batch(texts.filter(odd).to_pylist()) if slow.any() else ())
         return [next(rest) if s else next(plain) for s in slow]
 
+    def _by_words(self, texts: pa.StringArray) -> list[bytes]:
+        """Ids of texts without odd white space or special tokens; words after spaces are looked up, and their ids put together, by Arrow."""
+        self.pieces.age()
+        cut = pc.split_pattern(texts, " ")
+        bounds = cut.offsets.to_numpy().astype(np.int64)
+        bounds = bounds - bounds[0]
+        coded = cut.flatten().dictionary_encode()
+        which = coded.indices.to_numpy().astype(np.int64)
+        heads = coded.dictionary.take(pa.array(which[bounds[:-1]])).to_pylist()  # nothing stands before these
+        first = self._looked_for(heads, self.pieces)
+        inner = np.ones(len(which), bool)
+        inner[bounds[:-1]] = False
+        place = np.zeros(len(coded.dictionary), np.int64)
+        used = np.zeros(len(place), bool)
+        used[which[inner]] = True
+        place[used] = self._places(coded.dictionary.filter(pa.array(used)))
+        at = place[which]
+        at[bounds[:-1]] = len(self.word_ids) + np.arange(len(heads))
+        found = pa.concat_arrays([self.word_ids, pa.array(first, pa.large_binary())]).take(pa.array(at))
+        ends = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1, 8 * found.offset)[bounds].tolist()
+        data = found.buffers()[2]
+        raw = memoryview(b"" if data is None else data)
+        return [bytes(raw[a:b]) for a, b in zip(ends, ends[1:])]
+
+    def _looked_for(self, keys: list[str], known) -> list[bytes]:
+        found = list(map(known.__getitem__, keys))
+        if self.parts.missed or self.pieces.missed:
+            self._learn()
+            self._fill(found, keys, known.__getitem__)
+        return found
+
+    def _places(self, words: pa.StringArray) -> np.ndarray:
+        """Where the ids of distinct words that follow a space stand in ``word_ids``; new words are added there."""
+        if len(self.words) > 2 * CACHED:
+            kept = pa.array(np.sort(np.argpartition(-self.asked, CACHED)[:CACHED]))  # the last asked for
+            self.words, self.word_ids, self.asked = self.words.take(kept), self.word_ids.take(kept), self.asked[kept.to_numpy()]
+        found = pc.index_in(words, value_set=self.words)
+        new = pc.is_null(found)
+        places = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        mask = new.to_numpy(zero_copy_only=False)
+        if mask.any():
+            places[mask] = len(self.words) + np.arange(mask.sum())
+            missed = words.filter(new)
+            self.words, self.word_ids = pa.concat_arrays([self.words, missed]), pa.concat_arrays([self.word_ids, self._ids_of(missed)])
+            self.asked = np.r_[self.asked, np.zeros(len(missed), np.int64)]
+        self.asked[places] = self.asked.max(initial=0) + 1
+        return places
+
+    def _ids_of(self, words: pa.StringArray) -> pa.LargeBinaryArray:
+        """The ids of each word after a space. ASCII letters are one pre-token, a stop after them another; each stem is encoded once."""
+        plain = pc.match_substring_regex(words, "^[A-Za-z]+[,.]?$")
+        simple = words.filter(plain)
+        stems = pc.ascii_rtrim(simple, characters=",.").dictionary_encode()
+        ids = self._stem_ids(stems.dictionary).take(stems.indices)
+        comma, point = self._looked_for([",", "."], self.pieces)
+        byte = lambda x: pa.scalar(x, pa.large_binary())
+        stop = pc.if_else(pc.ends_with(simple, ","), byte(comma), pc.if_else(pc.ends_with(simple, "."), byte(point), byte(b"")))
+        ids = pc.binary_join_element_wise(ids, stop, byte(b""))
+        self.parts.age()
+        rest = self._looked_for(words.filter(pc.invert(plain)).to_pylist(), self.parts)
+        mask = plain.to_numpy(zero_copy_only=False)
+        at = np.where(mask, np.cumsum(mask) - 1, len(ids) + np.cumsum(~mask) - 1)
+        return pa.concat_arrays([ids, pa.array(rest, pa.large_binary())]).take(pa.array(at))
+
+    def _stem_ids(self, stems: pa.StringArray) -> pa.LargeBinaryArray:
+        if not len(stems):
+            return pa.array([], pa.large_binary())
+        between, space = self.letters[10], self.letters[32]
+        joined = space + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(stems)], pa.int32()), stems), between + space)[0].as_py()
+        ids = np.array(self.split.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.append(np.flatnonzero(ids == self.line), len(ids)) - np.arange(len(stems))
+        offsets = np.r_[0, ends].astype(np.int64) * self.dtype.itemsize
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(stems), [None, pa.py_buffer(offsets), pa.py_buffer(ids[ids != self.line].tobytes())])
+
 
 _encoders: dict[str, Encoder] = {}
 

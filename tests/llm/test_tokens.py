@@ -11,6 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from folioscope.llm import token_store
 from folioscope.llm.bpe import BytePairs, RankQueue, decode, encode
 from folioscope.llm.common import in_share, sample_rows
 from folioscope.llm.token_store import Encoder, read_document, read_tokens, write_tokens
@@ -42,6 +43,15 @@ def test_encoder_equals_the_library():
     assert made.encode_each(pa.array(given)) == want
 
 
+def test_encoder_looks_plain_words_up_together(monkeypatch):
+    monkeypatch.setattr(token_store, "CACHED", 30)  # so that words are dropped and come again
+    library, made, rng = Tokenizer.from_file(BYTE_BPE), Encoder(BYTE_BPE), random.Random(4)
+    for _ in range(30):
+        given = [" ".join("".join(rng.choice("abcXY") for _ in range(rng.randint(1, 3))) + rng.choice(["", "", ",", "."]) for _ in range(rng.randint(0, 20))) for _ in range(8)]
+        assert made.encode_each(pa.array(given)) == [np.array(e.ids, made.dtype).tobytes() for e in library.encode_batch(given, add_special_tokens=False)]
+    assert not made.parts and len(made.words) == len(made.word_ids) == len(made.asked) < 250  # no word was looked up by itself
+
+
 def test_bpe_equals_the_library():
     library, made = own(), BytePairs.load(RANKS, public_tokenizers.PATTERN)
     given = texts()
