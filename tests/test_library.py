@@ -110,6 +110,33 @@ def test_bandit_matches_numpy(spark):
         assert np.allclose(m.theta, np.linalg.solve(np.eye(3) + s.T @ s, s.T @ t))
 
 
+def test_bandit_sums_and_scores_of_odd_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, "ab"[i % 2], [None if rng.random() < 0.1 else float(v) for v in rng.normal(size=3)], None if i % 7 == 0 else float(i)) for i in range(40)]
+    rows += [(40, "a", None, 1.0), (41, "a", [], 1.0), (42, "b", [1.0, 2.0], 1.0), (43, None, [1.0, None, 3.0], 2.0)]
+    table = spark.createDataFrame(rows, "k int, arm string, x array<double>, r double")
+    a, b = {}, {}
+    for _, arm, x, r in rows:
+        for i, j in ((i, j) for i in range(len(x or ())) for j in range(i, len(x))):
+            a.setdefault((arm, i, j), []).extend([x[i] * x[j]] if None not in (x[i], x[j]) else [])
+            b.setdefault((arm, i, j), []).extend([x[i] * r] if i == j and None not in (x[i], r) else [])
+    sums = ranking.linucb_statistics(table, "arm", "x", "r")
+    assert "Generate" not in sums._jdf.queryExecution().optimizedPlan().toString()  # no row a cell of each vector
+    found = {(s.arm, s.i, s.j): (s.a, s.b) for s in sums.collect()}
+    assert found.keys() == a.keys()
+    for k, (x, y) in found.items():
+        assert (x == pytest.approx(sum(a[k])) if a[k] else x is None) and (y == pytest.approx(sum(b[k])) if b[k] else y is None)
+    models = spark.createDataFrame([("p", [1.0, 0.0, 2.0], [float(v) for v in np.eye(3).ravel()]), ("q", [0.0, 0.0, 0.0], [4.0 * float(v) for v in np.eye(3).ravel()])], "arm string, theta array<double>, inverse array<double>")
+    for held in (ranking.HELD, 5):  # at once, and an arm or so in a turn
+        monkeypatch.setattr(ranking, "HELD", held)
+        got = {(s.k, s.arm): s.score for s in ranking.linucb_scores(table.select("k", "x"), models, "x", 0.5).collect()}
+        assert len(got) == 2 * len(rows)
+        for k, _, x, _ in rows:
+            whole = x is not None and len(x) == 3 and None not in x
+            want = (x[0] + 2 * x[2] + 0.5 * np.linalg.norm(x), np.linalg.norm(x)) if whole else (None, None)
+            assert (got[k, "p"], got[k, "q"]) == (pytest.approx(want) if whole else want)
+
+
 def test_leaders_partition_the_items(spark):
     items = spark.createDataFrame([(0, i) for i in range(8)], "g int, x int")
     pairs = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (0, 3, 4)], "g int, a int, b int")
