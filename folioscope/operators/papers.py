@@ -172,11 +172,9 @@ def with_answers(found: DataFrame, answers: DataFrame, on: list[str], order: Seq
     return found.join(answers.select(*on, "classification", "proposed"), on, "left").withColumn("severity", F.when(lower, F.upper("proposed")).otherwise(F.col("severity"))).drop("proposed")
 
 
-def confirmed(complements: DataFrame, answers: DataFrame, boost: str = "setup_boost") -> DataFrame:
-    """Complements whose finding was confirmed: confidence 0.85, or 0.90 with a boost by the setup."""
-    yes = answers.where("confirmed").select("finding_id").distinct().withColumn("__yes", F.lit(True))
-    sure = F.when(F.coalesce(F.col(boost), F.lit(False)), F.lit(0.90)).otherwise(F.lit(0.85))
-    return complements.join(yes, "finding_id", "left").withColumn("confidence", F.when(F.col("__yes"), sure).otherwise(F.col("confidence"))).drop("__yes")
+def confirmed_confidence(confirmed: Column, boost: Column, confidence: Column) -> Column:
+    """The confidence of a complement: 0.85 if its finding was confirmed, or 0.90 with a boost by the setup; else the one it has."""
+    return F.when(confirmed, F.when(boost, F.lit(0.90)).otherwise(F.lit(0.85))).otherwise(confidence)
 
 
 def gap_vector(gap_type: Column, priority: Column, confidence: Column, entities: Column, papers: Column, n_candidates: Column, redundancy: Column, validated: Column, needs_review: Column, addressed: Column, context: Sequence[Column]) -> Column:

@@ -1,5 +1,6 @@
 """Queries that must read whole tables, against numpy on all rows."""
 
+import duckdb
 import numpy as np
 
 from folioscope import plans
@@ -28,3 +29,20 @@ def test_hash_embedding_covers_all_documents(spark):
     assert found.keys() == texts.keys()
     norms = [np.linalg.norm(found[k]) for k in texts if texts[k] and len(found[k]) == 16]
     assert len(norms) > 100 and all(abs(n - 1) < 1e-3 or n == 0 for n in norms)
+
+
+def test_confirmed_complements_of_odd_lines(spark, tmp_path):
+    lines = [(1, 1, 5, "A"), (1, 1, 5, "N"), (1, 2, 5, None), (2, 1, 5, "A"), (3, 1, 5, "A"), (4, 1, 5, "A"), (1, None, 5, "A"), (2, 1, None, "A"), (None, 1, 5, "A")]
+    orders = [(1, "F"), (2, "O"), (4, None), (5, "F")]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    want = duckdb.sql(plans.ORACLES["confirmed_complements"].replace("FROM lineitem JOIN orders", f"FROM '{tmp_path}/lineitem.parquet/*.parquet' JOIN '{tmp_path}/orders.parquet/*.parquet'")).fetchall()
+    found = plans.QUERIES["confirmed_complements"](spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == set(want) and found.count() == len(want)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2  # no finding is joined to itself
+
+
+def test_confirmed_complements_are_none_where_no_order_is(spark, tmp_path):
+    spark.createDataFrame([(1, None, 5, "A")], "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([], "o_orderkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    assert plans.QUERIES["confirmed_complements"](spark, str(tmp_path)).collect() == []
