@@ -120,9 +120,13 @@ def set_overlaps(pairs: DataFrame, sets: DataFrame, kinds: Sequence[str] = ENTIT
     joined by itself. Columns of ``pairs`` stay, and columns ``carry`` of the sets come along as ``{c}_a`` and ``{c}_b``, so that
     nothing has to be joined to the pairs again.
     """
-    side = lambda key, tag: sets.select(F.col(paper).alias(key), *(F.col(k).alias(f"__{k}_{tag}") for k in kinds), *(F.col(c).alias(f"{c}_{tag}") for c in carry))
+    side = lambda key, tag: sets.select(F.col(paper).alias(key), *(F.col(k).alias(f"{k}_{tag}") for k in (*kinds, *carry)))
     own = [*pairs.columns, *(f"{c}_{tag}" for c in carry for tag in "ab")]
-    both = pairs.join(side(a, "a"), a, "left").join(side(b, "b"), b, "left")
+    return met_overlaps(pairs.join(side(a, "a"), a, "left").join(side(b, "b"), b, "left"), own, kinds)
+
+
+def met_overlaps(both: DataFrame, own: Sequence[str], kinds: Sequence[str] = ENTITY_TYPES) -> DataFrame:
+    """``set_overlaps`` of pairs that have both papers' sets, ``{kind}_a`` and ``{kind}_b``, and the columns ``own``, which stay."""
     size = lambda c: F.coalesce(F.array_size(c), F.lit(0))
     none = F.array().cast("array<string>")
 
@@ -131,10 +135,10 @@ def set_overlaps(pairs: DataFrame, sets: DataFrame, kinds: Sequence[str] = ENTIT
         held = none
         for k in kinds:
             if k != "metric":
-                held = F.array_union(held, F.coalesce(F.col(f"__{k}_{x}"), none))
+                held = F.array_union(held, F.coalesce(F.col(f"{k}_{x}"), none))
         return held
 
-    rows = both.select(*own, *(size(F.array_intersect(f"__{k}_a", f"__{k}_b")).cast("long").alias(f"shared_{k}") for k in kinds), *((size(F.col(f"__{k}_a")) + size(F.col(f"__{k}_b"))).alias(f"__n_{k}") for k in kinds), *(together(x).alias(f"__all_{x}") for x in "ab"))
+    rows = both.select(*own, *(size(F.array_intersect(f"{k}_a", f"{k}_b")).cast("long").alias(f"shared_{k}") for k in kinds), *((size(F.col(f"{k}_a")) + size(F.col(f"{k}_b"))).alias(f"__n_{k}") for k in kinds), *(together(x).alias(f"__all_{x}") for x in "ab"))
     rows = rows.withColumn("shared_entity", size(F.array_intersect("__all_a", "__all_b")).cast("long")).withColumn("__n_entity", size(F.col("__all_a")) + size(F.col("__all_b")))
     ratio = lambda k: F.when(F.col(f"__n_{k}") > F.col(f"shared_{k}"), F.col(f"shared_{k}") / (F.col(f"__n_{k}") - F.col(f"shared_{k}"))).otherwise(F.lit(0.0))
     return rows.select(*own, *(f"shared_{k}" for k in ("entity", *kinds)), *(ratio(k).alias(f"{k}_overlap") for k in ("entity", *kinds)))

@@ -44,7 +44,7 @@ _RELATED = f"""{_PAIR_ROWS}, n AS (SELECT paper_a, paper_b, count(*) FILTER (dif
 def compared(t: Tables) -> DataFrame:
     """The edges of all given pairs: results that differ by half contradict, unless about other subjects; setups far apart complement;
     close results agree; a cited paper of much earlier is extended."""
-    rows = compared_papers(t)
+    rows = compared_papers(t, ("method", "dataset"))
     most = lambda x: F.greatest(x["value_a"], x["value_b"])
     far = lambda x: x["diff"] > 0.5 * most(x)
     found = F.coalesce("found", F.array().cast(rows.schema["found"].dataType))

@@ -157,3 +157,13 @@ def test_adjacent_elements_stay_apart(xml, text):
     from xml.etree import ElementTree
 
     assert tei.running_text(ElementTree.fromstring(xml)) == text
+
+
+def test_sets_of_papers_are_gathered_once(spark):
+    from folioscope import plans
+
+    from .test_queries import SF
+
+    for name in ("collapsed_graph", "pair_ranking"):
+        plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("lineitem") <= 1 and plan.count("l_orderkey") and plan.count("RepartitionByExpression") == 1  # once, not once for each side of a pair
