@@ -8,7 +8,7 @@ from folioscope.operators import blocks
 from .test_queries import SF
 
 
-@pytest.mark.parametrize("name", ["cross_paper_gaps", "result_divergence"])
+@pytest.mark.parametrize("name", ["cross_paper_gaps", "result_divergence", "graph_from_comparisons"])
 def test_rows_are_not_sent_to_each_block(spark, monkeypatch, name):
     monkeypatch.setattr(blocks, "LEAST_ROWS", 10)
     plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
