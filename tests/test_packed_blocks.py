@@ -1,9 +1,9 @@
-"""Pairs of papers from blocks that are packed and kept once: no row is shuffled again for the blocks that it meets."""
+"""Pairs of papers and of sets from blocks that are packed and kept once: no row is shuffled again for the blocks that it meets."""
 
 import pytest
 
 from folioscope import plans
-from folioscope.operators import blocks
+from folioscope.operators import blocks, setjoin
 
 from .test_queries import SF
 
@@ -13,3 +13,9 @@ def test_rows_are_not_sent_to_each_block(spark, monkeypatch, name):
     monkeypatch.setattr(blocks, "LEAST_ROWS", 10)
     plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_sets_are_not_sent_to_each_block(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a")], "o long, m string")
+    found = setjoin.similar_sets(rows, "o", "m", 0.6)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() and len(found.collect()) == 1
