@@ -27,6 +27,8 @@ from . import blocks
 CELL_ROWS, MOST_PIVOTS, CHUNK = 500, 2048, 1000
 #: Room for what double precision loses, and for what products of matrices lose of a square; rows of a tile of them.
 ROOM, SQUARE_ROOM, TILE = 1e-9, 1e-9, 512
+#: What single precision loses of a term, with room to spare, and squares up to which it is used.
+SINGLE, SINGLE_MOST = 2.4e-7, 1e30
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -111,8 +113,16 @@ def _compared(table: pa.Table, low: int, high: int, radius: float) -> Iterator[t
             yield i, j
 
 
-def close_pairs(vectors: DataFrame, vec_id: str, vector: str, radius: float, pivots: int | None = None) -> DataFrame:
-    """``(a, b, distance)``, a < b: all pairs of rows within ``radius`` in Euclidean distance.
+def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``scores.dot`` of rows: entries are added in order, as there."""
+    total = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        total = total + x[:, d] * y[:, d]
+    return total
+
+
+def close_pairs(vectors: DataFrame, vec_id: str, vector: str, radius: float, pivots: int | None = None, dots: bool = False) -> DataFrame:
+    """``(a, b, distance)``, a < b: all pairs of rows within ``radius`` in Euclidean distance; with ``dots`` their ``dot`` too.
 
     Rows with a null id, a null vector or one with a null or non-finite entry take no part; all vectors have one length and ids
     are distinct. The pivots (a number that grows with the rows, up to MOST_PIVOTS) decide how much is compared, never what is found.
@@ -124,48 +134,67 @@ def close_pairs(vectors: DataFrame, vec_id: str, vector: str, radius: float, piv
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("d")
         x = _matrix(table.column("v"))
-        left, right, far = [], [], []
+        left, right, far, products = [], [], [], [np.zeros(0)]
         for i, j in _compared(table, key[1].as_py(), key[2].as_py(), radius):
             distance = np.sqrt(((x[j] - x[i]) ** 2).sum(axis=1))
             ok = distance <= radius
             left += [i] * int(ok.sum())
             right += j[ok].tolist()
             far += distance[ok].tolist()
+            if dots:
+                products.append(_dots(np.broadcast_to(x[i], (int(ok.sum()), x.shape[1])), x[j[ok]]))
         ids = table.column("id").combine_chunks()
         a, b = ids.take(pa.array(left, pa.int64())), ids.take(pa.array(right, pa.int64()))
         swap = pc.greater(a, b)
-        return pa.table({"a": pc.if_else(swap, b, a), "b": pc.if_else(swap, a, b), "distance": pa.array(far, pa.float64())})
+        columns = {"a": pc.if_else(swap, b, a), "b": pc.if_else(swap, a, b), "distance": pa.array(far, pa.float64())}
+        return pa.table(columns | ({"dot": pa.array(np.concatenate(products))} if dots else {}))
 
-    kind = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("distance", T.DoubleType())])
+    kind = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("distance", T.DoubleType()), *([T.StructField("dot", T.DoubleType())] if dots else [])])
     n = rows.count()
     most = n * max(1, -(-n // blocks.VECTORS)) if pivots is None and n > CHUNK else None
     cells = _cells(rows, radius, pivots, most)
     return _block_pairs(rows, radius, kind) if cells is None else cells.groupBy("cell", "low", "high").applyInArrow(compare, kind)
 
 
+def _may_be_near(x: np.ndarray, y: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of rows of ``x`` and ``y``, a tile at a time, that lie within ``radius``, and few others: squares of distances are one
+    product of matrices in single precision, with room for what it loses, or of larger numbers in double precision."""
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    most = xx.max(initial=0.0) + yy.max(initial=0.0)
+    kind, lost = (np.float32, SINGLE * (x.shape[1] + 8)) if most < SINGLE_MOST else (np.float64, SQUARE_ROOM)
+    bound = kind(radius**2 + SQUARE_ROOM + lost * most)
+    left = np.concatenate((-2 * x, xx[:, None], np.ones((len(x), 1))), axis=1).astype(kind)
+    right = np.ascontiguousarray(np.concatenate((y, np.ones((len(y), 1)), yy[:, None]), axis=1).astype(kind).T)
+    for first in range(0, len(x), TILE):
+        at = np.flatnonzero(~(left[first : first + TILE] @ right > bound))
+        yield at // len(y) + first, at % len(y)
+
+
 def _block_pairs(rows: DataFrame, radius: float, kind: T.StructType) -> DataFrame:
-    """All blocks of rows (id, v) against each other; a product of matrices leaves out what is surely farther, the rest is measured."""
+    """All blocks of rows (id, v) against each other, packed and kept once; a product of matrices leaves out what is surely farther,
+    the rest is measured."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (low, high), table in blocks.met_tables(batches):
+            size = pc.list_value_length(table.column("v")).to_numpy()
+            for n in np.unique(size):  # lengths never meet
+                yield from compare(low, high, table.filter(pa.array(size == n)))
 
-    def compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
+    def compare(low: int, high: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         block, ids, v = table.column("__block").to_numpy(), table.column("id").combine_chunks(), _matrix(table.column("v"))
-        left, right = (np.flatnonzero(block == k.as_py()) for k in key[1:])
-        y = v[right]
-        squares = (y * y).sum(axis=1)
-        for first in range(0, len(left), TILE):
-            x = v[left[first : first + TILE]]
-            own = (x * x).sum(axis=1)[:, None]
-            total = own + squares[None, :]
-            i, j = np.nonzero(~(total - 2 * (x @ y.T) > radius**2 + SQUARE_ROOM * (1 + total)))
-            if key[1] == key[2]:  # each pair is met from both sides
-                i, j = i[i + first < j], j[i + first < j]
+        left, right = (np.flatnonzero(block == k) for k in (low, high))
+        x, y = v[left], v[right]
+        for i, j in _may_be_near(x, y, radius) if len(x) and len(y) else ():
+            if low == high:  # each pair is met from both sides
+                i, j = i[i < j], j[i < j]
             distance = np.sqrt(((y[j] - x[i]) ** 2).sum(axis=1))
             near = distance <= radius
-            a, b = ids.take(pa.array(left[i[near] + first])), ids.take(pa.array(right[j[near]]))
+            a, b = ids.take(pa.array(left[i[near]])), ids.take(pa.array(right[j[near]]))
             swap = pc.greater(a, b)
-            yield pa.RecordBatch.from_arrays([pc.if_else(swap, b, a), pc.if_else(swap, a, b), pa.array(distance[near])], names=["a", "b", "distance"])
+            columns = [pc.if_else(swap, b, a), pc.if_else(swap, a, b), pa.array(distance[near]), *([pa.array(_dots(x[i[near]], y[j[near]]))] if "dot" in kind.names else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=kind.names)
 
-    return blocks.vector_blocks(rows, [], "id", "v").groupBy("__size", "__low", "__high").applyInArrow(compare, kind)
+    return blocks.meeting_blocks(blocks.packed_blocks(rows, "id", block_rows=blocks.VECTORS)).mapInArrow(run, kind)
 
 
 def comparisons(vectors: DataFrame, vec_id: str, vector: str, radius: float, pivots: int | None = None) -> DataFrame:

@@ -91,11 +91,8 @@ def embedding_pairs_in_range(t: Tables) -> DataFrame:
     """All pairs at a similarity of 0.4 or more, of whatever label: found within 0.001 more by distance, then tested exactly."""
     from ..operators.metric import close_pairs
 
-    v = t.embeddings
-    near = close_pairs(v, "vec_id", "embedding", (2 * (1 - 0.399)) ** 0.5)
-    side = lambda x: v.select(F.col("vec_id").alias(x), F.col("embedding").alias(f"v{x}"))
-    exact = near.join(side("a"), "a").join(side("b"), "b").withColumn("s", op.dot(F.col("va"), F.col("vb")))
-    return exact.where("s >= 0.4").select("a", "b", fixed(F.col("s"), 6).alias("similarity"))
+    near = close_pairs(t.embeddings, "vec_id", "embedding", (2 * (1 - 0.399)) ** 0.5, dots=True)
+    return near.where("a < b AND dot >= 0.4").select("a", "b", fixed(F.col("dot"), 6).alias("similarity"))
 
 
 @query(

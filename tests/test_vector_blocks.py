@@ -1,10 +1,15 @@
 """Similarity joins in blocks against every pair, with small blocks, ties, nulls and vectors that no pivot tells apart."""
 
+from functools import reduce
+
 import numpy as np
 import pytest
 
+from folioscope import plans
 from folioscope.operators import blocks, metric, vectors as op
 
+from .test_queries import SF
+
 
 @pytest.fixture(scope="module")
 def rows():
@@ -58,3 +63,33 @@ def test_close_pairs_where_no_pivot_prunes(frame, rows, monkeypatch):
     found = metric.close_pairs(frame.where("vec_id < 150"), "vec_id", "embedding", 1.1).collect()
     assert used and {(r["a"], r["b"]) for r in found} == set(want) and len(found) == len(want)
     assert all(abs(r["distance"] - want[r["a"], r["b"]]) < 1e-12 for r in found)
+
+
+def test_blocks_of_vectors_are_not_sent_again(frame, monkeypatch):
+    monkeypatch.setattr(metric, "CHUNK", 10)
+    monkeypatch.setattr(metric, "CELL_ROWS", 5)
+    found = metric.close_pairs(frame.where("vec_id < 150"), "vec_id", "embedding", 1.1)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("scale", [1e-3, 1.0, 1e6, 1e20])
+def test_single_precision_loses_no_pair(scale):
+    rng = np.random.default_rng(4)
+    x, y = (rng.normal(size=(n, 16)) * scale for n in (700, 90))
+    far = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    for radius in (far[5, 7], np.quantile(far, 0.3), far.min()):
+        met = {(int(a), int(b)) for i, j in metric._may_be_near(x, y, radius) for a, b in zip(i, j)}
+        near = {(int(a), int(b)) for a, b in zip(*np.nonzero(far <= radius))}
+        assert near <= met and len(met - near) <= 50
+
+
+def test_pairs_in_range_join_no_vectors(spark):
+    plan = plans.QUERIES["embedding_pairs_in_range"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") <= 1  # the sizes of cells
+
+
+@pytest.mark.parametrize("pivots", [None, 5])
+def test_dots_are_those_of_both_ways(frame, rows, pivots):
+    found = metric.close_pairs(frame.where("vec_id < 150"), "vec_id", "embedding", 1.1, pivots=pivots, dots=True).collect()
+    # sum() of Python makes up for what is lost, which the score does not
+    assert found and all(r["dot"] == reduce(lambda s, v: s + v[0] * v[1], zip(rows[r["a"]][2], rows[r["b"]][2]), 0.0) for r in found)
