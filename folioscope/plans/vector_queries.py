@@ -78,7 +78,8 @@ def limitation_clusters(t: Tables) -> DataFrame:
 
     pairs = close_pairs(t.embeddings, "vec_id", "embedding", (2 * _TOGETHER) ** 0.5)
     nearest = Window.partitionBy("a").orderBy("distance", "b")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    turned = F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "distance")
+    both = pairs.select(F.inline(F.array(F.struct("a", "b", "distance"), turned)))  # pairs are made once
     takes = both.withColumn("place", F.row_number().over(nearest)).where(F.col("place") < _SEEN)
     return leaders(t.embeddings, "vec_id", takes)
 
